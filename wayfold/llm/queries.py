@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfold.llm.minhash import op6_minhash_tensor
 from wayfold.llm.url_filter import OP9_SQL, op9_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_url_filter": op9_url_filter}
+    return {"op6_minhash_tensor": op6_minhash_tensor, "op9_url_filter": op9_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
