@@ -102,3 +102,26 @@ def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
         here = hashes[np.minimum(pos + k, last)]
         h = np.where(k < length, mixed(h * np.uint64(0x2545F4914F6CDD1D) + here), h)
     return h, begin
+
+
+def padded(buf: np.ndarray, off: np.ndarray, before: int, after: int, fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text with ``before`` fill bytes ahead and ``after`` behind, and the offsets of the longer texts."""
+    n = len(off) - 1
+    new = off + (before + after) * np.arange(n + 1)
+    out = np.full(int(new[-1]), fill, np.uint8)
+    row = np.repeat(np.arange(n), np.diff(off))
+    out[np.arange(len(buf)) + (before + after) * row + before] = buf
+    return out, new
+
+
+class Tally:
+    """Counts of 64-bit keys, merged as sorted arrays."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        keys, counts = np.unique(keys, return_counts=True)
+        both, inverse = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+        self.counts = np.bincount(inverse, np.concatenate([self.counts, counts]).astype(float), len(both)).astype(np.int64)
+        self.keys = both

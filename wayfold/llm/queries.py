@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfold.llm.context_tree import op5_context_tree
 from wayfold.llm.minhash import op6_minhash_tensor
 from wayfold.llm.packing import op10_genetic_packing
 from wayfold.llm.url_filter import OP9_SQL, op9_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_minhash_tensor": op6_minhash_tensor, "op9_url_filter": op9_url_filter, "op10_genetic_packing": op10_genetic_packing}
+    return {"op5_context_tree": op5_context_tree, "op6_minhash_tensor": op6_minhash_tensor, "op9_url_filter": op9_url_filter, "op10_genetic_packing": op10_genetic_packing}
 
 
 def oracle_sql() -> dict[str, str]:
