@@ -18,8 +18,10 @@ are packed each on their own.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -36,11 +38,38 @@ EPOCHS = 2
 GENERATIONS = 6
 POPULATION = 6
 
-_encoders: dict[tuple[str, str], object] = {}
+#: Words whose ids a worker keeps; beyond that it starts anew.
+CACHED_WORDS = 1 << 19
+#: Two white-space characters in a row; without any, words can be cut by plain string operations.
+RUN = re.compile(r"\s\s")
+#: A lone space: the pattern of the tokenizer always begins a new word there.
+LONE = re.compile(r"(?<=\S) (?=\S)")
 
+_encoders: dict[tuple[str, str], Callable[[str], bytes]] = {}
 
-def encoder(json_path: str, ranks_path: str):
-    """text -> uint32 ids, made once in a worker."""
+
+class WordIds(dict):
+    """Little-endian ids of a word with the space before it (a word that begins with a line end has none)."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        ids = self.encode(word if word[:1] == "\n" else " " + word)
+        if len(word) < 40:
+            self[word] = ids
+        return ids
+
+
+def encoder(json_path: str, ranks_path: str) -> Callable[[str], bytes]:
+    """text -> bytes of its little-endian unsigned 32-bit ids; made once in a worker.
+
+    The tokenizer's pattern never joins a word with the one before a lone space or line end, so words are
+    looked up one by one.
+    """
     if (json_path, ranks_path) not in _encoders:
         import base64
 
@@ -54,13 +83,18 @@ def encoder(json_path: str, ranks_path: str):
         slow = Tokenizer.from_file(json_path)
         slow.encode_special_tokens = True
 
-        def encode(text: str) -> np.ndarray:
-            try:
-                return np.array(fast.encode_ordinary(text), np.uint32)
-            except (BaseException if len(text) > 100_000 else ValueError):  # the fast engine gives up on some giant runs
-                return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        def encode(text: str) -> bytes:
+            # tiktoken's pattern engine gives up on very long runs of one kind; such words go to the other library.
+            ids = fast.encode_ordinary(text) if len(text) < 10_000 else slow.encode(text, add_special_tokens=False).ids
+            return pack_ids(f"<{len(ids)}I", *ids)
+
+        words = WordIds(encode)
+
+        def by_word(text: str) -> bytes:
+            head, *rest = LONE.split(text) if RUN.search(text) else text.replace("\n", " \n").split(" ")
+            return encode(head) + b"".join(map(words.__getitem__, rest))
 
-        _encoders[json_path, ranks_path] = encode
+        _encoders[json_path, ranks_path] = by_word
     return _encoders[json_path, ranks_path]
 
 
@@ -75,13 +109,12 @@ def token_pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
         encode = encoder(json_path, ranks_path)
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                text = text.as_py()
-                tokens = np.append(encode(text), np.uint32(0)) if text else np.zeros(1, np.uint32)
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                tokens = np.frombuffer((encode(text) if text else b"") + bytes(4), "<u4")
                 n, at, k = len(tokens), 0, 0
                 while at < n:
                     to = at + ((n - at) % size or size)
-                    part = np.ascontiguousarray(tokens[at:to], "<u4")
+                    part = tokens[at:to]
                     row.append(i), piece.append(k), start.append(at), length.append(to - at), crc.append(zlib.crc32(part))
                     if keep_ids:
                         ids.append(part.astype(np.int32))
