@@ -10,12 +10,13 @@ from wayfold.llm.context_tree import op5_context_tree
 from wayfold.llm.language_id import op7_language_bloom
 from wayfold.llm.media import op1_media_jpeg
 from wayfold.llm.minhash import op6_minhash_tensor
+from wayfold.llm.mixing import op2_mixing_flow
 from wayfold.llm.packing import op10_genetic_packing
 from wayfold.llm.url_filter import OP9_SQL, op9_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_jpeg, op5_context_tree, op6_minhash_tensor, op7_language_bloom, op9_url_filter, op10_genetic_packing)}
+    return {f.__name__: f for f in (op1_media_jpeg, op2_mixing_flow, op5_context_tree, op6_minhash_tensor, op7_language_bloom, op9_url_filter, op10_genetic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
