@@ -12,13 +12,14 @@ from wayfold.llm.media import op1_media_jpeg
 from wayfold.llm.minhash import op6_minhash_tensor
 from wayfold.llm.mixing import op2_mixing_flow
 from wayfold.llm.packing import op10_genetic_packing
+from wayfold.llm.search import OP8_SQL, op8_dual_tree
 from wayfold.llm.url_filter import OP9_SQL, op9_url_filter
 from wayfold.llm.warc import OP3_SQL, op3_warc_revisit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_jpeg, op2_mixing_flow, op3_warc_revisit, op5_context_tree, op6_minhash_tensor, op7_language_bloom, op9_url_filter, op10_genetic_packing)}
+    return {f.__name__: f for f in (op1_media_jpeg, op2_mixing_flow, op3_warc_revisit, op5_context_tree, op6_minhash_tensor, op7_language_bloom, op8_dual_tree, op9_url_filter, op10_genetic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_revisit": OP3_SQL, "op9_url_filter": OP9_SQL}
+    return {"op3_warc_revisit": OP3_SQL, "op8_dual_tree": OP8_SQL, "op9_url_filter": OP9_SQL}
