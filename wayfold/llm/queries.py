@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfold.llm.context_tree import op5_context_tree
+from wayfold.llm.html_text import op4_html_blocks
 from wayfold.llm.language_id import op7_language_bloom
 from wayfold.llm.media import op1_media_jpeg
 from wayfold.llm.minhash import op6_minhash_tensor
@@ -18,7 +19,7 @@ from wayfold.llm.warc import OP3_SQL, op3_warc_revisit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_jpeg, op2_mixing_flow, op3_warc_revisit, op5_context_tree, op6_minhash_tensor, op7_language_bloom, op8_dual_tree, op9_url_filter, op10_genetic_packing)}
+    return {f.__name__: f for f in (op1_media_jpeg, op2_mixing_flow, op3_warc_revisit, op4_html_blocks, op5_context_tree, op6_minhash_tensor, op7_language_bloom, op8_dual_tree, op9_url_filter, op10_genetic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
