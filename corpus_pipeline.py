@@ -1,6 +1,50 @@
-"""Corpus pipeline: filled in as its stages are built."""
+"""Corpus pipeline: language ID, near-duplicate removal, mixing to target weights, best-fit packing."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfold.llm.language_id import language_predictions
+from wayfold.llm.minhash import without_near_duplicates
+from wayfold.llm.mixing import mix, word_count
+from wayfold.llm.packing import packed_documents
+from wayfold.llm.scratch import stored
+
+#: A document is rejected if it has no letter, or if its language knows less than this share of its n-grams.
+LEAST_SCORE = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the learned languages."""
+    found = language_predictions(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    return without_near_duplicates(docs, shingle=5, percent=80)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as it is taken."""
+    taken = mix(docs, word_count("text")).where("times > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("__copy")).drop("__copy")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the mix, placed in sequences."""
+    return packed_documents(docs)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+#: No SQL: the stages are tested against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -99,7 +99,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
 
 
 def identify(docs: DataFrame, langs: list[str], masks: np.ndarray, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns ``keep``, lang_pred and score for every row."""
+    """id, the columns ``keep`` (which may hold the text), lang_pred and score for every row."""
     model = docs.sparkSession.sparkContext.broadcast((langs, masks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,7 @@ def identify(docs: DataFrame, langs: list[str], masks: np.ndarray, id: str = "do
         false = np.array([b.mean() ** HASHES for b in bit])
         for batch in batches:
             pred, score = [], []
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(place)
             for at, to, buf, off in slices(texts, 1 << 20):
                 grams, begin = text_grams(buf, off)
                 where = slots_of(grams, slots)
@@ -131,10 +131,11 @@ def identify(docs: DataFrame, langs: list[str], masks: np.ndarray, id: str = "do
                         continue
                     best = int(np.argmax(right[i]))
                     pred.append(langs[best]), score.append(float(right[i, best] / n[i, 0]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:out], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:out], "lang_pred", "score"])
 
-    src = docs.select(F.col(id), *keep, F.col(text).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
+    src = docs.select(F.col(id), *keep) if text in keep else docs.select(F.col(id), *keep, F.col(text).alias("__text"))
+    out, place = 1 + len(keep), src.columns.index(text if text in keep else "__text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:out])
     return src.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
@@ -142,8 +143,12 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def op7_language_bloom(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def language_predictions(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep``, lang_pred and score; learns from the labelled rows that are not held out."""
     langs, masks = fit(docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text", "lang"))
-    found = identify(docs, langs, masks)
+    return identify(docs, langs, masks, keep=keep)
+
+
+def op7_language_bloom(spark, sf_dir: str) -> DataFrame:
+    found = language_predictions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

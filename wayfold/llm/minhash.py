@@ -135,5 +135,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     return done.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest id, and of rows that repeat its id one."""
+    found = near_duplicates(docs, id, text, **options)
+    ids = stored(found.where(F.col(id).isNotNull() & F.col("kept")).groupBy(id).agg((F.count("*") > 1).alias("__repeated")))
+    kept = docs.join(ids, id).select(*docs.columns, "__repeated")
+    if ids.where("__repeated").isEmpty():
+        kept = kept.drop("__repeated")
+    else:
+        kept = kept.where(~F.col("__repeated")).drop("__repeated").union(kept.where("__repeated").drop("__repeated").dropDuplicates([id]))
+    return kept.union(docs.where(F.col(id).isNull()))
+
+
 def op6_minhash_tensor(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85)
