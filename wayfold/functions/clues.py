@@ -56,7 +56,8 @@ def strict_plates(c: Column) -> Column:
     """(plate, code) of plates in the twelve shared letters after folding alphabets; no guards at the ends."""
     s = plate_text(c)
     groups = [F.regexp_extract_all(s, F.lit(STRICT_PLATE), F.lit(k)) for k in range(1, 5)]
-    whole = F.zip_with(F.zip_with(groups[0], groups[1], F.concat), groups[2], F.concat)
+    both = lambda a, b: F.concat(a, b)
+    whole = F.zip_with(F.zip_with(groups[0], groups[1], both), groups[2], both)
     return F.zip_with(whole, groups[3], lambda p, code: F.struct(F.concat(p, code).alias("plate"), code.alias("code")))
 
 

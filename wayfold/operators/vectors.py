@@ -33,7 +33,7 @@ def top_similar(queries: DataFrame, index: DataFrame, k: int = 5, digits: int =
 def _against(asked: DataFrame, rows: DataFrame, k: int, digits: int) -> DataFrame:
     table = rows.toArrow()
     ids = table.column("id").to_numpy()
-    matrix = np.array(table.column("vector").to_pylist(), float).reshape(len(ids), -1)
+    matrix = np.array(table.column("vector").to_pylist(), float) if len(ids) else np.zeros((0, 0))
     shared = asked.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
