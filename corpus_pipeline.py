@@ -17,8 +17,8 @@ LEAST_SCORE = 0.2
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages."""
-    found = language_predictions(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    found = language_predictions(docs, keep=tuple(c for c in docs.columns if c != "doc_id"), names=("__lang", "__score"))
+    return found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken."""
-    taken = mix(docs, word_count("text")).where("times > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("__copy")).drop("__copy")
+    taken = mix(docs, word_count("text"), prefix="__mix_").where("__mix_times > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "__mix_times")).alias("__copy")).drop("__copy")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,8 +98,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     return langs, masks
 
 
-def identify(docs: DataFrame, langs: list[str], masks: np.ndarray, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns ``keep`` (which may hold the text), lang_pred and score for every row."""
+def identify(docs: DataFrame, langs: list[str], masks: np.ndarray, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """id, the columns ``keep`` (which may hold the text), and language and score under ``names`` for every row."""
     model = docs.sparkSession.sparkContext.broadcast((langs, masks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,22 +131,22 @@ def identify(docs: DataFrame, langs: list[str], masks: np.ndarray, id: str = "do
                         continue
                     best = int(np.argmax(right[i]))
                     pred.append(langs[best]), score.append(float(right[i, best] / n[i, 0]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:out], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:out], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:out], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[:out], *names])
 
     src = docs.select(F.col(id), *keep) if text in keep else docs.select(F.col(id), *keep, F.col(text).alias("__text"))
     out, place = 1 + len(keep), src.columns.index(text if text in keep else "__text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:out])
-    return src.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return src.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def language_predictions(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns ``keep``, lang_pred and score; learns from the labelled rows that are not held out."""
+def language_predictions(docs: DataFrame, keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """doc_id, the columns ``keep``, language and score under ``names``; learns from the labelled rows that are not held out."""
     langs, masks = fit(docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text", "lang"))
-    return identify(docs, langs, masks, keep=keep)
+    return identify(docs, langs, masks, keep=keep, names=names)
 
 
 def op7_language_bloom(spark, sf_dir: str) -> DataFrame:

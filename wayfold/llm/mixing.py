@@ -113,17 +113,20 @@ def _cuts(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["pattern", "grade", "cut"])
 
 
-ADDED = ("size", "source_size", "target", "taken", "times")
+ADDED = ("size", "source_size", "target", "times", "taken")
 
 
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long"), F.lit(0).cast("long"))
 
 
-def mix(docs: DataFrame, size: Column, id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 20240131, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with size, source_size, target (sums over the document's sources), times and taken."""
+def mix(docs: DataFrame, size: Column, id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 20240131, keep: tuple[str, ...] | None = None, prefix: str = "") -> DataFrame:
+    """``docs`` (or its columns ``keep``) with size, source_size, target (sums over the document's sources), times and taken.
+
+    ``prefix`` stands before the names of the added columns.
+    """
     spark = docs.sparkSession
-    keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in ADDED)
+    keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in {prefix + a for a in ADDED})
     one = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("~"))  # noqa: E731  "~": the null source, after all others
     if isinstance(docs.schema[source].dataType, ArrayType):
         members = F.coalesce(F.array_sort(F.array_distinct(F.transform(source, one))), F.array().cast("array<string>"))
@@ -161,10 +164,12 @@ def mix(docs: DataFrame, size: Column, id: str = "doc_id", source: str = "source
     planned = spark.createDataFrame(plan, "pattern string, source_size double, target double, whole long, rest long")
     cuts = stored(sums.join(F.broadcast(planned.select("pattern", "rest")), "pattern").select("pattern", "grade", "bucket", "words", "rest").groupBy("pattern").applyInPandas(_cuts, "pattern string, grade int, cut int"))
     # A row for each pattern and size class: at most 64 * MOST_PATTERNS, by construction.
-    steps = cuts.join(F.broadcast(planned), "pattern").select(F.col("pattern").alias("__pattern"), F.col("grade").alias("__grade"), "cut", "whole", F.col("source_size").cast("long").alias("source_size"), "target")
-    times = F.when(F.col("__size") > 0, F.col("whole") + (F.col("__bucket") < F.col("cut")).cast("long")).otherwise(0)
+    steps = cuts.join(F.broadcast(planned), "pattern").select(F.col("pattern").alias("__pattern"), F.col("grade").alias("__grade"), F.col("cut").alias("__cut"), F.col("whole").alias("__whole"), F.col("source_size").cast("long").alias("__source_size"), F.col("target").alias("__target"))
+    times = F.when(F.col("__size") > 0, F.col("__whole") + (F.col("__bucket") < F.col("__cut")).cast("long")).otherwise(0)
     done = sized(docs, keep).join(F.broadcast(steps), ["__pattern", "__grade"], "left")
-    return done.select(*keep, F.col("__size").alias("size"), "source_size", "target", F.coalesce(times, F.lit(0)).alias("times"), (F.coalesce(times, F.lit(0)) * F.col("__size")).alias("taken"))
+    times = F.coalesce(times, F.lit(0))
+    added = (F.col("__size"), F.col("__source_size"), F.col("__target"), times, times * F.col("__size"))
+    return done.select(*keep, *(c.alias(prefix + n) for n, c in zip(ADDED, added, strict=True)))
 
 
 def op2_mixing_flow(spark, sf_dir: str) -> DataFrame:
