@@ -167,3 +167,32 @@ def test_append_keeps_known_keys(spark):
     old = spark.createDataFrame([(1, "a", 1.0)], "id long, key string, lat double")
     new = spark.createDataFrame([(1, "a", 9.0), (2, "b", 2.0)], "id long, key string, lat double")
     assert sorted(map(tuple, appended(old, new, ["key"], "id").collect())) == [(1, "a", 1.0), (2, "b", 2.0)]
+
+
+def test_commands(spark, extract, tmp_path, capsys):
+    from wayfold.__main__ import main
+
+    (tmp_path / "cases.csv").write_text("id,enabled,expect_kind,expect_contains_all,expect_not_contains,manual_text,note\na,1,house,степная|7,,Новосибирск ул. Степная 7,\n")
+    where = ["--seeds", str(tmp_path), "--gazetteer", str(tmp_path / "g")]
+    assert main([*where, "health"], spark) == 2
+    assert main([*where, "build", str(tmp_path), "--exclude", "other"], spark) == 0
+    assert main([*where, "health"], spark) == 0
+    assert main([*where, "regression", "--csv", str(tmp_path / "cases.csv")], spark) == 0
+    assert main([*where, "regression", "--csv", str(tmp_path / "none.csv")], spark) == 2
+    (tmp_path / "asked.json").write_text('{"schema": "x", "manual_text": "Новосибирск Степная Тихвинская"}\n')
+    assert main([*where, "locate", str(tmp_path / "asked.json"), str(tmp_path / "out")], spark) == 0
+    assert '"kind":"intersection"' in spark.read.text(str(tmp_path / "out")).first().value
+
+
+def test_models_and_payloads(spark):
+    from wayfold.operators.perception import apply_model, dry_run, fragment_payload, needs_retry
+
+    images = spark.createDataFrame([("a", bytearray(b"xyz"))], "path string, content binary")
+    assert apply_model(images, lambda: lambda f: f.assign(n=f.content.map(len))[["path", "n"]], "path string, n long").first().n == 3
+    f = lambda i, kind, ocr: (i, 0, None, "", ocr, "aW1n", kind)
+    asked = ask(spark, "", "", fragments={0: [f("a", None, ""), f("b", "text", "words"), f("c", "flag", "")], 1: [f("d", "auto", "")]})
+    sent = {x.id: x.image_b64 for r in fragment_payload(asked).collect() for x in r.fragments}
+    assert sent == {"a": None, "b": None, "c": "aW1n", "d": "aW1n"}
+    row = dry_run(asked).first()
+    assert (row.requests, row.fragments, row.images, row.ocr_chars) == (2, 4, 4, 5)
+    assert spark.range(1).select(needs_retry(F.lit("ГЕ")).alias("x")).first().x

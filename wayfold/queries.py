@@ -317,6 +317,24 @@ REGRESSION_SQL = """
 SELECT quality, toxic, count(*) AS cases, count(*) FILTER (lang IN ('en', 'fr') AND contains(lower(text), 'the') AND NOT contains(lower(text), '###') AND NOT contains(lower(text), '$$$')) AS passed
 FROM documents JOIN labels USING (doc_id) GROUP BY ALL"""
 
+def gazetteer_houses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole build of cities, streets and houses, first rows winning (here: nations, brands and order lines)."""
+    from wayfold.operators.gazetteer import build_gazetteer
+
+    nations = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    rows = _t(spark, sf_dir, "lineitem").join(nations, F.col("l_suppkey") == F.col("s_suppkey")).join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    house = F.concat_ws("/", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"))
+    rows = rows.select(F.col("n_name").alias("city"), F.col("p_brand").alias("street"), house.alias("house"), F.col("l_discount").alias("lat"), F.col("l_tax").alias("lon"), F.struct("l_orderkey", "l_linenumber").alias("seq"))
+    g = build_gazetteer(rows)
+    named = g.houses.join(g.streets.select("street_id", F.col("name_norm").alias("street")), "street_id").join(g.cities.select("city_id", F.col("name_norm").alias("city")), "city_id")
+    return named.select("city", "street", F.col("house_norm").alias("house"), "lat", "lon")
+
+
+GAZETTEER_SQL = """
+WITH r AS (SELECT lower(n_name) AS city, lower(p_brand) AS street, l_linenumber || '/' || l_quantity::INT AS house, l_discount AS lat, l_tax AS lon, l_orderkey, l_linenumber
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)
+SELECT city, street, house, lat, lon FROM r QUALIFY row_number() OVER (PARTITION BY city, street, house ORDER BY l_orderkey, l_linenumber, lat, lon) = 1"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "street_centroid": (street_centroid, CENTROID_SQL), "pair_centroid": (pair_centroid, PAIR_SQL), "cooccurrence_pairs": (cooccurrence_pairs, COOCCURRENCE_SQL),
     "pair_best_group": (pair_best_group, BEST_GROUP_SQL), "first_wins_dim": (first_wins_dim, FIRST_SQL), "last_wins_dim": (last_wins_dim, LAST_SQL), "anti_append": (anti_append, ANTI_SQL),
@@ -324,7 +342,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "letter_counts": (letter_counts, LETTERS_SQL), "regex_clues": (regex_clues, CLUES_SQL), "keyword_score": (keyword_score, KEYWORD_SQL), "cascade": (cascade, CASCADE_SQL),
     "merge_topk": (merge_topk, TOPK_SQL), "running_flag": (running_flag, FLAG_SQL), "gap_lines": (gap_lines, GAP_SQL), "mode_value": (mode_value, MODE_SQL),
     "vector_topk": (vector_topk, VECTOR_SQL), "fuzzy_best": (fuzzy_best, None), "table_counts": (table_counts, COUNTS_SQL), "latency_summary": (latency_summary, LATENCY_SQL),
-    "regression_check": (regression_check, REGRESSION_SQL),
+    "regression_check": (regression_check, REGRESSION_SQL), "gazetteer_houses": (gazetteer_houses, GAZETTEER_SQL),
 }
 
 

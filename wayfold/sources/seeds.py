@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.text import trimmed
 
-REQUEST = (
-    "schema string, created_at_ms long, manual_text string, mode string, "
-    "fragments array<struct<id: string, created_at_ms: long, rect: struct<x: int, y: int, w: int, h: int>, note: string, ocr_text: string, image_b64: string, clue_type: string>>"
-)
+FRAGMENTS = "array<struct<id: string, created_at_ms: long, rect: struct<x: int, y: int, w: int, h: int>, note: string, ocr_text: string, image_b64: string, clue_type: string>>"
+REQUEST = f"schema string, created_at_ms long, manual_text string, mode string, fragments {FRAGMENTS}"
 EMBLEMS = "id string, name string, kind string, lat double, lon double, vector array<float>"
 #: Cities to fall back on when there is no city table (fixed values: name, lat, lon, aliases).
 CITIES = [
