@@ -4,13 +4,18 @@ Each document's set of word shingles gets two small collections of ``tables`` ha
 ``rows`` minhashes.  A table key is a pair (i-th of the left collection, j-th of the right one): tables**2
 tables of 2 * rows minhashes each cost only 2 * tables * rows minhash computations.
 
-1. One Python pass (numpy on Arrow buffers) gives each document its set's size and fingerprint and both collections.
+1. One Python pass (numpy on Arrow buffers) gives each document its set's size and fingerprint, both collections
+   and a parity sketch.
 2. Documents with equal sets form a class; only its smallest id goes on.
-3. Keys shared by two or more representatives give candidates: first each member with the key's smallest
-   member, confirmed on full sets; then, for keys whose members still lie in two or more components, the pairs
-   across components.  Members of one component are never paired again, so groups of many near copies cost
-   a pair per member, and no link between components is left out.
-4. Components by minimum labels over stored tables.
+3. Keys shared by two or more representatives give candidates: first each member with the key's hub, the member
+   that meets most others over all its keys (the original of a group of copies meets more than any copy), confirmed
+   on full sets; then, for keys whose members still lie in two or more components, the pairs across components.
+   Members of one component are never paired again, so groups of many near copies cost about a pair per
+   member, and no link between components is left out.
+4. Before full sets meet, pairs are held against their parity sketches: SKETCH bits, each the parity of the
+   shingles that fall on it.  Two sketches differ in at most as many bits as the sets have shingles that are
+   not shared, so the test loses no pair; it spares the texts of those that are clearly too far apart.
+5. Components by minimum labels over stored tables.
 
 Defined cases: null or wordless text: empty set, linked with nothing.  Null id: linked with nothing,
 component null, kept.  Repeated ids are one node.  An empty table gives an empty result.  Sets are sets of
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.byte_tools import LOWER, mixed, shingles, slices, span_hashes, words
@@ -33,6 +38,10 @@ from wayfold.llm.components import components
 from wayfold.llm.scratch import stored
 
 
+#: Bits of a parity sketch.
+SKETCH = 2048
+
+
 def tables_for(similarity: float, rows: int, recall: float = 0.997) -> int:
     """The smallest collection size that meets ``recall`` for a pair of exactly this similarity."""
     return math.ceil(math.log(1 - math.sqrt(recall)) / math.log(1 - similarity**rows))
@@ -47,8 +56,28 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, list[np.ndarray
         yield at, [np.unique(h[begin[i] : begin[i + 1]]) for i in range(to - at)]
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """The sketch of each set, as rows of 64-bit words."""
+    out = np.zeros((len(sets), SKETCH // 64), np.int64)
+    for at in range(0, len(sets), 256):
+        part = sets[at : at + 256]
+        row = np.repeat(np.arange(len(part)), [len(s) for s in part])
+        bit = (np.concatenate([*part, np.zeros(0, np.uint64)]) >> np.uint64(17)) % np.uint64(SKETCH)
+        odd = np.bincount(row * SKETCH + bit.astype(np.int64), minlength=len(part) * SKETCH) & 1
+        out[at : at + 256] = np.packbits(odd.astype(bool).reshape(len(part), SKETCH), axis=1).view(np.int64)
+    return out
+
+
+def could_link(a: str, b: str, percent: int) -> Column:
+    """Whether the sketches and sizes (``n``) of two sides leave room for the similarity; never false for a link."""
+    n = F.col(f"{a}.n") + F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.get(f"{a}.sketch", i).bitwiseXOR(F.get(f"{b}.sketch", i))) for i in range(SKETCH // 64)), F.lit(0))
+    near = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
+    return near & (apart * (100 + percent) <= n * (100 - percent))
+
+
 def signatures(docs: DataFrame, shingle: int, tables: int, rows: int) -> DataFrame:
-    """id, n, fp (16 bytes; null for empty sets), left and right (arrays of ``tables`` hashes)."""
+    """id, n, fp (16 bytes; null for empty sets), sketch, left and right (arrays of ``tables`` hashes)."""
     rng = np.random.default_rng(20240607)
     a = rng.integers(1, 1 << 63, 2 * tables * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(1, 1 << 63, 2 * tables * rows, dtype=np.uint64)
@@ -73,10 +102,10 @@ def signatures(docs: DataFrame, shingle: int, tables: int, rows: int) -> DataFra
                         both[full, t] = h
                 fps = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 signed = both.view(np.int64)
-                side = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel()), tables).cast(pa.list_(pa.int64())) for x in (signed[:, :tables], signed[:, tables:])]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)), pa.array(sizes), pa.array(fps, pa.binary()), *side], ["id", "n", "fp", "left", "right"])
+                side = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (parities(sets), signed[:, :tables], signed[:, tables:])]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)), pa.array(sizes), pa.array(fps, pa.binary()), *side], ["id", "n", "fp", "sketch", "left", "right"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, fp binary, left array<bigint>, right array<bigint>")
+    return docs.mapInArrow(run, "id bigint, n bigint, fp binary, sketch array<bigint>, left array<bigint>, right array<bigint>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -109,21 +138,27 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     src = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     sigs = stored(signatures(src, shingle, tables, rows))
     linked = sigs.where(F.col("id").isNotNull() & F.col("fp").isNotNull())
-    reps = stored(linked.groupBy("fp").agg(F.min(F.struct("id", "n", "left", "right")).alias("r")).select("fp", "r.*"))
-    keys = reps.select("id", "n", F.posexplode("left").alias("i", "l"), "right").select("id", "n", "i", "l", F.posexplode("right").alias("j", "r"))
-    keys = keys.select("id", "n", F.xxhash64("i", "j", "l", "r").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far").select("key", "hub")
-    members = stored(keys.join(shared, "key").select("key", "hub", "id", "n"))
-    star = stored(members.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    edges = stored(confirmed(star, src, shingle, percent))
+    reps = stored(linked.groupBy("fp").agg(F.min(F.struct("id", "n", "sketch", "left", "right")).alias("r")).select("fp", "r.*"))
+    sketches = reps.select("id", "n", "sketch")
+    keys = reps.select("id", F.posexplode("left").alias("i", "l"), "right").select("id", "i", "l", F.posexplode("right").alias("j", "r"))
+    keys = keys.select("id", F.xxhash64("i", "j", "l", "r").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(keys.join(shared, "key"))
+    met = members.groupBy("id").agg(F.sum("size").alias("met"))
+    hubs = members.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("hub"))
+    star = members.join(hubs, "key").where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+    star = stored(star)
+    x, y = sketches.alias("x"), sketches.alias("y")
+    near = star.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(could_link("x", "y", percent)).select("a", "b")
+    edges = stored(confirmed(stored(near), src, shingle, percent))
     labels = components(edges)
 
-    placed = members.join(labels, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    placed = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = stored(placed.join(split, "key"))
+    rest = stored(placed.join(split, "key").join(sketches, "id"))
     x, y = rest.alias("x"), rest.alias("y")
-    fits = (F.col("x.comp") < F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & could_link("x", "y", percent)
+    across = x.join(y, fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     across = stored(across.join(star, ["a", "b"], "left_anti"))
     more = stored(confirmed(across, src, shingle, percent))
     if not more.isEmpty():
