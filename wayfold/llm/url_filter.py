@@ -15,6 +15,8 @@ operator adds replace columns of the same name.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +83,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     page = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
     if not lengths:
         return page.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    blocks = F.lit(words)
+    # One literal text, folded to an array when the plan is made; a literal for each word would take minutes to build.
+    blocks = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
     prefixes = F.filter(
         F.transform(F.lit(lengths), lambda n: F.when(F.length("path") >= n, F.substring(F.col("path"), F.lit(1), n))),
         lambda p: p.isNotNull(),
