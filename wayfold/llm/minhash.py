@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.byte_tools import LOWER, mixed, shingles, slices, span_hashes, words
 from wayfold.llm.components import components
+from wayfold.llm.id_filter import only_asked
 from wayfold.llm.scratch import stored
 
 
@@ -125,8 +126,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(ids, "id", "left_semi").dropDuplicates(["id"])
-    texts = stored(texts)
+    ids = stored(ids)
+    texts = stored(only_asked(docs, ids).join(ids, "id", "left_semi").dropDuplicates(["id"]))
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(run, "a bigint, b bigint")
