@@ -25,9 +25,9 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """``df`` with dense numbers from 1 in ``order``.
 
     Rows are range-partitioned and stored in order; only a row count for each file comes together, so no task
-    sees all rows.
+    sees all rows.  ``df`` is stored before, as finding the ranges reads it once more.
     """
-    ranked = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    ranked = stored(stored(df).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
     counts = sorted((r["__part"], r["n"], r["low"]) for r in ranked.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("low")).collect())
     starts, total = [], 0
     for part, n, low in counts:
