@@ -84,6 +84,7 @@ def test_clue_types(spark):
     rows = [("plate", "", "", 1, 1), ("x", "", "ул Мира", 1, 1), ("auto", "", "А123ВС77", 1, 1), ("auto", "", "+7 383", 1, 1), (None, "", "12345", 100, 30), ("", "", "", 100, 30), ("auto", "", "", 10, 10)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, note string, ocr string, w int, h int")
     kind = clues.effective_type(F.col("t"), F.col("note"), F.col("ocr"), F.col("w"), F.col("h"), F.array(F.lit("77")), F.array(F.lit("M-4")))
+    assert [r.x for r in spark.createDataFrame([("flag",), ("x",), (None,)], "k string").select(clues.type_label(F.col("k")).alias("x")).collect()] == ["Флаг", "x", "Авто"]
     assert [r.k for r in df.select("i", kind.alias("k")).orderBy("i").collect()] == ["plate", "street", "plate", "text", "plate", "street", "auto"]
 
 

@@ -18,7 +18,10 @@ STRICT_PLATE = rf"([{PLATE_CYRILLIC}])\s*(\d{{3}})\s*([{PLATE_CYRILLIC}]{{2}})\s
 SCORES = {"plate": 0.95, "loose_plate": 0.55, "highway": 0.75, "phone": 0.65, "intersection": 0.92, "listed_intersection": 0.8}
 KIND_PRIORITY = {"plate_region": 0, "highway": 1, "phone_code": 2, "heraldry": 3, "heraldry_region": 3, "street_centroid": 4, "house": 4, "city": 5}
 OTHER_PRIORITY = 50
-CLUE_TYPES = ["auto", "plate", "street", "highway", "text", "heraldry", "flag", "ignore"]
+CLUE_LABELS = {
+    "auto": "Авто", "plate": "Номер", "heraldry": "Герб", "flag": "Флаг", "highway": "Трасса", "street": "Улица / адрес", "text": "Текст", "ignore": "Не анализировать",
+}
+CLUE_TYPES = list(CLUE_LABELS)
 
 
 def _upper(c: Column) -> Column:
@@ -96,6 +99,13 @@ def emblem_floor(kind: Column) -> Column:
     return F.when(kind.isin("heraldry", "flag"), 0.35).otherwise(0.72)
 
 
+def type_label(kind: Column) -> Column:
+    out = F.when(F.lit(False), "")
+    for name, label in CLUE_LABELS.items():
+        out = out.when(kind == name, label)
+    return F.coalesce(out, F.nullif(kind, F.lit("")), F.lit(CLUE_LABELS["auto"]))
+
+
 def kind_priority(kind: Column) -> Column:
     out = F.when(F.lit(False), 0)
     for name, p in KIND_PRIORITY.items():

@@ -13,10 +13,26 @@ REQUEST = f"schema string, created_at_ms long, manual_text string, mode string,
 EMBLEMS = "id string, name string, kind string, lat double, lon double, vector array<float>"
 #: Cities to fall back on when there is no city table (fixed values: name, lat, lon, aliases).
 CITIES = [
-    ("Москва", 55.7558, 37.6173, "мск|moscow"), ("Санкт-Петербург", 59.9386, 30.3141, "питер|спб|saint petersburg|st petersburg"),
-    ("Новосибирск", 55.0084, 82.9357, "новосиб|академгородок|novosibirsk"), ("Екатеринбург", 56.8389, 60.6057, ""), ("Казань", 55.7961, 49.1064, ""),
+    ("Москва", 55.7558, 37.6173, "мск|moscow"),
+    ("Санкт-Петербург", 59.9386, 30.3141, "питер|спб|saint petersburg|st petersburg"),
+    ("Новосибирск", 55.0084, 82.9357, "академгородок|novosibirsk"),
+    ("Екатеринбург", 56.8389, 60.6057, "екб|yekaterinburg"),
+    ("Казань", 55.7961, 49.1064, "kazan"),
+    ("Нижний Новгород", 56.2965, 43.9361, "нн|nizhny novgorod"),
+    ("Краснодар", 45.0355, 38.9753, "krasnodar"),
+    ("Сочи", 43.5855, 39.7231, "sochi"),
+    ("Ростов-на-Дону", 47.2357, 39.7015, "ростов|rostov-on-don"),
+    ("Самара", 53.1959, 50.1002, "samara"),
+    ("Уфа", 54.7388, 55.9721, "ufa"),
+    ("Пермь", 58.0105, 56.2502, "perm"),
+    ("Владивосток", 43.1155, 131.8855, "vladivostok"),
+    ("Хабаровск", 48.4802, 135.0719, "khabarovsk"),
+    ("Тюмень", 57.1530, 65.5343, "tyumen"),
+    ("Челябинск", 55.1644, 61.4368, "chelyabinsk"),
+    ("Омск", 54.9893, 73.3682, "omsk"),
+    ("Воронеж", 51.6608, 39.2003, "voronezh"),
 ]
-#: Dialling codes (fixed values: code, city, lat, lon).
+#: Dialling codes of three digits, as texts give them (fixed values: code, city, lat, lon).
 PHONE_CODES = [
     ("495", "Москва", 55.7558, 37.6173), ("499", "Москва", 55.7558, 37.6173), ("812", "Санкт-Петербург", 59.9386, 30.3141),
     ("813", "Санкт-Петербург", 59.9386, 30.3141), ("383", "Новосибирск", 55.0084, 82.9357), ("343", "Екатеринбург", 56.8389, 60.6057),
