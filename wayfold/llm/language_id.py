@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.byte_tools import Tally, mixed, padded, slices
+from wayfold.llm.byte_tools import TALLY_BYTES, Tally, mixed, padded, slices
 
 GRAM = 4
 SAMPLE = 3000
@@ -72,7 +72,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
         tally = Tally()
         for batch in batches:
             code = batch.column(0).to_numpy()
-            for at, to, buf, off in slices(batch.column(1)):
+            for at, to, buf, off in slices(batch.column(1), TALLY_BYTES):
                 grams, begin = text_grams(buf, off)
                 tally.add((np.repeat(code[at:to].astype(np.int64), np.diff(begin)) << 32) | grams)
         yield pa.RecordBatch.from_arrays([pa.array(tally.keys), pa.array(tally.counts)], ["key", "n"])
@@ -110,7 +110,7 @@ def identify(docs: DataFrame, langs: list[str], masks: np.ndarray, id: str = "do
         for batch in batches:
             pred, score = [], []
             texts = batch.column(place)
-            for at, to, buf, off in slices(texts, 1 << 20):
+            for at, to, buf, off in slices(texts, 1 << 18):
                 grams, begin = text_grams(buf, off)
                 where = slots_of(grams, slots)
                 hits = np.zeros((to - at, len(langs)))

@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 from struct import pack as pack_ids
 
 import numpy as np
@@ -39,7 +40,7 @@ GENERATIONS = 6
 POPULATION = 6
 
 #: Words whose ids a worker keeps; beyond that it starts anew.
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 18
 #: Two white-space characters in a row; without any, words can be cut by plain string operations.
 RUN = re.compile(r"\s\s")
 #: A lone space: the pattern of the tokenizer always begins a new word there.
@@ -80,12 +81,16 @@ def encoder(json_path: str, ranks_path: str) -> Callable[[str], bytes]:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        slow = Tokenizer.from_file(json_path)
-        slow.encode_special_tokens = True
+
+        @cache
+        def slow() -> Tokenizer:
+            made = Tokenizer.from_file(json_path)
+            made.encode_special_tokens = True
+            return made
 
         def encode(text: str) -> bytes:
             # tiktoken's pattern engine gives up on very long runs of one kind; such words go to the other library.
-            ids = fast.encode_ordinary(text) if len(text) < 10_000 else slow.encode(text, add_special_tokens=False).ids
+            ids = fast.encode_ordinary(text) if len(text) < 10_000 else slow().encode(text, add_special_tokens=False).ids
             return pack_ids(f"<{len(ids)}I", *ids)
 
         words = WordIds(encode)
