@@ -26,8 +26,8 @@ def _places(ids: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(blocks)).astype(np.int64), mask
 
 
-def only_asked(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Those ``rows`` whose ``id`` is in ``ids``, and a few more."""
+def divided(rows: DataFrame, ids: DataFrame, id: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Those ``rows`` whose ``id`` may be in ``ids`` (all that are, and a few more), and those where it surely is not."""
     blocks = 1
     asked = ids.count()
     while blocks * 64 < 12 * asked and blocks < MOST_BLOCKS:
@@ -40,7 +40,7 @@ def only_asked(rows: DataFrame, ids: DataFrame) -> DataFrame:
         used = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used].view(np.int64))], ["block", "mask"])
 
-    made = ids.select("id").where("id is not null").mapInArrow(fill, "block long, mask long")
+    made = ids.select(F.col(id).cast("long").alias("id")).where("id is not null").mapInArrow(fill, "block long, mask long")
     table = made.groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()
     words = np.zeros(blocks, np.uint64)
     words[table.column("block").to_numpy()] = table.column("mask").to_numpy().view(np.uint64)
@@ -51,4 +51,6 @@ def only_asked(rows: DataFrame, ids: DataFrame) -> DataFrame:
         block, mask = _places(id.to_numpy(np.int64), blocks)
         return pd.Series((shared.value[block] & mask) == mask)
 
-    return rows.where("id is not null").where(asked_for("id"))
+    number = F.col(id).cast("long")
+    some = rows.where(number.isNotNull())
+    return some.where(asked_for(number)), some.where(~asked_for(number)).union(rows.where(number.isNull()))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.byte_tools import LOWER, mixed, shingles, slices, span_hashes, words
 from wayfold.llm.components import components
-from wayfold.llm.id_filter import only_asked
+from wayfold.llm.id_filter import divided
 from wayfold.llm.scratch import stored
 
 
@@ -127,7 +127,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     ids = stored(ids)
-    texts = stored(only_asked(docs, ids).join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    texts = stored(divided(docs, ids)[0].join(ids, "id", "left_semi").dropDuplicates(["id"]))
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(run, "a bigint, b bigint")
@@ -173,14 +173,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 
 def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id, and of rows that repeat its id one."""
-    found = near_duplicates(docs, id, text, **options)
-    ids = stored(found.where(F.col(id).isNotNull() & F.col("kept")).groupBy(id).agg((F.count("*") > 1).alias("__repeated")))
-    kept = docs.join(ids, id).select(*docs.columns, "__repeated")
-    if ids.where("__repeated").isEmpty():
-        kept = kept.drop("__repeated")
-    else:
-        kept = kept.where(~F.col("__repeated")).drop("__repeated").union(kept.where("__repeated").drop("__repeated").dropDuplicates([id]))
-    return kept.union(docs.where(F.col(id).isNull()))
+    found = near_duplicates(docs, id, text, **options).where(F.col(id).isNotNull())
+    # Only documents that go, and those whose id repeats, are looked up; the others pass without a shuffle of their texts.
+    touched = found.groupBy(F.col(id).alias("__id")).agg(F.first("kept").alias("__kept"), (F.count("*") > 1).alias("__repeated"))
+    touched = stored(touched.where(~F.col("__kept") | F.col("__repeated")))
+    some, rest = divided(docs.withColumn("__id", F.col(id).cast("long")), touched, "__id")
+    met = some.join(touched, "__id", "left")
+    kept = rest.select(docs.columns).union(met.where(F.col("__kept").isNull()).select(docs.columns))
+    if touched.where(F.col("__kept") & F.col("__repeated")).isEmpty():
+        return kept
+    return kept.union(met.where("__kept").dropDuplicates(["__id"]).select(docs.columns))
 
 
 def op6_minhash_tensor(spark, sf_dir: str) -> DataFrame:
