@@ -233,6 +233,40 @@ def test_scoring_without_training_rows(spark):
     assert score_documents(docs_of(spark, ["a"]).limit(0), F.lit(False)).count() == 0
 
 
+@pytest.mark.parametrize(("head", "piece"), [(None, None), (64, 500)])
+def test_every_context_takes_part(spark, monkeypatch, head, piece):
+    """More than 24,576 contexts: scores equal those of the plain tree of all contexts."""
+    from wayfold.llm import context_tree as tree
+
+    if head:
+        monkeypatch.setattr(tree, "HEAD_GRAMS", head)
+        monkeypatch.setattr(tree, "SUBTREES", piece)
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz é"), 700)) for _ in range(20)] + ["", None, "a" * 3000]
+    held = [i % 4 == 1 for i in range(len(texts))]
+    key = {i: tree.grams(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]), 5) for i, t in enumerate(texts)}
+    keys, n = np.unique(np.concatenate([k for i, k in key.items() if not held[i]]), return_counts=True)
+    levels = []
+    for d in range(6):
+        own, at = np.unique(keys & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        levels.append((own >> 8, own & 255, np.bincount(at, n)))
+    step, logs = tree.weighted_tree(levels)
+    assert len(step) > 24_576
+
+    def log(key):
+        node = 0
+        for d in range(1, 6):
+            to = step[node, (key >> 8 * d) & 255]
+            if to < 0:
+                break
+            node = to
+        return float(logs[node, key & 255])
+
+    out = score_documents(docs_of(spark, texts), F.col("doc_id") % 4 == 1).orderBy("doc_id").collect()
+    assert [r.held_out for r in out] == held
+    assert np.allclose([r.score for r in out], [sum(map(log, k.tolist())) for k in key.values()], rtol=1e-5, atol=1e-4)
+
+
 # --- 6: near duplicates
 
 

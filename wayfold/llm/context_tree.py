@@ -7,13 +7,18 @@ weighting).  The log10 probability of a text is the sum over its bytes and one e
 padded with bytes 0.
 
 All training text is counted: (depth + 1)-byte strings and words are tallied inside tasks and summed by a
-shuffle, so what is gathered grows with the corpus.  A context is a node of the tree if its count reaches a
-threshold, the lowest (in quarters of an octave) that gives at most ``nodes`` nodes over all depths, so the
-broadcast is at most ``nodes`` * 2 KiB; the rarer contexts below a node share one leaf of that node with their
-joint counts, so every training byte counts at every depth and the mixture stays a probability.
+shuffle.  Every context that occurs takes part in the mixture; none is dropped or lumped together:
+
+1. A binary node's tree meets others only in its own contexts, and a context holds its longer contexts, so the
+   byte strings that end in one context of CUT + 1 bytes make up subtrees that need nothing else.  Tasks climb them
+   and send up the log weights and counts of their binary nodes, summed per context of CUT bytes.
+2. The driver mixes the contexts of at most CUT bytes, whose number does not grow with the corpus (65,793 contexts).
+3. Tasks go down the subtrees again and give each byte string of any row its log10 probability, a stored table.
+4. Texts meet that table: the strings that are frequent (at most HEAD_GRAMS, by a count threshold) in a broadcast
+   array, the others in a join, once per row and string.
 
 The base score needs each token's training count.  Words of the head (at most HEAD, by a count threshold from a
-histogram) are looked up in a broadcast array; the other tokens join the word table in a shuffle.
+histogram) are looked up in a broadcast array; the other tokens join the word table in the same shuffle.
 
 Defined cases: null text is empty and has only its end.  Null ids count as training rows.  Repeated rows and
 ids are scored row by row.  No training rows: every bit is 1/2, and the base is 1.
@@ -25,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +38,17 @@ from wayfold.llm.byte_tools import LOWER, TALLY_BYTES, Tally, padded, slices, sp
 from wayfold.llm.scratch import stored
 
 DEPTH = 5
-NODES = 24_576
+#: Contexts of at most this many bytes are mixed on the driver, longer ones in tasks.
+CUT = 2
 HEAD = 1 << 20
+HEAD_GRAMS = 1 << 21
 FLUSH = 1 << 21
+#: Byte strings whose subtrees are worked out at once, but for those of one context of CUT + 1 bytes.
+SUBTREES = 1 << 18
 #: Nodes whose figures are worked out at once.
 PART = 1024
-GRAM, TERM = 0, 1
+#: Byte strings and words of training rows, and byte strings of the other rows.
+GRAM, TERM, OTHER = 0, 1, 2
 
 
 def grams(buf: np.ndarray, off: np.ndarray, depth: int) -> np.ndarray:
@@ -53,25 +64,28 @@ def grams(buf: np.ndarray, off: np.ndarray, depth: int) -> np.ndarray:
 
 
 def corpus_counts(texts: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, n): training counts of byte strings and of word hashes."""
+    """(kind, key, n): counts of byte strings and, in training rows, of word hashes, from (text, out)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = {GRAM: Tally(), TERM: Tally()}
+        tallies = {kind: Tally() for kind in (GRAM, TERM, OTHER)}
 
         def out(kind: int) -> pa.RecordBatch:
             t, tallies[kind] = tallies[kind], Tally()
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(t.keys), kind, np.int32)), pa.array(t.keys), pa.array(t.counts)], ["kind", "key", "n"])
 
         for batch in batches:
-            for _, _, buf, off in slices(batch.column(0), TALLY_BYTES):
-                tallies[GRAM].add(grams(buf, off, depth))
-                low = LOWER[buf]
-                starts, ends, _ = words(low, off)
-                tallies[TERM].add(span_hashes(low, starts, ends).view(np.int64))
-                for kind in (GRAM, TERM):
-                    if len(tallies[kind].keys) > FLUSH:
-                        yield out(kind)
-        for kind in (GRAM, TERM):
+            held = batch.column(1)
+            for part, kind in ((batch.column(0).filter(pc.invert(held)), GRAM), (batch.column(0).filter(held), OTHER)):
+                for _, _, buf, off in slices(part, TALLY_BYTES):
+                    tallies[kind].add(grams(buf, off, depth))
+                    if kind == GRAM:
+                        low = LOWER[buf]
+                        starts, ends, _ = words(low, off)
+                        tallies[TERM].add(span_hashes(low, starts, ends).view(np.int64))
+                    for k in tallies:
+                        if len(tallies[k].keys) > FLUSH:
+                            yield out(k)
+        for kind in tallies:
             yield out(kind)
 
     return texts.mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -108,7 +122,7 @@ def _byte_logs(one: np.ndarray) -> np.ndarray:
 
 
 def weighted_tree(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(next, logs) from (context, byte, n) rows of each depth 0..D.
+    """(next, logs) from (context, byte, n) rows of each depth 0..D: the plain form for few contexts, which tests use.
 
     ``logs[node]`` has the log10 probability of each byte at a position whose longest context in the tree is
     ``node``; ``next[node, byte]`` is the node of the context longer by that byte, or -1.
@@ -119,7 +133,7 @@ def weighted_tree(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tu
     depth = len(levels) - 1
     count = []
     for ctx, (c, b, n) in zip(contexts, levels, strict=True):
-        m = np.zeros((len(ctx), 256), np.float32)
+        m = np.zeros((len(ctx), 256))
         m[np.searchsorted(ctx, c), b] = n
         count.append(m)
     parent = [None, *[np.searchsorted(contexts[d - 1], contexts[d] & ((1 << 8 * (d - 1)) - 1)) for d in range(1, depth + 1)]]
@@ -133,7 +147,7 @@ def weighted_tree(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tu
         """Counts of a level without those of its nodes one level down."""
         rest = count[d].copy()
         np.subtract.at(rest, parent[d + 1], count[d + 1])
-        return np.maximum(rest, 0, out=rest)  # large counts are rounded
+        return rest
 
     below, stop = None, [None] * (depth + 1)
     for d in range(depth, -1, -1):
@@ -175,77 +189,141 @@ def weighted_tree(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tu
     return step, logs
 
 
-def tree_from(counts: DataFrame, depth: int, nodes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The weighted tree of stored corpus counts; at most nodes * 256 rows reach the driver."""
-    level = counts.where(F.col("kind") == GRAM).select("key", "n")
-    stores = []
-    for d in range(depth, -1, -1):
-        if d < depth:
-            level = stored(level.groupBy(F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")))
-        stores.insert(0, level)
-    totals = [t.groupBy(F.shiftrightunsigned("key", 8).alias("ctx")).agg(F.sum("n").alias("t")) for t in stores]
-    by_log: dict[int, int] = {}
-    for t in totals:
-        for r in t.groupBy(F.floor(F.log2("t") * 4).alias("e")).agg(F.count("*").alias("c")).collect():
-            by_log[r.e] = by_log.get(r.e, 0) + r.c
-    least = max(by_log, default=0) + 1
+def binary_nodes(keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of a byte's eight bits: the place of each string's node, its bit, and (context, node), zeros and ones by place."""
+    for j in range(8):
+        bit = (keys >> (7 - j)) & 1
+        ids, at = np.unique((keys & ~255) | ((1 << j) - 1 + ((keys & 255) >> (8 - j))), return_inverse=True)
+        yield at, bit, ids, np.bincount(at, n * (1 - bit), len(ids)), np.bincount(at, n * bit, len(ids))
+
+
+def climb(ids: np.ndarray, zeros: np.ndarray, ones: np.ndarray, longer: np.ndarray | None, depth: int, top: int):
+    """Mix (context, node) of ``depth`` and the shorter ones down to ``top``; ``longer`` has the log weights below them.
+
+    Gives (parent, stop, estimate) of each depth, then id, zeros, ones and summed log weight of those one above.
+    """
+    steps = []
+    for d in range(depth, top - 1, -1):
+        log_w, one = _kt(zeros, ones)
+        stop = np.ones(len(ids))
+        if longer is not None:
+            log_e = log_w + np.log(0.5)
+            log_w = np.logaddexp(log_e, longer + np.log(0.5))
+            stop = np.exp(log_e - log_w)
+        ids, parent = np.unique(ids & ((1 << 8 * d) - 1), return_inverse=True)
+        zeros, ones, longer = (np.bincount(parent, x, len(ids)) for x in (zeros, ones, log_w))
+        steps.append((parent, stop, one))
+    return steps, ids, zeros, ones, longer
+
+
+def descend(steps: list, so_far: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The estimate so far and the share left to longer contexts, from those one above the steps of ``climb``."""
+    for parent, stop, one in reversed(steps):
+        so_far, left = so_far[parent] + left[parent] * stop * one, left[parent] * (1 - stop)
+    return so_far, left
+
+
+def string_logs(counts: DataFrame, depth: int) -> DataFrame:
+    """(key, seen, log) of each byte string of stored corpus counts: its count in all rows and its log10 probability."""
+    cut = max(0, min(CUT, depth - 1))
+    n = F.sum(F.when(F.col("kind") == GRAM, F.col("n")).otherwise(0))
+    strings = counts.where(F.col("kind") != TERM).groupBy("key").agg(n.alias("n"), F.sum("n").alias("seen"))
+    context = F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * (cut + 1)) - 1)
+    strings = strings.select(context.alias("ctx"), "key", "n", "seen").repartition("ctx").sortWithinPartitions("ctx")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """ctx, key, n and seen in pieces that end where a context ends."""
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [c.to_numpy() for c in batch.columns]
+            if sum(len(h[0]) for h in held) >= SUBTREES:
+                at = int(np.searchsorted(new[0], held[-1][0][-1], "right"))
+                if at < len(new[0]):
+                    yield [np.concatenate(c) for c in zip(*held, [c[:at] for c in new], strict=True)]
+                    held, new = [], [c[at:] for c in new]
+            held.append(new)
+        if held:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, n, _ in whole(batches):
+            for _, _, *nodes in binary_nodes(keys, n):
+                _, *above = climb(*nodes, None, depth, cut + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in above], ["id", "zeros", "ones", "longer"])
+
+    sent = strings.mapInArrow(up, "id bigint, zeros double, ones double, longer double")
+    short = sent.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "longer")]).toArrow().sort_by("id")
+    ids, *nodes = (short.column(c).to_numpy() for c in ("id", "zeros", "ones", "longer"))
+    steps, *_ = climb(ids, *nodes, cut, 0)
+    model = counts.sparkSession.sparkContext.broadcast((ids, *descend(steps, np.zeros(1), np.ones(1))))
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short, so_far, left = model.value
+        for _, keys, n, seen in whole(batches):
+            log = np.zeros(len(keys))
+            for at, bit, *nodes in binary_nodes(keys, n):
+                steps, above, *_ = climb(*nodes, None, depth, cut + 1)
+                found = np.searchsorted(short, above)
+                one = descend(steps, so_far[found], left[found])[0][at]
+                log += np.log10(np.where(bit == 1, one, 1 - one))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, seen, log)], ["key", "seen", "log"])
+
+    return strings.mapInArrow(down, "key bigint, seen bigint, log double")
+
+
+def threshold(by_log: dict[int, int], room: int) -> int:
+    """The least power of two such that at most ``room`` entries reach it, from entries by floor(log2)."""
+    least = 1 << 62
     for e in sorted(by_log, reverse=True):
-        nodes -= by_log[e]
-        if nodes < 0:
+        room -= by_log[e]
+        if room < 0:
             break
-        least = e
-    levels = []
-    for own, total in zip(stores, totals, strict=True):
-        often = total.where(F.floor(F.log2("t") * 4) >= least).select("ctx")
-        t = own.select(F.shiftrightunsigned("key", 8).alias("ctx"), F.col("key").bitwiseAND(255).alias("b"), "n").join(often, "ctx").toArrow()
-        levels.append(tuple(t.column(c).to_numpy() for c in ("ctx", "b", "n")))
-    return weighted_tree(levels)
-
-
-def score_bytes(buf: np.ndarray, off: np.ndarray, step: np.ndarray, logs: np.ndarray, depth: int) -> np.ndarray:
-    """log10 probability of each text with its end."""
-    key = grams(buf, off, depth)
-    node = np.zeros(len(key), np.int32)
-    alive = np.ones(len(key), bool)
-    flat = step.ravel()
-    for d in range(1, depth + 1):
-        to = flat[(node.astype(np.int64) << 8) | ((key >> (8 * d)) & 255)]
-        alive &= to >= 0
-        node = np.where(alive, to, node)
-    each = logs.ravel()[(node.astype(np.int64) << 8) | (key & 255)].astype(np.float64)
-    return np.add.reduceat(each, off[:-1] + np.arange(len(off) - 1))
-
-
-def score_documents(docs: DataFrame, held_out: Column, id: str = "doc_id", text: str = "text", depth: int = DEPTH, nodes: int = NODES) -> DataFrame:
+        least = 1 << e
+    return least
+
+
+def score_documents(docs: DataFrame, held_out: Column, id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row."""
     spark = docs.sparkSession
     src = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("out"), F.col(text).alias("text"))
     train = src.where(~F.col("out"))
     n_train = train.count()
-    counts = stored(corpus_counts(train.select("text"), depth))
-    step, logs = tree_from(counts, depth, nodes)
+    counts = stored(corpus_counts(src.select("text", "out"), depth))
+    strings = stored(string_logs(counts, depth))
+    often = threshold({r.e: r.c for r in strings.groupBy(F.floor(F.log2("seen")).alias("e")).agg(F.count("*").alias("c")).collect()}, HEAD_GRAMS)
+    frequent = strings.where(F.col("seen") >= often).select("key", "log").toArrow().sort_by("key")
 
     terms = counts.where(F.col("kind") == TERM).select("key", "n")
     by_log = {r.e: (r.v, r.s) for r in terms.groupBy(F.floor(F.log2("n")).alias("e")).agg(F.count("*").alias("v"), F.sum("n").alias("s")).collect()}
     distinct, tokens = sum(v for v, _ in by_log.values()) + (n_train > 0), sum(s for _, s in by_log.values()) + n_train
-    least, room = 1 << 62, HEAD
-    for e in sorted(by_log, reverse=True):
-        room -= by_log[e][0]
-        if room < 0:
-            break
-        least = 1 << e
+    least = threshold({e: v for e, (v, _) in by_log.items()}, HEAD)
     head = terms.where(F.col("n") >= least).toArrow()
     order = np.argsort(head.column("key").to_numpy().view(np.uint64))
     below = float(np.log10(tokens + distinct + 1))
-    model = spark.sparkContext.broadcast((step, logs, head.column("key").to_numpy().view(np.uint64)[order], np.log10(head.column("n").to_numpy()[order] + 1.0)))
+    model = spark.sparkContext.broadcast((frequent.column("key").to_numpy(), frequent.column("log").to_numpy(), head.column("key").to_numpy().view(np.uint64)[order], np.log10(head.column("n").to_numpy()[order] + 1.0)))
     end = float(np.log10(n_train + 1.0)) - below
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, logs, known, known_log = model.value
+        string, string_log, known, known_log = model.value
         for batch in batches:
             for at, to, buf, off in slices(batch.column(2)):
                 n = to - at
-                score = score_bytes(buf, off, step, logs, depth)
+                key = grams(buf, off, depth)
+                by_key = np.argsort(key)
+                sorted_key = key[by_key]
+                pos = np.minimum(np.searchsorted(string, sorted_key), max(0, len(string) - 1))
+                hit = string[pos] == sorted_key if len(string) else np.zeros(len(key), bool)
+                each = np.zeros(len(key))
+                each[by_key[hit]] = string_log[pos[hit]]
+                score = np.add.reduceat(each, off[:-1] + np.arange(n))
+                lost = by_key[~hit]
+                owner = np.searchsorted(off[:-1] + np.arange(n), lost, "right") - 1
+                order = np.lexsort((key[lost], owner))
+                owner, rare = owner[order], key[lost][order]
+                begin = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (rare[1:] != rare[:-1])])[: len(rare)])
+                owner, rare, times = owner[begin], rare[begin], np.diff([*begin, len(rare)])
                 low = LOWER[buf]
                 starts, ends, first = words(low, off)
                 h = span_hashes(low, starts, ends)
@@ -256,28 +334,34 @@ def score_documents(docs: DataFrame, held_out: Column, id: str = "doc_id", text:
                 n_known = np.bincount(row[hit], minlength=n) + (n_train > 0)
                 tail = np.flatnonzero(~hit)
                 uid = batch.column(0).slice(at, n)
-                nulls = len(tail)
+                nulls = len(tail) + len(rare)
+                kinds = np.repeat([TERM, GRAM], [len(tail), len(rare)]).astype(np.int32)
                 cols = [
-                    pa.concat_arrays([uid, uid.take(pa.array(row[tail]))]),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(h[tail].view(np.int64))]),
+                    pa.concat_arrays([uid, uid.take(pa.array(np.concatenate([row[tail], owner])))]),
+                    pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(kinds)]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.concatenate([h[tail].view(np.int64), rare]))]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.concatenate([np.ones(len(tail), np.int64), times.astype(np.int64)]))]),
                     pa.concat_arrays([batch.column(1).slice(at, n), pa.nulls(nulls, pa.int64())]),
                     pa.concat_arrays([batch.column(3).slice(at, n), pa.nulls(nulls, pa.bool_())]),
                     *[pa.concat_arrays([pa.array(x.astype(np.int64)), pa.nulls(nulls, pa.int64())]) for x in (np.diff(off), np.diff(first) + 1, n_known)],
                     *[pa.concat_arrays([pa.array(x), pa.nulls(nulls, pa.float64())]) for x in (base, score)],
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["uid", "h", "id", "out", "bytes", "tokens", "known", "base", "score"])
+                yield pa.RecordBatch.from_arrays(cols, ["uid", "kind", "key", "times", "id", "out", "bytes", "tokens", "known", "base", "score"])
 
     made = src.select(F.monotonically_increasing_id().alias("uid"), "id", "text", "out").mapInArrow(
-        run, "uid bigint, h bigint, id bigint, out boolean, bytes bigint, tokens bigint, known bigint, base double, score double"
+        run, "uid bigint, kind int, key bigint, times bigint, id bigint, out boolean, bytes bigint, tokens bigint, known bigint, base double, score double"
     )
-    rare = terms.where(F.col("n") < least).select(F.col("key").alias("k"), "n")
-    keyed = made.withColumn("k", F.coalesce("h", F.xxhash64("uid")))
-    seen = keyed.join(rare, (keyed.k == rare.k) & keyed.h.isNotNull(), "left")
-    is_tail = F.col("h").isNotNull()
-    found = seen.groupBy("uid").agg(
-        *[F.max(c).alias(c) for c in ("id", "out", "bytes", "tokens", "score")],
-        (F.coalesce(F.sum("known"), F.lit(0)) + F.count_if(is_tail & F.col("n").isNotNull())).alias("known"),
-        F.sum(F.when(is_tail, F.log10(F.coalesce("n", F.lit(0)) + 1.0) - below).otherwise(F.col("base"))).alias("base"),
+    rare = terms.where(F.col("n") < least).select(F.lit(TERM).alias("of"), F.col("key").alias("k"), F.log10(F.col("n") + 1.0).alias("log"))
+    rare = rare.union(strings.where(F.col("seen") < often).select(F.lit(GRAM).alias("of"), F.col("key").alias("k"), "log"))
+    keyed = made.withColumn("k", F.coalesce("key", F.xxhash64("uid"))).withColumn("of", F.coalesce("kind", F.lit(-1)))
+    seen = keyed.join(rare, ["of", "k"], "left")
+    is_term, is_gram = F.col("of") == TERM, F.col("of") == GRAM
+    missing = F.assert_true(~is_gram | F.col("log").isNotNull(), "a byte string without probability").isNull()
+    found = seen.where(missing).groupBy("uid").agg(
+        *[F.max(c).alias(c) for c in ("id", "out", "bytes", "tokens")],
+        F.sum(F.when(is_gram, F.col("log") * F.col("times")).otherwise(F.col("score"))).alias("score"),
+        (F.coalesce(F.sum("known"), F.lit(0)) + F.count_if(is_term & F.col("log").isNotNull())).alias("known"),
+        F.sum(F.when(is_term, F.coalesce("log", F.lit(0.0)) - below).otherwise(F.col("base"))).alias("base"),
     )
     return found.select(
         F.col("id").alias(id), F.col("out").alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
