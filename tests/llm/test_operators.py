@@ -313,6 +313,15 @@ def test_near_duplicates_equal_brute_force(spark, n, percent):
     assert out.n_shingles.tolist() == sizes and out.component_id.tolist() == comps and out.kept.tolist() == [i == c for i, c in enumerate(comps)]
 
 
+def test_components_of_a_long_randomly_numbered_path(spark):
+    from wayfold.llm.components import components
+
+    ids = np.random.default_rng(3).permutation(1000).tolist()
+    rows = [(min(x), max(x)) for x in zip(ids, ids[1:], strict=False)] + [(2000, 2001)]
+    out = components(spark.createDataFrame(rows, "a long, b long")).collect()
+    assert sorted((r.id, r.comp) for r in out) == [(i, 0) for i in range(1000)] + [(2000, 2000), (2001, 2000)]
+
+
 def test_sketches_lose_no_link():
     rng = np.random.default_rng(1)
     for n in (30, 300, 3000):
