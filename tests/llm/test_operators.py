@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from wayfold.llm import jpeg, media, minhash, mixing, packing, search, warc
 from wayfold.llm.byte_tools import slices
 from wayfold.llm.context_tree import score_documents
-from wayfold.llm.html_text import blocks, classifier, extract, main_texts
+from wayfold.llm.html_text import LABELLED_PAGES, blocks, classifier, extract, features, main_texts, train
 from wayfold.llm.language_id import language_predictions
 from wayfold.llm.scratch import stored
 from wayfold.llm.url_filter import filter_urls
@@ -181,6 +182,51 @@ def test_extract(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["<a ", '<a "', '<a href="', "<b></i>", "<i><div><b></i>", "<script></script ", "<", "<!--", "</p", '<p a="', "<p>", "&", "&#", "<a ="])
+def test_a_megabyte_of_anything_is_read(piece):
+    start = time.perf_counter()
+    main_texts([piece * (1_000_000 // len(piece))], classifier())
+    assert time.perf_counter() - start < 20
+
+
+def test_odd_markup():
+    read = lambda page: [b.text for b in blocks(page)]
+    assert read("<p title='a>b\">one<p>two") == ['b">one', "two"]
+    assert read('<p a="x>y">one</p>3 < 4 <3 <p/>two</P ><!-->three<!---->four<!bogus>five') == ["one", "3 < 4 <3", "two", "threefourfive"]
+    assert read("a&#65;&#x42;&#00000000067;&#9999999999999;&#x110000;&#" + "9" * 9000 + ";b") == ["aABC\ufffd\ufffd\ufffdb"]
+    assert read("<SCRIPT>x</scripty></ScRiPt >a<style/>b") == ["ab"]
+
+
+UNNAMED = (  # no articles, names or sections
+    "<div><a>Start</a></div><div><a>Garden</a> <a>House</a></div><div>Since 1950</div>"
+    "<div>{0}</div><div>Nobody saw it.</div><div>{0} {0}</div><div>They left.</div><div>{0}</div>"
+    "<div>Write to us</div><div><a>Older</a></div><div>All rights ours</div>"
+)
+
+
+def test_neighbours_decide_in_pages_of_plain_blocks():
+    text = "When the ferry came back in the evening most of the people on the pier had already gone home, and only a dog was waiting there."
+    made = blocks(UNNAMED.format(text))
+    assert not any(b.article or b.other or b.named for b in made)
+    want = [b.text.startswith("When") or b.text in ("Nobody saw it.", "They left.") for b in made]
+    x = features(made)
+    assert classifier().decide(x).tolist() == want
+    x[:, [0, 2, 3, 5]] = 0
+    assert classifier().decide(x).tolist() != want
+
+
+def test_pages_do_not_hang_on_class_names():
+    """Without the column of class names the articles of the given pages stay as they are."""
+    made = [blocks(p) for p in pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html]
+    x = np.concatenate([features(p) for p in made])
+    inside = [b.article and not b.other and not b.named for p in made for b in p]
+    assert classifier().decide(x).tolist() == inside
+    rows = [blocks(p) for p in LABELLED_PAGES]
+    z, y = np.concatenate([features(p) for p in rows]), np.array([b.keep for p in rows for b in p], float)
+    x[:, 7], z[:, 7] = 0, 0
+    assert (train(z, y).decide(x) == inside).mean() > 0.98
+
+
 # --- 5: context-tree weighting
 
 

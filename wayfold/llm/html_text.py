@@ -1,33 +1,42 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over their own and their neighbours' figures.
 
-A page is read once by a tag pattern.  Block-level tags end a text block; inline tags and line breaks do not.
-A block has its word count, its link density (share of words inside links), whether it stands in an article or
-in an element that is named for something else (menu, advert, form, comments ...), and whether it is a heading or
-list item; the classifier also sees word counts and link densities of the blocks before and after it.
+A page is read once from left to right.  Block-level tags end a text block; inline tags and line breaks do not.
+The classifier sees the word counts and link densities (share of words inside links) of a block and of the blocks
+before and after it, whether it stands in an article, in an element for something else (navigation, footer, form ...)
+or in one whose class, id or role names something else, and whether it is a heading or list item.
 
 The tree is a CART with Gini impurity, trained here on LABELLED_PAGES, a small labelled table of blocks (marked
-``keep`` in the pages), so the work on the pages to extract is a plain map without any shuffle.
+``keep`` in the pages), so the work on the pages to extract is a plain map without any shuffle.  Where pages have
+articles, elements settle most blocks; in pages of plain blocks the neighbours' figures do.
 
 Defined cases: null or empty html gives an empty text.  Script, style, title, comments and other contents that
-are no text are dropped, also unclosed ones.  Repeated rows and null ids are kept; an empty table gives an empty
-result.  Columns other than the named ones pass through untouched when listed in ``keep``.
+are no text are dropped, also unclosed ones.  A quote that never closes is an ordinary character; a tag that never
+closes ends the page.  Reading takes time in proportion to the page, whatever it holds.  Repeated rows and null ids
+are kept; an empty table gives an empty result.  The columns named in ``keep`` pass through; the others, also those
+named text, n_chars or __html, do not matter.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*)>|<[!?/][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|keep)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+#: From behind a tag's name to its end: a quote counts only as the first character of a value.
+REST = re.compile(r"""[^=>]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^=>]*+)*+>""")
+#: Character references by number that are longer than any character's.
+LONG_REFERENCE = re.compile(r"&#(?:\d{8,}+|[xX][0-9a-fA-F]{7,}+);?")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+""")
 #: Elements by kind (fixed values of the format).
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "xmp", "template", "svg", "math", "object", "canvas", "audio", "video", "select", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -50,19 +59,106 @@ class Block:
     words: int
     linked: int
     other: bool
+    named: bool
     article: bool
     heading: bool
     item: bool
     keep: bool
 
 
+class Element(NamedTuple):
+    """An open element; its flags hold for all inside it."""
+
+    name: str = ""
+    other: bool = False
+    named: bool = False
+    article: bool = False
+    link: bool = False
+    heading: bool = False
+    item: bool = False
+    keep: bool = False
+
+
+class OpenElements:
+    """The stack of open elements, with the places of each name and of the containers, so that no look-up walks it."""
+
+    def __init__(self):
+        self.stack, self.places, self.containers = [Element()], defaultdict(list), []
+
+    @property
+    def top(self) -> Element:
+        return self.stack[-1]
+
+    def push(self, element: Element) -> None:
+        self.places[element.name].append(len(self.stack))
+        if element.name in CONTAINERS:
+            self.containers.append(len(self.stack))
+        self.stack.append(element)
+
+    def close(self, name: str, within: bool) -> None:
+        """Close the last open ``name`` and all inside it; ``within``: only if no container was opened after it."""
+        if not self.places[name] or (within and self.containers and self.containers[-1] > self.places[name][-1]):
+            return
+        to = self.places[name][-1]
+        while len(self.stack) > to:
+            gone = self.stack.pop().name
+            self.places[gone].pop()
+            if gone in CONTAINERS:
+                self.containers.pop()
+
+
+def pieces(page: str) -> Iterator[tuple[str, str | None, str]]:
+    """(text, None, ""), or ("" or "/", tag name, attributes), in page order, without comments and declarations."""
+    at, size, begin = 0, len(page), 0
+    while (at := page.find("<", at)) >= 0:
+        tag = NAME.match(page, at)
+        if tag is None and page[at + 1 : at + 2] not in ("!", "?", "/"):
+            at += 1
+            continue
+        if at > begin:
+            yield page[begin:at], None, ""
+        if tag is not None:
+            end = REST.match(page, tag.end())
+            if end is None:
+                return
+            at = begin = end.end()
+            yield "/" * (page[tag.start() + 1] == "/"), tag[1].lower(), page[tag.end() : at - 1]
+            name = tag[1].lower()
+            if name in RAW and page[tag.start() + 1] != "/" and page[at - 2] != "/":
+                end = _closing(name).search(page, at)
+                at = page.find(">", end.end()) + 1 if end else 0
+                at = begin = at or size
+        elif page.startswith("<!--", at):
+            short = re.compile("-?>").match(page, at + 4)
+            end = short or re.compile("--!?>").search(page, at + 4)
+            at = begin = end.end() if end else size
+        else:
+            at = begin = page.find(">", at) + 1 or size
+    if begin < size:
+        yield page[begin:], None, ""
+
+
+@cache
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I)
+
+
+def unescaped(text: str) -> str:
+    """``text`` with its character references decoded; numbers beyond all characters give the replacement character."""
+    return html.unescape(LONG_REFERENCE.sub(_replaced, text)) if "&" in text else text
+
+
+def _replaced(reference: re.Match) -> str:
+    digits = reference[0][2:].rstrip(";").lower().lstrip("x0")
+    return f"&#{'x' * (reference[0][2] in 'xX')}{digits or '0'};" if len(digits) < 8 else "\ufffd"
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     found: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    # (element, other, article, link, heading, item, keep) of each open element; flags hold for all inside it.
-    stack: list[tuple] = [("", False, False, False, False, False, False)]
-    top = state = stack[0]
+    open_ = OpenElements()
+    state = open_.top
 
     def close_block() -> None:
         nonlocal parts
@@ -70,84 +166,54 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(t for t, _ in parts).split())
             if text:
                 linked = sum(len(t.split()) for t, link in parts if link)
-                _, other, article, _, heading, item, keep = state
-                found.append(Block(text, text.count(" ") + 1, linked, other, article, heading, item, keep))
+                found.append(Block(text, text.count(" ") + 1, linked, state.other, state.named, state.article, state.heading, state.item, state.keep))
             parts = []
 
-    def pop_to(name: str, within: bool) -> None:
-        nonlocal top
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                top = stack[-1]
-                return
-            if within and stack[k][0] in CONTAINERS:
-                return
-
-    def text(piece: str) -> None:
-        nonlocal state
-        if not parts or not top[3]:
-            state = top
-        parts.append((html.unescape(piece) if "&" in piece else piece, top[3]))
-
-    at = 0
-    while at < len(page):
-        tag = TAG.search(page, at)
-        if tag is None:
-            text(page[at:])
-            break
-        if tag.start() > at:
-            text(page[at : tag.start()])
-        at = tag.end()
-        name = tag[2]
+    for lead, name, rest in pieces(page):
         if name is None:
+            if not parts or not open_.top.link:
+                state = open_.top
+            parts.append((unescaped(lead), open_.top.link))
             continue
-        name = name.lower()
         if name == "br":
             parts.append(("\n", False))
-        if name not in INLINE:
+        if name not in INLINE and name not in RAW:
             close_block()
-        if tag[1]:
-            pop_to(name, name not in CONTAINERS)
-            continue
-        if name in RAW:
-            if not tag[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            continue
-        if name in VOID:
-            continue
-        if name not in INLINE:
-            pop_to("p", True)
-        if name in ("a", "li", "dt", "dd", "option"):
-            pop_to(name, True)
-        _, other, article, link, heading, item, keep = top
-        other = other or name in OTHER_ELEMENTS or (name == "header" and not article)
-        article = article or name in ("article", "main")
-        if tag[3]:
-            for key, value in ATTRIBUTE.findall(tag[3]):
-                key, value = key.lower(), value.strip("\"'").lower()
-                if key in ("class", "id"):
-                    names = set(re.split(r"[^a-z]+", value))
-                    other = other or (name not in ("html", "body") and not names.isdisjoint(OTHER_NAMES)) or ("header" in names and not article)
-                    article = article or (name not in ("html", "body") and not names.isdisjoint(MAIN_NAMES))
-                elif key == "role":
-                    other, article = other or value in OTHER_ROLES, article or value in ("main", "article")
-                elif key == "keep":
-                    keep = True
-                elif key == "hidden" or (key == "aria-hidden" and value == "true") or "display:none" in value.replace(" ", ""):
-                    other = True
-        top = (name, other, article, link or name == "a", heading or name in HEADINGS, item or name == "li", keep)
-        stack.append(top)
+        if lead:
+            open_.close(name, name not in CONTAINERS)
+        elif name not in RAW and name not in VOID:
+            if name not in INLINE:
+                open_.close("p", True)
+            if name in ("a", "li", "dt", "dd", "option"):
+                open_.close(name, True)
+            open_.push(_element(name, rest, open_.top))
     close_block()
     return found
 
 
+def _element(name: str, attributes: str, around: Element) -> Element:
+    other = around.other or name in OTHER_ELEMENTS or (name == "header" and not around.article)
+    named, article, keep = around.named, around.article or name in ("article", "main"), around.keep
+    for key, value in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key in ("class", "id") and name not in ("html", "body"):
+            names = set(re.split(r"[^a-z]+", value))
+            named = named or not names.isdisjoint(OTHER_NAMES) or ("header" in names and not around.article)
+            article = article or not names.isdisjoint(MAIN_NAMES)
+        elif key == "role":
+            named, article = named or value in OTHER_ROLES, article or value in ("main", "article")
+        elif key == "keep":
+            keep = True
+        elif key == "hidden" or (key == "aria-hidden" and value == "true") or "display:none" in value.replace(" ", ""):
+            other = True
+    return Element(name, other, named, article, around.link or name == "a", around.heading or name in HEADINGS, around.item or name == "li", keep)
+
+
 def features(page: list[Block]) -> np.ndarray:
     """A row for each block: words and link density of the one before, itself and the one after; place and kind."""
     words = np.array([0, *(b.words for b in page), 0], float)
     density = np.array([0, *(b.linked for b in page), 0]) / np.maximum(1, words)
-    flags = np.array([(b.other, b.article, b.heading, b.item) for b in page], float).reshape(-1, 4)
+    flags = np.array([(b.other, b.named, b.article, b.heading, b.item) for b in page], float).reshape(-1, 5)
     return np.column_stack([words[:-2], words[1:-1], words[2:], density[:-2], density[1:-1], density[2:], flags])
 
 
@@ -206,6 +272,22 @@ LABELLED_PAGES = [
     f"<body><article keep><h1>Short</h1><p>{_MID}</p><p><a>The whole report</a></p><p>{_LONG}</p><p>Yes.</p><p><a>{_MID}</a></p><ul><li>One</li><li><a>Two</a></li></ul><p>{_MID}</p></article></body>",
     f"<body><main keep><p>{_LONG}</p><h2>Links</h2><ul><li><a>First paper</a></li><li><a>Second paper</a></li><li>Third</li></ul><p>{_MID}</p><p><a>{_LONG}</a></p></main></body>",
     f"<body><div>Menu</div><div><a>Home</a></div><div class=entry keep><h3>Day one</h3><p>{_MID}</p><p>We left.</p><p><a>Map</a></p><p>{_LONG}</p></div><div>Imprint</div></body>",
+    # Plain blocks without names or articles: the figures of a block and its neighbours decide.
+    f"<body><div><a>Home</a></div><div><a>News</a> <a>Sport</a></div><div>Town paper since 1901</div><div keep>{_LONG}</div><div keep>It rained.</div><div keep>{_MID}</div><div keep>{_LONG}</div><div>Share it</div><div><a>Older</a> <a>Newer</a></div></body>",
+    f"<body><p><a>Start</a></p><p>Welcome, guest</p><p><a>Login</a></p><p keep>{_LONG} {_MID}</p><p keep>Nobody knew why.</p><p keep>{_LONG}</p><p>Tags:</p><p><a>harbour</a></p><p><a>council</a></p><p>Printed in the north</p></body>",
+    f"<body><div>Search the site</div><div><a>All topics</a></div><div keep>{_MID} {_MID}</div><div keep>{_LONG}</div><div keep>And so it was.</div><div keep>{_LONG} {_LONG}</div><div>Most read today</div><div><a>{_MID}</a></div><div>Advice to readers</div><div><a>{_MID}</a></div></body>",
+    f"<body><div><a>One</a></div><div>or</div><div><a>Two</a></div><div>Our offers this week</div><div><a>See all</a></div><div keep>{_LONG}</div><div keep>Then came the flood.</div><div keep>{_LONG}</div><div keep>It took a week.</div><div keep>{_MID} {_MID}</div><div><a>Back</a></div><div>Imprint and terms</div></body>",
+    f"<body><div>Follow us</div><div><a>Letters</a> <a>Papers</a></div><div keep>{_LONG}</div><div keep>{_MID} <a>The report</a> has more.</div><div keep>He agreed at once.</div><div keep>{_LONG}</div><div><a>Print</a></div><div>Call us from nine to five</div></body>",
+    # Elements and names for other things, with texts as long as an article's and next to them.
+    f"<body><nav>{_MID} {_MID}</nav><div keep>{_LONG}</div><div keep>She left early.</div><div keep>{_LONG}</div><footer>By the harbour paper</footer></body>",
+    f"<body><div class=ad>{_MID}</div><div keep>{_LONG}</div><div keep>{_LONG}</div><footer>{_MID}</footer><footer>{_LONG}</footer></body>",
+    f"<body><aside>{_LONG}</aside><p keep>{_LONG} {_LONG}</p><div class=comments><p>{_LONG}</p><p>I was there.</p><p>{_MID}</p></div><footer>Sent from the north</footer></body>",
+    f"<body><div class=banner>{_LONG}</div><div keep>{_LONG}</div><div keep>Nothing else.</div><div keep>{_MID} {_MID}</div><aside>{_MID}</aside><footer>All texts by us</footer></body>",
+    f"<body><form><p>{_LONG}</p><p>{_MID}</p></form><p keep>{_LONG}</p><p keep>{_LONG}</p><div class=related><p>{_LONG}</p></div><footer>Who we are and what we do</footer></body>",
+    f"<body><div class=promo><p>{_LONG}</p><p>Only today.</p></div><article keep><p>{_LONG}</p><p>{_MID}</p></article><footer>{_MID}</footer><footer>The paper of the town</footer></body>",
+    f"<body><p keep>{_LONG}</p><div class=ad>Buy it now</div><p keep>{_LONG}</p><aside>Do write to us</aside><p keep>{_MID} {_MID}</p><div class=share>Tell a friend today</div><p keep>{_LONG}</p><footer>The paper of this town and its people</footer></body>",
+    f"<body><nav>Pages of today</nav><p keep>{_LONG}</p><form>Your name</form><p keep>{_LONG}</p><div class=sponsor>With thanks to the baker of the old town</div><p keep>{_LONG}</p><footer>Sent</footer><footer>Read by all</footer><footer>Write to the north gate</footer></body>",
+    f"<body><div class=promo>Half price</div><p keep>{_LONG}</p><nav>See the page before this one</nav><p keep>{_LONG}</p><div class=comments><p>Yes, I saw it too</p></div><p keep>{_MID} {_MID}</p><footer>Made by hand</footer></body>",
     f"<body><p keep>{_LONG}</p><p keep>{_MID}</p></body>",
     "<body><div><a>Login</a></div><div>Page not found</div><div><a>Back to the start</a></div><div>Share this</div></body>",
 ]
