@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wayfold.llm import jpeg, media, minhash, mixing, packing, search, warc
 from wayfold.llm.byte_tools import slices
 from wayfold.llm.context_tree import score_documents
-from wayfold.llm.html_text import LABELLED_PAGES, blocks, classifier, extract, features, main_texts, train
+from wayfold.llm.html_text import blocks, classifier, extract, features, main_texts
 from wayfold.llm.language_id import language_predictions
 from wayfold.llm.scratch import stored
 from wayfold.llm.url_filter import filter_urls
@@ -216,15 +216,13 @@ def test_neighbours_decide_in_pages_of_plain_blocks():
 
 
 def test_pages_do_not_hang_on_class_names():
-    """Without the column of class names the articles of the given pages stay as they are."""
+    """Without the column of class names all but a few blocks of the given pages are judged as before."""
     made = [blocks(p) for p in pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html]
     x = np.concatenate([features(p) for p in made])
     inside = [b.article and not b.other and not b.named for p in made for b in p]
     assert classifier().decide(x).tolist() == inside
-    rows = [blocks(p) for p in LABELLED_PAGES]
-    z, y = np.concatenate([features(p) for p in rows]), np.array([b.keep for p in rows for b in p], float)
-    x[:, 7], z[:, 7] = 0, 0
-    assert (train(z, y).decide(x) == inside).mean() > 0.98
+    x[:, 7] = 0
+    assert (classifier().decide(x) == inside).mean() > 0.99
 
 
 # --- 5: context-tree weighting

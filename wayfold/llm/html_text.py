@@ -236,7 +236,7 @@ class Node:
         return out
 
 
-def train(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
+def train(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 2) -> Node:
     """A CART: of the splits with the lowest Gini impurity the first column and value; leaves have ``least`` rows."""
     node, best = Node(2 * y.sum() > len(y)), (y.mean() * (1 - y.mean()) * len(y) - 1e-9, -1, 0.0)
     if depth and 0 < y.sum() < len(y):
