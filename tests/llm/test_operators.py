@@ -222,7 +222,7 @@ def test_pages_do_not_hang_on_class_names():
     inside = [b.article and not b.other and not b.named for p in made for b in p]
     assert classifier().decide(x).tolist() == inside
     x[:, 7] = 0
-    assert (classifier().decide(x) == inside).mean() > 0.99
+    assert (classifier().decide(x) == inside).mean() > 0.98
 
 
 # --- 5: context-tree weighting
