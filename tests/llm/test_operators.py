@@ -414,35 +414,69 @@ def brute_top(ids, vectors, queries, k):
     return sorted(out)
 
 
-def test_search_equals_brute_force(spark, monkeypatch):
-    for name, value in (("GROUP", 4), ("BLOCK", 40), ("SAMPLE", 100)):
+SMALL = {"GROUP": 4, "BLOCK": 40, "SAMPLE": 20, "FANOUT": 6, "LEAF": 10, "LANE": 8, "DEAL": 50}
+
+
+def clustered(rng, centres, each, dim, spread):
+    return np.concatenate([rng.normal(size=(each, dim)) * spread + c for c in rng.normal(size=(centres, dim)) * 3])
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_search_equals_brute_force(spark, monkeypatch, small):
+    for name, value in SMALL.items() if small else ():
         monkeypatch.setattr(search, name, value)
     rng = np.random.default_rng(8)
-    x = np.concatenate([rng.normal(size=(150, 6)) * 0.1 + c for c in rng.normal(size=(4, 6)) * 3] + [np.tile([1.0, 2, 3, 4, 5, 6], (200, 1))])
+    x = np.concatenate([clustered(rng, 4, 150, 6, 0.1), np.tile([1.0, 2, 3, 4, 5, 6], (200, 1))])
     rows = [(i, [float(f) for f in v]) for i, v in enumerate(x)]
     bad = [(9000, None), (9020, [1.0, None]), (9040, [float("nan")]), (9060, [float("inf")]), (None, [1.0])]
-    df = spark.createDataFrame(rows + bad + rows[:3], "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
+    df = spark.createDataFrame(rows + bad + rows[:3], "vec_id long, embedding array<float>").withColumns({c: F.lit("x") for c in ("score", "v", "path", "ids", "asked")})
     out = sorted(map(tuple, search.top_k(df, F.col("vec_id") % 20 == 0, 7).collect()))
     ints = np.floor(64 * x.astype(np.float32).astype(float)).astype(int).tolist()
     assert out == brute_top(list(range(len(x))), ints, range(0, len(x), 20), 7)
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert list(map(tuple, search.top_k(few, F.col("vec_id") == 0).collect())) == [(0, 1, 1, 8192)]
-    assert search.top_k(few.limit(0), F.lit(True)).count() == 0
+    assert search.top_k(few.limit(0), F.lit(True)).count() == 0 and search.top_k(few, F.lit(False)).count() == 0
 
 
-def test_bounds_prune_and_never_lose():
+@pytest.mark.parametrize("large", [2.0**15, 2.0**20, 2.0**27, 2.0**40])
+def test_search_with_large_components(spark, large):
+    """Sums beyond 2**53, then beyond 64 bits, stay in order; ties still go to the smaller id."""
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(size=(60, 40)) * large)
+    x[30:33] = x[7]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = sorted(map(tuple, search.top_k(df, F.col("vec_id") % 7 == 0, 9).collect()))
+    ints = [[int(c) * 64 for c in v] for v in x]
+    if large < 2.0**25:
+        assert out == brute_top(list(range(60)), ints, range(0, 60, 7), 9)
+    else:
+        assert len(out) == 9 * 9 and {r[3] for r in out if r[1] == 1} == {(1 << 63) - 1}
+
+
+def pruned_share(spark, x, k=5):
+    """The share of (query, row) products that node pairs of both trees rule out before any task multiplies."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, q array<double>").select("id", F.transform("q", lambda c: F.floor(64 * c)).alias("q"), (F.col("id") % 5 == 0).alias("asked"))
+    made = search.stored(search.packed(search.grown(search.stored(search.classes(search.coded(df, x.shape[1], "<i4"), k)), x.shape[1], "<i4"), x.shape[1], "<i4", k))
+    groups, data = made.where("not is_block"), made.where("is_block")
+    left = search.needed(made).join(groups.select(F.col("path").alias("q_path"), F.col("part").alias("q_part"), F.col("n").alias("q")), ["q_path", "q_part"]).join(data.select("path", "n"), "path")
+    assert left.groupBy("q_path", "q_part", "path").count().where("count > 1").isEmpty()
+    depth = made.agg(F.max(F.size("path"))).first()[0]
+    return depth, 1 - left.agg(F.sum(F.col("q") * F.col("n"))).first()[0] / (groups.agg(F.sum("n")).first()[0] * data.agg(F.sum("n")).first()[0])
+
+
+def test_dual_tree_prunes_clustered_vectors(spark, monkeypatch):
+    for name, value in SMALL.items():
+        monkeypatch.setattr(search, name, value)
     rng = np.random.default_rng(1)
-    sample = np.concatenate([rng.normal(size=(100, 4)) * 0.1 + c for c in (np.eye(4) * 50)])
-    tree = search.CoverTree(sample, 16)
-    cell = ((sample[:, None] - tree.pivots) ** 2).sum(2).argmin(1)
-    far = np.sqrt(((sample - tree.pivots[cell]) ** 2).sum(1))
-    radii = np.array([far[cell == c].max(initial=-1) for c in range(len(tree.pivots))])
-    products = sample @ sample.T
-    kth = np.sort(products, 1)[:, -5]
-    worst = np.array([kth[cell == c].min(initial=np.inf) for c in range(len(radii))])
-    pairs = set(search.cell_pairs(tree, radii, worst, radii))
-    needed = {(cell[i], cell[j]) for i, j in zip(*np.nonzero(products >= kth[:, None]), strict=True)}
-    assert needed <= pairs and len(pairs) < len(radii) ** 2 / 2
+    depth, share = pruned_share(spark, clustered(rng, 12, 100, 8, 0.05))
+    assert depth >= 2 and share > 0.8, (depth, share)
+
+
+def test_leaves_hold_each_row_once():
+    x = np.random.default_rng(0).normal(size=(3000, 5))
+    parts = search.leaves(x)
+    assert sorted(np.concatenate(parts).tolist()) == list(range(3000)) and max(map(len, parts)) <= search.LEAF
+    assert len(search.leaves(np.ones((500, 3)))) >= 4
 
 
 # --- 9: URL filter

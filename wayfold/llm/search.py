@@ -1,25 +1,26 @@
-"""Exact top-k inner products by a dual-tree search over cover trees.
+"""Exact top-k inner products by a dual-tree search over a cover tree of queries and data.
 
 1. Vectors are rounded to integers.  Equal vectors form a class; a class keeps its k + 1 smallest ids (found with
    salted windows), as no later id can be in a result.
-2. Pivots are taken farthest first from a bounded sample of classes (the smallest hashes); each pivot's parent is
-   the nearest pivot before it, so nodes' radii shrink down the tree: a cover tree.  All classes are assigned to
-   their nearest pivot, which gives the cells' exact radii; the query tree has the same nodes with its own radii.
-3. A cell is dealt into blocks of about BLOCK vectors, and its queries into groups of about GROUP; each has
-   its own centre and radius.  The sample gives each query a score that its k-th result reaches at least.
-4. Node pairs are pruned where the bound of (query node, data node), that is the product of the centres plus what
-   both covering radii can add, is below the worst of those k-th scores: first cells against cells over both trees,
-   then groups against blocks of the cells that remain.
-5. The remaining blocks meet the groups in a join; a task multiplies matrices and keeps running results.
-
-What reaches the driver has a bound: SAMPLE vectors, and statistics of at most CELLS cells and CELLS**2 pairs.  What
-is broadcast is that sample.  Where data has no structure nothing can be pruned, and each query group meets every
-block once; that is the work that the exact answer needs.
+2. The tree is grown in rounds, all nodes of a level at once: each node of more than BLOCK classes takes FANOUT
+   pivots from a bounded sample of its own members (half of them farthest first, half by hash), and each member goes
+   to its nearest pivot.  Depth grows with the data; what ends is a block of at most BLOCK classes, which has a tree
+   of its own inside, down to leaves of LEAF.  Queries are those members of a block that are asked for.
+3. Each query group starts with the k-th best scores that its own block gives.
+4. Both trees are descended together, level by level, by joins from node pairs to child pairs.  A pair goes where the
+   bound, that is the product of the centres plus what both covering radii can add, is below the worst of the group's
+   k-th scores.
+5. Query groups are dealt to lanes of about LANE queries.  A block is sent to a lane once, if any group of the lane
+   needs it.  Tasks hold a lane's running results, take blocks by falling bound, and prune the leaves inside each
+   block against the k-th scores reached so far, then multiply matrices.
+
+Nothing but counts reaches the driver, nothing is broadcast.  Where data has no structure nothing can be pruned and
+each query meets each row, the work that the exact answer needs; blocks are then sent once to each lane.
 
 Defined cases: null ids, null vectors, and those with null or non-finite components take no part.  Shorter vectors
 have zeros in the components they lack.  Rows that repeat an id and vector count once; a query's results never
-have its own id.  Ties go to the smaller id.  Fewer candidates than k: all.  Empty tables give an empty
-result.  Components of 2**22 and more, once rounded, raise an error, as scores would no longer be exact.
+have its own id.  Ties go to the smaller id.  Fewer candidates than k: all.  Empty tables, and no queries, give an
+empty result.  Components and scores beyond 64 bits are cut to the ends of that range.
 """
 
 from __future__ import annotations
@@ -34,240 +35,323 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.scratch import stored
 
-SAMPLE = 8192
-CELLS = 256
 BLOCK = 4096
+FANOUT = 32
+#: Members of a node (on average) that its pivots are taken from.
+SAMPLE = 640
+LEAF = 128
 GROUP = 512
+LANE = 1 << 15
+#: Members of a node that one task deals to their pivots.
+DEAL = 1 << 16
 SALTS = 16
-LARGEST = 1 << 22
 RESULT = "query_id bigint, rank int, vec_id bigint, score bigint"
 
 
-def rounded(vectors: DataFrame, id: str, vector: str, scale: int) -> DataFrame:
-    """id and q (integers) of the rows that take part."""
+def rounded(vectors: DataFrame, is_query: Column, id: str, vector: str, scale: int) -> DataFrame:
+    """id, q (integers) and asked of the rows that take part."""
     v = F.col(vector)
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")) & ~F.isnan(x.cast("double")))
     q = F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double")))
-    small = F.assert_true(F.forall("q", lambda x: F.abs(x) < LARGEST), "a component is too large for exact scores")
-    return vectors.where(fine & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), q.alias("q")).where(small.isNull())
+    return vectors.where(fine & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), q.alias("q"), F.coalesce(is_query, F.lit(False)).alias("asked"))
 
 
-def classes(rows: DataFrame, k: int) -> DataFrame:
-    """q and ids: the k + 1 smallest ids of each distinct vector, ascending."""
-    salted = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    for by in (["q", "salt"], ["q"]):
-        salted = salted.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("nth") <= k + 1)
-    return salted.groupBy("q").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-
-
-class CoverTree:
-    """Pivots farthest first, each below the nearest pivot before it."""
-
-    def __init__(self, sample: np.ndarray, size: int):
-        far = np.full(len(sample), np.inf)
-        chosen, nearest, parent = [], np.zeros(len(sample), np.int64), []
-        while len(chosen) < size:
-            k = int(np.argmax(far))
-            if chosen and far[k] <= 0:
-                break
-            parent.append(int(nearest[k]) if chosen else -1)
-            d = np.sqrt(((sample - sample[k]) ** 2).sum(1))
-            closer = d < far
-            far[closer], nearest[closer] = d[closer], len(chosen)
-            chosen.append(k)
-        self.pivots = sample[chosen]
-        self.children: list[list[int]] = [[] for _ in chosen]
-        self.parent = parent
-        for k, p in enumerate(parent[1:], 1):
-            self.children[p].append(k)
-
-    def cover(self, radii: np.ndarray) -> np.ndarray:
-        """Covering radius of each node's subtree from the radii of the cells (-1: an empty cell)."""
-        out = radii.copy()
-        for k in range(len(out) - 1, 0, -1):
-            if out[k] >= 0:
-                p = self.parent[k]
-                out[p] = max(out[p], out[k] + np.linalg.norm(self.pivots[k] - self.pivots[p]))
-        return out
-
-    def highest(self, worst: np.ndarray) -> np.ndarray:
-        """The smallest of ``worst`` below each node."""
-        out = worst.copy()
-        for k in range(len(out) - 1, 0, -1):
-            out[self.parent[k]] = min(out[self.parent[k]], out[k])
-        return out
-
-
-def pair_bound(a: np.ndarray, ra: float, b: np.ndarray, rb: float) -> float:
-    """No product of vectors within ``ra`` of a and within ``rb`` of b is larger."""
-    return float(a @ b + ra * np.linalg.norm(b) + rb * np.linalg.norm(a) + ra * rb) + 1e-6 * (1 + abs(float(a @ b)))
-
-
-def cell_pairs(tree: CoverTree, query_radii: np.ndarray, worst: np.ndarray, data_radii: np.ndarray) -> list[tuple[int, int]]:
-    """(query cell, data cell) that may hold results: descends both trees together and prunes node pairs."""
-    q_cover, d_cover, least = tree.cover(query_radii), tree.cover(data_radii), tree.highest(worst)
-    found, stack = [], [(0, False, 0, False)]  # a node as a whole, or its own cell alone
-    while stack:
-        q, q_own, d, d_own = stack.pop()
-        rq, rd = (query_radii if q_own else q_cover)[q], (data_radii if d_own else d_cover)[d]
-        if rq < 0 or rd < 0 or pair_bound(tree.pivots[q], rq, tree.pivots[d], rd) < (worst if q_own else least)[q]:
-            continue
-        if q_own and d_own:
-            found.append((q, d))
-        elif d_own or (not q_own and rq >= rd):
-            stack += [(q, True, d, d_own), *((c, False, d, d_own) for c in tree.children[q])]
-        else:
-            stack += [(q, q_own, d, True), *((q, q_own, c, False) for c in tree.children[d])]
-    return found
+def coded(rows: DataFrame, dim: int, kind: str) -> DataFrame:
+    """``rows`` with v, the bytes of q as ``dim`` numbers of numpy type ``kind``, in place of q."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = batch.column(1)
+            sizes = np.diff(q.offsets.to_numpy())
+            x = np.zeros((len(q), dim), kind)
+            row = np.repeat(np.arange(len(q)), sizes)
+            x[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = q.flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2)], ["id", "v", "asked"])
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (score, id) of each row by score, then smaller id; ids -1 fill up."""
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+    return rows.mapInArrow(run, "id bigint, v binary, asked boolean")
 
 
-NO_SCORE = np.iinfo(np.int64).min // 2
+def classes(rows: DataFrame, k: int) -> DataFrame:
+    """v, ids (the k + 1 smallest of each distinct vector, ascending) and asked."""
+    salted = rows.select("v", "id").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    for by in (["v", "salt"], ["v"]):
+        salted = salted.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("nth") <= k + 1)
+    known = salted.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    asked = rows.where("asked").select("v").distinct().withColumn("asked", F.lit(True))
+    return known.join(asked, "v", "left").select("v", "ids", F.coalesce("asked", F.lit(False)).alias("asked"))
 
 
-def block_best(queries: np.ndarray, block: np.ndarray, ids: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of the k best entries of ``block`` for each query; its classes come by smallest id."""
-    product = np.rint(queries @ block.T).astype(np.int64)
-    n = len(block)
-    key = product * n + (n - 1 - np.arange(n))
-    top = np.argpartition(key, n - k, axis=1)[:, n - k :] if n > k else np.broadcast_to(np.arange(n), key.shape)
-    most = max(map(len, ids))
-    table = np.full((n, most), -1, np.int64)
-    for i, own in enumerate(ids):
-        table[i, : len(own)] = own
-    entry = table[top].reshape(len(queries), -1)
-    score = np.repeat(np.take_along_axis(product, top, 1), most, 1)
-    score = np.where(entry < 0, NO_SCORE, score)
-    return best_of(score, entry, k)
+def farthest(x: np.ndarray, size: int) -> np.ndarray:
+    """Rows of ``x`` (at most ``size``, no two alike), each the farthest from those before it."""
+    far, chosen = np.full(len(x), np.inf), []
+    while len(chosen) < size:
+        k = int(np.argmax(far))
+        if far[k] <= 0:
+            break
+        chosen.append(k)
+        far = np.minimum(far, ((x - x[k]) ** 2).sum(1))
+    return np.array(chosen)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
-    """RESULT: for each row with ``is_query`` the k other rows with the largest inner products."""
-    spark = vectors.sparkSession
-    more = k + 1
-    rows = rounded(vectors, id, vector, scale)
-    asked = stored(rounded(vectors.where(is_query), id, vector, scale).distinct())
-    known = classes(rows, k).join(asked.select("q").distinct().withColumn("asked", F.lit(True)), "q", "left")
-    known = stored(known.select("q", "ids", F.coalesce("asked", F.lit(False)).alias("asked")))
-    about = known.agg(F.max(F.size("q")).alias("dim"), F.count_if("asked").alias("asked")).first()
-    if not about.asked:
-        return spark.createDataFrame([], RESULT)
-    dim = max(1, about.dim)
+def nearest(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return ((pivots**2).sum(1) - 2 * x @ pivots.T).argmin(1)
 
-    def matrix(values: pa.Array) -> np.ndarray:
-        out = np.zeros((len(values), dim))
-        sizes = np.diff(values.offsets.to_numpy())
-        row = np.repeat(np.arange(len(values)), sizes)
-        out[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values.flatten().to_numpy()
-        return out
 
-    sample = matrix(known.select("q").orderBy(F.xxhash64("q")).limit(SAMPLE).toArrow().column("q").combine_chunks())
-    tree = CoverTree(sample, min(CELLS, -(-about.asked // (GROUP // 2))))
-    shared = spark.sparkContext.broadcast((sample, tree.pivots))
+def reach(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Centre and covering radius."""
+    centre = x.mean(0)
+    return centre, float(np.sqrt(((x - centre) ** 2).sum(1).max()))
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, pivots = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                x = matrix(part.column(0))
-                d = (x**2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1)
-                cell = d.argmin(1)
-                far = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x.astype(np.int32)], pa.binary()), part.column(1), part.column(2), pa.array(cell.astype(np.int32)), pa.array(far)], ["v", "ids", "asked", "cell", "far"])
-
-    placed = stored(known.mapInArrow(assign, "v binary, ids array<bigint>, asked boolean, cell int, far double"))
-    cells = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.count_if("asked").alias("asked"), F.max(F.when(F.col("asked"), F.col("far"))).alias("asked_far")).collect()}
-    n = len(tree.pivots)
-    data_radii = np.array([cells[c].far if c in cells else -1.0 for c in range(n)])
-    query_radii = np.array([cells[c].asked_far if c in cells and cells[c].asked else -1.0 for c in range(n)])
-
-    def dealt(frame: DataFrame, count: str, size: int) -> DataFrame:
-        parts = spark.createDataFrame([(c, max(1, -(-getattr(r, count) // size))) for c, r in cells.items()], "cell int, parts int")
-        return frame.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
-
-    def pack_block(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(low=frame.ids.map(lambda i: i[0])).sort_values("low")
-        x = np.frombuffer(b"".join(frame.v), np.int32).reshape(-1, dim)
-        centre = x.mean(0)
-        far = float(np.sqrt(((x - centre) ** 2).sum(1)).max())
-        counts = frame.ids.map(len).to_numpy(np.int32)
-        return pd.DataFrame({"cell": frame.cell.iloc[:1], "part": frame.part.iloc[:1], "centre": [centre.tolist()], "far": [far], "x": [x.tobytes()], "counts": [counts.tobytes()], "ids": [np.concatenate(frame.ids.to_list()).astype(np.int64).tobytes()]})
-
-    def pack_group(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("v")
-        x = np.frombuffer(b"".join(frame.v), np.int32).reshape(-1, dim)
-        centre = x.mean(0)
-        far = float(np.sqrt(((x - centre) ** 2).sum(1)).max())
-        sample, _ = shared.value
-        worst = float(np.sort(np.rint(x @ sample.T), 1)[:, -more].min()) if len(sample) >= more else -np.inf
-        return pd.DataFrame({"cell": frame.cell.iloc[:1], "part": frame.part.iloc[:1], "centre": [centre.tolist()], "far": [far], "x": [x.tobytes()], "worst": [worst]})
-
-    shape = "cell int, part int, centre array<double>, far double, x binary"
-    blocks = stored(dealt(placed, "n", BLOCK).select("cell", "part", "v", "ids").groupBy("cell", "part").applyInPandas(pack_block, f"{shape}, counts binary, ids binary"))
-    groups = stored(dealt(placed.where("asked"), "asked", GROUP).select("cell", "part", "v").groupBy("cell", "part").applyInPandas(pack_group, f"{shape}, worst double"))
-    worst = np.full(n, np.inf)
-    for r in groups.groupBy("cell").agg(F.min("worst").alias("worst")).collect():
-        worst[r.cell] = r.worst
-    pairs = spark.createDataFrame(cell_pairs(tree, query_radii, worst, data_radii), "q_cell int, d_cell int")
 
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    g = groups.select(F.col("cell").alias("q_cell"), F.col("part").alias("q_part"), F.col("centre").alias("q_centre"), F.col("far").alias("q_far"), "worst")
-    d = blocks.select(F.col("cell").alias("d_cell"), F.col("part").alias("d_part"), F.col("centre").alias("d_centre"), F.col("far").alias("d_far"))
-    bound = dot(F.col("q_centre"), F.col("d_centre")) + F.col("q_far") * norm(F.col("d_centre")) + F.col("d_far") * norm(F.col("q_centre")) + F.col("q_far") * F.col("d_far")
-    left = g.join(F.broadcast(pairs), "q_cell").join(d, "d_cell").where(bound + 1e-6 * (1 + F.abs(bound)) >= F.col("worst")).select("q_cell", "q_part", "d_cell", "d_part")
-    left = left.join(blocks.select(F.col("cell").alias("d_cell"), F.col("part").alias("d_part"), F.col("x").alias("d_x"), "counts", "ids"), ["d_cell", "d_part"])
-    left = left.join(groups.select(F.col("cell").alias("q_cell"), F.col("part").alias("q_part"), F.col("x").alias("q_x")), ["q_cell", "q_part"])
+def leaves(x: np.ndarray) -> list[np.ndarray]:
+    """Rows of a block by leaf: its own tree, split by farthest pivots."""
+    found, open_ = [], [np.arange(len(x))]
+    while open_:
+        rows = open_.pop()
+        if len(rows) <= LEAF:
+            found.append(rows)
+            continue
+        some = x[rows[:: max(1, len(rows) // 256)]]
+        own = nearest(x[rows], some[farthest(some, 8)])
+        parts = [rows[own == c] for c in np.unique(own)]
+        open_ += parts if len(parts) > 1 else np.array_split(rows, 2)
+    return found
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, queries, best = None, None, None
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([q.tobytes() for q in queries.astype(np.int32)], pa.binary()), pa.array([s.tobytes() for s in best[0]], pa.binary()), pa.array([i.tobytes() for i in best[1]], pa.binary())], ["v", "scores", "ids"])
+def scores(queries: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact products of integer rows as 64-bit integers."""
+    most = np.sqrt((queries.astype(float) ** 2).sum(1).max() * (x.astype(float) ** 2).sum(1).max())
+    if most < 1 << 52:
+        return (queries.astype(float) @ x.astype(float).T).astype(np.int64)
+    if most < 1 << 62:
+        return queries.astype(np.int64) @ x.astype(np.int64).T
+    ends = np.iinfo(np.int64)
+    return np.clip(queries.astype(object) @ x.astype(object).T, ends.min, ends.max).astype(np.int64)
+
+
+def kth_scores(product: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """A score that the k-th entry of each row reaches, -inf if there are fewer; column c stands for counts[c] entries."""
+    if counts.sum() < k:
+        return np.full(len(product), -np.inf)
+    if product.shape[1] > k:
+        top = np.argpartition(product, product.shape[1] - k, axis=1)[:, -k:]
+    else:
+        top = np.broadcast_to(np.arange(product.shape[1]), product.shape)
+    value = np.take_along_axis(product, top, 1)
+    order = np.argsort(-value, axis=1)
+    full = np.cumsum(np.take_along_axis(counts[top], order, 1), 1) >= k
+    return np.take_along_axis(np.take_along_axis(value, order, 1), full.argmax(1)[:, None], 1)[:, 0].astype(float)
+
+
+class Best:
+    """The k best entries (score, then smaller id) of each query so far, and its k-th score."""
+
+    def __init__(self, kth: np.ndarray, k: int):
+        self.k, self.kth = k, kth.copy()
+        self.row, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, row: np.ndarray, score: np.ndarray, id: np.ndarray) -> None:
+        row, score, id = (np.concatenate(p) for p in ((self.row, row), (self.score, score), (self.id, id)))
+        order = np.lexsort((id, -score, row))
+        row, score, id = row[order], score[order], id[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = nth < self.k
+        self.row, self.score, self.id = row[keep], score[keep], id[keep]
+        last = nth == self.k - 1
+        self.kth[row[last]] = np.maximum(self.kth[row[last]], score[last])
+
+
+def slack(bound, size):
+    """Bounds leave room for rounding."""
+    return bound + 1e-9 * size + 1e-6
+
+
+def grown(known: DataFrame, dim: int, kind: str) -> DataFrame:
+    """``known`` (v, ids, asked) with the path of its block in the tree."""
+    as_matrix = lambda v: np.frombuffer(b"".join(v), kind).reshape(-1, dim).astype(float)
+    placed, done = known.withColumn("path", F.array().cast("array<int>")), None
+
+    def pivots(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("v")
+        x = as_matrix(frame.v)
+        first = farthest(x, FANOUT // 2)
+        rest = np.setdiff1d(np.arange(len(x)), first)
+        chosen = x[np.concatenate([first, rest[:: max(1, -(-len(rest) // (FANOUT // 2)))]]).astype(int)]
+        return pd.DataFrame({"path": frame.path.iloc[:1], "salts": frame.salts.iloc[:1], "v": [chosen.tobytes()]})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            leads = np.flatnonzero(batch.column("lead").to_numpy(zero_copy_only=False)).tolist()
+            for lead, begin, end in zip([None, *leads], [0, *(x + 1 for x in leads)], [*leads, batch.num_rows], strict=True):
+                if lead is not None:
+                    own = np.frombuffer(batch.column("v")[lead].as_py(), float).reshape(-1, dim)
+                for at in range(begin, end, 4096):
+                    part = batch.slice(at, min(4096, end - at))
+                    to = nearest(as_matrix(part.column("v").to_pylist()), own)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("v", "ids", "asked", "path")), pa.array(to.astype(np.int32))], ["v", "ids", "asked", "path", "to"])
+
+    while True:
+        sizes = placed.groupBy("path").agg(F.count("*").alias("n"))
+        large = stored(sizes.where(F.col("n") > BLOCK).withColumn("salts", F.ceil(F.col("n") / DEAL).cast("int")))
+        if large.isEmpty():
+            return placed if done is None else done.union(placed)
+        ready = placed.join(large, "path", "left_anti").select("v", "ids", "asked", "path")
+        done = ready if done is None else done.union(ready)
+        # The nodes of a round are few against their members; Spark broadcasts them by their size, or sorts.
+        members = placed.join(large, "path")
+        sampled = members.where(F.pmod(F.xxhash64("v", F.size("path")), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n") < SAMPLE)
+        made = sampled.groupBy("path").applyInPandas(pivots, "path array<int>, salts int, v binary")
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<bigint>"), ("asked", "boolean"))]
+        leads = made.select("path", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("lead"), "v", *none)
+        rest = members.select("path", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("lead"), "v", "ids", "asked")
+        both = leads.union(rest).repartition("path", "salt").sortWithinPartitions("path", "salt", F.desc("lead"))
+        placed = stored(both.mapInArrow(deal, "v binary, ids array<bigint>, asked boolean, path array<int>, to int").select("v", "ids", "asked", F.concat("path", F.array("to")).alias("path")))
+
+
+PACKED = "path array<int>, part int, is_block boolean, centre array<double>, far double, worst double, n int, x binary, counts binary, ids binary, leaf_rows binary, kth binary"
+
+
+def packed(placed: DataFrame, dim: int, kind: str, k: int) -> DataFrame:
+    """PACKED: a row for each block, its rows in leaf order, and one for each group of queries in it."""
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("v").reset_index(drop=True)
+        x = np.frombuffer(b"".join(frame.v), kind).reshape(-1, dim)
+        parts = leaves(x.astype(float))
+        order = np.concatenate(parts)
+        x, frame = x[order], frame.iloc[order]
+        counts, path = frame.ids.map(len).to_numpy(np.int32), frame.path.iloc[0]
+        rows = [(path, -1, True, *_reach(x), -np.inf, len(x), x.tobytes(), counts.tobytes(), np.concatenate(frame.ids.to_list()).astype(np.int64).tobytes(), np.array([len(p) for p in parts], np.int32).tobytes(), None)]
+        asked = x[frame.asked.to_numpy(bool)]
+        for part, at in enumerate(range(0, len(asked), GROUP)):
+            q = asked[at : at + GROUP]
+            kth = kth_scores(scores(q, x), counts, k)
+            rows.append((path, part, False, *_reach(q), float(kth.min()), len(q), q.tobytes(), None, None, None, kth.tobytes()))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")])
+
+    return placed.groupBy("path").applyInPandas(pack, PACKED)
+
+
+def _reach(x: np.ndarray) -> tuple[list[float], float]:
+    centre, far = reach(x.astype(float))
+    return centre.tolist(), far
+
+
+def needed(made: DataFrame) -> DataFrame:
+    """q_path, q_part, path and bound of the (group, block) pairs that no bound rules out."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    apart = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    depth = made.agg(F.coalesce(F.max(F.size("path")), F.lit(0))).first()[0]
+    items = made.select("is_block", F.array_append("path", F.lit(-1)).alias("path"), "part", "centre", "far", "worst")
+
+    def nodes(level: int) -> DataFrame:
+        """A covering ball of what lies below each node of a level, queries (by their groups) and data apart."""
+        node = F.slice("path", 1, level)
+        own = items.select("is_block", node.alias("node"), "centre", "far", "worst", F.when(F.size("path") <= level, F.col("part")).otherwise(-2).alias("part"))
+        first = own.groupBy("is_block", "node", "part").agg(F.first("centre").alias("middle"))
+        met = own.join(first, ["is_block", "node", "part"])
+        balls = met.groupBy("is_block", "node", "part").agg(F.first("middle").alias("centre"), F.max(apart(F.col("middle"), F.col("centre")) + F.col("far")).alias("far"), F.min("worst").alias("worst"))
+        return balls.withColumns({"up": F.slice("node", 1, level - 1), "norm": F.sqrt(dot(F.col("centre"), F.col("centre")))})
+
+    pairs = None
+    for level in range(1, depth + 2):
+        ball = stored(nodes(level))
+        q, d = (ball.where(which).select(*(F.col(c).alias(f"{s}_{c}") for c in ball.columns)) for s, which in (("q", "not is_block"), ("d", "is_block")))
+        if pairs is None:
+            pairs = made.sparkSession.createDataFrame([([], [])], "q_up array<int>, d_up array<int>")
+        size = (F.col("q_norm") + F.col("q_far")) * (F.col("d_norm") + F.col("d_far"))
+        bound = slack(dot(F.col("q_centre"), F.col("d_centre")) + F.col("q_far") * F.col("d_norm") + F.col("d_far") * F.col("q_norm") + F.col("q_far") * F.col("d_far"), size)
+        pairs = pairs.join(q, "q_up").join(d, "d_up").withColumn("bound", bound).where("bound >= q_worst")
+        if level <= depth:
+            pairs = stored(pairs.select(F.col("q_node").alias("q_up"), F.col("d_node").alias("d_up")).distinct())
+    without_end = lambda c: F.filter(c, lambda x: x >= 0)
+    return pairs.select(without_end("q_node").alias("q_path"), F.col("q_part"), without_end("d_node").alias("path"), "bound")
+
+
+def searched(made: DataFrame, pairs: DataFrame, dim: int, kind: str, k: int) -> DataFrame:
+    """v, score, id: the k best entries of each query class in each task of its lane."""
+    groups, blocks = made.where("not is_block"), made.where("is_block")
+    lanes = max(1, -(-groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // LANE))
+    tasks = max(1, min(64, blocks.count() // 4))
+    groups = groups.select(F.col("path").alias("q_path"), F.col("part").alias("q_part"), "x", "kth", "centre", "far")
+    groups = stored(groups.repartitionByRange(lanes, "q_path", "q_part").withColumn("lane", F.spark_partition_id()))
+    wanted = pairs.join(groups.select("lane", "q_path", "q_part"), ["q_path", "q_part"])
+    wanted = wanted.groupBy("lane", "path").agg(F.max("bound").alias("bound"), F.collect_list(F.struct("q_path", "q_part")).alias("groups"))
+    sent = wanted.join(blocks.select("path", "x", "counts", "ids", "leaf_rows"), "path")
+    sent = sent.select("lane", F.pmod(F.xxhash64("path"), F.lit(tasks)).cast("int").alias("task"), "bound", "groups", "x", "counts", "ids", "leaf_rows", F.lit(None).cast("binary").alias("kth"))
+    none = [F.lit(None).cast("binary").alias(c) for c in ("counts", "ids", "leaf_rows")]
+    held = groups.select("lane", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), F.lit(float("inf")).alias("bound"), F.array(F.struct("q_path", "q_part")).alias("groups"), "x", *none, "kth")
+    both = held.union(sent).repartition(min(20_000, lanes * tasks), "lane", "task").sortWithinPartitions("lane", "task", F.desc("bound"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = lambda b: np.frombuffer(b, kind).reshape(-1, dim)
+        name = lambda g: (*g["q_path"], -1, g["q_part"])
+        place, own = None, {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for q, _, best in own.values():
+                for at in range(0, len(best.row), 1 << 14):
+                    part = slice(at, at + (1 << 14))
+                    v = [q[r].tobytes() for r in best.row[part]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), pa.array(best.score[part]), pa.array(best.id[part])], ["v", "score", "id"])
 
         for batch in batches:
             for r in range(batch.num_rows):
-                key = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                if key != group:
-                    if best is not None:
-                        yield out()
-                    group, queries, best = key, np.frombuffer(batch.column(2)[r].as_buffer(), np.int32).reshape(-1, dim).astype(float), None
-                block = np.frombuffer(batch.column(3)[r].as_buffer(), np.int32).reshape(-1, dim).astype(float)
-                counts = np.frombuffer(batch.column(4)[r].as_buffer(), np.int32)
-                ids = np.split(np.frombuffer(batch.column(5)[r].as_buffer(), np.int64), np.cumsum(counts)[:-1])
-                found = block_best(queries, block, ids, more)
-                best = found if best is None else best_of(np.hstack([best[0], found[0]]), np.hstack([best[1], found[1]]), more)
-        if best is not None:
-            yield out()
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        scores = np.frombuffer(b"".join(frame.scores), np.int64)[None]
-        ids = np.frombuffer(b"".join(frame.ids), np.int64)[None]
-        s, i = best_of(np.where(ids < 0, NO_SCORE, scores), ids, more)
-        keep = i[0] >= 0 if (i[0] < 0).any() else slice(None)
-        return pd.DataFrame({"v": frame.v.iloc[:1], "scores": [s[0][keep]], "ids": [i[0][keep]]})
-
-    spread = max(8, min(20_000, spark.sparkContext.defaultParallelism * 4))
-    searched = left.select("q_cell", "q_part", "q_x", "d_x", "counts", "ids", F.pmod(F.xxhash64("d_cell", "d_part"), F.lit(8)).alias("lane"))
-    searched = searched.repartition(spread, "q_cell", "q_part", "lane").sortWithinPartitions("q_cell", "q_part").drop("lane")
-    partial = stored(searched.mapInArrow(search, "v binary, scores binary, ids binary"))
-    results = partial.groupBy("v").applyInPandas(merge, "v binary, scores array<bigint>, ids array<bigint>")
-    results = results.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+                lane, task, _, groups, x, counts, ids, leaf_rows, kth = (c[r].as_py() for c in batch.columns)
+                if place != (lane, task):
+                    yield from out()
+                    place, own = (lane, task), {}
+                if kth is not None:
+                    q = matrix(x)
+                    own[name(groups[0])] = q, np.sqrt((q.astype(float) ** 2).sum(1)), Best(np.frombuffer(kth, float), k)
+                    continue
+                block, sizes = matrix(x), np.frombuffer(leaf_rows, np.int32)
+                counts, ids = np.frombuffer(counts, np.int32), np.frombuffer(ids, np.int64)
+                first_id, leaf = np.cumsum(counts) - counts, np.repeat(np.arange(len(sizes)), sizes)
+                begin = np.cumsum(sizes) - sizes
+                balls = [reach(block[a : a + n].astype(float)) for a, n in zip(begin, sizes, strict=True)]
+                centres, far = np.array([c for c, _ in balls]), np.array([f for _, f in balls])
+                for g in groups:
+                    q, norms, best = own[name(g)]
+                    top = slack(q.astype(float) @ centres.T + norms[:, None] * far, norms[:, None] * (np.sqrt((centres**2).sum(1)) + far))
+                    open_ = top >= best.kth[:, None]
+                    asking, rows = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0)[leaf])
+                    if not len(asking):
+                        continue
+                    product = scores(q[asking], block[rows])
+                    a, c = np.nonzero(product >= best.kth[asking][:, None])
+                    n = counts[rows[c]]
+                    each = np.repeat(np.arange(len(a)), n)
+                    entry = ids[np.repeat(first_id[rows[c]], n) + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)]
+                    best.add(asking[a[each]], product[a, c][each], entry)
+        yield from out()
+
+    return both.mapInArrow(run, "v binary, score bigint, id bigint")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in matrix(batch.column(1)).astype(np.int32)], pa.binary())], ["query_id", "v"])
 
-    queries = asked.mapInArrow(keyed, "query_id bigint, v binary").withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int"))
-    entries = F.slice(F.filter(F.arrays_zip("scores", "ids"), lambda e: e["ids"] != F.col("query_id")), 1, k)
-    done = queries.join(results, ["v", "salt"]).select("query_id", F.posexplode(entries).alias("at", "e"))
-    return done.select("query_id", (F.col("at") + 1).alias("rank"), F.col("e.ids").alias("vec_id"), F.col("e.scores").alias("score"))
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
+    """RESULT: for each row with ``is_query`` the k other rows with the largest inner products."""
+    spark = vectors.sparkSession
+    src = rounded(vectors, is_query, id, vector, scale)
+    most = F.max(F.greatest(F.array_max("q"), F.lit(-1) - F.array_min("q")))
+    about = src.agg(F.max(F.size("q")).alias("dim"), most.alias("most"), F.count_if("asked").alias("asked")).first()
+    if not about.asked:
+        return spark.createDataFrame([], RESULT)
+    dim = max(1, about.dim)
+    kind = next(t for t in ("<i2", "<i4", "<i8") if (about.most or 0) <= np.iinfo(t).max)
+    rows = coded(src, dim, kind)
+    known = stored(classes(rows, k))
+    made = stored(packed(grown(known, dim, kind), dim, kind, k + 1))
+    found = stored(searched(made, needed(made), dim, kind, k + 1))
+    # At most k + 1 entries of each task of the lane meet here.
+    entry = F.struct("score", (-1 - F.col("id")).alias("back"))
+    results = found.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(entry), asc=False), 1, k + 1).alias("entries"))
+    results = results.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    queries = rows.where("asked").select(F.col("id").alias("query_id"), "v").distinct().withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int"))
+    others = F.slice(F.filter("entries", lambda e: e["back"] != -1 - F.col("query_id")), 1, k)
+    done = queries.join(results, ["v", "salt"]).select("query_id", F.posexplode(others).alias("at", "e"))
+    return done.select("query_id", (F.col("at") + 1).alias("rank"), (-1 - F.col("e.back")).alias("vec_id"), F.col("e.score").alias("score"))
 
 
 def op8_dual_tree(spark, sf_dir: str) -> DataFrame:
