@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -162,6 +164,37 @@ def test_warc_round_trip_and_revisits(spark):
     assert warc.deduplicated(pages.limit(0))[0].count() == 0
 
 
+def members(data):
+    while data:
+        one = zlib.decompressobj(31)
+        yield one.decompress(data)
+        data = one.unused_data
+
+
+def test_references_resolve_in_the_new_archives(spark, tmp_path, monkeypatch):
+    """Each record is a gzip member of its own, files are cut by bytes, and each revisit names a response that is there."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    rng = np.random.default_rng(2)
+    rows = [(i, f"http://site/{i}", ["same text", "other \xe9"][i % 2] if i % 3 else random_text(rng, 200)) for i in range(60)]
+    _, path = warc.deduplicated(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2))
+    files = [f.read_bytes() for f in Path(path.removeprefix("file:")).glob("part-*")]
+    assert len(files) > 4 and all(len(f) < 6000 for f in files)
+    heads = {}
+    for file in files:
+        *records, last = members(file)
+        assert last == b""
+        for record in records:
+            (head, block), = warc.parsed(gzip.compress(record))
+            heads[head["warc-record-id"]] = head, block
+    assert len(heads) == 60
+    revisits = [h for h, _ in heads.values() if h["warc-type"] == "revisit"]
+    assert len(revisits) == 38
+    for head in revisits:
+        target, block = heads[head["warc-refers-to"]]
+        assert target["warc-type"] == "response" and target["page-id"] == head["refers-to-page"] and target["warc-payload-digest"] == head["warc-payload-digest"]
+        assert head["warc-refers-to-target-uri"] == target["warc-target-uri"] and head["warc-refers-to-date"] == target["warc-date"] and int(head["payload-length"]) == len(block.partition(warc.END)[2])
+
+
 # --- 4: HTML
 
 

@@ -1,18 +1,20 @@
 """WARC archives with revisit resolution.
 
-``write_archives`` has Spark's text writer lay records end to end, so a file is a WARC file (gzip): the writer
-commits whole files, and lost tasks are written anew.  ``read_records`` reads archives as binary files and follows
-Content-Length, so payloads may hold anything.
+Archives are cut by bytes: tasks lay gzip members, one a record, end to end until ARCHIVE_BYTES are reached, and such an
+archive is one row of Spark's text writer, which commits whole files, so lost tasks are written anew.  The writer's
+line end is an empty gzip member, so each file ends with one.  Every record can be read alone.  ``read_records`` reads
+archives as binary files and follows Content-Length, so payloads may hold anything.
 
 ``resolve`` works on headers alone: grouped by payload digest with partial aggregation, then joined back with a
 salt, as one payload may be behind a third of all records.  ``write_deduplicated`` brings each archive its own
-decisions (one row an archive, at most RECORDS decisions) and writes it again with fresh headers, revisits
-without their payload.
+decisions (one row an archive; Spark broadcasts them while they are small, else archives, as compressed, meet them in
+a shuffle) and writes it again with fresh headers, revisits without their payload.  A record's new id is a function of
+its old one, so a revisit names its response by the id that it has in the new archives.
 
 Defined cases: null payload is empty.  Null urls have no target header.  Null page ids come after all others in
 choosing a response; refers_to is then null.  Of rows that repeat a page id and payload one is the response.  A
 revisit whose original is not in the archives stays a revisit and refers to nothing.  An empty table gives empty
-archives and an empty result.
+archives and an empty result.  Columns other than the three named ones do not matter.
 """
 
 from __future__ import annotations
@@ -22,53 +24,72 @@ import gzip
 import hashlib
 import io
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.scratch import scratch_dir, stored
 
-#: Records of an archive file at most.
-RECORDS = 2000
+#: An archive is closed once it has this many bytes; a longer record has one of its own.
+ARCHIVE_BYTES = 16 << 20
 SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed values of the format.
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
-FIELDS = "path string, nth int, record_id string, page_id bigint, url string, type string, digest string, bytes bigint, refers_to bigint"
+FIELDS = "path string, nth int, record_id string, page_id bigint, url string, date string, type string, digest string, bytes bigint, refers_to bigint"
 
 
-def _write(records: DataFrame, path: str) -> None:
-    records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS).text(path)
+def _member(data: bytes) -> bytes:
+    """A gzip member without a time, as the format advises to compress each record on its own."""
+    made = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return made.compress(data) + made.flush()
+
+
+def _record(fields: dict, block: bytes) -> bytes:
+    head = "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None)
+    return _member(f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode("utf-8", "surrogateescape") + block + END)
+
+
+def _archives(records: Iterable[bytes], most: int) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for record in records:
+        held.append(record)
+        size += len(record)
+        if size >= most:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
+
+
+def _write(archives: DataFrame, path: str) -> None:
+    """A file for each row; the text writer passes the bytes of a string on as they are."""
+    options = {"encoding": "ISO-8859-1", "lineSep": _member(b"").decode("iso-8859-1"), "maxRecordsPerFile": "1", "compression": "none"}
+    archives.select(F.col("archive").cast("string")).write.options(**options).text(path)
 
 
 def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html") -> None:
     """A response record for each row."""
-    body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
-    name = F.md5(F.concat_ws("|", F.lit(uuid.uuid4().hex), F.monotonically_increasing_id().cast("string")))
-    digits = [F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    size = F.octet_length(body)
-    http = F.concat(F.lit(HTTP.split("{}")[0]), size.cast("string"), F.lit(END))
-    safe: Column = F.replace(F.replace(F.col(url).cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-
-    def line(key: str, value: Column) -> Column:
-        return F.coalesce(F.concat(F.lit(f"{key}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
-
-    _write(
-        pages.select(
-            F.concat(
-                F.lit(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: {DATE}\r\n"),
-                line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *digits), F.lit(">"))),
-                line("WARC-Target-URI", safe), line("Page-ID", F.col(id)),
-                line("Content-Type", F.lit("application/http; msgtype=response")),
-                line("Content-Length", F.octet_length(http) + size), F.lit("\r\n"), http, body,
-            )
-        ),
-        path,
-    )
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        for batch in batches:
+            for page, target, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                data = body.as_buffer().to_pybytes() if body.is_valid else b""
+                fields = {
+                    "WARC-Type": "response", "WARC-Date": DATE, "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>",
+                    "WARC-Target-URI": target and target.replace("\r", "%0D").replace("\n", "%0A"), "Page-ID": page,
+                    "Content-Type": "application/http; msgtype=response",
+                }
+                yield _record(fields, HTTP.format(len(data)).encode() + data)
+
+    src = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(payload).cast("string").cast("binary").alias("body"))
+    most = ARCHIVE_BYTES
+    _write(src.mapInArrow(lambda batches: _archives(records(batches), most), "archive binary"), path)
 
 
 def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -91,12 +112,12 @@ def _digest(payload: bytes) -> str:
 
 
 def _seen(head: dict[str, str], block: bytes) -> tuple:
-    """record id, page id, url, type, digest, payload bytes, page referred to."""
+    """record id, page id, url, date, type, digest, payload bytes, page referred to."""
     number = lambda k: int(head[k]) if k in head else None
-    payload = block.partition(END.encode())[2]
-    own = (head.get("warc-record-id"), number("page-id"), head.get("warc-target-uri"), head["warc-type"])
+    own = (head.get("warc-record-id"), number("page-id"), head.get("warc-target-uri"), head.get("warc-date"), head["warc-type"])
     if head["warc-type"] == "revisit":
         return (*own, head.get("warc-payload-digest", "").removeprefix("sha1:") or None, number("payload-length"), number("refers-to-page"))
+    payload = block.partition(END)[2]
     return (*own, _digest(payload), len(payload), None)
 
 
@@ -111,7 +132,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [(place, k, *_seen(head, block)) for k, (head, block) in enumerate(parsed(content.as_py()))]
+                rows = [(place, k, *_seen(head, block)) for k, (head, block) in enumerate(parsed(content.as_buffer()))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -119,13 +140,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve(headers: DataFrame, min_payload: int = 0) -> DataFrame:
-    """``headers`` with the decision of each record: type, digest, bytes, refers_id and refers_to.
+    """``headers`` with the decision of each record: type, digest, bytes, refers_to and target (the response's id, url, date).
 
     Of responses with equal payloads of at least ``min_payload`` bytes the one with the largest page id stays, and
     the others, and revisits with that digest, refer to it; smaller ones stay as they are.
     """
     counted = headers.where((F.col("bytes") >= min_payload) | (F.col("type") == "revisit"))
-    original = F.when(F.col("type") == "response", F.struct("page_id", "record_id", "bytes"))
+    original = F.when(F.col("type") == "response", F.struct("page_id", "record_id", "bytes", "url", "date"))
     groups = counted.groupBy("digest").agg(F.max(original).alias("best"), F.count("*").alias("n")).where("n > 1 and best is not null")
     groups = groups.select("digest", "best", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = headers.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
@@ -135,39 +156,37 @@ def resolve(headers: DataFrame, min_payload: int = 0) -> DataFrame:
         "path", "nth", "record_id", "page_id", "digest",
         F.when(again, "revisit").otherwise(F.col("type")).alias("type"),
         F.coalesce("bytes", F.when(again, F.col("best.bytes"))).alias("bytes"),
-        F.when(again, F.col("best.record_id")).alias("refers_id"),
+        F.when(again, F.struct("best.record_id", "best.url", "best.date")).alias("target"),
         F.when(again, F.col("best.page_id")).otherwise(F.col("refers_to")).alias("refers_to"),
     )
 
 
+def renewed(record_id: str) -> str:
+    """The id in the new archives of a record of the old ones."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, record_id)}>"
+
+
 def write_deduplicated(spark: SparkSession, path: str, decisions: DataFrame, to: str) -> None:
     """The archives at ``path`` again, with fresh headers and revisits in place of repeated payloads."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in batches:
             for content, plan in zip(batch.column(0), batch.column(1), strict=True):
-                out, size = [], 0
-                for (head, block), d in zip(parsed(content.as_py()), plan.as_py(), strict=True):
-                    http, gap, payload = block.partition(END.encode())
-                    again = d["type"] == "revisit"
-                    kept = http + gap + (b"" if again else payload)
-                    lines = {
-                        "WARC-Type": d["type"], "WARC-Date": DATE, "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Target-URI": head.get("warc-target-uri"),
-                        "Page-ID": d["page_id"], "WARC-Payload-Digest": f"sha1:{d['digest']}", "Payload-Length": d["bytes"],
-                        "WARC-Profile": PROFILE if again else None, "Refers-To-Page": d["refers_to"], "WARC-Refers-To-Target": d["refers_id"],
-                        "Content-Type": "application/http; msgtype=response", "Content-Length": len(kept),
+                for (head, block), d in zip(parsed(content.as_buffer()), plan.as_py(), strict=True):
+                    http, gap, payload = block.partition(END)
+                    again, target = d["type"] == "revisit", d["target"] or {}
+                    fields = {
+                        "WARC-Type": d["type"], "WARC-Date": head.get("warc-date", DATE), "WARC-Record-ID": renewed(head.get("warc-record-id", "")),
+                        "WARC-Target-URI": head.get("warc-target-uri"), "WARC-Payload-Digest": f"sha1:{d['digest']}", "WARC-Profile": PROFILE if again else None,
+                        "WARC-Refers-To": renewed(target["record_id"]) if target else None, "WARC-Refers-To-Target-URI": target.get("url"), "WARC-Refers-To-Date": target.get("date"),
+                        "Page-ID": d["page_id"], "Payload-Length": d["bytes"], "Refers-To-Page": d["refers_to"], "Content-Type": "application/http; msgtype=response",
                     }
-                    text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items() if v is not None) + "\r\n"
-                    out.append(text.encode("utf-8", "surrogateescape") + kept)
-                    size += len(out[-1])
-                    if size > 1 << 23:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-                        out, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-
-    own = decisions.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("nth", "type", "page_id", "digest", "bytes", "refers_id", "refers_to"))).alias("plan"))
-    records = _files(spark, path).join(own, "path").select("content", "plan").mapInArrow(run, "record binary")
-    _write(records.select(F.col("record").cast("string")), to)
+                    yield _record(fields, http + gap + (b"" if again else payload))
+
+    own = decisions.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("nth", "type", "page_id", "digest", "bytes", "target", "refers_to"))).alias("plan"))
+    met = _files(spark, path).join(stored(own), "path").select("content", "plan")
+    most = ARCHIVE_BYTES
+    _write(met.mapInArrow(lambda batches: _archives(records(batches), most), "archive binary"), to)
 
 
 def deduplicated(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", min_payload: int = 0) -> tuple[DataFrame, str]:
