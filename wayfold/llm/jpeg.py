@@ -270,6 +270,8 @@ def decode_scans(images: list[Parsed], data: list[bytes]) -> list[np.ndarray]:
         n = -(-total // span)
         if n != len(own) + 1:
             raise ValueError("restart markers do not fit the frame")
+        if total > 4 * (p.scan[1] - p.scan[0]):  # a block has at least two codes of a bit
+            raise ValueError("the scan is too short for the frame")
         lane_pos.append(8 * kept[np.concatenate(([start[i]], own + 2))])
         lane_block.append(blocks[i] + span * np.arange(n))
         lane_left.append(np.minimum(span, total - span * np.arange(n)))

@@ -7,8 +7,8 @@ about as wide as high; blocks of zeros fill its last row, and the comment segmen
 ``read_media`` reads any baseline JPEG: dimensions, the DC-only luminance thumbnail and its hashes; for files of
 ``text_media`` it also gives the payload's checks.  Files are written to and read from a stored table.
 
-Defined cases: null text is empty: 64 bytes 0.  Equal texts give equal files.  Null, empty or other media:
-dimensions, hashes and payload columns null.  Repeated rows are kept; an empty table gives an empty result.
+Defined cases: null text is empty: 64 bytes 0.  Equal texts give equal files.  Null, empty, damaged or other media:
+dimensions, hashes and payload columns null; files read beside them are not affected.  Repeated rows are kept; an empty table gives an empty result.
 Long texts are coded in runs of restart intervals, so arrays beside the text itself stay small.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ TO_BYTE = np.zeros(257, np.uint8)
 TO_BYTE[TO_COEFFICIENT + 128] = np.arange(256)
 #: Intervals coded or decoded at once.
 RUN = 4096
+#: What reading a damaged file may raise.
+DAMAGED = (ValueError, IndexError, KeyError, struct.error)
 
 
 def text_image(buf: np.ndarray, off: np.ndarray) -> list[bytes]:
@@ -91,10 +94,9 @@ def _decoded(files: list[bytes | None]) -> list[tuple | None]:
     for i, data in enumerate(files):
         try:
             image = parse(data or b"")
-        except (ValueError, IndexError, KeyError):
+            groups.setdefault(image.shape, []).append((i, image))
+        except DAMAGED:
             continue
-        lanes = groups.setdefault(image.shape, [])
-        lanes.append((i, image))
     for found in groups.values():
         at = 0
         while at < len(found):
@@ -104,9 +106,15 @@ def _decoded(files: list[bytes | None]) -> list[tuple | None]:
                 total = image.mcus[0] * image.mcus[1]
                 size += -(-total // (image.restart or total or 1))
                 to += 1
-            part = found[at:to]
-            for (i, image), c in zip(part, decode_scans([p for _, p in part], [files[i] for i, _ in part]), strict=True):
-                out[i] = image, c
+            for some in (found[at:to], *([one] for one in found[at:to])):
+                try:
+                    made = decode_scans([p for _, p in some], [files[i] for i, _ in some])
+                except DAMAGED:
+                    continue  # then each file alone
+                for (i, image), c in zip(some, made, strict=True):
+                    out[i] = image, c
+                if len(some) == to - at:
+                    break
             at = to
     return out
 
@@ -115,7 +123,10 @@ def _features(data: bytes | None, found: tuple | None) -> tuple:
     if found is None:
         return (None,) * 10
     image, coefficients = found
-    thumbnail = luminance(image, coefficients)
+    try:
+        thumbnail = luminance(image, coefficients)
+    except DAMAGED:
+        return (None,) * 10
     shown = hashlib.sha256(thumbnail.tobytes()).hexdigest()
     mean = average_hash(thumbnail)
     seen = (image.width, image.height, mean, shown, len(data), hashlib.sha256(data).hexdigest())
