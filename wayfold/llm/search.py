@@ -254,12 +254,10 @@ def needed(made: DataFrame) -> DataFrame:
         balls = met.groupBy("is_block", "node", "part").agg(F.first("middle").alias("centre"), F.max(apart(F.col("middle"), F.col("centre")) + F.col("far")).alias("far"), F.min("worst").alias("worst"))
         return balls.withColumns({"up": F.slice("node", 1, level - 1), "norm": F.sqrt(dot(F.col("centre"), F.col("centre")))})
 
-    pairs = None
+    pairs = stored(made.sparkSession.createDataFrame([([], [])], "q_up array<int>, d_up array<int>"))
     for level in range(1, depth + 2):
         ball = stored(nodes(level))
         q, d = (ball.where(which).select(*(F.col(c).alias(f"{s}_{c}") for c in ball.columns)) for s, which in (("q", "not is_block"), ("d", "is_block")))
-        if pairs is None:
-            pairs = made.sparkSession.createDataFrame([([], [])], "q_up array<int>, d_up array<int>")
         size = (F.col("q_norm") + F.col("q_far")) * (F.col("d_norm") + F.col("d_far"))
         bound = slack(dot(F.col("q_centre"), F.col("d_centre")) + F.col("q_far") * F.col("d_norm") + F.col("d_far") * F.col("q_norm") + F.col("q_far") * F.col("d_far"), size)
         pairs = pairs.join(q, "q_up").join(d, "d_up").withColumn("bound", bound).where("bound >= q_worst")
