@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 import time
 import zlib
 from pathlib import Path
@@ -108,6 +109,24 @@ def test_media_table(spark):
     assert media.read_media(made.limit(0)).count() == 0
 
 
+def test_damaged_files_give_nulls(spark):
+    """Short headers, lost restart markers, cut scans, missing tables and frames far larger than the file."""
+    text = "the quick brown fox jumps over the lazy dog " * 3000
+    whole = media.text_image(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]
+    frame, table, quant, scan = (whole.index(bytes([255, m])) for m in (0xC0, 0xC4, 0xDB, 0xDA))
+    mark = whole.index(b"\xff\xd0", scan)
+    bad = [
+        whole[:frame] + b"\xff\xc0\x00\x05\x08\x00\x08" + whole[scan:], whole[:mark] + whole[mark + 2 :], whole[: scan + 20], whole[: len(whole) // 2],
+        whole[:table] + whole[scan:], whole[:quant] + whole[frame:], whole[: frame + 5] + b"\xff\xff\xff\xff" + whole[frame + 9 :], whole[:30], b"\xff\xd8\xff", b"\xff\xd8\xff\xdb\x00\x03\x00",
+    ]
+    rows = [(0, whole), *enumerate(bad, 1), (99, whole)]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "id long, media binary").coalesce(1)
+    got = {r.id: r for r in media.read_media(df).collect()}
+    assert got[0].n_bytes == got[99].n_bytes == len(text) and got[0].payload_sha256 == got[99].payload_sha256
+    assert [i for i in range(1, 1 + len(bad)) if got[i].n_bytes is not None and got[i].payload_sha256 == got[0].payload_sha256] == []
+    assert [got[i].width for i in range(1, 1 + len(bad))] == [None] * len(bad)
+
+
 # --- 2: mixing
 
 
@@ -118,11 +137,58 @@ def test_flow_prefers_new_words_to_repeats():
     assert taken == [100, 100, 10]
 
 
-def test_targets_stop_at_twice_the_size():
+def cost_of(taken, supplies):
+    """The price of ``taken`` words of each pattern: 1 for first copies, 3 for second ones."""
+    return sum(min(t, n) + 3 * max(0, t - n) for t, (_, n) in zip(taken, supplies, strict=True))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_flow_is_of_least_cost(seed):
+    """Against all whole flows of small instances: as much flows as can, at the least price."""
+    rng = np.random.default_rng(seed)
+    names = ["a", "b", "c"][: 2 + seed % 2]
+    patterns = [p for k in (1, 2, 3) for p in itertools.combinations(names, k)]
+    supplies = [(patterns[i], int(rng.integers(0, 4))) for i in rng.choice(len(patterns), 3, replace=False)]
+    quotas = {s: int(rng.integers(0, 6)) for s in names}
+    flow = mixing.route(supplies, quotas, 2)
+    assert all(sum(n for (_, s), n in flow.items() if s == name) <= quotas[name] for name in names)
+    mine = [sum(n for (p, _), n in flow.items() if p == k) for k in range(3)]
+    assert all(t <= 2 * n for t, (_, n) in zip(mine, supplies, strict=True)) and all(s in supplies[p][0] for p, s in flow)
+
+    def splits(total, parts):
+        return [()] if not parts else [(x, *rest) for x in range(total + 1) for rest in splits(total - x, parts - 1)]
+
+    best = max((sum(map(sum, choice)), -cost_of([sum(c) for c in choice], supplies)) for choice in itertools.product(*(splits(2 * n, len(p)) for p, n in supplies)) if all(sum(x for c, (p, _) in zip(choice, supplies, strict=True) for x, s in zip(c, p, strict=True) if s == name) <= quotas[name] for name in names))
+    assert (sum(mine), -cost_of(mine, supplies)) == best
+
+
+def test_flow_over_many_patterns():
+    rng = np.random.default_rng(0)
+    names = [f"s{k}" for k in range(60)]
+    supplies = [(tuple(sorted(rng.choice(names, 3, replace=False))), int(rng.integers(1, 1000))) for _ in range(5000)]
+    total = sum(n for _, n in supplies)
+    flow = mixing.route(supplies, {s: total // 50 for s in names}, 2)
+    assert sum(flow.values()) == 60 * (total // 50) or sum(flow.values()) == 2 * total
+
+
+def test_targets_stop_at_twice_the_size(spark):
+    def targets(sizes, weights):
+        frame = spark.createDataFrame([(f"{k:03}", n) for k, n in enumerate(sizes)], "name string, size long")
+        return [r.target for r in mixing.capped_targets(frame, weights, 1.5, 2).orderBy("name").collect()]
+
     sizes = [10, 1000, 500, 700]
-    targets = mixing.capped_targets(sizes, (3, 1, 2), 1.5, 2)
-    assert targets[0] == 20 and sum(targets) == pytest.approx(1.5 * sum(sizes)) and all(t <= 2 * s + 1e-9 for t, s in zip(targets, sizes, strict=True))
-    assert mixing.capped_targets([], (1,), 1.5, 2) == [] and mixing.capped_targets([0, 0], (1, 2), 1.5, 2) == [0, 0]
+    found = targets(sizes, (3, 1, 2))
+    assert found == pytest.approx([20, 895, 1000, 1400])
+    assert targets([], (1,)) == [] and targets([0, 0], (1, 2)) == [0, 0]
+    powers = [2**k for k in range(30)]
+    assert sum(targets(powers, (3, 1, 2))) == pytest.approx(1.5 * sum(powers))
+
+
+def test_a_source_for_each_document(spark):
+    """Sources that do not overlap need no flow, however many there are."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), F.col("id").cast("string")).alias("source"), (F.col("id") % 7).alias("n"))
+    out = mixing.mix(docs, F.col("n")).toPandas()
+    assert len(out) == 3000 and (out.target <= 2 * out["size"] + 1e-9).all() and out.target.sum() == pytest.approx(1.5 * out["size"].sum()) and (abs(out.taken - out.target) <= out["size"]).all()
 
 
 def test_mix_comes_near_its_targets(spark):

@@ -5,9 +5,10 @@
 2. Targets: sources in code point order, null last, take ``weights`` in turn and share ``share`` times all words
    of the sources; a target stops at ``repeats`` times its source's size, and the excess is shared again.
 3. Pattern words flow to the targets of the pattern's sources.  The r-th repetition of a word costs 2 r - 1, so
-   costs are convex and nothing is repeated while unrepeated words of another pattern could serve.  Successive
-   shortest paths solve the graph on the driver; it has a node for each source and each distinct pattern, not for
-   documents (at most MOST_PATTERNS, else an error asks for coarser memberships).
+   costs are convex and nothing is repeated while unrepeated words of another pattern could serve.  A source whose
+   documents are in no other one gets its target from its own pattern.  The others make up a graph with a node for each
+   source and pattern, not for documents (at most MOST_PATTERNS patterns, else an error asks for coarser memberships);
+   the driver solves it, one largest flow for each price.
 4. A pattern's flow is a number of whole repetitions of all its documents and a rest.  The rest is chosen by a
    seeded hash: within each pattern, size classes from long to short documents each take their share of what is
    still missing, by whole hash buckets, so that short documents make up for what long ones overshoot.  Sums by
@@ -16,7 +17,7 @@
 A document is taken whole, none, or several times; the choice depends on its id, size and sources alone, so reruns
 agree.  Defined cases: a null size is 0; a document of size 0 (null text, or text without words) is never taken.  Rows that are equal in
 id, size and sources are taken alike.  Null sources are a source of their own; an empty or null array has no
-source and is never taken.  An empty table gives an empty result.  Columns of the same name as those added here
+source, is never taken and has null for source_size and target.  An empty table gives an empty result.  Columns of the same name as those added here
 are replaced.
 """
 
@@ -31,73 +32,91 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from wayfold.llm.scratch import stored
+from wayfold.tables import numbered
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1024
 MOST_PATTERNS = 100_000
 
 
-def capped_targets(sizes: list[int], weights: tuple[float, ...], share: float, repeats: int) -> list[float]:
-    """Targets of sources in order: weights in turn, none above ``repeats`` times its size, the excess reshared."""
-    w = [float(weights[i % len(weights)]) for i in range(len(sizes))]
-    most = [float(repeats * s) for s in sizes]
-    target = [0.0] * len(sizes)
-    free, left = set(range(len(sizes))), min(share * sum(sizes), sum(most))
-    while free:
-        total = sum(w[i] for i in sorted(free))
-        over = {i for i in free if left * w[i] / total > most[i]}
-        for i in sorted(over or free):
-            target[i] = most[i] if over else left * w[i] / total
-        if not over:
-            break
-        left -= sum(most[i] for i in sorted(over))
-        free -= over
-    return target
+def capped_targets(sources: DataFrame, weights: tuple[float, ...], share: float, repeats: int) -> DataFrame:
+    """name, size and target of (name, size): weights in turn by name, none above ``repeats`` times its size, the excess reshared.
+
+    A target is the smaller of that limit and a rate times its weight.  Each round gives those that are free what the
+    others leave; the rate only rises, so rounds end when no more sources reach their limit.
+    """
+    nth = (F.col("nth") - 1) % len(weights) + 1
+    listed = numbered(sources, "nth", "name").select("name", "size", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), nth.cast("int")).alias("weight"), (F.lit(float(repeats)) * F.col("size")).alias("most"))
+    all_ = listed.agg(F.sum("size").alias("size"), F.sum("most").alias("most")).first()
+    left, rate, before = min(share * (all_.size or 0), all_.most or 0.0), 0.0, -1
+    while True:
+        over = F.col("most") < rate * F.col("weight")
+        r = listed.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("most"))).alias("full"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+        if r.n == before or not r.weight:
+            return listed.select("name", "size", F.least(F.col("most"), F.lit(rate) * F.col("weight")).alias("target"))
+        rate, before = (left - (r.full or 0.0)) / r.weight, r.n
 
 
 def route(supplies: list[tuple[tuple[str, ...], int]], quotas: dict[str, int], repeats: int) -> dict[tuple[int, str], int]:
-    """Words that flow from each pattern to each source: the largest flow, at the least cost of repetition."""
-    nodes = {name: k for k, name in enumerate(["from", "to", *range(len(supplies)), *((s,) for s in quotas)])}
-    graph: list[list[int]] = [[] for _ in nodes]
-    ends, room, cost = [], [], []
-
-    def edge(a: int, b: int, capacity: int, price: int) -> int:
-        for x, y, c, p in ((a, b, capacity, price), (b, a, 0, -price)):
-            graph[x].append(len(ends))
-            ends.append(y), room.append(c), cost.append(p)
-        return len(ends) - 2
-
-    links = {}
+    """Words that flow from each pattern to each source: the largest flow, at the least cost of repetition.
+
+    Only edges into patterns have a price, 2 r - 1 for the r-th copy, and a cheapest path never comes back to the
+    start.  So paths of one price are taken together: the r-th copies are opened in turn, and each time the flow is
+    made as large as it can be by shortest augmenting paths, a whole layer at once.
+    """
+    names = list(quotas)
+    at = {s: len(supplies) + k for k, s in enumerate(names)}
+    graph: list[list[int]] = [[] for _ in range(len(supplies) + len(names))]
+    ends, room, links = [], [], {}
     for p, (sources, size) in enumerate(supplies):
-        for r in range(1, repeats + 1):
-            edge(nodes["from"], nodes[p], size, 2 * r - 1)
         for s in sources:
-            if s in quotas:
-                links[p, s] = edge(nodes[p], nodes[(s,)], repeats * size, 0)
-    for s, quota in quotas.items():
-        edge(nodes[(s,)], nodes["to"], quota, 0)
-    while True:
-        far, by, queue, queued = [None] * len(nodes), [-1] * len(nodes), deque([nodes["from"]]), {nodes["from"]}
-        far[nodes["from"]] = 0
-        while queue:
-            a = queue.popleft()
-            queued.discard(a)
-            for e in graph[a]:
-                b = ends[e]
-                if room[e] and (far[b] is None or far[a] + cost[e] < far[b]):
-                    far[b], by[b] = far[a] + cost[e], e
-                    if b not in queued:
-                        queue.append(b), queued.add(b)
-        if far[nodes["to"]] is None:
-            return {link: room[e ^ 1] for link, e in links.items()}
-        path, b = [], nodes["to"]
-        while b != nodes["from"]:
-            path.append(by[b])
-            b = ends[by[b] ^ 1]
-        amount = min(room[e] for e in path)
-        for e in path:
-            room[e] -= amount
-            room[e ^ 1] += amount
+            if s in at:
+                links[p, s] = len(ends)
+                for a, b, capacity in ((p, at[s], repeats * size), (at[s], p, 0)):
+                    graph[a].append(len(ends))
+                    ends.append(b), room.append(capacity)
+    supply, demand = [0] * len(graph), [0] * len(supplies) + [quotas[s] for s in names]
+    for _ in range(repeats):
+        for p, (_, size) in enumerate(supplies):
+            supply[p] += size
+        while True:
+            layer, queue = {n: 0 for n in range(len(supplies)) if supply[n]}, deque(n for n in range(len(supplies)) if supply[n])
+            while queue:
+                a = queue.popleft()
+                for e in graph[a]:
+                    if room[e] and ends[e] not in layer:
+                        layer[ends[e]] = layer[a] + 1
+                        queue.append(ends[e])
+            goals = [layer[n] for n in layer if demand[n]]
+            if not goals:
+                break
+            depth, following = min(goals), [0] * len(graph)
+            for start in range(len(supplies)):
+                path, node = [], start
+                while supply[start]:
+                    if demand[node] and layer.get(node) == depth:
+                        amount = min(supply[start], demand[node], *(room[e] for e in path))
+                        supply[start] -= amount
+                        demand[node] -= amount
+                        for e in path:
+                            room[e] -= amount
+                            room[e ^ 1] += amount
+                        path, node = [], start
+                        continue
+                    while following[node] < len(graph[node]):
+                        e = graph[node][following[node]]
+                        if room[e] and layer.get(ends[e]) == layer[node] + 1 <= depth:
+                            break
+                        following[node] += 1
+                    else:
+                        if not path:
+                            break
+                        node = ends[path.pop() ^ 1]
+                        following[node] += 1
+                        continue
+                    path.append(e)
+                    node = ends[e]
+    return {link: room[e ^ 1] for link, e in links.items()}
 
 
 def _cuts(frame: pd.DataFrame) -> pd.DataFrame:
@@ -145,28 +164,29 @@ def mix(docs: DataFrame, size: Column, id: str = "doc_id", source: str = "source
         sized(docs, ()).groupBy(F.col("__pattern").alias("pattern"), F.col("__grade").alias("grade"), F.col("__bucket").alias("bucket"))
         .agg(F.first("__members").alias("members"), F.sum("__size").alias("words"))
     )
-    found = sums.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("words").alias("words"))
-    patterns = found.limit(MOST_PATTERNS + 1).collect()
+    found = stored(sums.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("words").alias("words")))
+    members_of = found.select("pattern", F.size("members").alias("n"), F.explode("members").alias("name"), "words")
+    targets = stored(capped_targets(members_of.groupBy("name").agg(F.sum("words").alias("size")), weights, share, repeats))
+    shared = stored(members_of.where("n > 1").select("name").distinct())
+    met = members_of.join(targets, "name")
+    sums_of = met.groupBy("pattern").agg(F.sum("size").alias("source_size"), F.sum("target").alias("target"), F.first("words").alias("words"))
+    alone = met.join(shared, "name", "left_anti").select("pattern", F.round("target").cast("long").alias("flow"))
+    patterns = members_of.join(shared, "name", "left_semi").select("pattern").distinct().join(found, "pattern").limit(MOST_PATTERNS + 1).collect()
     if len(patterns) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns: use coarser sources")
+        raise ValueError(f"more than {MOST_PATTERNS} patterns of overlapping sources: use coarser memberships")
     patterns.sort(key=lambda r: r.pattern)
-    totals: dict[str, int] = {}
-    for r in patterns:
-        for m in r.members:
-            totals[m] = totals.get(m, 0) + r.words
-    names = sorted(totals)
-    targets = dict(zip(names, capped_targets([totals[n] for n in names], weights, share, repeats), strict=True))
-    flow = route([(tuple(r.members), r.words) for r in patterns], {n: round(t) for n, t in targets.items()}, repeats)
+    quotas = {r.name: round(r.target) for r in targets.join(shared, "name", "left_semi").orderBy("name").collect()} if patterns else {}
     taken = [0] * len(patterns)
-    for (p, _), n in flow.items():
+    for (p, _), n in route([(tuple(r.members), r.words) for r in patterns], quotas, repeats).items():
         taken[p] += n
-    plan = [(r.pattern, float(sum(totals[m] for m in r.members)), float(sum(targets[m] for m in r.members)), *divmod(t, r.words or 1)) for r, t in zip(patterns, taken, strict=True)]
-    planned = spark.createDataFrame(plan, "pattern string, source_size double, target double, whole long, rest long")
-    cuts = stored(sums.join(F.broadcast(planned.select("pattern", "rest")), "pattern").select("pattern", "grade", "bucket", "words", "rest").groupBy("pattern").applyInPandas(_cuts, "pattern string, grade int, cut int"))
-    # A row for each pattern and size class: at most 64 * MOST_PATTERNS, by construction.
-    steps = cuts.join(F.broadcast(planned), "pattern").select(F.col("pattern").alias("__pattern"), F.col("grade").alias("__grade"), F.col("cut").alias("__cut"), F.col("whole").alias("__whole"), F.col("source_size").cast("long").alias("__source_size"), F.col("target").alias("__target"))
+    flows = alone.union(spark.createDataFrame([(r.pattern, t) for r, t in zip(patterns, taken, strict=True)], "pattern string, flow long"))
+    words = F.greatest("words", F.lit(1))
+    planned = stored(sums_of.join(flows, "pattern").select("pattern", "source_size", "target", ((F.col("flow") - F.pmod("flow", words)) / words).cast("long").alias("whole"), F.pmod("flow", words).alias("rest")))
+    cuts = stored(sums.join(planned.select("pattern", "rest"), "pattern").select("pattern", "grade", "bucket", "words", "rest").groupBy("pattern").applyInPandas(_cuts, "pattern string, grade int, cut int"))
+    # A row for each pattern and size class, stored so that Spark knows its size when it chooses the join.
+    steps = stored(cuts.join(planned, "pattern").select(F.col("pattern").alias("__pattern"), F.col("grade").alias("__grade"), F.col("cut").alias("__cut"), F.col("whole").alias("__whole"), F.col("source_size").cast("long").alias("__source_size"), F.col("target").alias("__target")))
     times = F.when(F.col("__size") > 0, F.col("__whole") + (F.col("__bucket") < F.col("__cut")).cast("long")).otherwise(0)
-    done = sized(docs, keep).join(F.broadcast(steps), ["__pattern", "__grade"], "left")
+    done = sized(docs, keep).join(steps, ["__pattern", "__grade"], "left")
     times = F.coalesce(times, F.lit(0))
     added = (F.col("__size"), F.col("__source_size"), F.col("__target"), times, times * F.col("__size"))
     return done.select(*keep, *(c.alias(prefix + n) for n, c in zip(ADDED, added, strict=True)))
