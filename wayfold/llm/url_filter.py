@@ -6,7 +6,8 @@ characters together, then the smaller rule text); urls that no rule fits get ``d
 
 Everything is DataFrame functions.  Each url tests its host suffixes and path prefixes against the filter
 inside one row (higher-order functions, no explode); only keys that the filter passes are exploded and
-joined with the rules, so the join sees the possible hits of distinct (host, path) pairs.
+joined with the rules, so the join sees the possible hits of distinct (host, path) pairs.  Its result goes back to the
+pages with possible hits alone; all other pages, also those without a url, take no part in any shuffle.
 
 Defined cases: null url, or no ``://``: empty host and path, default verdict.  Repeated rows keep their
 count.  An empty rule table gives every url the default.  Extra columns pass through; columns that this
@@ -25,6 +26,7 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: The filter is a literal of at most this many 64-bit blocks (1 MiB), whatever the number of rules;
 #: more rules raise the rate of false positives, which the join removes.
 MAX_BLOCKS = 1 << 17
+SALTS = 16
 
 
 def url_host(url: Column) -> Column:
@@ -95,25 +97,26 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         block, mask = _bits(_key(pair["h"], pair["p"]), len(words))
         return F.get(blocks, block).bitwiseAND(mask) == mask
 
+    # Of the pages themselves only possible hits meet the join; those that the filter clears pass by.
+    page = page.withColumn("__possible", F.filter(pairs, might_hold))
+    kept = [c for c in page.columns if c not in ("rule", "verdict", "__possible")]
+    hits, clear = page.where(F.size("__possible") > 0), page.where(F.size("__possible") == 0)
     possible = (
-        page.select("host", "path", F.filter(pairs, might_hold).alias("possible"))
-        .where(F.size("possible") > 0)
-        .dropDuplicates(["host", "path"])
-        .select("host", "path", F.explode("possible").alias("k"))
+        hits.select("host", "path", "__possible").dropDuplicates(["host", "path"])
+        .select("host", "path", F.explode("__possible").alias("k"))
         .select("host", "path", F.col("k.h").alias("rule_host"), F.col("k.p").alias("rule_path"))
     )
     text = F.concat("rule_host", "rule_path")
     best = (
         possible.join(listed, ["rule_host", "rule_path"])
         .groupBy("host", "path")
-        .agg(F.min(F.struct((-F.length(text)).alias("n"), text.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("best"))
-        .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("rule_verdict"))
-    )
-    kept = [c for c in page.columns if c not in ("rule", "verdict", "rule_verdict")]
-    return (
-        page.select(*kept).join(best, ["host", "path"], "left")
-        .select(*kept, "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
+        .agg(F.min(F.struct((-F.length(text)).alias("n"), text.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("__best"))
     )
+    # One url may be behind a third of all rows, so its rows are dealt over SALTS partitions.
+    best = best.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = hits.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(best, ["host", "path", "__salt"], "left")
+    judged = met.select(*kept, F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    return judged.union(clear.select(*kept, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
 
 
 #: The rules of the registered query.
