@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below a temporary folder."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset and Spark runs on one machine, below a temporary one.
+
+    On a cluster a machine's own folder would be read by no other, so there the setting is needed.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.wayfold.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="wayfold-")
         spark.conf.set("spark.wayfold.scratch", base)
     return f"{base.rstrip('/')}/wayfold-{uuid.uuid4().hex}"
