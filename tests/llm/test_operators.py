@@ -632,3 +632,54 @@ def test_crossover_keeps_every_piece():
     a, b = packing.first_population(lengths, 2048, rng)[:2]
     for child in (packing.crossover(a, b, lengths, 2048, rng), packing.mutated(a, lengths, 2048, rng)):
         assert sorted(i for x in child for i in x) == list(range(300)) and all(sum(lengths[i] for i in x) <= 2048 for x in child)
+
+
+def triplets(rng, bins, size):
+    """Pieces that fill ``bins`` bins by threes, in random order."""
+    a = rng.integers(int(size * 0.38), int(size * 0.49), bins)
+    b = rng.integers(int(size * 0.27), int(size * 0.30), bins)
+    return rng.permutation(np.concatenate([a, b, size - a - b])).tolist()
+
+
+def test_evolution_beats_best_fit_decreasing():
+    """Triplets: best fit in decreasing order wastes room, crossover and exchange win most of it back."""
+    lengths = triplets(np.random.default_rng(3), 60, 1000)
+    order = np.argsort(-np.array(lengths), kind="stable")
+    plain = packing.best_fit(lengths, 1000, order)
+    rng = np.random.default_rng(1)
+    best = packing.evolve(packing.first_population(lengths, 1000, rng), lengths, 1000, rng, 150)[0]
+    assert packing.lower_bound(lengths, 1000) == 60 and len(plain) >= 64 and len(best) <= 62
+    assert sorted(i for x in best for i in x) == list(range(180)) and all(sum(lengths[i] for i in x) <= 1000 for x in best)
+
+
+def test_lower_bound_holds():
+    def fewest(lengths, size):
+        def fits(rest, bins):
+            if not rest:
+                return True
+            tried = set()
+            for k, b in enumerate(bins):
+                if b + rest[0] <= size and b not in tried:
+                    tried.add(b)
+                    if fits(rest[1:], [*bins[:k], b + rest[0], *bins[k + 1 :]]):
+                        return True
+            return False
+
+        return next(n for n in range(len(lengths) + 1) if fits(sorted(lengths, reverse=True), [0] * n))
+
+    rng = np.random.default_rng(5)
+    cases = [rng.integers(1, 11, 7).tolist() for _ in range(60)]
+    bounds = [(packing.lower_bound(c, 10), fewest(c, 10)) for c in cases]
+    assert all(low <= best for low, best in bounds) and sum(low == best for low, best in bounds) > 45
+    assert packing.lower_bound([], 10) == 0
+
+
+def test_islands_save_sequences_and_bad_lengths_fail(spark):
+    lengths = triplets(np.random.default_rng(4), 40, 100_000)
+    pieces = spark.createDataFrame([(i, n, "x") for i, n in enumerate(lengths)], "id long, length long, uid string").withColumn("offset", F.lit("old"))
+    out = packing.pack(pieces, 100_000, generations=60).toPandas()
+    plain = packing.best_fit(lengths, 100_000, np.argsort(-np.array(lengths), kind="stable"))
+    assert out.sequence_id.nunique() < len(plain) and (out.groupby("sequence_id").length.sum() <= 100_000).all() and (out.uid == "x").all()
+    for bad in (None, 0, 100_001):
+        with pytest.raises(Exception, match="a piece has"):
+            packing.pack(spark.createDataFrame([(1, bad)], "id long, length long"), 100_000).collect()
