@@ -6,9 +6,9 @@ line end is an empty gzip member, so each file ends with one.  Every record can
 archives as binary files and follows Content-Length, so payloads may hold anything.
 
 ``resolve`` works on headers alone: grouped by payload digest with partial aggregation, then joined back with a
-salt, as one payload may be behind a third of all records.  ``write_deduplicated`` brings each archive its own
-decisions (one row an archive; Spark broadcasts them while they are small, else archives, as compressed, meet them in
-a shuffle) and writes it again with fresh headers, revisits without their payload.  A record's new id is a function of
+salt, as one payload may be behind a third of all records.  ``write_deduplicated`` brings each archive the targets of
+its revisits (one stored row an archive; by its size Spark broadcasts that table, or sorts it and the compressed
+archives) and writes it again with fresh headers, revisits without their payload.  A record's new id is a function of
 its old one, so a revisit names its response by the id that it has in the new archives.
 
 Defined cases: null payload is empty.  Null urls have no target header.  Null page ids come after all others in
@@ -171,20 +171,23 @@ def write_deduplicated(spark: SparkSession, path: str, decisions: DataFrame, to:
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in batches:
-            for content, plan in zip(batch.column(0), batch.column(1), strict=True):
-                for (head, block), d in zip(parsed(content.as_buffer()), plan.as_py(), strict=True):
+            for content, plan in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                targets = {d["nth"]: (d["target"], d["refers_to"]) for d in plan or ()}
+                for nth, (head, block) in enumerate(parsed(content.as_buffer())):
                     http, gap, payload = block.partition(END)
-                    again, target = d["type"] == "revisit", d["target"] or {}
+                    _, page, url, date, kind, digest, size, refers = _seen(head, block)
+                    target, refers = targets.get(nth, (None, refers))
+                    again = kind == "revisit" or target is not None
                     fields = {
-                        "WARC-Type": d["type"], "WARC-Date": head.get("warc-date", DATE), "WARC-Record-ID": renewed(head.get("warc-record-id", "")),
-                        "WARC-Target-URI": head.get("warc-target-uri"), "WARC-Payload-Digest": f"sha1:{d['digest']}", "WARC-Profile": PROFILE if again else None,
-                        "WARC-Refers-To": renewed(target["record_id"]) if target else None, "WARC-Refers-To-Target-URI": target.get("url"), "WARC-Refers-To-Date": target.get("date"),
-                        "Page-ID": d["page_id"], "Payload-Length": d["bytes"], "Refers-To-Page": d["refers_to"], "Content-Type": "application/http; msgtype=response",
+                        "WARC-Type": "revisit" if again else kind, "WARC-Date": date or DATE, "WARC-Record-ID": renewed(head.get("warc-record-id", "")),
+                        "WARC-Target-URI": url, "WARC-Payload-Digest": digest and f"sha1:{digest}", "WARC-Profile": PROFILE if again else None,
+                        "WARC-Refers-To": target and renewed(target["record_id"]), "WARC-Refers-To-Target-URI": target and target["url"], "WARC-Refers-To-Date": target and target["date"],
+                        "Page-ID": page, "Payload-Length": size, "Refers-To-Page": refers, "Content-Type": "application/http; msgtype=response",
                     }
                     yield _record(fields, http + gap + (b"" if again else payload))
 
-    own = decisions.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("nth", "type", "page_id", "digest", "bytes", "target", "refers_to"))).alias("plan"))
-    met = _files(spark, path).join(stored(own), "path").select("content", "plan")
+    own = decisions.where("target is not null").groupBy("path").agg(F.collect_list(F.struct("nth", "target", "refers_to")).alias("plan"))
+    met = _files(spark, path).join(stored(own), "path", "left").select("content", "plan")
     most = ARCHIVE_BYTES
     _write(met.mapInArrow(lambda batches: _archives(records(batches), most), "archive binary"), to)
 
