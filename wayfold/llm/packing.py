@@ -236,9 +236,9 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], size:
 
 
 def mutated(a: list[list[int]], lengths: list[int], size: int, rng: np.random.Generator) -> list[list[int]]:
-    """``a`` without its emptiest bin and a few random ones, whose pieces are placed again."""
+    """``a`` without its emptiest bin and up to two random ones, whose pieces are placed again."""
     least = min(range(len(a)), key=lambda k: sum(lengths[i] for i in a[k]))
-    gone = {least, *rng.integers(0, len(a), 2 + len(a) // 50).tolist()}
+    gone = {least, *rng.integers(0, len(a), 2).tolist()}
     return refilled([list(x) for k, x in enumerate(a) if k not in gone], [i for k in gone for i in a[k]], lengths, size, rng)
 
 
