@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from wayfold.operators.gazetteer import addresses, appended, build_gazetteer, build_intersections
 from wayfold.plans import regression
 from wayfold.plans.health import health
-from wayfold.plans.locate import Seeds, city_scores, locate, queried, request_texts, responses
+from wayfold.plans.locate import Seeds, city_scores, locate, located, queried, request_texts, responses, street_matches, with_analysis
 from wayfold.sources import osm, seeds
 
 ROWS = [  # city, street, house, lat, lon
@@ -95,11 +97,51 @@ def test_clues_come_before_places_and_plates_silence_emblems(spark, gazetteer, k
 
 def test_response_document(spark, gazetteer, known):
     requests = ask(spark, "Москва Тверская")
-    row = responses(requests, locate(requests, gazetteer, known)).first()
-    assert row.script == "cyrillic" and row.tokens == ["москва", "тверская"] and row.best.kind == "street_centroid"
+    row = responses(requests, *located(requests, gazetteer, known)).first()
+    assert row.fragments == [] and row.script == "cyrillic" and row.tokens == ["москва", "тверская"] and row.best.kind == "street_centroid"
     assert '"schema":"wayfold.response.v1"' in row.json
 
 
+def test_analysis_comes_back_with_the_response(spark, gazetteer, known):
+    asked = ask(spark, "", fragments={0: [("a", 0, (0, 0, 100, 30), "", "А123ВС 77", "", "auto"), ("b", 0, (0, 0, 10, 10), "", "", "", "auto")]})
+    found, analysis = located(asked, gazetteer, known)
+    row = responses(asked, found, analysis).first()
+    assert [(f.id, f.clue_type, f.detected_kind, f.detected_label, f.score) for f in row.fragments] == [("a", "plate", "plate_region", "Москва", 0.95), ("b", "auto", None, None, 0.0)]
+    assert '"detected_label":"Москва"' in row.json
+    shown = with_analysis(asked.selectExpr("request_id", "inline(fragments)"), analysis).orderBy("id").collect()
+    assert [(r.id, r.detected_label) for r in shown] == [("a", "Москва"), ("b", None)]
+
+
+def test_names_are_found_inside_words(spark, gazetteer, known):
+    """A name that begins a word, or stands inside one, meets the longer name."""
+    q = queried(request_texts(ask(spark, "Новосибирск ул. Тихвин", "Новосибирск ул. епная", "ул. ая")), known, gazetteer)
+    found = {(r.request_id, r.query, r.name, r.similarity) for r in street_matches(q, gazetteer).collect()}
+    assert {(0, "тихвин", "улица Тихвинская", 100.0), (1, "епная", "улица Степная", 100.0)} <= found and all(r[0] != 2 or r[1] == "ая" for r in found)
+    assert (2, "ая", "Тверская улица", 100.0) in found
+
+
+def test_misread_crossing_of_the_seed_table(spark, gazetteer, known):
+    known.intersections = spark.createDataFrame([("Омск", "улица Красный Путь", "улица Березовая", 1.0, 2.0), ("Омск", "улица Мира", "улица Березовая", 3.0, 4.0)], "city string, street_a string, street_b string, lat double, lon double")
+    rows = locate(ask(spark, "ул. Красный Пугь ул. Березовая", "ул. Красный Путь ул. Зелёная"), gazetteer, known).collect()
+    known.intersections = None
+    assert [(r.request_id, r.kind, r.lat, r.score) for r in rows if r.detail == "listed"] == [(0, "intersection", 1.0, 0.8)]
+
+
+def test_cities_inside_words(spark, gazetteer, known):
+    q = queried(request_texts(ask(spark, "подмосква речная", "мск")), known, gazetteer)
+    found = {r.request_id: r.name for r in city_scores(q, known).where("rank = 1").collect()}
+    assert found == {0: "Москва", 1: "Москва"}
+
+
+def test_report(spark, gazetteer, known):
+    from wayfold.plans.report import report
+
+    samples = spark.createDataFrame([("city", float(x)) for x in range(1, 101)], "class string, ms double")
+    results = spark.createDataFrame([(True,), (False,)], "ok boolean")
+    lines = [r.line for r in report(gazetteer, known, samples, results).orderBy("nth").collect()]
+    assert "houses: 10 rows" in lines and lines[-2:] == ["city: median 50.50 ms, p95 95.00 ms of 100", "cases passed: 1 of 2 (50.0 %)"]
+
+
 def test_health_counts_tables(gazetteer, known):
     found = {r.name: (r.n, r.empty) for r in health(gazetteer, known).collect()}
     assert found["houses"] == (10, False) and found["intersections"] == (0, True) and found["seed_plates"] == (2, False)
@@ -159,10 +201,34 @@ def test_map_extract_to_gazetteer(spark, extract):
     found = {(r.street, r.house): round(r.lat, 5) for r in rows.collect()}
     assert found == {("улица Степная", "7"): 55.0, ("улица Тихвинская", "4"): round((55.0 + 55.02 + 55.0) / 3, 5)}
     gazetteer = build_gazetteer(rows)
-    crossing = build_intersections(ways, nodes, gazetteer, ["новосибирск"]).collect()
+    crossing = build_intersections(ways, nodes, gazetteer, spark.createDataFrame([("новосибирск",)], "name_norm string"), most=5).collect()
     assert [(r.inter_id, round(r.lat, 4)) for r in crossing] == [(1, 55.01)]
 
 
+def test_broken_and_packed_extracts(spark, extract, tmp_path):
+    import lzma
+    import zlib
+
+    data = Path(extract).read_bytes()
+    (tmp_path / "b.osm.pbf").write_bytes(data[:-40])
+    assert osm.read_pbf(spark, [extract, str(tmp_path / "b.osm.pbf")], 2, strict=False)[0].count() == 3
+    with pytest.raises(Exception, match="ends inside"):
+        osm.read_pbf(spark, [extract, str(tmp_path / "b.osm.pbf")], 2)[0].count()
+    block = b"block" * 100
+    assert osm.unpacked(field(1, block)) == osm.unpacked(field(3, zlib.compress(block))) == osm.unpacked(field(4, lzma.compress(block))) == block
+    with pytest.raises(ValueError, match="not read"):
+        osm.unpacked(field(6, block))
+
+
+def test_files_come_in_their_order(spark, extract, tmp_path):
+    """The same key in two files: the first file's row stays, wherever it stands in its file."""
+    data = Path(extract).read_bytes()
+    (tmp_path / "b.osm.pbf").write_bytes(data)
+    rows = addresses(*osm.read_pbf(spark, [str(tmp_path / "b.osm.pbf"), extract], 2))
+    first = rows.orderBy("seq").collect()
+    assert [r.seq.path.rsplit("/", 1)[1][0] for r in first] == ["a", "a", "b", "b"] and build_gazetteer(rows).houses.count() == 2
+
+
 def test_append_keeps_known_keys(spark):
     old = spark.createDataFrame([(1, "a", 1.0)], "id long, key string, lat double")
     new = spark.createDataFrame([(1, "a", 9.0), (2, "b", 2.0)], "id long, key string, lat double")
@@ -175,9 +241,11 @@ def test_commands(spark, extract, tmp_path, capsys):
     (tmp_path / "cases.csv").write_text("id,enabled,expect_kind,expect_contains_all,expect_not_contains,manual_text,note\na,1,house,степная|7,,Новосибирск ул. Степная 7,\n")
     where = ["--seeds", str(tmp_path), "--gazetteer", str(tmp_path / "g")]
     assert main([*where, "health"], spark) == 2
-    assert main([*where, "build", str(tmp_path), "--exclude", "other"], spark) == 0
+    assert main([*where, "build", str(tmp_path), "--exclude", "other", "--log", str(tmp_path / "log")], spark) == 0
     assert main([*where, "health"], spark) == 0
     assert main([*where, "regression", "--csv", str(tmp_path / "cases.csv")], spark) == 0
+    assert main([*where, "report", "--csv", str(tmp_path / "cases.csv")], spark) == 0
+    assert "cases passed: 1 of 1 (100.0 %)" in capsys.readouterr().out
     assert main([*where, "regression", "--csv", str(tmp_path / "none.csv")], spark) == 2
     (tmp_path / "asked.json").write_text('{"schema": "x", "manual_text": "Новосибирск Степная Тихвинская"}\n')
     assert main([*where, "locate", str(tmp_path / "asked.json"), str(tmp_path / "out")], spark) == 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.text import PLATE_CYRILLIC, digits, letters, plate_text, trimmed
 
+# Patterns of plates, roads, dialling codes and words for streets.
 PLATE = r"(?iu)(?<![A-ZА-Я0-9])[A-ZА-Я]\s*\d{3}\s*[A-ZА-Я]{2}\s*(\d{2,3})(?![A-ZА-Я0-9])"
 LOOSE_PLATE = r"(?<![0-9])(\d{2,3})(?![0-9])"
 LOOSE_WORDS = r"(?iu)регион|номер|код|гос"
@@ -68,18 +69,20 @@ def is_plate_shaped(width: Column, height: Column) -> Column:
     return (width > 0) & (height > 0) & (width / height).between(2.0, 6.5)
 
 
-def guessed_type(c: Column, known_plates: Column, known_highways: Column) -> Column:
-    """By the clues that the text yields; only codes in the seed arrays count."""
-    plate = F.exists(F.concat(plate_codes(c), loose_plate_codes(c)), lambda x: F.array_contains(known_plates, x))
-    highway = F.exists(highway_codes(c), lambda x: F.array_contains(known_highways, x))
-    return F.when(plate, "plate").when(highway, "highway").when(F.size(phone_codes(c)) > 0, "text").otherwise("auto")
+def guessed_type(c: Column, known_plate: Column, known_highway: Column) -> Column:
+    """By the clues that the text yields; plates and highways count where the seed tables know one of their codes."""
+    return F.when(known_plate, "plate").when(known_highway, "highway").when(F.size(phone_codes(c)) > 0, "text").otherwise("auto")
 
 
-def effective_type(given: Column, note: Column, ocr: Column, width: Column, height: Column, known_plates: Column, known_highways: Column) -> Column:
+def fragment_blob(note: Column, ocr: Column) -> Column:
+    return trimmed(F.concat_ws("\n", F.when(note != "", note), F.when(ocr != "", ocr)))
+
+
+def effective_type(given: Column, note: Column, ocr: Column, width: Column, height: Column, known_plate: Column, known_highway: Column) -> Column:
     """A given type, else a street word, else the guess by clues, else by shape."""
     named = F.lower(trimmed(F.coalesce(given, F.lit("auto"))))
-    blob = trimmed(F.concat_ws("\n", F.when(note != "", note), F.when(ocr != "", ocr)))
-    guess = guessed_type(blob, known_plates, known_highways)
+    blob = fragment_blob(note, ocr)
+    guess = guessed_type(blob, known_plate, known_highway)
     shaped = F.when((digits(blob) >= 4) & (digits(blob) >= letters(blob)), "plate").otherwise("street")
     return (
         F.when(named.isin([t for t in CLUE_TYPES if t != "auto"]), named).when(blob.rlike(STREET_HINT), "street")

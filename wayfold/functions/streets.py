@@ -1,71 +1,64 @@
-"""Street names in free text: an Arrow-batched function, as the rules call themselves on what they cut off."""
+"""Street names in free text, as column expressions.
 
-from __future__ import annotations
+A text is cut at its words for kinds of street; what stands between two cuts is a run of words, and a name is what is
+left of a run without the cities at its ends, without a house and all that follows it, and without a number at its end.
+Texts that yield no name so are read word by word.
+"""
 
-import re
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wayfold.functions.text import ALNUM, STREET_TYPES, normalize_ocr, normalize_street
-
-KIND = re.compile(STREET_TYPES.replace("(?iuU)", ""), re.I)
-HOUSE_ON = re.compile(r"\b(?:д|дом)\s*\.?\s*\d.*$", re.I | re.S)
-NUMBER_AT_END = re.compile(r"(?<=\s)(?:\d{1,4}/\d{1,4}[a-zа-я]?|\d+[a-zа-я]?)\s*$", re.I)
-WORD = re.compile(rf"[{ALNUM}]+")
-
-
-def _bare(piece: str) -> str:
-    return " ".join(KIND.sub(" ", piece).split())
-
-
-def _without_cities(piece: str, cities: set[str]) -> str:
-    words = piece.split()
-    while words and words[-1] in cities:
-        words.pop()
-    while words and words[0] in cities:
-        words.pop(0)
-    return " ".join(words)
-
-
-def _names(piece: str, cities: set[str]) -> list[str]:
-    """Names in what stands between words for kinds of street."""
-    piece = _without_cities(piece.strip(), cities)
-    piece = NUMBER_AT_END.sub("", HOUSE_ON.sub("", piece)).strip()
-    if KIND.search(piece):
-        return [n for part in KIND.split(piece) for n in _names(part, cities)]
-    name = _bare(piece)
-    return [name] if len(name) >= 2 else []
-
-
-def street_names(text: str, cities: set[str]) -> list[str]:
-    """Candidates in order.  ``text`` is OCR-normalised; ``cities`` are normalised names and aliases."""
-    if KIND.search(text):
-        named = [n for n in dict.fromkeys(n for part in KIND.split(text) for n in _names(part, cities)) if n not in cities]
-        if named:
-            return named
-    words, found, at = WORD.findall(text), [], 0
-    while at < len(words):
-        word = words[at]
-        ordinal = word.isdigit() and len(word) <= 3 and at + 1 < len(words) and words[at + 1] in ("й", "я", "е")
-        if ordinal:
-            if at + 2 < len(words):
-                found.append(f"{word}-{words[at + 1]} {words[at + 2]}")
-            at += 3
-            continue
-        if len(word) >= 4 and word not in cities and not KIND.fullmatch(word):
-            found.append(_bare(word))
-        at += 1
-    return [n for n in dict.fromkeys(found) if len(n) >= 2 and n not in cities]
-
-
-def street_candidates(text: Column, cities: list[str]) -> Column:
-    """Array of normalised street names; ``cities`` is the seed dictionary of names and aliases, not the gazetteer."""
-    known = set(cities)
-
-    @F.pandas_udf("array<string>")
-    def extract(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: street_names(t, known))
-
-    return F.transform(extract(normalize_ocr(text)), normalize_street)
+from wayfold.functions.text import STREET_MARKERS, STREET_TYPES, normalize_ocr, normalize_street, tokens, trimmed
+
+# Where a house begins in a run of words, a number at its end, and an ordinal.
+HOUSE_ON = r"(?isuU)\b(?:д|дом)\s*\.?\s*\d+(?:/\d+)?[a-zа-я]?\b.*$"
+NUMBER_AT_END = r"(?iuU)(?<=\s)(?:\d{1,4}/\d{1,4}[a-zа-я]?|\d+[a-zа-я]?)\s*$"
+ORDINAL_ALONE = r"(?iuU)^\d{1,3}\s*-\s*[йяеё]$"
+
+
+def between_cities(words: Column, cities: Column) -> Column:
+    """An array of words without those of ``cities`` at either end."""
+    other = F.transform(words, lambda w: ~F.array_contains(cities, w))
+    first, last = F.array_position(other, True), F.array_position(F.reverse(other), True)
+    length = F.size(words) - (first - 1) - (last - 1)
+    return F.when(first == 0, F.array().cast("array<string>")).otherwise(F.slice(words, F.greatest(first, F.lit(1)).cast("int"), F.greatest(length, F.lit(0)).cast("int")))
+
+
+def names_by_kind(text: Column, cities: Column) -> Column:
+    """Names between the words for kinds of street (empty without such a word); ``text`` is OCR-normalised."""
+    runs = F.transform(F.split(F.regexp_replace(text, STREET_TYPES, "\n"), "\n"), lambda run: F.split(trimmed(run), " "))
+    bare = F.transform(runs, lambda run: F.array_join(between_cities(run, cities), " "))
+    named = F.transform(bare, lambda run: normalize_street(F.regexp_replace(F.regexp_replace(run, HOUSE_ON, ""), NUMBER_AT_END, "")))
+    found = F.array_distinct(F.filter(named, lambda n: (F.length(n) >= 2) & ~F.array_contains(cities, n)))
+    return F.when(text.rlike(STREET_TYPES), found).otherwise(F.array().cast("array<string>"))
+
+
+def names_by_word(words: Column, cities: Column) -> Column:
+    """Words of four characters and more that are neither a city nor a kind of street; an ordinal takes the next such word along."""
+    none = F.lit(None).cast("string")
+
+    def step(state: Column, word: Column) -> Column:
+        found, held = state["found"], state["held"]
+        apart = F.array_contains(cities, word) | word.isin(STREET_MARKERS)
+        # An ordinal that finds no word after it counts as a word itself.
+        alone = F.when(F.length(held) >= 4, F.array_append(found, held)).otherwise(found)
+        joined = F.array_append(found, F.concat(held, F.lit(" "), word))
+        long = F.when(F.length(word) >= 4, F.array_append(found, word)).otherwise(found)
+        return (
+            F.when(held.isNotNull() & ~apart, F.struct(joined.alias("found"), none.alias("held")))
+            .when(apart, F.struct(F.when(held.isNull(), found).otherwise(alone).alias("found"), none.alias("held")))
+            .when(word.rlike(ORDINAL_ALONE), F.struct(found.alias("found"), word.alias("held")))
+            .otherwise(F.struct(long.alias("found"), none.alias("held")))
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("found"), none.alias("held"))
+    taken = F.aggregate(words, start, step, lambda s: F.when(F.length(s["held"]) >= 4, F.array_append(s["found"], s["held"])).otherwise(s["found"]))
+    return F.array_distinct(F.filter(F.transform(taken, normalize_street), lambda n: (n != "") & ~F.array_contains(cities, n)))
+
+
+def street_candidates(text: Column, cities: Column) -> Column:
+    """Array of normalised street names; ``cities`` are the seed table's names and aliases that the text holds as words."""
+    by_kind = names_by_kind(normalize_ocr(text), cities)
+    return F.when(F.size(by_kind) > 0, by_kind).otherwise(names_by_word(tokens(text), cities))

@@ -9,11 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words for kinds of street, and the letters that plates share between alphabets.
-STREET_TYPES = r"(?iuU)\b(?:ул|улица|пр-?т|проспект|пер|переулок|шоссе|бул|бульвар|наб|набережная|пл|площадь)\b\.?"
+STREET_TYPES = r"(?iuU)\b(?:ул|улица|пр-?т|проспект|переулок|шоссе|бул|бульвар|наб|набережная|пл|площадь)\b\.?"
 STREET_MARKERS = ["ул", "улица", "проспект", "пр-т", "переулок", "шоссе", "бульвар", "набережная", "площадь"]
 PLATE_LATIN, PLATE_CYRILLIC = "ABEKMHOPCTYX", "АВЕКМНОРСТУХ"
 
 ALNUM = "A-Za-zА-Яа-яЁё0-9"
+# Patterns of ordinals and house numbers.
 TOKEN = rf"(?<![{ALNUM}])\d{{1,3}}[^{ALNUM}]+[йяеё](?![{ALNUM}])|[{ALNUM}]+"
 ORDINAL = r"(?iuU)\b\d{1,3}\s*-\s*[йяеё](?![\w])"
 HOUSE = r"(?iuU)\b(?:д|дом)\s*\.?\s*(\d+(?:/\d+)?[a-zа-я]?)\b"
@@ -88,13 +89,14 @@ def name_tokens(c: Column, cities: Column) -> Column:
     return F.array_distinct(F.filter(tokens(c), lambda t: (F.length(t) >= 4) & ~F.array_contains(cities, t) & (F.length(normalize_street(t)) >= 2)))
 
 
-def house_number(c: Column) -> Column:
-    """After ``д`` or ``дом`` the first number, else the last a/b, else the last bare number; null if none."""
+def house_number(c: Column, bare_too: bool = True) -> Column:
+    """After ``д`` or ``дом`` the first number, else the last a/b, else (if ``bare_too``) the last bare number; null if none."""
     s = F.regexp_replace(normalize_ocr(c), ORDINAL, " ")
     marked = F.regexp_extract(s, HOUSE, 1)
     compound = F.regexp_extract_all(s, F.lit(COMPOUND), F.lit(1))
     bare = F.regexp_extract_all(F.regexp_replace(s, COMPOUND, " "), F.lit(BARE_NUMBER), F.lit(1))
-    return F.coalesce(F.when(marked != "", marked), F.try_element_at(compound, F.lit(-1)), F.try_element_at(bare, F.lit(-1)))
+    found = [F.when(marked != "", marked), F.try_element_at(compound, F.lit(-1)), F.try_element_at(bare, F.lit(-1))]
+    return F.coalesce(*found[: 3 if bare_too else 2])
 
 
 def house_number_int(c: Column) -> Column:
@@ -144,8 +146,11 @@ def text_score(c: Column) -> Column:
     return F.when(F.length(s) <= 2, 0).otherwise(F.greatest(F.lit(0), score - F.when(short, 50).otherwise(0)))
 
 
-#: Spelling repairs (pattern, replacement) of OCR readings, in order; sites add their own street names.
-REPAIRS = [(r"(?iuU)\bули\s+ца\b", "улица"), (r"(?iuU)\bул\s+ица\b", "улица"), (r"(?iuU)\bул\.?(?!\w)", "улица")]
+#: Spelling repairs (pattern, replacement) of OCR readings, in order (fixed values).
+REPAIRS = [
+    (r"(?iuU)\bули\s+ца\b", "улица"), (r"(?iuU)\bул\s+ица\b", "улица"), (r"(?iuU)\bказбекс\s*кая\b", "Казбекская"),
+    (r"(?iuU)\bказбекск(?:ая|ой|ую)?\b", "Казбекская"), (r"(?iuU)\bул\.?(?!\w)", "улица"),
+]
 
 
 def repaired(c: Column, repairs: list[tuple[str, str]] = REPAIRS) -> Column:
@@ -176,6 +181,11 @@ def plate_text(c: Column) -> Column:
     return F.regexp_replace(s, rf"[^{ALNUM}]+", " ")
 
 
+def grams(c: Column, n: int) -> Column:
+    """Distinct runs of ``n`` characters; a shorter text has none."""
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
 def joined_text(parts: Column) -> Column:
     """Distinct non-blank parts in order, joined by line ends."""
     return F.array_join(F.array_distinct(F.filter(F.transform(parts, lambda p: trimmed(F.coalesce(p, F.lit("")))), lambda p: p != "")), "\n")

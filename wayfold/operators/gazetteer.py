@@ -32,9 +32,9 @@ class Gazetteer:
         return {"cities": self.cities, "streets": self.streets, "houses": self.houses, "intersections": self.intersections}
 
     def save(self, path: str) -> None:
-        """As Parquet tables below ``path``; houses in files by city, as every look-up has one."""
+        """As Parquet tables below ``path``; houses in files by city and street, as every look-up has them; a large city has several."""
         for name, table in self.tables().items():
-            (table.repartition("city_id") if name == "houses" else table).write.mode("overwrite").parquet(f"{path}/{name}")
+            (table.repartitionByRange("city_id", "street_id") if name == "houses" else table).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark, path: str) -> Gazetteer:
@@ -52,13 +52,14 @@ def way_centres(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def addresses(nodes: DataFrame, ways: DataFrame, default_city: str = "", limit: int | None = None) -> DataFrame:
-    """city, street, house, lat, lon, seq of everything with an address; nodes come before ways.
+    """city, street, house, lat, lon, seq of everything with an address; files by name, in a file nodes before ways.
 
     Ways without an address are dropped before their vertices are looked up.
     """
     named = _tag("addr:housenumber").isNotNull() & _tag("addr:street").isNotNull() & F.coalesce(_tag("addr:city"), _tag("addr:place"), F.nullif(F.lit(default_city), F.lit(""))).isNotNull()
-    points = nodes.where(named & valid()).select("tags", "lat", "lon", F.struct(F.lit(0).alias("kind"), "seq").alias("seq"))
-    areas = way_centres(ways.where(named), nodes).select("tags", "lat", "lon", F.struct(F.lit(1).alias("kind"), "seq").alias("seq"))
+    seq = lambda kind: F.struct(F.col("seq.path").alias("path"), F.lit(kind).alias("kind"), F.col("seq.at").alias("at")).alias("seq")
+    points = nodes.where(named & valid()).select("tags", "lat", "lon", seq(0))
+    areas = way_centres(ways.where(named), nodes).select("tags", "lat", "lon", seq(1))
     city = F.coalesce(_tag("addr:city"), _tag("addr:place"), F.lit(default_city))
     found = points.union(areas).select(city.alias("city"), _tag("addr:street").alias("street"), _tag("addr:housenumber").alias("house"), "lat", "lon", "seq")
     return found if limit is None else found.orderBy("seq").limit(limit)
@@ -67,15 +68,17 @@ def addresses(nodes: DataFrame, ways: DataFrame, default_city: str = "", limit:
 def build_gazetteer(rows: DataFrame) -> Gazetteer:
     """Cities, streets and houses of address rows; ids follow first appearance."""
     keyed = rows.withColumns({"city_norm": normalize_import(F.col("city")), "street_norm": normalize_street(F.col("street")), "house_norm": normalize_house(F.col("house"))})
-    keyed = stored(keyed.where("city_norm <> '' and street_norm <> '' and house_norm <> ''"))
-    cities = numbered(first_wins(keyed, ["city_norm"], "seq", ["city", "lat", "lon"]), "city_id", "seq", "city_norm")
-    cities = stored(cities.select("city_id", F.col("city").alias("name"), F.col("city_norm").alias("name_norm"), "lat", "lon"))
-    in_city = keyed.join(cities.select("city_id", F.col("name_norm").alias("city_norm")), "city_norm")
-    streets = numbered(first_wins(in_city, ["city_id", "street_norm"], "seq", ["street"]), "street_id", "seq", "city_id", "street_norm")
-    streets = stored(streets.select("street_id", "city_id", F.col("street").alias("name"), F.col("street_norm").alias("name_norm")))
-    on_street = in_city.join(streets.select("street_id", "city_id", F.col("name_norm").alias("street_norm")), ["city_id", "street_norm"])
-    houses = numbered(first_wins(on_street, ["city_id", "street_id", "house_norm"], "seq", ["house", "lat", "lon"]), "house_id", "seq", "street_id", "house_norm")
-    houses = stored(houses.select("house_id", "city_id", "street_id", "house", "house_norm", "lat", "lon"))
+    keyed = keyed.where("city_norm <> '' and street_norm <> '' and house_norm <> ''")
+    # The first row of a street is the first row of one of its houses, that of a city the first of one of its streets.
+    first_houses = stored(first_wins(keyed, ["city_norm", "street_norm", "house_norm"], "seq", ["city", "street", "house", "lat", "lon"]))
+    first_streets = stored(first_wins(first_houses, ["city_norm", "street_norm"], "seq", ["city", "street", "lat", "lon"]))
+    cities = numbered(first_wins(first_streets, ["city_norm"], "seq", ["city", "lat", "lon"]), "city_id", "seq", "city_norm")
+    cities = cities.select("city_id", F.col("city").alias("name"), F.col("city_norm").alias("name_norm"), "lat", "lon")
+    streets = numbered(first_streets, "street_id", "seq", "city_norm", "street_norm", ready=True).join(cities.select("city_id", F.col("name_norm").alias("city_norm")), "city_norm")
+    keys = stored(streets.select("street_id", "city_id", "street", "street_norm", "city_norm"))
+    streets = keys.select("street_id", "city_id", F.col("street").alias("name"), F.col("street_norm").alias("name_norm"))
+    houses = numbered(first_houses, "house_id", "seq", "city_norm", "street_norm", "house_norm", ready=True).join(keys.drop("street"), ["city_norm", "street_norm"])
+    houses = houses.select("house_id", "city_id", "street_id", "house", "house_norm", "lat", "lon")
     empty = rows.sparkSession.createDataFrame([], "inter_id long, city_id long, street_a_id long, street_b_id long, lat double, lon double")
     return Gazetteer(cities, streets, houses, empty)
 
@@ -97,17 +100,19 @@ def road_points(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.join(shared, "node", "left_semi").join(located, "node")
 
 
-def build_intersections(ways: DataFrame, nodes: DataFrame, gazetteer: Gazetteer, major: list[str], ordered_names_only: bool = False) -> DataFrame:
+def build_intersections(ways: DataFrame, nodes: DataFrame, gazetteer: Gazetteer, major: DataFrame, ordered_names_only: bool = False, most: int | None = None) -> DataFrame:
     """Crossings of two named roads, in the city that has both streets and the most houses (then a major city).
 
-    Pairs are unordered.  ``ordered_names_only`` keeps only pairs whose smaller name has the smaller street id.
+    Pairs are unordered.  ``major`` (name_norm) lists major cities.  ``ordered_names_only`` keeps only pairs whose smaller
+    name has the smaller street id; ``most`` ends after that many crossings, in the order of their cities and streets.
     """
     points = road_points(ways, nodes)
     a, b = points.alias("a"), points.alias("b")
     crossings = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.name_norm") < F.col("b.name_norm")))
     crossings = crossings.select(F.col("a.node").alias("node"), F.col("a.name_norm").alias("a"), F.col("b.name_norm").alias("b"), F.col("a.lat").alias("lat"), F.col("a.lon").alias("lon"))
     counts = gazetteer.houses.groupBy("city_id").agg(F.count("*").alias("n"))
-    cities = gazetteer.cities.select("city_id", F.col("name_norm").isin(major).alias("major"))
+    large = major.select("name_norm").distinct().withColumn("major", F.lit(True))
+    cities = gazetteer.cities.select("city_id", "name_norm").join(large, "name_norm", "left").select("city_id", F.coalesce("major", F.lit(False)).alias("major"))
     weights = cities.join(counts, "city_id", "left").select("city_id", (F.coalesce("n", F.lit(0)) * 2 + F.col("major").cast("int")).alias("weight"))
     own = lambda side: gazetteer.streets.select("city_id", F.col("name_norm").alias(side), F.col("street_id").alias(f"street_{side}_id"))
     # Only pairs that cross somewhere meet the street tables, not all pairs of a city's streets.
@@ -117,6 +122,8 @@ def build_intersections(ways: DataFrame, nodes: DataFrame, gazetteer: Gazetteer,
     if ordered_names_only:
         placed = placed.where("street_a_id < street_b_id")
     first = first_wins(placed, ["city_id", "street_a_id", "street_b_id"], "node", ["lat", "lon"])
+    if most is not None:
+        first = first.orderBy("city_id", "street_a_id", "street_b_id").limit(most)
     return numbered(first, "inter_id", "city_id", "street_a_id", "street_b_id").select("inter_id", "city_id", "street_a_id", "street_b_id", "lat", "lon")
 
 

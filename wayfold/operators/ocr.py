@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.clues import plate_repairs, strict_plates
@@ -90,6 +90,26 @@ def best_plates(readings: DataFrame, regions: DataFrame) -> DataFrame:
     return best.join(codes, ["image_id", "plate"]).join(known, "image_id", "left").select("image_id", "plate", F.coalesce("region", "code").alias("code"), F.col("region").isNotNull().alias("known"))
 
 
+def panel_score(area: Column, width: Column, height: Column, fill: Column, image_width: Column, image_height: Column) -> Column:
+    """Score of a sign panel's outline: area times filled share, more for usual shapes; -1 for outlines that are no panel."""
+    least = F.greatest(0.012 * image_width * image_height, F.lit(600.0))
+    shape = width / F.greatest(height, F.lit(1))
+    panel = (area > 0) & (width >= 25) & (height >= 18) & (fill >= 0.22) & (area >= least)
+    return F.when(panel, area * fill * F.when((shape > 0.2) & (shape < 4.5), 1.25).otherwise(0.75)).otherwise(-1.0)
+
+
+def recognised(hit: Column, default: float = 0.75) -> Column:
+    """(text, conf) of a reader's hit as JSON: [box, text, conf], [box, text], [text, conf] or a text; null if it has none."""
+    parts = F.from_json(hit, "array<string>")
+    first, number = F.get(parts, 0), lambda c: c.try_cast("double")
+    boxed = F.startswith(F.coalesce(first, F.lit("")), F.lit("["))
+    text = F.when(boxed, F.get(parts, 1)).otherwise(first)
+    conf = F.when(boxed, number(F.get(parts, 2))).otherwise(number(F.get(parts, 1)))
+    plain = F.when(F.startswith(F.trim(hit), F.lit('"')), F.regexp_extract(hit, r'^\s*"(.*)"\s*$', 1))
+    found = F.coalesce(text, plain)
+    return F.when(found.isNotNull(), F.struct(found.alias("text"), F.coalesce(conf, F.lit(default)).alias("conf")))
+
+
 def crops(detections: DataFrame, images: DataFrame, least: int = 12) -> DataFrame:
     """Boxes (x1, y1, x2, y2) clamped to their image (width, height), without slivers."""
     clamp = lambda c, top: F.greatest(F.lit(0), F.least(F.col(c), F.col(top)))

@@ -31,6 +31,19 @@ def needs_retry(reading: Column, least: int = 25) -> Column:
     return text_score(reading) < least
 
 
+def has_text(fragments: Column) -> Column:
+    """Whether any fragment has recognised text or a note."""
+    blank = lambda c: trimmed(F.coalesce(c, F.lit(""))) == ""
+    return F.exists(F.coalesce(fragments, F.array()), lambda f: ~(blank(f["ocr_text"]) & blank(f["note"])))
+
+
+def picture_url(name: Column, base: str) -> Column:
+    """Address of a named picture: blanks as underscores, ``.svg`` where the name has no suffix, the rest percent-coded."""
+    plain = F.replace(trimmed(name), F.lit(" "), F.lit("_"))
+    full = F.when(plain.rlike(r"\.[A-Za-z0-9]{2,4}$"), plain).otherwise(F.concat(plain, F.lit(".svg")))
+    return F.when(plain != "", F.concat(F.lit(base), F.replace(F.url_encode(full), F.lit("+"), F.lit("%20"))))
+
+
 def fragment_payload(requests: DataFrame) -> DataFrame:
     """Requests whose fragments carry an image only where their type can use it and no sibling has text that goes first."""
     kind = lambda f: F.coalesce(f["clue_type"], F.lit("auto"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.geo import haversine_km, pair_score, street_score
+from wayfold.tables import numbered
 
 
 def centroids(points: DataFrame, by: list[str], lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -144,19 +145,16 @@ def mode_value(rows: DataFrame, key: str, value: str, seq: list[str]) -> DataFra
     return counts.groupBy(key).agg(F.min(order).alias("__b")).select(key, F.col("__b.v").alias(value), F.col("__b.n").alias("n"))
 
 
-def keyword_scores(texts: DataFrame, id: str, words: str, names: list[str]) -> DataFrame:
+def keyword_scores(texts: DataFrame, id: str, words: str, names: DataFrame) -> DataFrame:
     """(id, name, score): 5 for a name among the words, 1.5 for each of its parts there, 2 more for the whole name.
 
-    ``names`` is a seed dictionary (cities); it lies in the plan as an array, and only hits leave a row.
+    ``names`` (name) is broken into the words that score for it; distinct words of the texts meet these in one join.
     """
-    known = F.array(*(F.struct(F.lit(n).alias("name"), F.split(F.lit(n), " ").alias("parts")) for n in names))
-
-    def score(n: Column) -> Column:
-        whole = F.when(F.array_contains(words, n["name"]), 7.0).otherwise(0.0)
-        return whole + 1.5 * F.size(F.array_intersect(n["parts"], words))
-
-    scored = F.filter(F.transform(known, lambda n: F.struct(n["name"].alias("name"), score(n).alias("score"))), lambda s: s["score"] > 0)
-    return texts.select(id, F.inline(scored))
+    whole = names.select(F.col("name"), F.col("name").alias("__word"), F.lit(7.0).alias("__points"))
+    parts = names.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("__word"), F.lit(1.5).alias("__points"))
+    table = whole.union(parts).groupBy("name", "__word").agg(F.sum("__points").alias("__points"))
+    met = texts.select(id, F.explode(F.array_distinct(words)).alias("__word")).join(table, "__word")
+    return met.groupBy(id, "name").agg(F.sum("__points").alias("score"))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -166,10 +164,14 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def latency_summary(samples: DataFrame, key: str, value: str) -> DataFrame:
-    """Median, and the element at index int(0.95 n) - 1 of the sorted samples (at least the first)."""
-    w = Window.partitionBy(key)
-    rank = F.row_number().over(w.orderBy(value)).cast("long")
-    at = F.greatest(F.lit(1), F.floor(F.col("__n") * 95 / 100))
-    ranked = samples.where(F.col(value).isNotNull()).withColumns({"__rank": rank, "__n": F.count("*").over(w)})
-    median = F.percentile(value, 0.5)
-    return ranked.groupBy(key).agg(median.alias("median"), F.max(F.when(F.col("__rank") == at, F.col(value))).alias("p95"), F.count("*").alias("n"))
+    """Median, and the element at index int(0.95 n) - 1 of the sorted samples (at least the first).
+
+    Samples are numbered over all keys by ranges, so a key with a third of them is spread over tasks as well.
+    """
+    ranked = numbered(samples.where(F.col(value).isNotNull()).select(key, value), "__at", key, value)
+    ends = ranked.groupBy(key).agg(F.min("__at").alias("__first"), F.count("*").alias("__n")).withColumnRenamed(key, "__key")
+    rank, n = F.col("__at") - F.col("__first") + 1, F.col("__n")
+    at = F.greatest(F.lit(1), F.floor(n * 95 / 100))
+    middle = rank.between(F.floor((n + 1) / 2), F.ceil((n + 1) / 2))
+    met = ranked.join(ends, F.col(key).eqNullSafe(F.col("__key")))
+    return met.groupBy(key).agg(F.avg(F.when(middle, F.col(value))).alias("median"), F.max(F.when(rank == at, F.col(value))).alias("p95"), F.count("*").alias("n"))

@@ -3,53 +3,70 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.geo import emblem_score, unit
+from wayfold.functions.geo import emblem_score
 
-#: Index rows that are broadcast at once (64 dimensions: 50 MB); a larger index is taken in parts of this size.
-PART = 100_000
+#: Index rows of a block and queries of a group.
+BLOCK = 4096
+GROUP = 8192
+
+
+def packed(rows: DataFrame, id: str, vector: str, size: int) -> DataFrame:
+    """dim, part, ids and x (unit vectors as bytes) of about ``size`` rows each; parts of a dimension count from 0."""
+    whole = rows.select(F.col(id).cast("long").alias("id"), F.transform(F.col(vector), lambda v: v.cast("double")).alias("vector"))
+    whole = whole.where("id is not null and vector is not null and size(vector) > 0").withColumn("dim", F.size("vector"))
+    parts = whole.groupBy("dim").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(frame.vector.to_list())
+        norm = np.sqrt((x**2).sum(1, keepdims=True))
+        x = np.divide(x, norm, out=x, where=norm > 0)
+        return pd.DataFrame({"dim": frame.dim.iloc[:1], "part": frame.part.iloc[:1], "ids": [frame.id.to_numpy(np.int64).tobytes()], "x": [x.tobytes()]})
+
+    dealt = whole.join(parts, "dim").select("id", "vector", "dim", F.pmod(F.xxhash64("id", "vector"), F.col("parts")).cast("int").alias("part"))
+    return dealt.groupBy("dim", "part").applyInPandas(pack, "dim int, part int, ids binary, x binary")
 
 
 def top_similar(queries: DataFrame, index: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
-    """(query_id, id, similarity, rank): queries (query_id, vector) against index (id, vector).
+    """(query_id, id, similarity, rank): queries (query_id, vector) against index (id, vector) of the same dimension.
 
-    A catalogue is small: it is broadcast in parts of checked size, and queries pass it where they are, each task
-    keeping k rows a query.  Zero vectors stay zero; ties go to the smaller id; null ids and vectors take no part.
+    Both sides are packed into matrices by tasks; each block of the index meets each group of queries, and a task keeps
+    k rows a query.  Nothing passes through the driver.  Zero vectors stay zero; ties go to the smaller id; null ids,
+    null and empty vectors take no part.
     """
-    rows = index.select(F.col("id").cast("long"), unit(F.col("vector")).alias("vector")).where("id is not null and vector is not null")
-    parts = max(1, -(-rows.count() // PART))
-    asked = queries.select(F.col("query_id").cast("long"), unit(F.col("vector")).alias("vector")).where("query_id is not null and vector is not null")
-    found = reduce(DataFrame.union, (_against(asked, rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p), k, digits) for p in range(parts)))
+    asked = packed(queries, "query_id", "vector", GROUP).select("dim", F.col("part").alias("group"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
+    groups = asked.groupBy("dim").agg(F.max("group").alias("last"))
+    blocks = packed(index, "id", "vector", BLOCK).join(groups, "dim").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    met = blocks.join(asked, ["dim", "group"]).select("dim", "q_ids", "q_x", "ids", "x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim, q_ids, q_x, ids, x = (c[r].as_py() for c in batch.columns)
+                q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
+                q, matrix = np.frombuffer(q_x).reshape(-1, dim), np.frombuffer(x).reshape(-1, dim)
+                for at in range(0, len(q_ids), 512):
+                    s = np.round(q[at : at + 512] @ matrix.T, digits)
+                    order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+                    own = np.repeat(q_ids[at : at + 512], order.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", "id", "similarity"])
+
+    found = met.mapInArrow(run, "query_id long, id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")).cast("long")
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _against(asked: DataFrame, rows: DataFrame, k: int, digits: int) -> DataFrame:
-    table = rows.toArrow()
-    ids = table.column("id").to_numpy()
-    matrix = np.array(table.column("vector").to_pylist(), float) if len(ids) else np.zeros((0, 0))
-    shared = asked.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                x = np.array(part.column(1).to_pylist(), float)
-                if not len(ids) or x.shape[1] != matrix.shape[1]:
-                    continue
-                s = np.round(x @ matrix.T, digits)
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                own = np.repeat(part.column(0).to_numpy(), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["query_id", "id", "similarity"])
-
-    return asked.mapInArrow(run, "query_id long, id long, similarity double")
+def emblem_index(embedded: DataFrame, catalogue: DataFrame, path: str) -> DataFrame:
+    """The index of emblems (id, name, kind, lat, lon, vector), written to ``path``: catalogue rows whose picture was embedded."""
+    rows = catalogue.select("id", "name", "kind", "lat", "lon").join(embedded.select("id", F.col("vector").cast("array<float>")).where("vector is not null"), "id")
+    rows.write.mode("overwrite").parquet(path)
+    return embedded.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def emblem_matches(queries: DataFrame, emblems: DataFrame, k: int = 5, floor: float = 0.25) -> DataFrame:

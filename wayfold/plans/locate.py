@@ -23,8 +23,6 @@ from wayfold.tables import stored
 
 CANDIDATE = "request_id long, kind string, name string, city string, lat double, lon double, score double, priority int, seq long, detail string, fragment_id string"
 STAGES = ["clues", "house", "listed_house", "intersection", "listed_intersection", "pair_centroid", "street_centroid", "city"]
-#: Seed dictionaries are collected up to this size; they are curated lists, not data.
-MOST_SEEDS = 100_000
 
 
 @dataclass
@@ -45,11 +43,9 @@ class Seeds:
         rows = self.cities.select("name", "lat", "lon", F.posexplode(keys).alias("at", "key"))
         return rows.select(text.normalize(F.col("key")).alias("key"), "name", "lat", "lon", (F.col("at") == 0).alias("own")).where("key <> ''")
 
-    def words(self) -> list[str]:
-        found = [r.key for r in self.city_keys().select("key").distinct().limit(MOST_SEEDS + 1).collect()]
-        if len(found) > MOST_SEEDS:
-            raise ValueError(f"more than {MOST_SEEDS} seed names")
-        return sorted(found)
+    def major(self) -> DataFrame:
+        """name_norm of the seed cities."""
+        return self.cities.select(text.normalize_import(F.col("name")).alias("name_norm")).distinct()
 
 
 def _candidate(df: DataFrame, kind: Column | str, name: Column, score: Column | str, seq: Column, **more: Column) -> DataFrame:
@@ -66,32 +62,56 @@ def request_texts(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", F.coalesce("mode", F.lit("geoguess")).alias("mode"), text.joined_text(parts).alias("text"))
 
 
+def keys_inside(q: DataFrame, seeds: Seeds) -> DataFrame:
+    """(request_id, key): seed names that a text (tokens, norm) holds; up to three characters as a token, else anywhere.
+
+    Longer ones are met by their first four characters, which must be among those of the text, and then compared.
+    """
+    keys = seeds.city_keys().select("key").distinct()
+    short = q.select("request_id", F.explode(F.array_distinct("tokens")).alias("key")).join(keys.where("length(key) <= 3"), "key")
+    long = keys.where("length(key) > 3").select("key", F.substring("key", 1, 4).alias("gram"))
+    met = q.select("request_id", "norm", F.explode(text.grams(F.col("norm"), 4)).alias("gram")).join(long, "gram").where(F.contains("norm", F.col("key")))
+    return short.select("request_id", "key").union(met.select("request_id", "key"))
+
+
 def queried(texts: DataFrame, seeds: Seeds, gazetteer: Gazetteer) -> DataFrame:
     """Texts with tokens, street names, house number and the city that a token names (city_id null if none)."""
-    words = seeds.words()
-    cities = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-    q = texts.withColumns({"tokens": text.tokens(F.col("text")), "norm": text.normalize(F.col("text")), "markers": text.street_marker_count(F.col("text")), "number": text.house_number(F.col("text")), "streets": street_candidates(F.col("text"), words), "named": text.name_tokens(F.col("text"), cities)})
+    c = F.col("text")
+    read = stored(texts.withColumns({"tokens": text.tokens(c), "norm": text.normalize(c), "markers": text.street_marker_count(c), "number": text.house_number(c)}))
+    words = read.select("request_id", F.explode(F.array_distinct(F.split(text.normalize_ocr(c), " "))).alias("key"))
+    held = words.join(seeds.city_keys().select("key").distinct(), "key").select("request_id", "key").union(keys_inside(read, seeds))
+    held = held.groupBy("request_id").agg(F.collect_set("key").alias("cities"))
+    q = read.join(held, "request_id", "left").withColumn("cities", F.coalesce("cities", F.array().cast("array<string>")))
+    q = q.withColumns({"streets": street_candidates(c, F.col("cities")), "named": text.name_tokens(c, F.col("cities"))})
     hints = q.select("request_id", F.posexplode("tokens").alias("pos", "key")).join(seeds.city_keys().select("key", F.col("name").alias("hint_city")), "key")
     hints = hints.groupBy("request_id").agg(F.min_by("hint_city", F.struct("pos", "hint_city")).alias("hint_city"))
     ids = gazetteer.cities.select(F.col("name_norm").alias("hint_norm"), F.col("city_id").alias("hint_id"))
     q = q.join(hints, "request_id", "left").withColumn("hint_norm", text.normalize_import(F.col("hint_city")))
     q = q.join(ids, "hint_norm", "left")
     chosen = F.when(F.size("streets") >= 2, F.col("streets")).otherwise(F.array_distinct(F.concat("streets", F.transform("named", text.normalize_street))))
-    return stored(q.withColumn("pairs", text.pairs(chosen)))
+    return stored(q.withColumn("pairing", chosen).withColumn("pairs", text.pairs(F.col("pairing"))))
+
+
+def _first_gram(c: Column) -> Column:
+    """What a text must hold to hold ``c``: its first three characters, or all of a shorter one."""
+    return F.substring(c, F.lit(1), F.least(F.lit(3), F.length(c)))
+
+
+def _grams(c: Column) -> Column:
+    return F.explode(F.concat(text.grams(c, 2), text.grams(c, 3)))
 
 
 def street_matches(q: DataFrame, gazetteer: Gazetteer) -> DataFrame:
-    """request_id, pos, query, street_id, city_id, name, similarity: exact names, else names that share a word and hold
-    the query's beginning; then kind of street, word overlap and similarity (72 at least) are held against the query."""
+    """request_id, pos, query, street_id, city_id, name, similarity: exact names, else names that hold the query's beginning
+    anywhere; then kind of street, word overlap and similarity (72 at least) are held against the query."""
     asked = q.select("request_id", "hint_id", "norm", F.posexplode(F.slice("streets", 1, 8)).alias("pos", "query")).where(F.length("query") >= 2)
     fits = F.col("hint_id").isNull() | (F.col("hint_id") == F.col("city_id"))
     streets = gazetteer.streets.select("street_id", "city_id", "name", "name_norm")
     exact = asked.join(streets, F.col("query") == F.col("name_norm")).where(fits)
     left = asked.join(exact.select("request_id", "pos"), ["request_id", "pos"], "left_anti")
-    words = streets.withColumn("word", F.explode(F.array_distinct(F.split("name_norm", " "))))
     start = F.substring("query", 1, 16)
-    part = left.withColumn("word", F.explode(F.array_distinct(F.split("query", " ")))).join(words, "word").where(fits & F.contains("name_norm", start))
-    found = exact.withColumn("similarity", F.lit(100.0)).unionByName(part.drop("word").distinct().withColumn("similarity", F.when(F.contains("name_norm", F.col("query")), 100.0).otherwise(partial_ratio("query", "name_norm"))))
+    part = left.withColumn("gram", _first_gram(F.col("query"))).join(streets.withColumn("gram", _grams(F.col("name_norm"))), "gram").where(fits & F.contains("name_norm", start))
+    found = exact.withColumn("similarity", F.lit(100.0)).unionByName(part.drop("gram").withColumn("similarity", F.when(F.contains("name_norm", F.col("query")), 100.0).otherwise(partial_ratio("query", "name_norm"))))
     kind, own = text.street_kind(F.col("norm")), text.street_kind(F.col("name"))
     long = lambda c: F.filter(F.split(c, " "), lambda t: F.length(t) >= 3)
     overlap = (F.size(long("query")) < 2) | (F.size(F.array_intersect(long("query"), long("name_norm"))) >= 2)
@@ -145,21 +165,34 @@ def _street_pairs(q: DataFrame, gazetteer: Gazetteer) -> DataFrame:
     return met.where(F.col("hint_id").isNull() | (F.col("hint_id") == F.col("city_id")))
 
 
-def intersection_stage(q: DataFrame, gazetteer: Gazetteer, major: list[str]) -> DataFrame:
+def _placed(gazetteer: Gazetteer, major: DataFrame) -> DataFrame:
+    """city_id, city and major (1 or 0)."""
+    return gazetteer.cities.join(major.withColumn("known", F.lit(1)), "name_norm", "left").select("city_id", F.col("name").alias("city"), F.coalesce("known", F.lit(0)).alias("major"))
+
+
+def intersection_stage(q: DataFrame, gazetteer: Gazetteer, major: DataFrame) -> DataFrame:
     """Known crossings of a pair of names."""
     met = _street_pairs(q, gazetteer)
     known = gazetteer.intersections.select("city_id", F.least("street_a_id", "street_b_id").alias("lo"), F.greatest("street_a_id", "street_b_id").alias("hi"), "lat", "lon")
-    met = met.withColumns({"lo": F.least("id_a", "id_b"), "hi": F.greatest("id_a", "id_b")}).join(known, ["city_id", "lo", "hi"])
-    met = met.join(gazetteer.cities.select("city_id", F.col("name").alias("city"), F.col("name_norm").isin(major).cast("int").alias("major")), "city_id")
+    met = met.withColumns({"lo": F.least("id_a", "id_b"), "hi": F.greatest("id_a", "id_b")}).join(known, ["city_id", "lo", "hi"]).join(_placed(gazetteer, major), "city_id")
     return _candidate(met, "intersection", _crossing_name(), F.lit(clues.SCORES["intersection"]), _ordered(met, F.desc("major"), F.col("pos"), F.col("lo"), F.col("hi")), city=F.col("city"))
 
 
 def listed_intersection_stage(q: DataFrame, seeds: Seeds) -> DataFrame:
-    """Crossings of the seed table whose pair of normalised names is a pair of the text."""
+    """Crossings of the seed table: of the two names in it that are most similar to names of the text (75 at least).
+
+    Names of the text and of the table are compared where they share two characters in a row.
+    """
     a, b = text.normalize_street(F.col("street_a")), text.normalize_street(F.col("street_b"))
     rows = seeds.intersections.select("city", F.col("street_a").alias("name_a"), F.col("street_b").alias("name_b"), "lat", "lon", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    met = _pairs(q).join(rows, ["a", "b"])
-    return _candidate(met, "intersection", _crossing_name(), F.lit(clues.SCORES["listed_intersection"]), _ordered(met, F.col("pos"), F.col("city")), city=F.col("city"), detail=F.lit("listed"))
+    known = rows.select(F.col("a").alias("street")).union(rows.select("b")).where("street <> ''").distinct()
+    asked = q.select("request_id", F.posexplode(F.slice("pairing", 1, 8)).alias("pos", "query"))
+    met = asked.withColumn("gram", F.explode(text.grams(F.col("query"), 2))).join(known.withColumn("gram", F.explode(text.grams(F.col("street"), 2))), "gram").drop("gram").distinct()
+    best = met.withColumn("similarity", partial_ratio("query", "street")).where("similarity >= 75").groupBy("request_id", "pos").agg(F.max("similarity").alias("similarity"), F.min_by("street", F.struct(-F.col("similarity"), F.col("street"))).alias("street"))
+    once = best.groupBy("request_id", "street").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "pos")).alias("at"))
+    two = once.withColumn("n", _ordered(once, F.col("at"))).where("n <= 2").groupBy("request_id").agg(F.min("street").alias("a"), F.max("street").alias("b")).where("a < b")
+    found = two.join(rows, ["a", "b"])
+    return _candidate(found, "intersection", _crossing_name(), F.lit(clues.SCORES["listed_intersection"]), _ordered(found, F.col("city"), F.col("name_a"), F.col("name_b")), city=F.col("city"), detail=F.lit("listed"))
 
 
 def street_centres(gazetteer: Gazetteer) -> DataFrame:
@@ -167,11 +200,11 @@ def street_centres(gazetteer: Gazetteer) -> DataFrame:
     return centroids(gazetteer.houses, ["city_id", "street_id"]).drop("score")
 
 
-def pair_stage(q: DataFrame, gazetteer: Gazetteer, major: list[str], centres: DataFrame) -> DataFrame:
+def pair_stage(q: DataFrame, gazetteer: Gazetteer, major: DataFrame, centres: DataFrame) -> DataFrame:
     """Between the centres of two streets of one city; the closest pairs come first."""
     side = lambda s: centres.select("city_id", F.col("street_id").alias(f"id_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("lat", "lon", "houses")))
     met = _street_pairs(q, gazetteer).join(side("a"), ["city_id", "id_a"]).join(side("b"), ["city_id", "id_b"])
-    met = met.join(gazetteer.cities.select("city_id", F.col("name").alias("city"), F.col("name_norm").isin(major).cast("int").alias("major")), "city_id")
+    met = met.join(_placed(gazetteer, major), "city_id")
     fewer = F.least("houses_a", "houses_b")
     met = met.withColumns({
         "sep": F.round(haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), 3), "fewer": fewer, "pair_score": pair_score(fewer),
@@ -181,15 +214,16 @@ def pair_stage(q: DataFrame, gazetteer: Gazetteer, major: list[str], centres: Da
     return _candidate(met, "intersection_approx", _crossing_name(), "pair_score", _ordered(met, *order), city=F.col("city"))
 
 
-def street_stage(q: DataFrame, gazetteer: Gazetteer, major: list[str], centres: DataFrame) -> DataFrame:
-    """The one street a text names: its centre; for ordinals without an exact name the nearest ordinals of that base."""
+def street_stage(q: DataFrame, gazetteer: Gazetteer, major: DataFrame, centres: DataFrame) -> DataFrame:
+    """The one street a text names: its centre; for ordinals without an exact name the nearest ordinals that hold that base."""
     asked = q.where(F.size("streets") == 1).select("request_id", "hint_id", F.get("streets", 0).alias("query"))
     fits = F.col("hint_id").isNull() | (F.col("hint_id") == F.col("city_id"))
-    places = gazetteer.streets.join(centres, ["city_id", "street_id"]).join(gazetteer.cities.select("city_id", F.col("name").alias("city"), F.col("name_norm").isin(major).cast("int").alias("major")), "city_id")
+    places = gazetteer.streets.join(centres, ["city_id", "street_id"]).join(_placed(gazetteer, major), "city_id")
     exact = asked.join(places, F.col("query") == F.col("name_norm")).where(fits).withColumns({"points": street_score(F.col("houses")), "kind": F.lit("street_centroid")})
     left = asked.join(exact.select("request_id"), "request_id", "left_anti").withColumn("o", text.ordinal_parts(F.col("query"))).where("o is not null").select("request_id", "hint_id", "query", F.col("o.number").alias("wanted"), F.col("o.base").alias("base"))
     ordinals = places.withColumn("o", text.ordinal_parts(F.col("name_norm"))).where("o is not null").select("*", F.col("o.number").alias("number"), F.col("o.base").alias("base")).drop("o")
-    near = left.join(ordinals, "base").where(fits & (F.length("base") >= 2)).withColumn("distance", F.abs(F.col("number") - F.col("wanted")))
+    ordinals = ordinals.drop("base").withColumn("gram", _grams(F.col("name_norm")))
+    near = left.where(F.length("base") >= 2).withColumn("gram", _first_gram(F.col("base"))).join(ordinals, "gram").where(fits & F.contains("name_norm", F.col("base"))).withColumn("distance", F.abs(F.col("number") - F.col("wanted")))
     near = near.withColumn("n", _ordered(near, F.col("distance"), F.desc("major"), F.col("street_id"))).where("n <= 8")
     near = near.withColumns({"points": ordinal_score(F.col("distance"), F.col("houses")), "kind": F.lit("street_approx")})
     found = exact.unionByName(near.select(*exact.columns))
@@ -201,18 +235,14 @@ def street_stage(q: DataFrame, gazetteer: Gazetteer, major: list[str], centres:
 def city_scores(q: DataFrame, seeds: Seeds) -> DataFrame:
     """request_id, name, lat, lon, score: hits of each city's name and aliases in the text, at most five a request.
 
-    The dictionary is a seed table; requests meet it inside the row, and only pairs with a hit or a similar word leave it.
+    Requests meet the seed table in equi-joins on beginnings of words and on runs of characters.
     """
-    keys = seeds.city_keys().withColumn("parts", text.tokens(F.col("key")))
-    listed = keys.orderBy("name", "key").limit(MOST_SEEDS).select("key", "name", "lat", "lon", "own", "parts").collect()
-    if not listed:
-        return q.select("request_id", F.lit("").alias("name"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("score")).limit(0)
-    table = F.broadcast(q.sparkSession.createDataFrame(listed, keys.schema))
+    table = seeds.city_keys().withColumn("parts", text.tokens(F.col("key")))
     begins = lambda t: F.substring(t, 1, 2)
-    words = q.select("request_id", "norm", "tokens", F.explode(F.array_union(F.transform("tokens", begins), F.array(F.lit("")))).alias("start"))
+    words = q.select("request_id", "norm", "tokens", F.explode(F.array_distinct(F.transform("tokens", begins))).alias("start"))
     # A key can only score where one of its words begins like a token of the text, or stands inside the text.
     near = words.join(table.withColumn("start", F.explode(F.array_distinct(F.transform("parts", begins)))), "start")
-    inside = q.select("request_id", "norm", "tokens", F.explode(F.filter(F.array(*(F.lit(r.key) for r in listed)), lambda k: text.in_text(k, F.col("norm"), F.col("tokens")))).alias("key")).join(table, "key")
+    inside = keys_inside(q, seeds).join(q.select("request_id", "norm", "tokens"), "request_id").join(table, "key")
     columns = ["request_id", "norm", "tokens", "key", "name", "lat", "lon", "own", "parts"]
     met = near.select(columns).union(inside.select(columns)).dropDuplicates(["request_id", "key", "name"])
     long = (F.length("key") >= 4) & (F.length("norm") >= 4)
@@ -234,7 +264,7 @@ def city_scores(q: DataFrame, seeds: Seeds) -> DataFrame:
 
 def city_stage(q: DataFrame, seeds: Seeds) -> DataFrame:
     found = city_scores(q, seeds)
-    return _candidate(found, "city", F.col("name"), "score", F.col("rank") if "rank" in found.columns else F.lit(1), city=F.col("name"))
+    return _candidate(found, "city", F.col("name"), "score", F.col("rank"), city=F.col("name"))
 
 
 def text_clues(texts: DataFrame, seeds: Seeds) -> DataFrame:
@@ -257,10 +287,18 @@ def text_clues(texts: DataFrame, seeds: Seeds) -> DataFrame:
 
 def fragments_of(requests: DataFrame, seeds: Seeds) -> DataFrame:
     """One row a fragment with its position, texts and effective type."""
-    plates, highways = ([r.code for r in t.select("code").distinct().limit(MOST_SEEDS).collect()] for t in (seeds.plates, seeds.highways))
     f = requests.select("request_id", F.posexplode("fragments").alias("pos", "f")).select("request_id", "pos", "f.*")
     f = f.withColumns({"note": F.coalesce("note", F.lit("")), "ocr_text": F.coalesce("ocr_text", F.lit(""))})
-    return f.withColumn("type", clues.effective_type(F.col("clue_type"), F.col("note"), F.col("ocr_text"), F.col("rect.w"), F.col("rect.h"), F.lit(plates), F.lit(highways)))
+    blob = clues.fragment_blob(F.col("note"), F.col("ocr_text"))
+
+    def known(codes: Column, table: DataFrame, name: str) -> DataFrame:
+        met = f.select("request_id", "pos", F.explode(F.array_distinct(codes)).alias("code")).join(table.select("code").distinct(), "code", "left_semi")
+        return met.select("request_id", "pos", F.lit(True).alias(name)).distinct()
+
+    f = f.join(known(F.concat(clues.plate_codes(blob), clues.loose_plate_codes(blob)), seeds.plates, "has_plate"), ["request_id", "pos"], "left")
+    f = f.join(known(clues.highway_codes(blob), seeds.highways, "has_highway"), ["request_id", "pos"], "left")
+    has = [F.coalesce(c, F.lit(False)) for c in ("has_plate", "has_highway")]
+    return f.withColumn("type", clues.effective_type(F.col("clue_type"), F.col("note"), F.col("ocr_text"), F.col("rect.w"), F.col("rect.h"), *has)).drop("has_plate", "has_highway")
 
 
 def clue_stage(requests: DataFrame, seeds: Seeds, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -289,34 +327,54 @@ def clue_stage(requests: DataFrame, seeds: Seeds, vectors: DataFrame | None = No
 
 
 def locate(requests: DataFrame, gazetteer: Gazetteer, seeds: Seeds, vectors: DataFrame | None = None) -> DataFrame:
+    return located(requests, gazetteer, seeds, vectors)[0]
+
+
+def located(requests: DataFrame, gazetteer: Gazetteer, seeds: Seeds, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Ranked candidates of every request (CANDIDATE, stage, rank): the first stage that answers, eight rows at most.
 
-    Requests of mode ``address`` skip the clue stage.
+    Requests of mode ``address`` skip the clue stage.  Beside them the analysis of each fragment (request_id, id, its
+    type, detected kind, label and score).
     """
     q = queried(request_texts(requests), seeds, gazetteer)
-    major = [r[0] for r in seeds.cities.select(text.normalize_import(F.col("name"))).distinct().limit(MOST_SEEDS).collect()]
+    major = seeds.major()
     centres = stored(street_centres(gazetteer))
     empty = q.sparkSession.createDataFrame([], CANDIDATE)
     matches = stored(street_matches(q, gazetteer))
+    of_clues, analysis = clue_stage(requests.where(F.coalesce("mode", F.lit("geoguess")) != "address"), seeds, vectors)
     stages = [
-        clue_stage(requests.where(F.coalesce("mode", F.lit("geoguess")) != "address"), seeds, vectors)[0],
+        of_clues,
         house_stage(q, gazetteer, matches), listed_house_stage(q, seeds) if seeds.houses is not None else empty,
         intersection_stage(q, gazetteer, major), listed_intersection_stage(q, seeds) if seeds.intersections is not None else empty,
         pair_stage(q, gazetteer, major, centres), street_stage(q, gazetteer, major, centres), city_stage(q, seeds),
     ]
     chosen = cascade([empty.unionByName(s) for s in stages], "request_id")
     # Clues rank by score; the stages of the gazetteer come in their own order already.
-    return merge_top(chosen.withColumn("order", F.when(F.col("stage") == 0, F.col("score")).otherwise(-F.col("seq"))).withColumn("points", F.col("score")).withColumn("score", F.col("order")).drop("order"), "request_id", ["kind", "name"]).withColumn("score", F.col("points")).drop("points")
+    ranked = merge_top(chosen.withColumn("order", F.when(F.col("stage") == 0, F.col("score")).otherwise(-F.col("seq"))).withColumn("points", F.col("score")).withColumn("score", F.col("order")).drop("order"), "request_id", ["kind", "name"]).withColumn("score", F.col("points")).drop("points")
+    return ranked, analysis
+
+
+ANALYSIS = "array<struct<pos: int, id: string, clue_type: string, detected_kind: string, detected_label: string, score: double>>"
 
 
-def responses(requests: DataFrame, found: DataFrame) -> DataFrame:
-    """One row a request: script, tokens (80 at most), candidates by rank, the best one, all as a JSON document too."""
+def responses(requests: DataFrame, found: DataFrame, analysis: DataFrame | None = None) -> DataFrame:
+    """One row a request: script, tokens (80 at most), candidates by rank, the best one, the analysis of its fragments, all as a JSON document too."""
     texts = request_texts(requests)
     fields = ["name", "lat", "lon", "score", "kind", "fragment_id", "detail"]
     top = found.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("rank", *fields))).alias("topk"))
     shaped = texts.join(top, "request_id", "left").select("request_id", text.script(F.col("text")).alias("script"), F.slice(text.tokens(F.col("text")), 1, 80).alias("tokens"), F.coalesce("topk", F.array().cast(top.schema["topk"].dataType)).alias("topk"))
     shaped = shaped.withColumn("best", F.get("topk", 0))
-    return shaped.withColumn("json", F.to_json(F.struct(F.lit("wayfold.response.v1").alias("schema"), "script", "tokens", "topk", "best")))
+    if analysis is None:
+        shaped = shaped.withColumn("fragments", F.array().cast(ANALYSIS))
+    else:
+        rows = F.sort_array(F.collect_list(F.struct("pos", "id", "clue_type", "detected_kind", "detected_label", "score"))).cast(ANALYSIS)
+        shaped = shaped.join(analysis.groupBy("request_id").agg(rows.alias("fragments")), "request_id", "left").withColumn("fragments", F.coalesce("fragments", F.array().cast(ANALYSIS)))
+    return shaped.withColumn("json", F.to_json(F.struct(F.lit("wayfold.response.v1").alias("schema"), "script", "tokens", "topk", "best", "fragments")))
+
+
+def with_analysis(fragments: DataFrame, analysis: DataFrame) -> DataFrame:
+    """Fragments (request_id, id, ...) with what was found out about each, as the asking side shows it."""
+    return fragments.join(analysis.select("request_id", "id", F.col("clue_type").alias("effective_type"), "detected_kind", "detected_label", F.col("score").alias("clue_score")), ["request_id", "id"], "left")
 
 
 def display(found: DataFrame) -> DataFrame:

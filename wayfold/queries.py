@@ -107,32 +107,35 @@ ANTI_SQL = "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey
 
 
 def nearest_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest known number of each group (here: part sizes by brand), with the house score of the gap."""
+    """The nearest known number of each group, with the house score of the gap (here: quantities asked of each brand's part sizes)."""
     from wayfold.functions.geo import house_score
 
     part = _t(spark, sf_dir, "part").select("p_brand", F.col("p_size").cast("long").alias("p_size"), "p_partkey")
-    asked = part.select("p_brand").distinct().withColumn("p_size", F.lit(28).cast("long"))
+    lines = _t(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    asked = lines.select("p_brand", (2 * F.col("l_quantity")).cast("long").alias("p_size")).distinct()
     found = shapes.nearest_number(asked, part, ["p_brand"], "p_size", "p_partkey")
     return found.withColumn("score", house_score(F.lit(100.0), F.col("distance")))
 
 
 NEAREST_SQL = """
-SELECT p_brand, 28::BIGINT AS p_size, p_size::BIGINT AS found, p_partkey, abs(28 - p_size)::BIGINT AS distance,
-    round(greatest(0.0, least(1.0, 1.0 - CASE WHEN p_size = 28 THEN 0.0 WHEN abs(28 - p_size) <= 2 THEN 0.15 WHEN abs(28 - p_size) <= 10 THEN 0.25 ELSE 0.35 END)), 4) AS score
-FROM part WHERE p_size IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY abs(28 - p_size), p_size, p_partkey) = 1"""
+WITH a AS (SELECT DISTINCT p_brand, (2 * l_quantity)::BIGINT AS asked FROM lineitem JOIN part ON l_partkey = p_partkey),
+m AS (SELECT a.p_brand, asked, p_size::BIGINT AS found, p_partkey, abs(asked - p_size)::BIGINT AS distance FROM a JOIN part USING (p_brand) WHERE p_size IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY a.p_brand, asked ORDER BY abs(asked - p_size), p_size, p_partkey) = 1)
+SELECT p_brand, asked AS p_size, found, p_partkey, distance,
+    round(greatest(0.0, least(1.0, 1.0 - CASE WHEN distance = 0 THEN 0.0 WHEN distance <= 2 THEN 0.15 WHEN distance <= 10 THEN 0.25 ELSE 0.35 END)), 4) AS score
+FROM m"""
 
 
 def exact_then_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names equal to a term, else names that hold it (here: the last words of part names against all names)."""
+    """Names equal to a term, else names that hold it (here: the last words of part names, and whole names, against all names)."""
     part = _t(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("p_name"))
-    terms = part.select(F.substring_index("p_name", " ", -1).alias("term")).union(part.where("p_partkey % 7 = 0").select(F.col("p_name").alias("term")))
+    terms = part.select(F.substring_index("p_name", " ", -1).alias("term")).union(part.select(F.col("p_name").alias("term")))
     return shapes.exact_then_part(terms, part, "term", "p_name", "p_partkey").select("term", "p_partkey", "how")
 
 
 EXACT_SQL = """
 WITH p AS (SELECT p_partkey, lower(p_name) AS n FROM part),
-t AS (SELECT DISTINCT term FROM (SELECT list_last(string_split(n, ' ')) AS term FROM p UNION ALL SELECT n FROM p WHERE p_partkey % 7 = 0) WHERE term <> ''),
+t AS (SELECT DISTINCT term FROM (SELECT list_last(string_split(n, ' ')) AS term FROM p UNION ALL SELECT n FROM p) WHERE term <> ''),
 e AS (SELECT term, p_partkey FROM t JOIN p ON n = term)
 SELECT term, p_partkey, 'exact' AS how FROM e
 UNION ALL
@@ -141,8 +144,8 @@ SELECT term, p_partkey, 'part' FROM (SELECT term FROM t WHERE term NOT IN (SELEC
 
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal form of every document, as length and digest, and its script."""
-    n = text.normalize(F.col("text"))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(n).alias("digest"), F.length(n).cast("long").alias("n_chars"), text.script(F.col("text")).alias("script"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("n"), text.script(F.col("text")).alias("script"))
+    return docs.select("doc_id", F.md5("n").alias("digest"), F.length("n").cast("long").alias("n_chars"), "script")
 
 
 NORMALISE_SQL = r"""
@@ -184,7 +187,7 @@ SELECT doc_id, regexp_extract(m, '(\d{3})\D*$', 1) AS code, count(*) AS n FROM m
 def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted hits of a dictionary (here: frequent words) in every document."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("words"))
-    return shapes.keyword_scores(docs, "doc_id", "words", KEYWORDS)
+    return shapes.keyword_scores(docs, "doc_id", "words", spark.createDataFrame([(k,) for k in KEYWORDS], "name string"))
 
 
 KEYWORDS = ["the", "der", "que", "les", "of the", "und der", "of und"]
@@ -262,16 +265,16 @@ SELECT user_id, event_type, n FROM c QUALIFY row_number() OVER (PARTITION BY use
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five rows most similar to each of the label-0 vectors with an id below 200."""
+    """The five rows most similar to each vector whose id is divisible by 20."""
     rows = _t(spark, sf_dir, "embeddings")
-    queries = rows.where("label = 0 and vec_id < 200").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return top_similar(queries, rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 5, 4)
 
 
 VECTOR_SQL = """
-WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
-p AS (SELECT q.vec_id AS query_id, i.vec_id AS id, round(list_dot_product(q.v, i.v), 4) AS similarity FROM u q, u i WHERE q.label = 0 AND q.vec_id < 200)
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+p AS (SELECT q.vec_id AS query_id, i.vec_id AS id, round(list_dot_product(q.v, i.v), 4) AS similarity FROM u q, u i WHERE q.vec_id % 20 = 0)
 SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM p
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 5"""
 

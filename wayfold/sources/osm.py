@@ -1,6 +1,6 @@
 """Map extracts (OSM PBF) as two DataFrames: nodes and ways, in file order.
 
-The file format is public: length-prefixed blobs, each a zlib block of protocol buffer fields.  Blobs do not depend on
+The file format is public: length-prefixed blobs, each a block of protocol buffer fields, plain or packed by zlib, lzma or zstd.  Blobs do not depend on
 each other: a light pass over each file gives its blobs as rows, these are spread over the cluster and decoded in
 tasks.  Files are read by Spark as binary files, so any store that Spark reads will do; a file has at most
 2 GB, which regional extracts keep.
@@ -8,6 +8,7 @@ tasks.  Files are read by Spark as binary files, so any store that Spark reads w
 
 from __future__ import annotations
 
+import lzma
 import zlib
 from collections.abc import Iterator
 
@@ -16,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NODES = "id long, lat double, lon double, tags map<string,string>, seq long"
-WAYS = "id long, refs array<long>, tags map<string,string>, seq long"
+NODES = "id long, lat double, lon double, tags map<string,string>, seq struct<path:string,at:long>"
+WAYS = "id long, refs array<long>, tags map<string,string>, seq struct<path:string,at:long>"
 _TAGS = pa.map_(pa.string(), pa.string())
 
 
@@ -108,39 +109,63 @@ def block_rows(block: bytes) -> tuple[list[tuple], list[tuple]]:
     return nodes, ways
 
 
-def blobs(spark: SparkSession, path: str) -> DataFrame:
-    """path, at (byte of the blob in its file) and data (unpacked block) of the data blobs."""
+def unpacked(blob: bytes) -> bytes:
+    """The block of a blob."""
+    own = dict(fields(blob))
+    if 1 in own:
+        return own[1]
+    if 3 in own:
+        return zlib.decompress(own[3])
+    if 4 in own:
+        return lzma.decompress(own[4], format=lzma.FORMAT_AUTO)
+    if 7 in own:
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(own[7], max_output_size=own.get(2, 0))
+    raise ValueError(f"a blob of fields {sorted(own)} is packed in a way that is not read")
+
+
+def blobs(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
+    """path, at (byte of the blob in its file) and data (unpacked block) of the data blobs; unless ``strict``, a file ends where it cannot be read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data, at = content.as_buffer().to_pybytes(), 0
                 while at < len(data):
-                    head_size = int.from_bytes(data[at : at + 4], "big")
-                    head = dict(fields(data[at + 4 : at + 4 + head_size]))
-                    begin = at + 4 + head_size
-                    if head[1] == b"OSMData":
-                        yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([at]), pa.array([data[begin : begin + head[3]]], pa.binary())], ["path", "at", "data"])
-                    at = begin + head[3]
+                    try:
+                        head_size = int.from_bytes(data[at : at + 4], "big")
+                        head = dict(fields(data[at + 4 : at + 4 + head_size]))
+                        begin, kind = at + 4 + head_size, head[1]
+                        end = begin + head[3]
+                        if end > len(data):
+                            raise ValueError(f"{place} ends inside a blob")
+                    except (ValueError, KeyError, IndexError):
+                        if strict:
+                            raise
+                        break
+                    if kind == b"OSMData":
+                        yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([at]), pa.array([data[begin:end]], pa.binary())], ["path", "at", "data"])
+                    at = end
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, "path string, at long, data binary")
 
 
-def read_pbf(spark: SparkSession, path: str, partitions: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(nodes, ways) with NODES and WAYS; seq has file order within a path."""
-    spread = blobs(spark, path).repartition(partitions, "path", "at")
+def read_pbf(spark: SparkSession, path: str | list[str], partitions: int = 200, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, ways) with NODES and WAYS; seq has the order of files by name and of places in a file."""
+    spread = blobs(spark, path, strict).repartition(partitions, "path", "at")
 
     def rows(kind: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    own = dict(fields(blob))
-                    found = block_rows(own[1] if 1 in own else zlib.decompress(own[3]))[kind]
-                    seq = pa.array(range(at << 20, (at << 20) + len(found)), pa.int64())
+                for path, at, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    found = block_rows(unpacked(blob))[kind]
+                    place = pa.array(range(at << 20, (at << 20) + len(found)), pa.int64())
+                    seq = pa.StructArray.from_arrays([pa.array([path] * len(found), pa.string()), place], ["path", "at"])
                     columns = list(zip(*found, strict=True)) or [()] * (4 - kind)
                     types = [pa.int64(), pa.float64(), pa.float64(), _TAGS] if kind == 0 else [pa.int64(), pa.list_(pa.int64()), _TAGS]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), seq], [f.split()[0] for f in (NODES, WAYS)[kind].split(", ")])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), seq], ["id", "lat", "lon", "tags", "seq"] if kind == 0 else ["id", "refs", "tags", "seq"])
 
         return run
 

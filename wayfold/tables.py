@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below ``spark.checkpoint.dir`` (where that is unset, below a temporary folder) and read back."""
+    """``df`` written as Parquet below ``spark.checkpoint.dir`` and read back.
+
+    Where that is unset and Spark runs on one machine, a temporary folder serves; on a cluster the setting is needed.
+    """
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.wayfold.tables", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="wayfold-")
         spark.conf.set("spark.wayfold.tables", base)
     path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
@@ -21,13 +26,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+def numbered(df: DataFrame, name: str, *order: str, ready: bool = False) -> DataFrame:
     """``df`` with dense numbers from 1 in ``order``.
 
     Rows are range-partitioned and stored in order; only a row count for each file comes together, so no task
-    sees all rows.  ``df`` is stored before, as finding the ranges reads it once more.
+    sees all rows.  Finding the ranges reads ``df`` once more, so it is stored before, unless it is ``ready``.
     """
-    ranked = stored(stored(df).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    once = df if ready else stored(df)
+    ranked = stored(once.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
     counts = sorted((r["__part"], r["n"], r["low"]) for r in ranked.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("low")).collect())
     starts, total = [], 0
     for part, n, low in counts:
