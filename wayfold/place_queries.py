@@ -115,10 +115,13 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = part.groupBy((F.col("p_partkey") % 64).alias("k")).agg(F.min("p_name").alias("p_name"))
     name = lambda s: names.select(F.col("k").alias(f"k_{s}"), F.col("p_name").alias(s))
     key = F.col("c_custkey")
+    supplier = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    many = supplier.agg(F.count("*").alias("many"))
     c = _t(spark, sf_dir, "customer").withColumns({"k_a": key % 64, "k_b": (key * 7 + 3) % 64}).join(name("a"), "k_a").join(name("b"), "k_b")
-    city = _city(F.col("c_nationkey"))
+    c = c.withColumn("s_suppkey", key % F.lit(many.first()[0])).join(supplier, "s_suppkey")  # cities that have addresses
+    city = _city(F.col("s_nationkey"))
     number = F.concat((key % 9 + 1).cast("string"), F.lit("/"), (key % 50 + 1).cast("string"))
-    alias = _city(F.concat(F.col("c_nationkey").cast("string"), F.lit("x")))
+    alias = _city(F.concat(F.col("s_nationkey").cast("string"), F.lit("x")))
     said = (
         F.when(key % 5 == 0, F.concat(city, F.lit(", ул. "), "a", F.lit(" д. "), number)).when(key % 5 == 1, F.concat(city, F.lit(" ул. "), "a", F.lit(" ул. "), "b"))
         .when(key % 5 == 2, F.concat(F.lit("УЛ. "), "a", F.lit(" "), city)).when(key % 5 == 3, F.initcap(city)).otherwise(alias)
@@ -129,7 +132,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKED = f"""m AS (SELECT p_partkey % 64 AS k, min(p_name) AS p_name FROM part GROUP BY ALL),
 q AS (SELECT c_custkey AS id, {CITY} AS city, x.p_name AS a, y.p_name AS b, c_custkey % 9 + 1 AS number, (c_custkey % 9 + 1) || '/' || (c_custkey % 50 + 1) AS house, c_custkey % 5 AS what,
     n_nationkey::DOUBLE AS nlat, n_regionkey::DOUBLE AS nlon
-    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN m x ON x.k = c_custkey % 64 JOIN m y ON y.k = (c_custkey * 7 + 3) % 64)"""
+    FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier) JOIN nation ON s_nationkey = n_nationkey JOIN m x ON x.k = c_custkey % 64 JOIN m y ON y.k = (c_custkey * 7 + 3) % 64)"""
 
 
 def locate_places(spark: SparkSession, sf_dir: str) -> DataFrame:
