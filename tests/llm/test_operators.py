@@ -434,8 +434,9 @@ def brute_components(texts, n, percent):
     return [len(s) for s in sets], [root(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates_equal_brute_force(spark, n, percent):
+@pytest.mark.parametrize(("n", "percent", "pairs"), [(3, 85, 16), (5, 80, 16), (3, 85, 0)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, n, percent, pairs):
+    monkeypatch.setattr(minhash, "PAIRS", pairs)
     rng = np.random.default_rng(n)
     originals = [random_text(rng, int(k)) for k in rng.integers(20, 200, 25)]
     texts = [None, "", " \n ", "one", "ONE", "one two", "one two"]
@@ -456,6 +457,33 @@ def test_near_duplicates_equal_brute_force(spark, n, percent):
     assert out.n_shingles.tolist() == sizes and out.component_id.tolist() == comps and out.kept.tolist() == [i == c for i, c in enumerate(comps)]
 
 
+def test_pages_of_one_template(spark):
+    """Texts that share most words, but mostly not enough to link: keys hold many components."""
+    rng = np.random.default_rng(12)
+    frame = random_text(rng, 120).split()
+    texts = []
+    for k in range(60):
+        own = [f"own{k}x{i}" for i in range(12)]
+        texts.append(" ".join(frame[:60] + own + frame[60:]))
+        if k % 6 == 0:
+            texts.append(" ".join(frame[:60] + own[:-1] + frame[60:]))
+    out = minhash.near_duplicates(docs_of(spark, texts), shingle=3, percent=85).toPandas().sort_values("doc_id")
+    assert out.component_id.tolist() == brute_components(texts, 3, 85)[1]
+
+
+def test_recall_on_documents(spark):
+    """Of the links that all pairs of the given documents have, at least 0.9 are inside one component."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text").toPandas()
+    out = minhash.near_duplicates(docs, shingle=3, percent=85).toPandas().set_index("doc_id")
+    _, comps = brute_components(rows.text.tolist(), 3, 85)
+    want = [rows.doc_id.iloc[c] for c in comps]
+    linked = [(i, w) for i, w in zip(rows.doc_id, want, strict=True) if i != w]
+    found = [out.component_id[i] == out.component_id[w] for i, w in linked]
+    assert len(linked) > 5 and np.mean(found) >= 0.9
+    assert not [i for i, w in zip(rows.doc_id, want, strict=True) if i == w and out.component_id[i] != i and i not in want]
+
+
 def test_components_of_a_long_randomly_numbered_path(spark):
     from wayfold.llm.components import components
 

@@ -7,11 +7,12 @@ tables of 2 * rows minhashes each cost only 2 * tables * rows minhash computatio
 1. One Python pass (numpy on Arrow buffers) gives each document its set's size and fingerprint, both collections
    and a parity sketch.
 2. Documents with equal sets form a class; only its smallest id goes on.
-3. Keys shared by two or more representatives give candidates: first each member with the key's hub, the member
-   that meets most others over all its keys (the original of a group of copies meets more than any copy), confirmed
-   on full sets; then, for keys whose members still lie in two or more components, the pairs across components.
-   Members of one component are never paired again, so groups of many near copies cost about a pair per
-   member, and no link between components is left out.
+3. Keys shared by two or more representatives give candidates.  First each member meets its key's hub, the member
+   that meets most others over all its keys (the original of a group of copies meets more than any copy), and pairs are
+   confirmed on full sets.  Members of one component are never paired again.  While the pairs of a key's members that
+   lie in different components are more than PAIRS a member, another round takes another hub of each such key, as long
+   as a round at least halves them.  What is then left is paired across components, size by size, so that groups of many
+   near copies cost about a pair per member, and no link between components is left out.
 4. Before full sets meet, pairs are held against their parity sketches: SKETCH bits, each the parity of the
    shingles that fall on it.  Two sketches differ in at most as many bits as the sets have shingles that are
    not shared, so the test loses no pair; it spares the texts of those that are clearly too far apart.
@@ -41,6 +42,8 @@ from wayfold.llm.scratch import stored
 
 #: Bits of a parity sketch.
 SKETCH = 2048
+#: Pairs a member, on average, that need no further round of hubs.
+PAIRS = 16
 
 
 def tables_for(similarity: float, rows: int, recall: float = 0.997) -> int:
@@ -133,6 +136,19 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def _across(rest: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members of one key in different components that could link.
+
+    Sets that could link differ in size by at most the threshold, so members meet only within steps of that ratio.
+    """
+    step = F.floor(F.log("n") / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n").cast("int")
+    whole = rest.join(sketches, "id").withColumn("step", step)
+    near = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))
+    x, y = whole.alias("x"), whole.withColumn("step", near).alias("y")
+    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.comp") < F.col("y.comp")) & could_link("x", "y", percent)
+    return x.join(y, fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, rows: int = 3, tables: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     tables = tables or tables_for(percent / 100, rows)
@@ -146,24 +162,43 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(keys.join(shared, "key"))
     met = members.groupBy("id").agg(F.sum("size").alias("met"))
-    hubs = members.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("hub"))
-    star = members.join(hubs, "key").where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-    star = stored(star)
-    x, y = sketches.alias("x"), sketches.alias("y")
-    near = star.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(could_link("x", "y", percent)).select("a", "b")
-    edges = stored(confirmed(stored(near), src, shingle, percent))
-    labels = components(edges)
+    met = stored(met)
+    hubs = stored(members.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("hub")))
 
-    placed = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = stored(placed.join(split, "key").join(sketches, "id"))
-    x, y = rest.alias("x"), rest.alias("y")
-    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & could_link("x", "y", percent)
-    across = x.join(y, fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    across = stored(across.join(star, ["a", "b"], "left_anti"))
-    more = stored(confirmed(across, src, shingle, percent))
-    if not more.isEmpty():
-        labels = components(edges.union(more))
+    def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+    def linked_pairs(pairs: DataFrame) -> DataFrame:
+        x, y = sketches.alias("x"), sketches.alias("y")
+        near = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(could_link("x", "y", percent)).select("a", "b")
+        return stored(confirmed(stored(near), src, shingle, percent))
+
+    compared = stored(ordered(members.join(hubs, "key").where("id <> hub"), "hub", "id"))
+    edges = linked_pairs(compared)
+    labels = components(edges)
+    open_, before = members.select("key", "id"), None
+    while True:
+        placed = open_.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        # Hubs have met all members of their keys.
+        rest = stored(placed.join(split, "key").join(hubs, "key").where("id <> hub").select("key", "id", "comp"))
+        sizes = rest.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        left = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0.0)).alias("pairs")).first()
+        if not left.pairs:
+            break
+        if left.pairs <= PAIRS * left.n or (before is not None and left.pairs > before / 2):
+            more = stored(confirmed(stored(_across(rest, sketches, percent).join(compared, ["a", "b"], "left_anti")), src, shingle, percent))
+            if not more.isEmpty():
+                labels = components(edges.union(more))
+            break
+        before = left.pairs
+        best = F.max_by(F.struct("id", "comp"), F.struct("met", -F.col("id"))).alias("h")
+        chosen = stored(rest.join(met, "id").groupBy("key").agg(best).select("key", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp")))
+        pairs = ordered(rest.join(chosen, "key").where("comp <> hub_comp"), "hub", "id").join(compared, ["a", "b"], "left_anti")
+        pairs = stored(pairs)
+        edges, compared = edges.union(linked_pairs(pairs)), compared.union(pairs)
+        labels = components(edges)
+        open_, hubs = rest.select("key", "id"), chosen.select("key", "hub")
 
     comps = reps.select("fp", "id").join(labels, "id", "left").select("fp", F.coalesce("comp", "id").alias("component_id"))
     done = sigs.select("id", "n", F.when(F.col("id").isNotNull(), F.col("fp")).alias("fp")).join(comps, "fp", "left")
