@@ -16,24 +16,41 @@ LEAST_SCORE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages."""
+    """Documents in one of the learned languages, with their columns as they are.
+
+    Null, empty and letterless texts go, as does everything where no row is labelled; texts are read whole, whatever
+    their length.  Repeated rows and null ids are judged row by row, ties of languages go to the smaller name.  An empty
+    table stays empty.  Columns of the names used inside do not matter.
+    """
     found = language_predictions(docs, keep=tuple(c for c in docs.columns if c != "doc_id"), names=("__lang", "__score"))
     return found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
+
+    Null, empty and wordless texts are near to nothing and stay, as do rows with a null id; of rows that repeat an id one
+    stays.  Very long texts are compared whole.  An empty table stays empty.  Other columns pass through.
+    """
     return without_near_duplicates(docs, shingle=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken."""
+    """The mix: each document as often as it is taken, at most twice.
+
+    Null, empty and wordless texts have no size and are never taken; null sources are one source.  Rows equal in id, size
+    and source are taken alike; a document longer than its source's target may be left out.  An empty table stays empty.
+    """
     taken = mix(docs, word_count("text"), prefix="__mix_").where("__mix_times > 0")
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "__mix_times")).alias("__copy")).drop("__copy")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the mix, placed in sequences."""
+    """Token pieces of the mix, placed in sequences.
+
+    A null or empty text is its end alone; texts longer than a sequence are cut into pieces.  Repeated rows and null ids
+    are packed each on their own.  An empty table gives an empty result.  Other columns than id and text end here.
+    """
     return packed_documents(docs)
 
 
