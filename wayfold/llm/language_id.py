@@ -7,7 +7,7 @@ language's fill to the power of the number of hashes.  The most corrected hits d
 score is the share of the text's n-grams that the chosen language contains, after correction.
 
 Training uses about ``sample`` labelled rows a language, chosen by a hash of the id (a documented bound; the
-filter is then bounded too).  An n-gram is a language's if its relative frequency there is at least MIN_SHARE of
+filter is then bounded too).  N-grams are counted, weighed and turned into slots by Spark.  An n-gram is a language's if its relative frequency there is at least MIN_SHARE of
 its largest over all languages and it occurs MIN_COUNT times.
 
 Text is reduced to lower case ASCII letters and bytes of longer characters; all else is a space.  Defined
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.byte_tools import TALLY_BYTES, Tally, mixed, padded, slices
+from wayfold.llm.scratch import stored
 
 GRAM = 4
 SAMPLE = 3000
@@ -66,7 +67,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
         return [], np.zeros((1, 1), np.int64)
     spark = labelled.sparkSession
     share = spark.createDataFrame([(n, i, min(1.0, sample / counts[n])) for i, n in enumerate(langs)], "lang string, code int, share double")
-    chosen = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    chosen = known.join(share, "lang").where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
@@ -78,24 +79,26 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(tally.keys), pa.array(tally.counts)], ["key", "n"])
 
     n = chosen.select("code", "text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    t = n.where(F.col("n") >= MIN_COUNT).toArrow()
-    key, count = t.column("key").to_numpy(), t.column("n").to_numpy().astype(float)
-    code, gram = key >> 32, key & 0xFFFFFFFF
-    rate = count / np.maximum(1, np.bincount(code, count, len(langs)))[code]
-    unique, where = np.unique(gram, return_inverse=True)
-    top = np.zeros(len(unique))
-    np.maximum.at(top, where, rate)
-    keep = rate >= MIN_SHARE * top[where]
-    gram, code = gram[keep], code[keep]
+    n = stored(n.where(F.col("n") >= MIN_COUNT).select(F.shiftright("key", 32).cast("int").alias("code"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("gram"), "n"))
+    rates = n.join(n.groupBy("code").agg(F.sum("n").alias("all")), "code").select("code", "gram", (F.col("n") / F.col("all")).alias("rate"))
+    top = rates.groupBy("gram").agg(F.max("rate").alias("top"))
+    kept = stored(rates.join(top, "gram").where(F.col("rate") >= MIN_SHARE * F.col("top")).select("code", "gram"))
+    most = kept.groupBy("code").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     slots = 1 << 10
-    while slots < 12 * np.bincount(code, minlength=1).max() and slots < MAX_SLOTS:
+    while slots < 12 * most and slots < MAX_SLOTS:
         slots *= 2
-    masks = np.zeros((-(-len(langs) // 63), slots), np.int64)
-    for s in slots_of(gram, slots):
-        for w in range(len(masks)):
-            own = code // 63 == w
-            np.bitwise_or.at(masks[w], s[own], np.int64(1) << (code[own] % 63))
-    return langs, masks
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, where = batch.column(0).to_numpy().astype(np.int64), slots_of(batch.column(1).to_numpy(), slots)
+            at = np.concatenate([code // 63 * slots + s for s in where])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.tile(np.int64(1) << (code % 63), len(where)))], ["at", "mask"])
+
+    # What reaches the driver is the filter itself: at most MAX_SLOTS words for each 63 languages.
+    words = kept.mapInArrow(fill, "at bigint, mask bigint").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    masks = np.zeros(-(-len(langs) // 63) * slots, np.int64)
+    masks[words.column("at").to_numpy()] = words.column("mask").to_numpy()
+    return langs, masks.reshape(-1, slots)
 
 
 def identify(docs: DataFrame, langs: list[str], masks: np.ndarray, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
