@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.byte_tools import LOWER, TALLY_BYTES, Tally, padded, slices, span_hashes, words
 from wayfold.llm.scratch import stored
 
-DEPTH = 5
+DEPTH = 6
 #: Contexts of at most this many bytes are mixed on the driver, longer ones in tasks.
 CUT = 2
 HEAD = 1 << 20
@@ -45,8 +45,6 @@ HEAD_GRAMS = 1 << 21
 FLUSH = 1 << 21
 #: Byte strings whose subtrees are worked out at once, but for those of one context of CUT + 1 bytes.
 SUBTREES = 1 << 18
-#: Nodes whose figures are worked out at once.
-PART = 1024
 #: Byte strings and words of training rows, and byte strings of the other rows.
 GRAM, TERM, OTHER = 0, 1, 2
 
@@ -97,98 +95,12 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
 
 
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 binary nodes of each row of byte counts."""
-    n = len(counts)
-    sums = [counts.reshape(n, 1 << k, -1).sum(2) for k in range(9)]
-    return np.concatenate([s[:, 0::2] for s in sums[1:]], 1), np.concatenate([s[:, 1::2] for s in sums[1:]], 1)
-
-
 def _kt(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log probability of the counts in sequence, and the estimate that the next bit is one."""
     log_e = _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - 2 * 0.5723649429247001  # lgamma(0.5)
     return log_e, (ones + 0.5) / (zeros + ones + 1)
 
 
-def _byte_logs(one: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte from the probabilities of ones at the binary nodes."""
-    n, at, out = len(one), 0, np.zeros((len(one), 256), np.float64)
-    for k in range(8):
-        p = one[:, at : at + (1 << k)]
-        both = np.stack([1 - p, p], 2).reshape(n, -1)
-        out += np.repeat(np.log10(both), 1 << (7 - k), 1)
-        at += 1 << k
-    return out.astype(np.float32)
-
-
-def weighted_tree(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(next, logs) from (context, byte, n) rows of each depth 0..D: the plain form for few contexts, which tests use.
-
-    ``logs[node]`` has the log10 probability of each byte at a position whose longest context in the tree is
-    ``node``; ``next[node, byte]`` is the node of the context longer by that byte, or -1.
-    """
-    contexts = [np.unique(c) for c, _, _ in levels]
-    if not len(contexts[0]):
-        contexts[0] = np.zeros(1, np.int64)
-    depth = len(levels) - 1
-    count = []
-    for ctx, (c, b, n) in zip(contexts, levels, strict=True):
-        m = np.zeros((len(ctx), 256))
-        m[np.searchsorted(ctx, c), b] = n
-        count.append(m)
-    parent = [None, *[np.searchsorted(contexts[d - 1], contexts[d] & ((1 << 8 * (d - 1)) - 1)) for d in range(1, depth + 1)]]
-    def kt(counts: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-        for at in range(0, len(counts), PART):
-            part = slice(at, at + PART)
-            log_e, one = _kt(*_bits(counts[part].astype(float)))
-            yield part, log_e, one
-
-    def unlike_longer(d: int) -> np.ndarray:
-        """Counts of a level without those of its nodes one level down."""
-        rest = count[d].copy()
-        np.subtract.at(rest, parent[d + 1], count[d + 1])
-        return rest
-
-    below, stop = None, [None] * (depth + 1)
-    for d in range(depth, -1, -1):
-        log_w = np.zeros((len(contexts[d]), 255))
-        stop[d] = np.ones((1, 1), np.float32) if d == depth else np.empty(log_w.shape, np.float32)
-        if d < depth:
-            np.add.at(log_w, parent[d + 1], below)
-            below = None
-            for part, log_e, _ in kt(unlike_longer(d)):
-                log_w[part] += log_e
-        for part, log_e, _ in kt(count[d]):
-            if d < depth:
-                mixed = np.logaddexp(log_e, log_w[part]) + np.log(0.5)
-                stop[d][part] = np.exp(log_e + np.log(0.5) - mixed)
-                log_w[part] = mixed
-            else:
-                log_w[part] = log_e
-        below = log_w
-    below = None
-    base = np.cumsum([0, *map(len, contexts)])
-    step = np.full((base[-1], 256), -1, np.int32)
-    logs = np.empty((base[-1], 256), np.float32)
-    so_far, left = np.zeros((1, 255), np.float32), np.ones((1, 255), np.float32)
-    for d in range(depth + 1):
-        if d:
-            so_far, left = so_far[parent[d]], left[parent[d]]
-            step[base[d - 1] + parent[d], contexts[d] >> (8 * (d - 1))] = base[d] + np.arange(len(contexts[d]))
-        for part, _, one in kt(count[d]):
-            ends = stop[d] if d == depth else stop[d][part]
-            so_far[part] += left[part] * ends * one
-            left[part] *= 1 - ends
-        own = logs[base[d] : base[d + 1]]
-        if d == depth:
-            for at in range(0, len(own), PART):
-                own[at : at + PART] = _byte_logs(so_far[at : at + PART])
-        else:
-            for part, _, one in kt(unlike_longer(d)):
-                own[part] = _byte_logs(so_far[part] + left[part] * one)
-    return step, logs
-
-
 def binary_nodes(keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each of a byte's eight bits: the place of each string's node, its bit, and (context, node), zeros and ones by place."""
     for j in range(8):
