@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.language_id import language_predictions
 from wayfold.llm.minhash import without_near_duplicates
 from wayfold.llm.mixing import mix, word_count
+from wayfold.llm.names import unused
 from wayfold.llm.packing import packed_documents
 from wayfold.llm.scratch import stored
 
@@ -22,8 +23,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their length.  Repeated rows and null ids are judged row by row, ties of languages go to the smaller name.  An empty
     table stays empty.  Columns of the names used inside do not matter.
     """
-    found = language_predictions(docs, keep=tuple(c for c in docs.columns if c != "doc_id"), names=("__lang", "__score"))
-    return found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(docs.columns)
+    lang, score = unused(docs.columns, "__lang", "__score")
+    found = language_predictions(docs, keep=tuple(c for c in docs.columns if c != "doc_id"), names=(lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +43,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and wordless texts have no size and are never taken; null sources are one source.  Rows equal in id, size
     and source are taken alike; a document longer than its source's target may be left out.  An empty table stays empty.
     """
-    taken = mix(docs, word_count("text"), prefix="__mix_").where("__mix_times > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "__mix_times")).alias("__copy")).drop("__copy")
+    times, copy = unused(docs.columns, "__mix_times", "__mix_copy")
+    taken = mix(docs, word_count("text"), prefix=times.removesuffix("times")).where(F.col(times) > 0)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), times)).alias(copy)).drop(copy)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
