@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.byte_tools import LOWER, mixed, shingles, slices, span_hashes, words
 from wayfold.llm.components import components
 from wayfold.llm.id_filter import divided
+from wayfold.llm.names import unused
 from wayfold.llm.scratch import stored
 
 
@@ -209,15 +210,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id, and of rows that repeat its id one."""
     found = near_duplicates(docs, id, text, **options).where(F.col(id).isNotNull())
+    key, keep, repeated = unused(docs.columns, "__id", "__kept", "__repeated")
     # Only documents that go, and those whose id repeats, are looked up; the others pass without a shuffle of their texts.
-    touched = found.groupBy(F.col(id).alias("__id")).agg(F.first("kept").alias("__kept"), (F.count("*") > 1).alias("__repeated"))
-    touched = stored(touched.where(~F.col("__kept") | F.col("__repeated")))
-    some, rest = divided(docs.withColumn("__id", F.col(id).cast("long")), touched, "__id")
-    met = some.join(touched, "__id", "left")
-    kept = rest.select(docs.columns).union(met.where(F.col("__kept").isNull()).select(docs.columns))
-    if touched.where(F.col("__kept") & F.col("__repeated")).isEmpty():
+    touched = found.groupBy(F.col(id).alias(key)).agg(F.first("kept").alias(keep), (F.count("*") > 1).alias(repeated))
+    touched = stored(touched.where(~F.col(keep) | F.col(repeated)))
+    some, rest = divided(docs.withColumn(key, F.col(id).cast("long")), touched, key)
+    met = some.join(touched, key, "left")
+    kept = rest.select(docs.columns).union(met.where(F.col(keep).isNull()).select(docs.columns))
+    if touched.where(F.col(keep) & F.col(repeated)).isEmpty():
         return kept
-    return kept.union(met.where("__kept").dropDuplicates(["__id"]).select(docs.columns))
+    return kept.union(met.where(keep).dropDuplicates([key]).select(docs.columns))
 
 
 def op6_minhash_tensor(spark, sf_dir: str) -> DataFrame:

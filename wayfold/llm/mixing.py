@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from wayfold.llm.names import unused
 from wayfold.llm.scratch import stored
 from wayfold.tables import numbered
 
@@ -154,15 +155,18 @@ def mix(docs: DataFrame, size: Column, id: str = "doc_id", source: str = "source
     # The separator is escaped, so that distinct sets give distinct patterns.
     pattern = F.array_join(F.transform(members, lambda m: F.replace(F.replace(m, F.lit("\\"), F.lit("\\\\")), F.lit(","), F.lit("\\,"))), ",")
 
+    id_, size_, members_, pattern_, bucket_, grade_, cut_, whole_, source_size_, target_ = unused(
+        [*docs.columns, *(prefix + a for a in ADDED)], "__id", "__size", "__members", "__pattern", "__bucket", "__grade", "__cut", "__whole", "__source_size", "__target"
+    )
+
     def sized(frame: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-        # A name that no column of the input has.
-        frame = frame.select(*(F.col(c) for c in columns), F.col(id).alias("__id"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("__size"), members.alias("__members"), pattern.alias("__pattern"))
-        h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__id", "__size", "__pattern"), 64 - (BUCKETS.bit_length() - 1))
-        return frame.withColumns({"__bucket": h.cast("int"), "__grade": F.floor(F.log2(F.greatest("__size", F.lit(1)))).cast("int")})
+        frame = frame.select(*(F.col(f"`{c}`") for c in columns), F.col(id).alias(id_), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias(size_), members.alias(members_), pattern.alias(pattern_))
+        h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_, size_, pattern_), 64 - (BUCKETS.bit_length() - 1))
+        return frame.withColumns({bucket_: h.cast("int"), grade_: F.floor(F.log2(F.greatest(size_, F.lit(1)))).cast("int")})
 
     sums = stored(
-        sized(docs, ()).groupBy(F.col("__pattern").alias("pattern"), F.col("__grade").alias("grade"), F.col("__bucket").alias("bucket"))
-        .agg(F.first("__members").alias("members"), F.sum("__size").alias("words"))
+        sized(docs, ()).groupBy(F.col(pattern_).alias("pattern"), F.col(grade_).alias("grade"), F.col(bucket_).alias("bucket"))
+        .agg(F.first(members_).alias("members"), F.sum(size_).alias("words"))
     )
     found = stored(sums.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("words").alias("words")))
     members_of = found.select("pattern", F.size("members").alias("n"), F.explode("members").alias("name"), "words")
@@ -184,12 +188,12 @@ def mix(docs: DataFrame, size: Column, id: str = "doc_id", source: str = "source
     planned = stored(sums_of.join(flows, "pattern").select("pattern", "source_size", "target", ((F.col("flow") - F.pmod("flow", words)) / words).cast("long").alias("whole"), F.pmod("flow", words).alias("rest")))
     cuts = stored(sums.join(planned.select("pattern", "rest"), "pattern").select("pattern", "grade", "bucket", "words", "rest").groupBy("pattern").applyInPandas(_cuts, "pattern string, grade int, cut int"))
     # A row for each pattern and size class, stored so that Spark knows its size when it chooses the join.
-    steps = stored(cuts.join(planned, "pattern").select(F.col("pattern").alias("__pattern"), F.col("grade").alias("__grade"), F.col("cut").alias("__cut"), F.col("whole").alias("__whole"), F.col("source_size").cast("long").alias("__source_size"), F.col("target").alias("__target")))
-    times = F.when(F.col("__size") > 0, F.col("__whole") + (F.col("__bucket") < F.col("__cut")).cast("long")).otherwise(0)
-    done = sized(docs, keep).join(steps, ["__pattern", "__grade"], "left")
+    steps = stored(cuts.join(planned, "pattern").select(F.col("pattern").alias(pattern_), F.col("grade").alias(grade_), F.col("cut").alias(cut_), F.col("whole").alias(whole_), F.col("source_size").cast("long").alias(source_size_), F.col("target").alias(target_)))
+    times = F.when(F.col(size_) > 0, F.col(whole_) + (F.col(bucket_) < F.col(cut_)).cast("long")).otherwise(0)
+    done = sized(docs, keep).join(steps, [pattern_, grade_], "left")
     times = F.coalesce(times, F.lit(0))
-    added = (F.col("__size"), F.col("__source_size"), F.col("__target"), times, times * F.col("__size"))
-    return done.select(*keep, *(c.alias(prefix + n) for n, c in zip(ADDED, added, strict=True)))
+    added = (F.col(size_), F.col(source_size_), F.col(target_), times, times * F.col(size_))
+    return done.select(*(F.col(f"`{c}`") for c in keep), *(c.alias(prefix + n) for n, c in zip(ADDED, added, strict=True)))
 
 
 def op2_mixing_flow(spark, sf_dir: str) -> DataFrame:

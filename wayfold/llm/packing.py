@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.names import unused
 from wayfold.llm.scratch import stored
 
 SIZE = 2048
@@ -308,7 +309,8 @@ def pack(pieces: DataFrame, size: int = SIZE, shard: int = SHARD, generations: i
     if shard > 1 << 16:
         raise ValueError("a shard has at most 65,536 pieces")
     fits = F.assert_true(F.coalesce(F.col("length").between(1, size), F.lit(False)), f"a piece has 1 to {size} tokens").isNull()
-    named = stored(pieces.drop("sequence_id", "offset").where(fits).withColumn("__uid", F.monotonically_increasing_id()))
+    uid, = unused(pieces.columns, "__uid")
+    named = stored(pieces.drop("sequence_id", "offset").where(fits).withColumn(uid, F.monotonically_increasing_id()))
     small = named.where(F.col("length") < size)
     # Hash shards vary in size around the mean, so the mean keeps clear of the 16-bit limit of a chromosome.
     shards = max(1, -(-small.count() // min(shard, 1 << 15)))
@@ -320,7 +322,7 @@ def pack(pieces: DataFrame, size: int = SIZE, shard: int = SHARD, generations: i
         low = lower_bound(lengths, size)
         return pd.DataFrame({"shard": frame.shard.iloc[:1], "uids": [frame.uid.to_numpy(np.int64).tobytes()], "lengths": [frame.length.to_numpy(np.uint32).tobytes()], "first": [_pack(bins, len(lengths))], "bins": [len(bins)], "low": [low]})
 
-    dealt = small.select(F.pmod(F.xxhash64("__uid"), F.lit(shards)).alias("shard"), F.col("__uid").alias("uid"), "length")
+    dealt = small.select(F.pmod(F.xxhash64(uid), F.lit(shards)).alias("shard"), F.col(uid).alias("uid"), "length")
     spread = min(shards * ISLANDS, 20_000)  # a number of its own: by bytes alone, AQE would put all shards into one task
     groups = stored(dealt.repartition(min(shards, 20_000), "shard").groupBy("shard").applyInPandas(gather, "shard bigint, uids binary, lengths binary, first binary, bins bigint, low bigint"))
     open_ = groups.where("bins > low").select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths", F.lit(None).cast("array<binary>").alias("chroms"))
@@ -340,12 +342,12 @@ def pack(pieces: DataFrame, size: int = SIZE, shard: int = SHARD, generations: i
                 before = np.cumsum(lengths[order]) - lengths[order]
                 first = np.concatenate(([True], np.diff(of[order]) > 0))
                 at = before - np.repeat(before[first], np.diff(np.append(np.flatnonzero(first), len(of))))
-                yield pd.DataFrame({"__uid": np.frombuffer(r.uids, np.int64)[order], "sequence_id": (np.int64(r.shard) << 20) + of[order], "offset": at})
+                yield pd.DataFrame({uid: np.frombuffer(r.uids, np.int64)[order], "sequence_id": (np.int64(r.shard) << 20) + of[order], "offset": at})
 
     chosen = groups.join(best, "shard", "left").select("shard", "uids", "lengths", F.coalesce("chrom", "first").alias("chrom"))
-    placed = chosen.mapInPandas(place, "__uid bigint, sequence_id bigint, offset bigint")
-    full = named.where(F.col("length") >= size).select("*", (-F.col("__uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return small.join(placed, "__uid").select(*named.columns, "sequence_id", "offset").union(full).drop("__uid")
+    placed = chosen.mapInPandas(place, f"`{uid}` bigint, sequence_id bigint, offset bigint")
+    full = named.where(F.col("length") >= size).select("*", (-F.col(uid) - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return small.join(placed, uid).select(*named.columns, "sequence_id", "offset").union(full).drop(uid)
 
 
 def op10_genetic_packing(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.names import unused
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: The filter is a literal of at most this many 64-bit blocks (1 MiB), whatever the number of rules;
@@ -98,24 +100,25 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         return F.get(blocks, block).bitwiseAND(mask) == mask
 
     # Of the pages themselves only possible hits meet the join; those that the filter clears pass by.
-    page = page.withColumn("__possible", F.filter(pairs, might_hold))
-    kept = [c for c in page.columns if c not in ("rule", "verdict", "__possible")]
-    hits, clear = page.where(F.size("__possible") > 0), page.where(F.size("__possible") == 0)
+    some, won, salt = unused(page.columns, "__possible", "__best", "__salt")
+    kept = [c for c in page.columns if c not in ("rule", "verdict")]
+    page = page.withColumn(some, F.filter(pairs, might_hold))
+    hits, clear = page.where(F.size(some) > 0), page.where(F.size(some) == 0)
     possible = (
-        hits.select("host", "path", "__possible").dropDuplicates(["host", "path"])
-        .select("host", "path", F.explode("__possible").alias("k"))
+        hits.select("host", "path", some).dropDuplicates(["host", "path"])
+        .select("host", "path", F.explode(some).alias("k"))
         .select("host", "path", F.col("k.h").alias("rule_host"), F.col("k.p").alias("rule_path"))
     )
     text = F.concat("rule_host", "rule_path")
     best = (
         possible.join(listed, ["rule_host", "rule_path"])
         .groupBy("host", "path")
-        .agg(F.min(F.struct((-F.length(text)).alias("n"), text.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("__best"))
+        .agg(F.min(F.struct((-F.length(text)).alias("n"), text.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias(won))
     )
     # One url may be behind a third of all rows, so its rows are dealt over SALTS partitions.
-    best = best.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = hits.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(best, ["host", "path", "__salt"], "left")
-    judged = met.select(*kept, F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    best = best.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = hits.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(best, ["host", "path", salt], "left")
+    judged = met.select(*kept, F.col(won)["rule"].alias("rule"), F.coalesce(F.col(won)["verdict"], F.lit(default)).alias("verdict"))
     return judged.union(clear.select(*kept, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
 
 
