@@ -283,5 +283,6 @@ def score_documents(docs: DataFrame, held_out: Column, id: str = "doc_id", text:
 
 
 def op5_context_tree(spark, sf_dir: str) -> DataFrame:
+    """Base and tree scores of every document, learned from those that are not held out; null text is its end alone."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)

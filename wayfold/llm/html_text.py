@@ -328,4 +328,5 @@ def extract(pages: DataFrame, column: str = "html", keep: tuple[str, ...] = ("pa
 
 
 def op4_html_blocks(spark, sf_dir: str) -> DataFrame:
+    """Main text of every page; null or empty html gives an empty text."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))

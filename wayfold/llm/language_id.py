@@ -153,5 +153,6 @@ def language_predictions(docs: DataFrame, keep: tuple[str, ...] = (), names: tup
 
 
 def op7_language_bloom(spark, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from labelled rows that are not held out; null or letterless text is und."""
     found = language_predictions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -159,6 +159,7 @@ def read_media(media: DataFrame, id: str = "id", column: str = "media") -> DataF
 
 
 def op1_media_jpeg(spark, sf_dir: str) -> DataFrame:
+    """Payload and file checks and thumbnail features of every document, read back from the stored JPEG files; null text is empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "average_hash", F.substring("thumbnail_sha256", 1, 16))
     return read_media(stored(text_media(docs))).select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "width", "height", "thumbnail_sha256")

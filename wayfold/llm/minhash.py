@@ -223,4 +223,5 @@ def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "te
 
 
 def op6_minhash_tensor(spark, sf_dir: str) -> DataFrame:
+    """Set size and component of every document at three words and 85 %; null and wordless texts are linked with nothing."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85)

@@ -197,6 +197,7 @@ def mix(docs: DataFrame, size: Column, id: str = "doc_id", source: str = "source
 
 
 def op2_mixing_flow(spark, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; null and wordless texts have size 0 and are not taken, null sources are one source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counted = stored(docs.select("doc_id", "source", word_count("text").alias("words")))  # texts are read once
     return mix(counted, F.col("words"), keep=("doc_id",)).select("doc_id", "size", "source_size", "target", "taken")

@@ -351,6 +351,7 @@ def pack(pieces: DataFrame, size: int = SIZE, shard: int = SHARD, generations: i
 
 
 def op10_genetic_packing(spark, sf_dir: str) -> DataFrame:
+    """Token pieces of every document, placed in sequences of 2,048; null text is its end alone."""
     return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -353,6 +353,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id",
 
 
 def op8_dual_tree(spark, sf_dir: str) -> DataFrame:
+    """The twenty best rows for every vector whose id is divisible by 20; vectors that are null or hold null or non-finite components take no part."""
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 

@@ -127,6 +127,7 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Host, path and verdict of every page under RULES; null urls have neither host nor path and are allowed."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")

@@ -203,6 +203,7 @@ def deduplicated(pages: DataFrame, id: str = "page_id", url: str = "url", payloa
 
 
 def op3_warc_revisit(spark, sf_dir: str) -> DataFrame:
+    """A record for each page as read back from the deduplicated archives; null html is an empty payload."""
     records, _ = deduplicated(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return records.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
