@@ -435,7 +435,7 @@ def test_held_out_documents_are_told_better_than_by_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     out = score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2).toPandas()
     held = out[out.held_out]
-    assert len(held) > 1000 and held.score.sum() > 0.96 * held.base_score.sum() and (held.score > held.base_score).mean() > 0.85
+    assert len(held) > 1000 and held.score.sum() > 0.97 * held.base_score.sum() and (held.score > held.base_score).mean() > 0.8
     assert out[~out.held_out].bits_per_byte.mean() < held.bits_per_byte.mean() < 2.2
 
 

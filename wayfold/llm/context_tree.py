@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.byte_tools import LOWER, TALLY_BYTES, Tally, padded, slices, span_hashes, words
 from wayfold.llm.scratch import stored
 
-DEPTH = 6
+DEPTH = 5
 #: Contexts of at most this many bytes are mixed on the driver, longer ones in tasks.
 CUT = 2
 HEAD = 1 << 20
