@@ -67,7 +67,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
         return [], np.zeros((1, 1), np.int64)
     spark = labelled.sparkSession
     share = spark.createDataFrame([(n, i, min(1.0, sample / counts[n])) for i, n in enumerate(langs)], "lang string, code int, share double")
-    chosen = known.join(share, "lang").where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    # A row for each language, counted just before; without the hint Spark does not know how few they are and would shuffle the texts.
+    chosen = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
