@@ -188,7 +188,7 @@ SELECT doc_id, regexp_extract(m, '(\d{3})\D*$', 1) AS code, count(*) AS n FROM m
 def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted hits of a dictionary (here: frequent words) in every document."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("words"))
-    return shapes.keyword_scores(docs, "doc_id", "words", spark.createDataFrame([(k,) for k in KEYWORDS], "name string"))
+    return shapes.keyword_scores(docs, "doc_id", "words", spark.range(1).select(F.explode(F.lit(KEYWORDS)).alias("name")))
 
 
 KEYWORDS = ["the", "der", "que", "les", "of the", "und der", "of und"]
