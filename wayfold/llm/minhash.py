@@ -38,7 +38,7 @@ from wayfold.llm.byte_tools import LOWER, mixed, shingles, slices, span_hashes,
 from wayfold.llm.components import components
 from wayfold.llm.id_filter import divided
 from wayfold.llm.names import unused
-from wayfold.llm.scratch import stored
+from wayfold.llm.scratch import dropped, stored
 
 
 #: Bits of a parity sketch.
@@ -201,6 +201,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
         labels = components(edges)
         open_, hubs = rest.select("key", "id"), chosen.select("key", "hub")
 
+    dropped(members, met, hubs, rest, compared, edges)
     comps = reps.select("fp", "id").join(labels, "id", "left").select("fp", F.coalesce("comp", "id").alias("component_id"))
     done = sigs.select("id", "n", F.when(F.col("id").isNotNull(), F.col("fp")).alias("fp")).join(comps, "fp", "left")
     comp = F.coalesce("component_id", "id")

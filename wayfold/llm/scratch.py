@@ -30,10 +30,9 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing will read again."""
+    """Delete stored tables (or unions of such) that nothing will read again."""
     for table in tables:
-        files = table.inputFiles()
-        if files:
-            spark = table.sparkSession
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

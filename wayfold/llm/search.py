@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.scratch import stored
+from wayfold.llm.scratch import dropped, stored
 
 BLOCK = 4096
 FANOUT = 32
@@ -342,6 +342,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id",
     known = stored(classes(rows, k))
     made = stored(packed(grown(known, dim, kind), dim, kind, k + 1))
     found = stored(searched(made, needed(made), dim, kind, k + 1))
+    dropped(known, made)
     # At most k + 1 entries of each task of the lane meet here.
     entry = F.struct("score", (-1 - F.col("id")).alias("back"))
     results = found.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(entry), asc=False), 1, k + 1).alias("entries"))
