@@ -461,10 +461,57 @@ r AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY
 SELECT query_id, 'e' || id AS name, label::DOUBLE AS lat, round(least(0.99, s), 3) AS score, CASE WHEN label % 2 = 0 THEN 'heraldry' ELSE 'heraldry_region' END AS kind FROM r WHERE s >= 0.25"""
 
 
+def ordinal_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets with a number in their name, of which the asked one is missing: the nearest numbers (odd ones are there, even ones asked for)."""
+    rows = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    street = F.concat((F.col("p_size") % 10 * 2 + 1).cast("string"), F.lit("-й "), F.col("p_name"))
+    rows = rows.select(F.lit("приморск").alias("city"), street.alias("street"), F.concat_ws("/", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string")).alias("house"), (F.col("l_discount") * 100).alias("lat"), (F.col("l_tax") * 100).alias("lon"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"))
+    g = build_gazetteer(rows)
+    known = plan.Seeds(*(spark.createDataFrame([], t) for t in ("name string, lat double, lon double, aliases array<string>", *["code string, name string, lat double, lon double"] * 3)))
+    parts = _t(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("request_id"))
+    said = F.concat(F.lit("ул. "), (F.col("request_id") % 10 * 2 + 2).cast("string"), F.lit("-й "), F.col("p_name"))
+    asked = parts.select("request_id", said.alias("manual_text"), F.lit("address").alias("mode"), F.lit(None).cast(seeds.FRAGMENTS).alias("fragments"))
+    q = plan.queried(plan.request_texts(asked), known, g)
+    found = plan.street_stage(q, g, known.major(), plan.street_centres(g))
+    return found.select("request_id", "kind", "name", F.round("score", 4).alias("score"), "seq")
+
+
+ORDINAL_SQL = """WITH a AS (SELECT (p_size % 10 * 2 + 1) AS number, p_name, l_linenumber || '/' || l_quantity::INT AS house, (l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq FROM lineitem JOIN part ON l_partkey = p_partkey),
+s AS (SELECT number, p_name, count(DISTINCT house) AS n, min(seq) AS first FROM a GROUP BY ALL),
+q AS (SELECT p_name, min(p_partkey) AS id, min(p_partkey) % 10 * 2 + 2 AS wanted FROM part GROUP BY p_name),
+m AS (SELECT id, number, s.p_name, n, first, abs(number - wanted) AS d FROM q JOIN s ON contains(s.p_name, q.p_name) QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(number - wanted), first) <= 8),
+p AS (SELECT *, round(greatest(0.22, 0.52 - 0.06 * d - 1.0 / (3.0 + n)) + 1e-12, 4) AS score FROM m)
+SELECT id AS request_id, 'street_approx' AS kind, 'приморск, ' || number || '-й ' || p_name AS name, score::DOUBLE AS score, row_number() OVER (PARTITION BY id ORDER BY score DESC, n DESC, first) AS seq FROM p"""
+
+
+def payload_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What requests carry: fragments, images that their type can use, characters of recognised text (here: three fragments a part)."""
+    key = F.col("p_partkey")
+    fragment = lambda kind, ocr_text: F.struct(F.lit("f").alias("id"), F.lit(0).cast("long").alias("created_at_ms"), F.struct(*(F.lit(0).alias(c) for c in "xywh")).alias("rect"), F.lit("").alias("note"), ocr_text.alias("ocr_text"), F.lit("aW1n").alias("image_b64"), kind.alias("clue_type"))
+    pieces = F.array(fragment(F.lit(None).cast("string"), F.lit("")), fragment(F.lit("flag"), F.lit(None).cast("string")), fragment(F.lit("text"), F.when(key % 2 == 0, F.col("p_name")).otherwise(" ")))
+    requests = _t(spark, sf_dir, "part").select("p_brand", pieces.alias("fragments"))
+    sent = perception.fragment_payload(requests)
+    kept = F.size(F.filter("fragments", lambda f: f["image_b64"].isNotNull()))
+    return sent.groupBy("p_brand").agg(F.count_if(perception.has_text(F.col("fragments"))).alias("with_text"), F.sum(kept).alias("images"))
+
+
+PAYLOAD_SQL = "SELECT p_brand, count(*) FILTER (p_partkey % 2 = 0) AS with_text, sum(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END)::BIGINT AS images FROM part GROUP BY p_brand"
+
+
+def payload_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over all requests of what they would carry (here: a fragment of each conversation's turn)."""
+    fragment = F.struct(F.lit("f").alias("id"), F.lit(0).cast("long").alias("created_at_ms"), F.struct(*(F.lit(0).alias(c) for c in "xywh")).alias("rect"), F.lit("").alias("note"), F.col("text").alias("ocr_text"), F.when(F.col("role") == "user", "aW1n").alias("image_b64"), F.lit("flag").alias("clue_type"))
+    return perception.dry_run(_t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(fragment).alias("fragments")))
+
+
+TOTAL_SQL = "SELECT count(DISTINCT conv_id) AS requests, count(*) AS fragments, count(*) FILTER (role = 'user') AS images, sum(length(coalesce(text, '')))::BIGINT AS ocr_chars FROM conversations"
+
+
 QUERIES = {
     "gazetteer_crossings": (gazetteer_crossings, CROSSING_SQL), "import_summary": (import_summary, IMPORT_SQL), "table_health": (table_health, HEALTH_SQL), "locate_places": (locate_places, LOCATE_SQL),
     "city_answers": (city_answers, CITY_SQL), "address_forms": (address_forms, FORMS_SQL), "street_forms": (street_forms, STREETS_SQL), "text_clues": (text_clues, TEXT_CLUES_SQL),
     "plate_readings": (plate_readings, PLATES_SQL), "fragment_types": (fragment_types, TYPES_SQL), "fragment_clues": (fragment_clues, FRAGMENT_CLUES_SQL), "reading_lines": (reading_lines, LINES_SQL),
     "reading_confidence": (reading_confidence, CONFIDENCE_SQL), "best_readings": (best_readings, BEST_SQL), "cleaned_readings": (cleaned_readings, CLEANED_SQL), "text_bands": (text_bands, BANDS_SQL),
     "merged_readings": (merged_readings, MERGED_SQL), "boxes": (boxes, BOXES_SQL), "reader_hits": (reader_hits, HITS_SQL), "shown_names": (shown_names, SHOWN_SQL), "emblem_answers": (emblem_answers, EMBLEM_SQL),
+    "ordinal_streets": (ordinal_streets, ORDINAL_SQL), "payload_counts": (payload_counts, PAYLOAD_SQL), "payload_total": (payload_total, TOTAL_SQL),
 }
