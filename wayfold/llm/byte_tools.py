@@ -10,7 +10,7 @@ import pyarrow as pa
 #: Bytes of text handled at once inside a task; a longer single text is handled alone.
 SLICE_BYTES = 1 << 19
 #: The same where each slice is merged into a tally.
-TALLY_BYTES = 1 << 21
+TALLY_BYTES = 1 << 20
 WORD = np.ones(256, bool)
 WORD[[32, 9, 10, 11, 12, 13]] = False
 LOWER = np.arange(256, dtype=np.uint8)

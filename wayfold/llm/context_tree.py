@@ -41,10 +41,10 @@ DEPTH = 5
 #: Contexts of at most this many bytes are mixed on the driver, longer ones in tasks.
 CUT = 2
 HEAD = 1 << 20
-HEAD_GRAMS = 1 << 21
-FLUSH = 1 << 21
+HEAD_GRAMS = 1 << 20
+FLUSH = 1 << 20
 #: Byte strings whose subtrees are worked out at once, but for those of one context of CUT + 1 bytes.
-SUBTREES = 1 << 18
+SUBTREES = 1 << 17
 #: Byte strings and words of training rows, and byte strings of the other rows.
 GRAM, TERM, OTHER = 0, 1, 2
 
