@@ -45,6 +45,8 @@ HEAD_GRAMS = 1 << 20
 FLUSH = 1 << 20
 #: Byte strings whose subtrees are worked out at once, but for those of one context of CUT + 1 bytes.
 SUBTREES = 1 << 17
+#: Rows of a batch whose texts are counted at once.
+RUN = 2048
 #: Byte strings and words of training rows, and byte strings of the other rows.
 GRAM, TERM, OTHER = 0, 1, 2
 
@@ -72,8 +74,9 @@ def corpus_counts(texts: DataFrame, depth: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(t.keys), kind, np.int32)), pa.array(t.keys), pa.array(t.counts)], ["kind", "key", "n"])
 
         for batch in batches:
-            held = batch.column(1)
-            for part, kind in ((batch.column(0).filter(pc.invert(held)), GRAM), (batch.column(0).filter(held), OTHER)):
+            # Rows are told apart in short runs, so that no second copy of a whole batch is held.
+            runs = (batch.slice(at, RUN) for at in range(0, batch.num_rows, RUN))
+            for part, kind in ((run.column(0).filter(run.column(1) if kind == OTHER else pc.invert(run.column(1))), kind) for run in runs for kind in (GRAM, OTHER)):
                 for _, _, buf, off in slices(part, TALLY_BYTES):
                     tallies[kind].add(grams(buf, off, depth))
                     if kind == GRAM:
@@ -220,7 +223,7 @@ def score_documents(docs: DataFrame, held_out: Column, id: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         string, string_log, known, known_log = model.value
         for batch in batches:
-            for at, to, buf, off in slices(batch.column(2)):
+            for at, to, buf, off in slices(batch.column(2), 1 << 18):
                 n = to - at
                 key = grams(buf, off, depth)
                 by_key = np.argsort(key)
