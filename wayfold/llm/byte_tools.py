@@ -61,9 +61,9 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         at = to
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of each text, and where each text's words begin (len(texts) + 1)."""
-    is_word = WORD[buf]
+def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of each text, and where each text's words begin (len(texts) + 1); ``table``: bytes of words."""
+    is_word = table[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[off] = True
     before = np.empty(len(buf), bool)
@@ -79,6 +79,15 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, off)
 
 
+def word_numbers(buf: np.ndarray, off: np.ndarray, table: np.ndarray = WORD) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """The number of each word in an exact dictionary, that dictionary, where each text's words begin, and where each word starts."""
+    starts, ends, first = words(buf, off, table)
+    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+    spelt = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf[table[buf]])])
+    coded = spelt.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, first, starts
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span, equal for equal bytes wherever they stand."""
     up, down = powers(len(buf) + 1)

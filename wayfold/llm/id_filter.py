@@ -19,18 +19,17 @@ MOST_BLOCKS = 1 << 18
 
 def _places(ids: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """Block and four bits of each id."""
-    h = mixed(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    h = mixed(np.ascontiguousarray(ids).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     mask = np.zeros(len(ids), np.uint64)
     for shift in (32, 38, 44, 50):
         mask |= np.uint64(1) << ((h >> np.uint64(shift)) & np.uint64(63))
     return (h % np.uint64(blocks)).astype(np.int64), mask
 
 
-def divided(rows: DataFrame, ids: DataFrame, id: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Those ``rows`` whose ``id`` may be in ``ids`` (all that are, and a few more), and those where it surely is not."""
+def bloom(ids: DataFrame, count: int, most: int = MOST_BLOCKS) -> np.ndarray:
+    """The filter of a table with one column, id (long), of about ``count`` rows; tasks fill blocks, Spark joins them."""
     blocks = 1
-    asked = ids.count()
-    while blocks * 64 < 12 * asked and blocks < MOST_BLOCKS:
+    while blocks * 64 < 12 * count and blocks < most:
         blocks *= 2
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,16 +39,25 @@ def divided(rows: DataFrame, ids: DataFrame, id: str = "id") -> tuple[DataFrame,
         used = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used].view(np.int64))], ["block", "mask"])
 
-    made = ids.select(F.col(id).cast("long").alias("id")).where("id is not null").mapInArrow(fill, "block long, mask long")
-    table = made.groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table = ids.where("id is not null").mapInArrow(fill, "block long, mask long").groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()
     words = np.zeros(blocks, np.uint64)
     words[table.column("block").to_numpy()] = table.column("mask").to_numpy().view(np.uint64)
-    shared = rows.sparkSession.sparkContext.broadcast(words)
+    return words
+
+
+def holds(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each id."""
+    block, mask = _places(ids, len(words))
+    return (words[block] & mask) == mask
+
+
+def divided(rows: DataFrame, ids: DataFrame, id: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Those ``rows`` whose ``id`` may be in ``ids`` (all that are, and a few more), and those where it surely is not."""
+    shared = rows.sparkSession.sparkContext.broadcast(bloom(ids.select(F.col(id).cast("long").alias("id")), ids.count()))
 
     @F.pandas_udf(T.BooleanType())
     def asked_for(id: pd.Series) -> pd.Series:
-        block, mask = _places(id.to_numpy(np.int64), blocks)
-        return pd.Series((shared.value[block] & mask) == mask)
+        return pd.Series(holds(shared.value, id.to_numpy(np.int64)))
 
     number = F.col(id).cast("long")
     some = rows.where(number.isNotNull())
