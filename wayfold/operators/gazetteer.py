@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.text import normalize_house, normalize_import, normalize_street, trimmed
 from wayfold.operators.shapes import absent, first_wins
+from wayfold.operators.spatial import nearest_places
 from wayfold.sources.osm import valid
 from wayfold.tables import numbered, stored
 
@@ -100,10 +101,10 @@ def road_points(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.join(shared, "node", "left_semi").join(located, "node")
 
 
-def build_intersections(ways: DataFrame, nodes: DataFrame, gazetteer: Gazetteer, major: DataFrame, ordered_names_only: bool = False, most: int | None = None) -> DataFrame:
+def build_intersections(ways: DataFrame, nodes: DataFrame, gazetteer: Gazetteer, major: DataFrame, ordered_names_only: bool = False, most: int | None = None, nearest: bool = False) -> DataFrame:
     """Crossings of two named roads, in the city that has both streets and the most houses (then a major city).
 
-    Pairs are unordered.  ``major`` (name_norm) lists major cities.  ``ordered_names_only`` keeps only pairs whose smaller
+    ``nearest``: a crossing lies in the city whose position is nearest to it, if that has both streets.  Pairs are unordered.  ``major`` (name_norm) lists major cities.  ``ordered_names_only`` keeps only pairs whose smaller
     name has the smaller street id; ``most`` ends after that many crossings, in the order of their cities and streets.
     """
     points = road_points(ways, nodes)
@@ -118,7 +119,15 @@ def build_intersections(ways: DataFrame, nodes: DataFrame, gazetteer: Gazetteer,
     # Only pairs that cross somewhere meet the street tables, not all pairs of a city's streets.
     both = crossings.select("a", "b").distinct().join(own("a"), "a").join(own("b"), ["city_id", "b"]).join(weights, "city_id")
     best = both.groupBy("a", "b").agg(F.max_by(F.struct("city_id", "street_a_id", "street_b_id"), F.struct("weight", -F.col("city_id"))).alias("best"))
-    placed = crossings.join(best, ["a", "b"]).select("node", "lat", "lon", "best.*")
+    columns = ["node", "lat", "lon", "city_id", "street_a_id", "street_b_id"]
+    if nearest:
+        crossings = stored(crossings)
+        closest = nearest_places(crossings.select("node", "lat", "lon").distinct(), gazetteer.cities, "node", "city_id").drop("km")
+        close = stored(crossings.join(closest, "node").join(own("a"), ["city_id", "a"]).join(own("b"), ["city_id", "b"]))
+        rest = crossings.join(close.select("node", "a", "b"), ["node", "a", "b"], "left_anti")
+        placed = close.select(*columns).union(rest.join(best, ["a", "b"]).select("node", "lat", "lon", "best.*").select(*columns))
+    else:
+        placed = crossings.join(best, ["a", "b"]).select("node", "lat", "lon", "best.*")
     if ordered_names_only:
         placed = placed.where("street_a_id < street_b_id")
     first = first_wins(placed, ["city_id", "street_a_id", "street_b_id"], "node", ["lat", "lon"])

@@ -82,7 +82,11 @@ def _gazetteer(spark: SparkSession, sf_dir: str, crossings: bool = True) -> Gaze
 
 def gazetteer_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crossings of named roads, each in the city that has both streets and the most houses."""
-    g = _gazetteer(spark, sf_dir)
+    return named_crossings(_gazetteer(spark, sf_dir))
+
+
+def named_crossings(g: Gazetteer) -> DataFrame:
+    """Crossings with the names of their cities and streets."""
     name = lambda s: g.streets.select(F.col("street_id").alias(f"street_{s}_id"), F.col("name_norm").alias(s))
     named = g.intersections.join(name("a"), "street_a_id").join(name("b"), "street_b_id").join(g.cities.select("city_id", F.col("name").alias("city")), "city_id")
     return named.select("city", "a", "b", F.round("lat", 6).alias("lat"), "lon")

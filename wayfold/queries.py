@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold import place_queries
+from wayfold import lookup_queries, place_queries
 from wayfold.functions import clues, text
 from wayfold.functions.fuzzy import partial_ratio
 from wayfold.operators import shapes
@@ -350,7 +350,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 }
 
 
-QUERIES |= place_queries.QUERIES
+QUERIES |= place_queries.QUERIES | lookup_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

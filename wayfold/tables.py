@@ -5,23 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below ``spark.checkpoint.dir`` and read back.
-
-    Where that is unset and Spark runs on one machine, a temporary folder serves; on a cluster the setting is needed.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``.  Where that is unset and Spark runs on one machine, a temporary folder serves; on a cluster the setting is needed."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.wayfold.tables", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="wayfold-")
         spark.conf.set("spark.wayfold.tables", base)
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
