@@ -45,7 +45,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
 
 
 SHAPES = {  # name: result columns and types that the contracts fix
@@ -59,6 +59,9 @@ SHAPES = {  # name: result columns and types that the contracts fix
     "op8_dual_tree": "query_id bigint, rank int, vec_id bigint, score bigint",
     "op9_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
     "op10_genetic_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op11_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op12_rank_merge": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op13_period_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
     "pipeline": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
 }
 
@@ -72,7 +75,7 @@ def test_registered_queries_have_the_stated_columns(spark, name):
         assert types[key] == kind, column
     table = {"op3": "pages", "op4": "pages", "op9": "pages"}.get(name.split("_")[0], "documents")
     rows = df.toPandas()
-    if name.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op9"):
+    if name.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op6", "op7", "op9", "op12", "op13"):
         id = "page_id" if table == "pages" else "doc_id"
         assert sorted(rows[id]) == sorted(r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(id).collect())
     assert len(rows)

@@ -1,19 +1,19 @@
 """Phrases that occur more often than their parts suggest, mined level by level.
 
-Everything is per language.  Level k counts phrases of k words (contiguous within a piece of text) as a table of
-(lang, phrase, f); only phrases with f >= ``least`` go on.
-
-1. Level 1 counts all words.
-2. For level k the frequent phrases of k - 1 words are broadcast as a Bloom filter (at most MOST_BLOCKS words of 64 bits,
-   whatever their number), and a phrase of k words is emitted only where both its parts of k - 1 words pass.  A false hit
-   emits a phrase in vain: it is counted exactly, so the level tables hold no other rows.
-3. Tasks count exact phrases slice by slice (numbers of a slice's dictionary), Spark sums them before and after its
-   shuffle, so a frequent phrase is a row a task.  Frequent levels are stored tables.
-4. A candidate is dropped if a longer one that holds it is nearly as frequent: every phrase sends its count to its parts
-   (their greatest is kept, summed up before the shuffle).
-5. Each cut of a candidate meets the counts of both parts in two joins with the level tables (Spark splits joins of
+Everything is per language.  Phrases are contiguous words within a piece of text.
+
+1. Level k counts phrases of k words by 64-bit hashes; hashes with a count of ``least`` and more are broadcast as a
+   Bloom filter (at most MOST_BLOCKS words of 64 bits, whatever their number).  A phrase of k words is counted only where
+   both its parts of k - 1 words pass the filter of the level before.  A hash counts no less than each of its phrases, so no
+   frequent phrase is lost; one that passes in vain is counted in vain.
+2. One more pass spells out the phrases that pass the filters of all their levels and counts them exactly: these are
+   the level tables (lang, phrase, words, f), with f >= ``least``.  Tasks count a slice at once, Spark sums before and after its
+   shuffle, so a frequent phrase is a row a task.
+3. A candidate is dropped if a longer one that holds it is nearly as frequent: every phrase sends its count to its parts
+   (their greatest is kept, before the shuffle too).
+4. Each cut of a candidate meets the counts of both parts in two joins with the level tables (Spark splits joins of
    frequent parts); the lowest-scoring cut counts.
-6. First phrases of a language: in rounds, over ever fewer salted groups, so that no task sorts all of a language.
+5. First phrases of a language: in rounds, over ever fewer salted groups, so that no task sorts all of a language.
 
 Sums and products are exact (decimals of 38 digits).
 
@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.byte_tools import LOWER, WORD, mixed, slices, span_hashes, word_numbers
 from wayfold.llm.id_filter import bloom, holds
-from wayfold.llm.scratch import stored
+from wayfold.llm.scratch import dropped, stored
 
 #: Words of 64 bits in a level's filter at most (16 MiB).
 MOST_BLOCKS = 1 << 21
 #: Bytes of text that are counted together before Spark sums.
-COUNTED_BYTES = 1 << 21
+COUNTED_BYTES = 1 << 20
 #: First phrases that a task compares in a round: so many groups of them.
 GROUPS = 16
 #: Bytes that end a piece.
@@ -59,13 +59,6 @@ def _spelt_hashes(words: pa.Array) -> np.ndarray:
     return span_hashes(buf, off[:-1], off[1:])
 
 
-def _chain(h: np.ndarray, nexts: list[np.ndarray]) -> np.ndarray:
-    """The hash of a phrase from that of its language and of its words in turn."""
-    for x in nexts:
-        h = mixed(h * np.uint64(0x2545F4914F6CDD1D) + x)
-    return h
-
-
 def _numbers(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Small numbers of equal codes, and a place of each."""
     coded = pa.array(codes).dictionary_encode()
@@ -75,52 +68,87 @@ def _numbers(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number, place
 
 
-def phrase_counts(docs: DataFrame, words: int, frequent: np.ndarray | None = None) -> DataFrame:
-    """lang, phrase and f of all phrases of so many words in (lang, text); with a filter, of those whose parts of one word less pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+class Words:
+    """The words of a slice of texts: number in the slice's dictionary, hash, language, and how far a piece goes on."""
+
+    def __init__(self, langs: pa.Array, names: pa.Array, buf: np.ndarray, off: np.ndarray):
+        buf = LOWER[buf]
+        self.number, self.known, first, starts = word_numbers(buf, off, PHRASE_WORD)
+        row = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(first))
+        # Pieces end at a byte of ENDS or with the text.
+        self.piece = np.cumsum(ENDS[buf], dtype=np.int32)[starts] + row
+        self.lang, self.names = langs.astype(np.int64)[row], names
+        self.spelt = _spelt_hashes(self.known)[self.number]
+        self.chain = _spelt_hashes(names)[self.lang]
+
+    def longer(self, k: int) -> None:
+        """``chain`` holds the hashes of the phrases of k words from each word on, after those of k - 1 words."""
+        n = max(0, len(self.number) - k + 1)
+        self.chain = mixed(self.chain[:n] * np.uint64(0x2545F4914F6CDD1D) + self.spelt[k - 1 :][:n])
+
+    def begins(self, k: int, passing: np.ndarray | None) -> np.ndarray:
+        """Where phrases of k words begin, both of whose parts pass."""
+        here = np.arange(max(0, len(self.number) - k + 1))
+        here = here[self.piece[here] == self.piece[here + k - 1]]
+        return here if passing is None else here[passing[here] & passing[here + 1]]
+
+
+def word_slices(batch: pa.RecordBatch) -> Iterator[Words]:
+    coded = batch.column(0).dictionary_encode()
+    langs = coded.indices.to_numpy()
+    for at, to, buf, off in slices(batch.column(1), COUNTED_BYTES):
+        yield Words(langs[at:to], coded.dictionary, buf, off)
+
+
+def frequent_hashes(docs: DataFrame, k: int, before: np.ndarray | None, least: int) -> DataFrame:
+    """Hashes (id) of phrases of k words in (lang, text) with a count of ``least`` or more; ``before``: the filter of the level before."""
+    shared = docs.sparkSession.sparkContext.broadcast(before)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            row_lang, names = langs.indices.to_numpy(), langs.dictionary
-            for at, to, buf, off in slices(batch.column(1), COUNTED_BYTES):
-                buf = LOWER[buf]
-                number, known, first, starts = word_numbers(buf, off, PHRASE_WORD)
-                # The piece of each word: pieces end at a byte of ENDS or with the text.
-                piece = np.cumsum(ENDS[buf], dtype=np.int32)[starts] + np.repeat(np.arange(to - at, dtype=np.int32), np.diff(first))
-                lang = np.repeat(row_lang[at:to], np.diff(first)).astype(np.int64)
-                here = np.arange(max(0, len(number) - words + 1))
-                here = here[piece[here] == piece[here + words - 1]]
-                if words > 1:
-                    spelt = _spelt_hashes(known)[number]
-                    n = len(number) - words + 2
-                    passes = holds(shared.value, _chain(_spelt_hashes(names)[lang[:n]], [spelt[k : k + n] for k in range(words - 1)])) if n > 0 else np.zeros(0, bool)
-                    here = here[passes[here] & passes[here + 1]]
-                if not len(here):
-                    continue
-                code = lang[here]
-                for k in range(words):
-                    code, place = _numbers(code * len(known) + number[here + k])
-                place = here[place]
-                parts = [known.take(pa.array(number[place + k])).cast(pa.large_string()) for k in range(words)]
-                phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if words > 1 else parts[0]
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[place])), phrase.cast(pa.string()), pa.array(np.bincount(code))], ["lang", "phrase", "f"])
-
-    return docs.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-
-
-def phrase_filter(frequent: DataFrame, words: int) -> np.ndarray:
-    """The filter of a level's phrases."""
+            for words in word_slices(batch):
+                for j in range(1, k):
+                    words.longer(j)
+                passing = holds(shared.value, words.chain) if k > 1 else None
+                words.longer(k)
+                counted = pa.array(words.chain[words.begins(k, passing)].view(np.int64)).value_counts()
+                yield pa.RecordBatch.from_arrays([counted.field(0), counted.field(1)], ["id", "f"])
+
+    counts = docs.mapInArrow(run, "id bigint, f bigint").groupBy("id").agg(F.sum("f").alias("f"))
+    return stored(counts.where(F.col("f") >= least).select("id"))
+
+
+def phrase_counts(docs: DataFrame, filters: list[np.ndarray]) -> DataFrame:
+    """lang, words, phrase and f of the phrases in (lang, text) that pass the filters of all their levels; with 0 words: all words of the language."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, buf, off in slices(batch.column(1)):
-                number, known, _, _ = word_numbers(buf, off, PHRASE_WORD)
-                spelt = _spelt_hashes(known)[number].reshape(-1, words)
-                h = _chain(_spelt_hashes(batch.column(0).slice(at, to - at)), list(spelt.T))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["id"])
-
-    return bloom(frequent.select("lang", "phrase").mapInArrow(run, "id bigint"), frequent.count(), MOST_BLOCKS)
+            for words in word_slices(batch):
+                every = np.bincount(words.lang, minlength=len(words.names))
+                yield _rows(words.names, np.flatnonzero(every), pa.array([""] * np.count_nonzero(every)), 0, every[every > 0])
+                passing = None
+                for k, own in enumerate(shared.value, 1):
+                    words.longer(k)
+                    here = words.begins(k, passing)
+                    passing = np.zeros(len(words.chain), bool)
+                    passing[here] = holds(own, words.chain[here])
+                    here = here[passing[here]]
+                    if not len(here):
+                        break
+                    code = words.lang[here]
+                    for j in range(k):
+                        code, place = _numbers(code * len(words.known) + words.number[here + j])
+                    place = here[place]
+                    parts = [words.known.take(pa.array(words.number[place + j])).cast(pa.large_string()) for j in range(k)]
+                    phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if k > 1 else parts[0]
+                    yield _rows(words.names, words.lang[place], phrase.cast(pa.string()), k, np.bincount(code))
+
+    return docs.mapInArrow(run, "lang string, phrase string, words int, f bigint").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+
+
+def _rows(names: pa.Array, lang: np.ndarray, phrase: pa.Array, words: int, f: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([names.take(pa.array(lang)), phrase, pa.array(np.full(len(f), words, np.int32)), pa.array(f)], ["lang", "phrase", "words", "f"])
 
 
 def first_of(rows: DataFrame, group: str, order: list[Column], key: str, most: int) -> DataFrame:
@@ -147,10 +175,13 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     ``least``; one inside a longer one with at least ``covered`` per cent of its count is dropped.
     """
     src = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    every = stored(phrase_counts(src, 1))
-    levels = [every.where(F.col("f") >= least)]
-    for k in range(2, longest + 1):
-        levels.append(stored(phrase_counts(src, k, phrase_filter(levels[-1], k - 1)).where(F.col("f") >= least)))
+    filters = []
+    for k in range(1, longest + 1):
+        found = frequent_hashes(src, k, filters[-1] if filters else None, least)
+        filters.append(bloom(found, found.count(), MOST_BLOCKS))
+        dropped(found)
+    every = stored(phrase_counts(src, filters).where((F.col("f") >= least) | (F.col("words") == 0)))
+    levels = [every.where(F.col("words") == k).select("lang", "phrase", "f") for k in range(1, longest + 1)]
 
     def part(first: int | Column, length: int | Column) -> Column:
         return F.array_join(F.slice("words", first, length), " ")
@@ -174,7 +205,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     lowest = scored.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("c"))
     lowest = stored(lowest.select("lang", "phrase", "a", "c.l", "c.r", "c.score"))
     ranked = first_of(lowest, "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")], "phrase", most)
-    total = every.groupBy("lang").agg(F.sum("f").alias("n"))
+    total = every.where("words = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
