@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.text import normalize_house, normalize_import, normalize_street, trimmed
+from wayfold.operators.gram_index import GramIndex, build_index
 from wayfold.operators.shapes import absent, first_wins
 from wayfold.operators.spatial import nearest_places
 from wayfold.sources.osm import valid
@@ -28,18 +29,26 @@ class Gazetteer:
     streets: DataFrame
     houses: DataFrame
     intersections: DataFrame
+    names: GramIndex | None = None
+
+    def name_index(self) -> GramIndex:
+        """The index of the streets' names, made once if it is not stored with the tables."""
+        if self.names is None:
+            self.names = build_index(self.streets, "name_norm")
+        return self.names
 
     def tables(self) -> dict[str, DataFrame]:
         return {"cities": self.cities, "streets": self.streets, "houses": self.houses, "intersections": self.intersections}
 
     def save(self, path: str) -> None:
-        """As Parquet tables below ``path``; houses in files by city and street, as every look-up has them; a large city has several."""
+        """As Parquet tables below ``path``, the index of street names too; houses in files by city and street, as every look-up has them; a large city has several."""
         for name, table in self.tables().items():
             (table.repartitionByRange("city_id", "street_id") if name == "houses" else table).write.mode("overwrite").parquet(f"{path}/{name}")
+        self.name_index().save(f"{path}/street_names")
 
     @staticmethod
     def load(spark, path: str) -> Gazetteer:
-        return Gazetteer(*(spark.read.parquet(f"{path}/{n}") for n in ("cities", "streets", "houses", "intersections")))
+        return Gazetteer(*(spark.read.parquet(f"{path}/{n}") for n in ("cities", "streets", "houses", "intersections")), GramIndex.load(spark, f"{path}/street_names"))
 
 
 def _tag(name: str) -> Column:

@@ -13,6 +13,7 @@ from wayfold.operators.vectors import emblem_matches
 from wayfold.plans import locate as plan
 from wayfold.plans.health import health
 from wayfold.sources import seeds
+from wayfold.tables import numbered, stored
 
 LETTERS = "абвгдежзиклмнопр"
 
@@ -105,23 +106,23 @@ IMPORT_SQL = f"WITH {ADDRESSES} SELECT count(DISTINCT city) AS cities, count(DIS
 
 def table_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row counts of gazetteer and seed tables, and which are empty."""
-    return health(_gazetteer(spark, sf_dir, crossings=False), _seeds(spark, sf_dir))
+    return health(_gazetteer(spark, sf_dir), _seeds(spark, sf_dir))
 
 
-HEALTH_SQL = f"""WITH {ADDRESSES}, n AS (SELECT 'cities' AS name, count(DISTINCT city) AS n FROM a UNION ALL SELECT 'streets', count(*) FROM c UNION ALL SELECT 'houses', count(*) FROM h
-    UNION ALL SELECT 'intersections', 0 UNION ALL SELECT unnest(['seed_cities', 'seed_plates', 'seed_highways']), count(*) FROM nation UNION ALL SELECT 'seed_phones', {len(seeds.PHONE_CODES)})
+HEALTH_SQL = f"""WITH {ADDRESSES}, {CROSSINGS}, n AS (SELECT 'cities' AS name, count(DISTINCT city) AS n FROM a UNION ALL SELECT 'streets', count(*) FROM c UNION ALL SELECT 'houses', count(*) FROM h
+    UNION ALL SELECT 'intersections', count(*) FROM i UNION ALL SELECT unnest(['seed_cities', 'seed_plates', 'seed_highways']), count(*) FROM nation UNION ALL SELECT 'seed_phones', {len(seeds.PHONE_CODES)})
 SELECT name, n, n = 0 AS empty FROM n"""
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request of each customer: a house, two streets, one street, a city or an alias, by the name's last digits."""
-    part = _t(spark, sf_dir, "part")
-    names = part.groupBy((F.col("p_partkey") % 64).alias("k")).agg(F.min("p_name").alias("p_name"))
+    names = stored(numbered(_t(spark, sf_dir, "part").select("p_name").distinct(), "n", "p_name").select((F.col("n") - 1).alias("k"), "p_name"))
+    different = names.count()
     name = lambda s: names.select(F.col("k").alias(f"k_{s}"), F.col("p_name").alias(s))
     key = F.col("c_custkey")
     supplier = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     many = supplier.agg(F.count("*").alias("many"))
-    c = _t(spark, sf_dir, "customer").withColumns({"k_a": key % 64, "k_b": (key * 7 + 3) % 64}).join(name("a"), "k_a").join(name("b"), "k_b")
+    c = _t(spark, sf_dir, "customer").withColumns({"k_a": key % different, "k_b": (key * 7 + 3) % different}).join(name("a"), "k_a").join(name("b"), "k_b")
     c = c.withColumn("s_suppkey", key % F.lit(many.first()[0])).join(supplier, "s_suppkey")  # cities that have addresses
     city = _city(F.col("s_nationkey"))
     number = F.concat((key % 9 + 1).cast("string"), F.lit("/"), (key % 50 + 1).cast("string"))
@@ -133,10 +134,10 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(key.alias("request_id"), said.alias("manual_text"), F.lit("geoguess").alias("mode"), F.lit(None).cast(seeds.FRAGMENTS).alias("fragments"))
 
 
-ASKED = f"""m AS (SELECT p_partkey % 64 AS k, min(p_name) AS p_name FROM part GROUP BY ALL),
+ASKED = f"""m AS (SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT p_name FROM part)),
 q AS (SELECT c_custkey AS id, {CITY} AS city, x.p_name AS a, y.p_name AS b, c_custkey % 9 + 1 AS number, (c_custkey % 9 + 1) || '/' || (c_custkey % 50 + 1) AS house, c_custkey % 5 AS what,
     n_nationkey::DOUBLE AS nlat, n_regionkey::DOUBLE AS nlon
-    FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier) JOIN nation ON s_nationkey = n_nationkey JOIN m x ON x.k = c_custkey % 64 JOIN m y ON y.k = (c_custkey * 7 + 3) % 64)"""
+    FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier) JOIN nation ON s_nationkey = n_nationkey JOIN m x ON x.k = c_custkey % x.n JOIN m y ON y.k = (c_custkey * 7 + 3) % y.n)"""
 
 
 def locate_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,11 +350,11 @@ CONFIDENCE_SQL = f"""WITH {WORDS} SELECT image_id, variant::BIGINT AS variant, r
 
 def best_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading of each image with the largest score (here: a conversation's turns as readings)."""
-    turns = _t(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("image_id"), F.col("turn").alias("variant"), F.substring("text", 1, 60).alias("text")).dropDuplicates(["image_id", "variant"])
+    turns = _t(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("image_id"), F.col("turn").alias("variant"), "text").groupBy("image_id", "variant").agg(F.min("text").alias("text"))
     return ocr.best_readings(turns).select("image_id", "variant", F.col("score").cast("long").alias("score"))
 
 
-BEST_SQL = r"""WITH s AS (SELECT DISTINCT ON (conv_id, turn) conv_id, turn, trim(substr(coalesce(text, ''), 1, 60), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS s FROM conversations),
+BEST_SQL = r"""WITH s AS (SELECT conv_id, turn, trim(coalesce(min(text), ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS s FROM conversations GROUP BY conv_id, turn),
 m AS (SELECT *, length(regexp_replace(s, '[^\p{L}]', '', 'g')) AS l, length(regexp_replace(s, '[^\p{Nd}]', '', 'g')) AS d, length(s) - length(regexp_replace(s, '[\s\v]', '', 'g')) AS sp, len(regexp_split_to_array(s, '[\s\v]+')) AS w FROM s),
 r AS (SELECT *, (CASE WHEN length(s) <= 2 THEN 0 ELSE greatest(0, l * 5 + d * 2 + length(s) + w * 12 + least(6, sp) * 2 - CASE WHEN l <= 2 AND w <= 1 AND length(s) <= 4 THEN 50 ELSE 0 END) END)::BIGINT AS score FROM m)
 SELECT conv_id::VARCHAR AS image_id, turn AS variant, score FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) = 1"""

@@ -17,7 +17,8 @@ from wayfold.functions.fuzzy import partial_ratio
 from wayfold.functions.geo import haversine_km, house_score, ordinal_score, pair_score, street_score
 from wayfold.functions.streets import street_candidates
 from wayfold.operators.gazetteer import Gazetteer
-from wayfold.operators.shapes import cascade, centroids, merge_top, running_flag, slice_then_merge
+from wayfold.operators.gram_index import build_index, names_holding, names_similar
+from wayfold.operators.shapes import centroids, merge_top, running_flag, slice_then_merge
 from wayfold.operators.vectors import emblem_matches
 from wayfold.tables import stored
 
@@ -92,26 +93,18 @@ def queried(texts: DataFrame, seeds: Seeds, gazetteer: Gazetteer) -> DataFrame:
     return stored(q.withColumn("pairing", chosen).withColumn("pairs", text.pairs(F.col("pairing"))))
 
 
-def _first_gram(c: Column) -> Column:
-    """What a text must hold to hold ``c``: its first three characters, or all of a shorter one."""
-    return F.substring(c, F.lit(1), F.least(F.lit(3), F.length(c)))
-
-
-def _grams(c: Column) -> Column:
-    return F.explode(F.concat(text.grams(c, 2), text.grams(c, 3)))
-
-
 def street_matches(q: DataFrame, gazetteer: Gazetteer) -> DataFrame:
     """request_id, pos, query, street_id, city_id, name, similarity: exact names, else names that hold the query's beginning
-    anywhere; then kind of street, word overlap and similarity (72 at least) are held against the query."""
+    anywhere (by the stored index of names); then kind of street, word overlap and similarity (72 at least) are held against the query."""
     asked = q.select("request_id", "hint_id", "norm", F.posexplode(F.slice("streets", 1, 8)).alias("pos", "query")).where(F.length("query") >= 2)
     fits = F.col("hint_id").isNull() | (F.col("hint_id") == F.col("city_id"))
     streets = gazetteer.streets.select("street_id", "city_id", "name", "name_norm")
     exact = asked.join(streets, F.col("query") == F.col("name_norm")).where(fits)
     left = asked.join(exact.select("request_id", "pos"), ["request_id", "pos"], "left_anti")
-    start = F.substring("query", 1, 16)
-    part = left.withColumn("gram", _first_gram(F.col("query"))).join(streets.withColumn("gram", _grams(F.col("name_norm"))), "gram").where(fits & F.contains("name_norm", start))
-    found = exact.withColumn("similarity", F.lit(100.0)).unionByName(part.drop("gram").withColumn("similarity", F.when(F.contains("name_norm", F.col("query")), 100.0).otherwise(partial_ratio("query", "name_norm"))))
+    left = stored(left.withColumn("start", F.substring("query", 1, 16)))
+    held = names_holding(left, "start", gazetteer.name_index()).withColumnRenamed("text", "name_norm")
+    part = left.join(held, "start").join(streets, "name_norm").where(fits).drop("start")
+    found = exact.withColumn("similarity", F.lit(100.0)).unionByName(part.withColumn("similarity", F.when(F.contains("name_norm", F.col("query")), 100.0).otherwise(partial_ratio("query", "name_norm"))))
     kind, own = text.street_kind(F.col("norm")), text.street_kind(F.col("name"))
     long = lambda c: F.filter(F.split(c, " "), lambda t: F.length(t) >= 3)
     overlap = (F.size(long("query")) < 2) | (F.size(F.array_intersect(long("query"), long("name_norm"))) >= 2)
@@ -179,16 +172,13 @@ def intersection_stage(q: DataFrame, gazetteer: Gazetteer, major: DataFrame) ->
 
 
 def listed_intersection_stage(q: DataFrame, seeds: Seeds) -> DataFrame:
-    """Crossings of the seed table: of the two names in it that are most similar to names of the text (75 at least).
-
-    Names of the text and of the table are compared where they share two characters in a row.
-    """
+    """Crossings of the seed table: of the two names in it that are most similar to names of the text (75 at least)."""
     a, b = text.normalize_street(F.col("street_a")), text.normalize_street(F.col("street_b"))
     rows = seeds.intersections.select("city", F.col("street_a").alias("name_a"), F.col("street_b").alias("name_b"), "lat", "lon", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     known = rows.select(F.col("a").alias("street")).union(rows.select("b")).where("street <> ''").distinct()
     asked = q.select("request_id", F.posexplode(F.slice("pairing", 1, 8)).alias("pos", "query"))
-    met = asked.withColumn("gram", F.explode(text.grams(F.col("query"), 2))).join(known.withColumn("gram", F.explode(text.grams(F.col("street"), 2))), "gram").drop("gram").distinct()
-    best = met.withColumn("similarity", partial_ratio("query", "street")).where("similarity >= 75").groupBy("request_id", "pos").agg(F.max("similarity").alias("similarity"), F.min_by("street", F.struct(-F.col("similarity"), F.col("street"))).alias("street"))
+    met = asked.join(names_similar(asked, "query", build_index(known, "street"), 75).withColumnRenamed("text", "street"), "query")
+    best = met.groupBy("request_id", "pos").agg(F.max("similarity").alias("similarity"), F.min_by("street", F.struct(-F.col("similarity"), F.col("street"))).alias("street"))
     once = best.groupBy("request_id", "street").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "pos")).alias("at"))
     two = once.withColumn("n", _ordered(once, F.col("at"))).where("n <= 2").groupBy("request_id").agg(F.min("street").alias("a"), F.max("street").alias("b")).where("a < b")
     found = two.join(rows, ["a", "b"])
@@ -222,8 +212,9 @@ def street_stage(q: DataFrame, gazetteer: Gazetteer, major: DataFrame, centres:
     exact = asked.join(places, F.col("query") == F.col("name_norm")).where(fits).withColumns({"points": street_score(F.col("houses")), "kind": F.lit("street_centroid")})
     left = asked.join(exact.select("request_id"), "request_id", "left_anti").withColumn("o", text.ordinal_parts(F.col("query"))).where("o is not null").select("request_id", "hint_id", "query", F.col("o.number").alias("wanted"), F.col("o.base").alias("base"))
     ordinals = places.withColumn("o", text.ordinal_parts(F.col("name_norm"))).where("o is not null").select("*", F.col("o.number").alias("number"), F.col("o.base").alias("base")).drop("o")
-    ordinals = ordinals.drop("base").withColumn("gram", _grams(F.col("name_norm")))
-    near = left.where(F.length("base") >= 2).withColumn("gram", _first_gram(F.col("base"))).join(ordinals, "gram").where(fits & F.contains("name_norm", F.col("base"))).withColumn("distance", F.abs(F.col("number") - F.col("wanted")))
+    left = stored(left.where(F.length("base") >= 2))
+    held = names_holding(left, "base", gazetteer.name_index()).withColumnRenamed("text", "name_norm")
+    near = left.join(held, "base").join(ordinals.drop("base"), "name_norm").where(fits).withColumn("distance", F.abs(F.col("number") - F.col("wanted")))
     near = near.withColumn("n", _ordered(near, F.col("distance"), F.desc("major"), F.col("street_id"))).where("n <= 8")
     near = near.withColumns({"points": ordinal_score(F.col("distance"), F.col("houses")), "kind": F.lit("street_approx")})
     found = exact.unionByName(near.select(*exact.columns))
@@ -337,18 +328,26 @@ def located(requests: DataFrame, gazetteer: Gazetteer, seeds: Seeds, vectors: Da
     type, detected kind, label and score).
     """
     q = queried(request_texts(requests), seeds, gazetteer)
-    major = seeds.major()
+    major, empty = seeds.major(), q.sparkSession.createDataFrame([], CANDIDATE)
     centres = stored(street_centres(gazetteer))
-    empty = q.sparkSession.createDataFrame([], CANDIDATE)
-    matches = stored(street_matches(q, gazetteer))
     of_clues, analysis = clue_stage(requests.where(F.coalesce("mode", F.lit("geoguess")) != "address"), seeds, vectors)
+    numbered = "number is not null and markers < 2"
     stages = [
-        of_clues,
-        house_stage(q, gazetteer, matches), listed_house_stage(q, seeds) if seeds.houses is not None else empty,
-        intersection_stage(q, gazetteer, major), listed_intersection_stage(q, seeds) if seeds.intersections is not None else empty,
-        pair_stage(q, gazetteer, major, centres), street_stage(q, gazetteer, major, centres), city_stage(q, seeds),
+        lambda q: of_clues,
+        lambda q: house_stage(q, gazetteer, stored(street_matches(q.where(numbered), gazetteer))),
+        lambda q: listed_house_stage(q, seeds) if seeds.houses is not None else empty,
+        lambda q: intersection_stage(q, gazetteer, major),
+        lambda q: listed_intersection_stage(q, seeds) if seeds.intersections is not None else empty,
+        lambda q: pair_stage(q, gazetteer, major, centres),
+        lambda q: street_stage(q, gazetteer, major, centres),
+        lambda q: city_stage(q, seeds),
     ]
-    chosen = cascade([empty.unionByName(s) for s in stages], "request_id")
+    answered, open_ = [], q
+    for n, stage in enumerate(stages):
+        # A stage sees the requests that no stage before has answered.
+        answered.append(stored(empty.unionByName(stage(open_)).withColumn("stage", F.lit(n).cast("long"))))
+        open_ = q.join(reduce(DataFrame.union, [a.select("request_id") for a in answered]).distinct(), "request_id", "left_anti")
+    chosen = reduce(DataFrame.union, answered)
     # Clues rank by score; the stages of the gazetteer come in their own order already.
     ranked = merge_top(chosen.withColumn("order", F.when(F.col("stage") == 0, F.col("score")).otherwise(-F.col("seq"))).withColumn("points", F.col("score")).withColumn("score", F.col("order")).drop("order"), "request_id", ["kind", "name"]).withColumn("score", F.col("points")).drop("points")
     return ranked, analysis

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from wayfold import lookup_queries, place_queries
 from wayfold.functions import clues, text
-from wayfold.functions.fuzzy import partial_ratio
 from wayfold.operators import shapes
+from wayfold.operators.gram_index import build_index, names_similar
 from wayfold.operators.vectors import top_similar
 
 
@@ -281,11 +281,10 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <
 
 
 def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar nation of each word of part names (an Arrow function over distinct pairs; a test holds it against brute force)."""
-    words = _t(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).where("word <> ''").distinct()
-    names = [r[0] for r in _t(spark, sf_dir, "nation").select(F.lower("n_name")).distinct().orderBy(F.lower("n_name")).collect()]
-    scored = words.select("word", F.explode(F.lit(names)).alias("name")).withColumn("similarity", partial_ratio("word", "name"))
-    return scored.groupBy("word").agg(F.max_by("name", F.struct("similarity", F.lit(0) - F.length("name"), "name")).alias("name"), F.max("similarity").alias("similarity"))
+    """The most similar other name of each part's name, if any reaches 70, by the index of names (a test holds it against brute force)."""
+    names = _t(spark, sf_dir, "part").select(F.lower("p_name").alias("name"))
+    scored = names_similar(names, "name", build_index(names, "name"), 70).where("text <> name")
+    return scored.groupBy("name").agg(F.max_by("text", F.struct("similarity", F.lit(0) - F.length("text"), "text")).alias("other"), F.max("similarity").alias("similarity"))
 
 
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,23 @@ def _some(kept: np.ndarray, counts: np.ndarray, *values: np.ndarray) -> list[np.
     return [counts[kept], *(v[inside] for v in values)]
 
 
+def _pairs(listed: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of tags of each node, and (key, value) of all, of a list where 0 in the place of a key ends a node."""
+    if not len(listed):
+        return np.zeros(nodes, np.int64), np.zeros((0, 2), np.int64)
+    ends = np.flatnonzero(listed == 0)
+    if len(ends) != nodes:  # some value is the empty string 0
+        ends, at = [], 0
+        while at < len(listed):
+            if listed[at] == 0:
+                ends.append(at)
+            at += 1 if listed[at] == 0 else 2
+        ends = np.array(ends)
+    inside = np.ones(len(listed), bool)
+    inside[ends] = False
+    return (np.diff(ends, prepend=-1) - 1) // 2, listed[inside].reshape(-1, 2)
+
+
 def block_batches(block: bytes, kind: str, columns: list[str], having: list[str]) -> Iterator[dict[str, pa.Array | np.ndarray]]:
     """Columns (id, lat, lon, refs, tags and place, the number in the block) of each group of a block."""
     strings, groups, grain, lat0, lon0 = pa.array([], pa.string()), [], 100, 0, 0
@@ -171,9 +188,7 @@ def block_batches(block: bytes, kind: str, columns: list[str], having: list[str]
                 own = dict(fields(v))
                 ids, las, los = (np.cumsum(packed(own.get(n, b""), True)) for n in (1, 8, 9))
                 listed = packed(own.get(10, b""))
-                ends = np.flatnonzero(listed == 0)
-                counts = (np.diff(ends, prepend=-1) - 1) // 2 if len(ends) else np.zeros(len(ids), np.int64)
-                flat = listed[listed != 0].reshape(-1, 2)
+                counts, flat = _pairs(listed, len(ids))
                 yield from _group(kind, place, ids, flat[:, 0], flat[:, 1], columns, wanted if having else None, strings, counts=counts, lat=1e-9 * (lat0 + grain * las), lon=1e-9 * (lon0 + grain * los))
                 place += len(ids)
             own = [{n: x for n, x in fields(v) if n in (1, 2, 3, 8, 9)} for v in plain]
@@ -257,7 +272,7 @@ def field(number: int, value: int | bytes) -> bytes:
 def block_of(rows: pa.Table) -> bytes:
     """A primitive block of nodes (id, lat, lon, tags) or ways (id, refs, tags)."""
     tags = [list(t or ()) for t in rows.column("tags").to_pylist()]
-    strings = {"": 0}
+    strings: dict[str | None, int] = {None: 0}  # 0 stands for no string
     coded = [[(strings.setdefault(k, len(strings)), strings.setdefault(v or "", len(strings))) for k, v in t] for t in tags]
     ids = rows.column("id").to_numpy()
     if "lat" in rows.column_names:
@@ -269,7 +284,7 @@ def block_of(rows: pa.Table) -> bytes:
         for i, pairs, refs in zip(ids.tolist(), coded, rows.column("refs").to_pylist(), strict=True):
             own = np.array(pairs, np.int64).reshape(-1, 2)
             group += field(3, field(1, i) + field(2, varints(own[:, 0])) + field(3, varints(own[:, 1])) + field(8, deltas(np.array(refs or [], np.int64))))
-    return field(1, b"".join(field(1, s.encode()) for s in strings)) + field(2, group)
+    return field(1, b"".join(field(1, (s or "").encode()) for s in strings)) + field(2, group)
 
 
 def blob_of(kind: bytes, block: bytes) -> bytes:
