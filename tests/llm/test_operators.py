@@ -186,12 +186,50 @@ def test_targets_stop_at_twice_the_size(spark):
 
 
 def test_a_source_for_each_document(spark):
-    """Sources that do not overlap need no flow, however many there are."""
+    """Sources that do not overlap are components of their own, however many there are."""
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), F.col("id").cast("string")).alias("source"), (F.col("id") % 7).alias("n"))
     out = mixing.mix(docs, F.col("n")).toPandas()
     assert len(out) == 3000 and (out.target <= 2 * out["size"] + 1e-9).all() and out.target.sum() == pytest.approx(1.5 * out["size"].sum()) and (abs(out.taken - out.target) <= out["size"]).all()
 
 
+def test_components_route_as_the_whole_graph(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    links, supplies, quotas = [], [], {}
+    for part in range(6):
+        names = [f"{part}{c}" for c in "abcd"]
+        quotas |= {n: int(rng.integers(1, 4000)) for n in names}
+        for k in range(9):
+            own = tuple(sorted(rng.choice(names, rng.integers(1, 4), replace=False)))
+            supplies.append((own, int(rng.integers(0, 900))))
+            links += [(f"p{part}{k}", n, supplies[-1][1], float(quotas[n])) for n in own]
+    frame = spark.createDataFrame(links, "pattern string, name string, words long, target double")
+    mine = mixing.routed(frame, 2).toPandas()
+    total = lambda flows: sum(flows.values())
+    whole = mixing.route(supplies, quotas, 2)
+    price = lambda of: cost_of(of, supplies)
+    order = [f"p{part}{k}" for part in range(6) for k in range(9)]
+    by_pattern = mine.groupby("pattern").flow.sum()
+    assert mine.flow.sum() == total(whole) and price([int(by_pattern.get(p, 0)) for p in order]) == price([sum(n for (p, _), n in whole.items() if p == k) for k in range(len(order))])
+    assert all(flow <= quotas[name] for name, flow in mine.groupby("name").flow.sum().items())
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 8)
+    with pytest.raises(Exception, match="coarser"):
+        mixing._routed(frame.withColumn("repeats", F.lit(2)).toPandas())
+
+
+def test_the_query_routes_all_its_words(spark, monkeypatch):
+    """What op2_mixing_flow takes comes from the flow: its targets are met by it to a word, at the least price."""
+    seen, routed = [], mixing.routed
+    monkeypatch.setattr(mixing, "routed", lambda links, repeats: seen.append((links, routed(links, repeats))) or seen[-1][1])
+    out = mixing.op2_mixing_flow(spark, "/root/testdata/sf0.01").toPandas()
+    links, flows = (df.toPandas() for df in seen[0])
+    met = links.merge(flows, on=["pattern", "name"])
+    assert len(seen) == 1 and len(met) == len(links) > 10 and (met.flow == met.target.round()).all() and (met.flow <= 2 * met.words).all()
+    # The least price of a source's words, over all ways to divide them into first and second copies.
+    least = [min(x + 3 * (f - x) for x in range(max(0, f - w), min(f, w) + 1)) for f, w in zip(met.flow.tolist(), met.words.tolist(), strict=True)]
+    assert least == [cost_of([f], [(None, w)]) for f, w in zip(met.flow, met.words, strict=True)]
+    assert abs(out.taken.sum() - met.flow.sum()) <= 0.01 * met.flow.sum()
+
+
 def test_mix_comes_near_its_targets(spark):
     rng = np.random.default_rng(5)
     texts = [random_text(rng, int(n)) for n in rng.pareto(1.2, 900) * 20 + 1] + [None, "", " \n"]

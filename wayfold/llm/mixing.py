@@ -5,10 +5,10 @@
 2. Targets: sources in code point order, null last, take ``weights`` in turn and share ``share`` times all words
    of the sources; a target stops at ``repeats`` times its source's size, and the excess is shared again.
 3. Pattern words flow to the targets of the pattern's sources.  The r-th repetition of a word costs 2 r - 1, so
-   costs are convex and nothing is repeated while unrepeated words of another pattern could serve.  A source whose
-   documents are in no other one gets its target from its own pattern.  The others make up a graph with a node for each
-   source and pattern, not for documents (at most MOST_PATTERNS patterns, else an error asks for coarser memberships);
-   the driver solves it, one largest flow for each price.
+   costs are convex and nothing is repeated while unrepeated words of another pattern could serve.  Sources and patterns
+   that hang together are a component (a source that overlaps with none is one of its own, with one pattern), and a Spark task solves each
+   component: one largest flow for each price.  Its graph has a node for each source and pattern, not for documents; a
+   component of more than MOST_PATTERNS patterns is an error that asks for coarser memberships.
 4. A pattern's flow is a number of whole repetitions of all its documents and a rest.  The rest is chosen by a
    seeded hash: within each pattern, size classes from long to short documents each take their share of what is
    still missing, by whole hash buckets, so that short documents make up for what long ones overshoot.  Sums by
@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from wayfold.llm.components import components
 from wayfold.llm.names import unused
 from wayfold.llm.scratch import stored
 from wayfold.tables import numbered
@@ -120,6 +121,32 @@ def route(supplies: list[tuple[tuple[str, ...], int]], quotas: dict[str, int], r
     return {link: room[e ^ 1] for link, e in links.items()}
 
 
+def _routed(links: pd.DataFrame) -> pd.DataFrame:
+    """Of one component's links (pattern, name, words, target): the words that flow along each."""
+    supplies, quotas = {}, {}
+    for r in links.sort_values(["pattern", "name"]).itertuples(index=False):
+        supplies.setdefault(r.pattern, ([], int(r.words)))[0].append(r.name)
+        quotas[r.name] = round(r.target)
+    if len(supplies) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns of sources that overlap: use coarser memberships")
+    repeats, patterns = int(links.repeats.iloc[0]), list(supplies)
+    flows = route([(tuple(names), words) for names, words in supplies.values()], dict(sorted(quotas.items())), repeats)
+    return pd.DataFrame([(patterns[p], name, words) for (p, name), words in flows.items()], columns=["pattern", "name", "flow"])
+
+
+def routed(links: DataFrame, repeats: int) -> DataFrame:
+    """(pattern, name, flow): the least-cost flow over links (pattern, name, words, target), component by component."""
+    shared = stored(links.groupBy("pattern").agg(F.collect_list("name").alias("names")).where(F.size("names") > 1))
+    if shared.isEmpty():
+        parts = links.withColumn("part", F.col("name"))
+    else:
+        # The first source of a pattern stands for it, so the graph is one of sources.
+        edges = shared.select(F.get("names", 0).alias("a"), F.explode("names").alias("b")).where("a <> b").distinct()
+        parts = links.join(components(edges).withColumnRenamed("id", "name"), "name", "left").withColumn("part", F.coalesce("comp", "name"))
+    rows = parts.select("part", "pattern", "name", "words", "target", F.lit(repeats).alias("repeats"))
+    return rows.groupBy("part").applyInPandas(_routed, "pattern string, name string, flow long")
+
+
 def _cuts(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one pattern's sums by size class and bucket: the first bucket of each class that is not in the rest."""
     frame = frame.sort_values(["grade", "bucket"], ascending=[False, True])
@@ -169,21 +196,11 @@ def mix(docs: DataFrame, size: Column, id: str = "doc_id", source: str = "source
         .agg(F.first(members_).alias("members"), F.sum(size_).alias("words"))
     )
     found = stored(sums.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("words").alias("words")))
-    members_of = found.select("pattern", F.size("members").alias("n"), F.explode("members").alias("name"), "words")
+    members_of = found.select("pattern", F.explode("members").alias("name"), "words")
     targets = stored(capped_targets(members_of.groupBy("name").agg(F.sum("words").alias("size")), weights, share, repeats))
-    shared = stored(members_of.where("n > 1").select("name").distinct())
-    met = members_of.join(targets, "name")
+    met = stored(members_of.join(targets, "name"))
     sums_of = met.groupBy("pattern").agg(F.sum("size").alias("source_size"), F.sum("target").alias("target"), F.first("words").alias("words"))
-    alone = met.join(shared, "name", "left_anti").select("pattern", F.round("target").cast("long").alias("flow"))
-    patterns = members_of.join(shared, "name", "left_semi").select("pattern").distinct().join(found, "pattern").limit(MOST_PATTERNS + 1).collect()
-    if len(patterns) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns of overlapping sources: use coarser memberships")
-    patterns.sort(key=lambda r: r.pattern)
-    quotas = {r.name: round(r.target) for r in targets.join(shared, "name", "left_semi").orderBy("name").collect()} if patterns else {}
-    taken = [0] * len(patterns)
-    for (p, _), n in route([(tuple(r.members), r.words) for r in patterns], quotas, repeats).items():
-        taken[p] += n
-    flows = alone.union(spark.createDataFrame([(r.pattern, t) for r, t in zip(patterns, taken, strict=True)], "pattern string, flow long"))
+    flows = routed(met.select("pattern", "name", "words", "target"), repeats).groupBy("pattern").agg(F.sum("flow").alias("flow"))
     words = F.greatest("words", F.lit(1))
     planned = stored(sums_of.join(flows, "pattern").select("pattern", "source_size", "target", ((F.col("flow") - F.pmod("flow", words)) / words).cast("long").alias("whole"), F.pmod("flow", words).alias("rest")))
     cuts = stored(sums.join(planned.select("pattern", "rest"), "pattern").select("pattern", "grade", "bucket", "words", "rest").groupBy("pattern").applyInPandas(_cuts, "pattern string, grade int, cut int"))
