@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from wayfold.llm import jpeg, media, minhash, mixing, packing, search, warc
 from wayfold.llm.byte_tools import slices
 from wayfold.llm.context_tree import score_documents
-from wayfold.llm.html_text import blocks, classifier, extract, features, main_texts
+from wayfold.llm.html_text import LABELLED_PAGES, blocks, classifier, extract, features, labelled_page, main_texts, train
 from wayfold.llm.language_id import language_predictions
 from wayfold.llm.scratch import stored
 from wayfold.llm.url_filter import filter_urls
@@ -345,7 +345,7 @@ UNNAMED = (  # no articles, names or sections
 def test_neighbours_decide_in_pages_of_plain_blocks():
     text = "When the ferry came back in the evening most of the people on the pier had already gone home, and only a dog was waiting there."
     made = blocks(UNNAMED.format(text))
-    assert not any(b.article or b.other or b.named for b in made)
+    assert not any(b.article or b.other for b in made)
     want = [b.text.startswith("When") or b.text in ("Nobody saw it.", "They left.") for b in made]
     x = features(made)
     assert classifier().decide(x).tolist() == want
@@ -353,14 +353,40 @@ def test_neighbours_decide_in_pages_of_plain_blocks():
     assert classifier().decide(x).tolist() != want
 
 
-def test_pages_do_not_hang_on_class_names():
-    """Without the column of class names all but a few blocks of the given pages are judged as before."""
+def test_figures_decide_on_the_given_pages():
+    """Elements only settle what the six figures leave open; texts are the pages' articles to a block."""
     made = [blocks(p) for p in pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html]
-    x = np.concatenate([features(p) for p in made])
-    inside = [b.article and not b.other and not b.named for p in made for b in p]
-    assert classifier().decide(x).tolist() == inside
-    x[:, 7] = 0
-    assert (classifier().decide(x) == inside).mean() > 0.98
+    x, tree = np.concatenate([features(p) for p in made]), classifier()
+    found = tree.decide(x)
+    assert found.tolist() == [b.article and not b.other for p in made for b in p]
+
+    def changed(columns):
+        y = x.copy()
+        y[:, columns] = 0
+        return (tree.decide(y) != found).mean()
+
+    def open_to(node, rows):
+        """Rows that reach a split by kinds of elements."""
+        if node.low is None or not len(rows):
+            return 0
+        if node.by >= 6:
+            return len(rows)
+        below = rows[:, node.by] <= node.at
+        return open_to(node.low, rows[below]) + open_to(node.high, rows[~below])
+
+    assert changed([0, 1, 2, 3, 4, 5]) > 0.5 and changed([0, 2, 3, 5]) > 0.15 and changed([6, 7, 8, 9]) < 0.03 and open_to(tree, x) < 0.7 * len(x)
+
+
+def test_the_labelled_table_is_learned():
+    """Each labelled page left out in turn: the others tell nearly all its blocks."""
+    pages = [blocks(labelled_page(line)) for line in LABELLED_PAGES]
+    right = total = 0
+    for k, page in enumerate(pages):
+        rest = [p for i, p in enumerate(pages) if i != k]
+        tree = train(np.concatenate([features(p) for p in rest]), np.array([b.keep for p in rest for b in p], float))
+        right += (tree.decide(features(page)) == [b.keep for b in page]).sum()
+        total += len(page)
+    assert right > 0.93 * total
 
 
 # --- 5: context-tree weighting
