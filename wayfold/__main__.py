@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wayfold.operators.gazetteer import Gazetteer, addresses, build_gazetteer, build_intersections
 from wayfold.plans import regression
 from wayfold.plans.health import health
+from wayfold.plans.imports import import_extracts, import_totals, imported
 from wayfold.plans.locate import Seeds, locate, located, responses
 from wayfold.plans.report import report
 from wayfold.sources import osm, seeds
@@ -40,6 +41,11 @@ def arguments(args: list[str] | None) -> argparse.Namespace:
     build.add_argument("--max-inserts", type=int, help="crossings at most")
     build.add_argument("--log", help="a file to append time-stamped lines to")
     build.add_argument("--stop-on-error", action="store_true", help="end at a file that cannot be read; else go on without it")
+    many = commands.add_parser("import", help="map extracts to a gazetteer, one after the other; finished ones are not read again")
+    many.add_argument("path", help="a folder or file of extracts, in a store that pyarrow reads")
+    many.add_argument("--exclude", action="append", default=[], help="part of the name of files to leave out")
+    many.add_argument("--default-city", default="")
+    many.add_argument("--stop-on-error", action="store_true", help="end at a file that fails; else it is left out as a whole")
     find = commands.add_parser("locate", help="requests (JSON lines) to responses")
     find.add_argument("requests")
     find.add_argument("out")
@@ -62,6 +68,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = arguments(args)
     spark = spark or SparkSession.builder.appName("wayfold").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     known = read_seeds(spark, a.seeds)
+    if a.command == "import":
+        files = [r.path for r in seeds.extracts(spark, a.path, exclude=tuple(a.exclude)).select("path").collect()]
+        found = import_extracts(spark, sorted(files), f"{a.gazetteer}/imports", known.major(), a.default_city, a.stop_on_error)
+        imported(spark, f"{a.gazetteer}/imports").save(a.gazetteer)
+        import_totals(found).show(truncate=False)
+        return 0 if found.where("error is not null").isEmpty() else 1
     if a.command == "build":
         files = [r.path for r in seeds.extracts(spark, a.path, exclude=tuple(a.exclude)).select("path").collect()]
         if a.log:

@@ -11,6 +11,7 @@ from wayfold import place_queries as places
 from wayfold.operators.gazetteer import addresses, build_gazetteer, build_intersections
 from wayfold.operators.gram_index import build_index, names_holding, names_similar
 from wayfold.operators.spatial import nearest_places
+from wayfold.plans.imports import import_extracts, imported
 from wayfold.sources.extracts import extract_rows, write_extract
 from wayfold.streaming.ingest import append_first_arrivals
 from wayfold.tables import folder
@@ -135,7 +136,28 @@ STREAMED_SQL = """
 SELECT l_suppkey, l_quantity, l_orderkey * 8 + l_linenumber AS seq, l_discount, l_tax FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_quantity ORDER BY l_orderkey * 8 + l_linenumber, l_discount, l_tax) = 1"""
 
+def imported_houses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Houses of three extracts that are imported one by one; a fourth one is broken and left out, a second run adds nothing (here: order lines by order)."""
+    base, rows = _shared_folder(spark), places._addresses(spark, sf_dir)
+    tags = F.create_map(F.lit("addr:city"), F.col("city"), F.lit("addr:street"), F.col("street"), F.lit("addr:housenumber"), F.col("house"))
+    files = [f"{base}/region-{k}" for k in range(3)]
+    for k, file in enumerate(files):
+        own = rows.where(F.col("seq.l_orderkey") % 3 == k).repartitionByRange("seq").sortWithinPartitions("seq")
+        write_extract(own.select((F.col("seq.l_orderkey") * 8 + F.col("seq.l_linenumber")).alias("id"), "lat", "lon", tags.alias("tags")), file)
+    rows.limit(9).select("city").coalesce(1).write.text(f"{base}/broken")
+    none = spark.createDataFrame([], "name_norm string")
+    for _ in range(2):
+        import_extracts(spark, [files[0], f"{base}/broken", *files[1:]], f"{base}/gazetteer", none)
+    g = imported(spark, f"{base}/gazetteer")
+    named = g.houses.join(g.streets.select("street_id", F.col("name_norm").alias("street")), "street_id").join(g.cities.select("city_id", F.col("name_norm").alias("city")), "city_id")
+    return named.select("city", "street", F.col("house_norm").alias("house"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+IMPORTED_SQL = f"""WITH {places.ADDRESSES} SELECT city, street, house, round(lat, 6) AS lat, round(lon, 6) AS lon FROM a
+QUALIFY row_number() OVER (PARTITION BY city, street, house ORDER BY l_orderkey % 3, l_orderkey, l_linenumber, l_partkey, l_suppkey, lat, lon) = 1"""
+
 QUERIES = {
+    "imported_houses": (imported_houses, IMPORTED_SQL),
     "names_by_part": (names_by_part, HOLDING_SQL), "similar_names": (similar_names, None), "nearest_place": (nearest_place, NEAREST_PLACE_SQL), "crossings_by_distance": (crossings_by_distance, DISTANCE_SQL),
     "extract_houses": (extract_houses, EXTRACT_HOUSES_SQL), "extract_crossings": (extract_crossings, places.CROSSING_SQL), "streamed_firsts": (streamed_firsts, STREAMED_SQL),
 }

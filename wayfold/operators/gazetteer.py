@@ -116,10 +116,12 @@ def build_intersections(ways: DataFrame, nodes: DataFrame, gazetteer: Gazetteer,
     ``nearest``: a crossing lies in the city whose position is nearest to it, if that has both streets.  Pairs are unordered.  ``major`` (name_norm) lists major cities.  ``ordered_names_only`` keeps only pairs whose smaller
     name has the smaller street id; ``most`` ends after that many crossings, in the order of their cities and streets.
     """
-    points = road_points(ways, nodes)
+    points = stored(road_points(ways, nodes))
     a, b = points.alias("a"), points.alias("b")
     crossings = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.name_norm") < F.col("b.name_norm")))
     crossings = crossings.select(F.col("a.node").alias("node"), F.col("a.name_norm").alias("a"), F.col("b.name_norm").alias("b"), F.col("a.lat").alias("lat"), F.col("a.lon").alias("lon"))
+    # A pair lies in one city, so its first vertex is enough; where the city depends on the vertex all are kept.
+    crossings = stored(crossings if nearest else first_wins(crossings, ["a", "b"], "node", ["lat", "lon"]))
     counts = gazetteer.houses.groupBy("city_id").agg(F.count("*").alias("n"))
     large = major.select("name_norm").distinct().withColumn("major", F.lit(True))
     cities = gazetteer.cities.select("city_id", "name_norm").join(large, "name_norm", "left").select("city_id", F.coalesce("major", F.lit(False)).alias("major"))
@@ -130,7 +132,6 @@ def build_intersections(ways: DataFrame, nodes: DataFrame, gazetteer: Gazetteer,
     best = both.groupBy("a", "b").agg(F.max_by(F.struct("city_id", "street_a_id", "street_b_id"), F.struct("weight", -F.col("city_id"))).alias("best"))
     columns = ["node", "lat", "lon", "city_id", "street_a_id", "street_b_id"]
     if nearest:
-        crossings = stored(crossings)
         closest = nearest_places(crossings.select("node", "lat", "lon").distinct(), gazetteer.cities, "node", "city_id").drop("km")
         close = stored(crossings.join(closest, "node").join(own("a"), ["city_id", "a"]).join(own("b"), ["city_id", "b"]))
         rest = crossings.join(close.select("node", "a", "b"), ["node", "a", "b"], "left_anti")
