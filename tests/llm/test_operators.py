@@ -710,11 +710,45 @@ def test_dual_tree_prunes_clustered_vectors(spark, monkeypatch):
     assert depth >= 2 and share > 0.8, (depth, share)
 
 
-def test_leaves_hold_each_row_once():
-    x = np.random.default_rng(0).normal(size=(3000, 5))
-    parts = search.leaves(x)
-    assert sorted(np.concatenate(parts).tolist()) == list(range(3000)) and max(map(len, parts)) <= search.LEAF
-    assert len(search.leaves(np.ones((500, 3)))) >= 4
+@pytest.mark.parametrize("shape", ["clusters", "line", "noise", "copies", "one"])
+def test_cover_tree_invariants(shape):
+    """Covering, nesting and separation of every level; nodes are ranges that begin with their centres."""
+    rng = np.random.default_rng(0)
+    x = {"clusters": clustered(rng, 9, 100, 5, 0.05), "line": np.arange(700.0)[:, None] ** 2, "noise": rng.normal(size=(600, 20)), "copies": np.ones((300, 3)), "one": np.ones((1, 3))}[shape]
+    order, sizes = search.cover_tree(x, 10)
+    assert sorted(order.tolist()) == list(range(len(x))) and all(n.sum() == len(x) for n in sizes)
+    y, apart = x[order], lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    radius = float(apart(y[:1], y).max())
+    begins = [np.cumsum(n) - n for n in sizes]
+    for coarse, fine in zip(begins[:-1], begins[1:], strict=True):
+        assert set(coarse) <= set(fine)  # nesting: a centre is the first row of its own child
+    for b in begins[1:]:
+        own = apart(y[b], y[b]) + np.eye(len(b)) * 1e9
+        cover = apart(y, y[b]).min(1).max()
+        assert own.min() > cover * 0.999 and cover < radius  # separation beyond the radius within which every row is covered
+        radius = cover + 1e-9
+    assert len(sizes) > (3 if shape in ("clusters", "line") else 0)
+    assert [n.tolist() for n in search.levels_from_bytes(search.levels_to_bytes(sizes))] == [n.tolist() for n in sizes]
+
+
+def test_node_pairs_lose_nothing_and_prune():
+    """At the query's own parameters, on one block of clustered vectors and on the given ones."""
+    def looked(x, queries):
+        (qo, qs), (xo, xs) = search.cover_tree(queries, search.FEW), search.cover_tree(x)
+        q, d = queries[qo], x[xo]
+        product = q @ d.T
+        worst = np.sort(product, 1)[:, -20]
+        open_, pairs = search.node_pairs(search.Tree(q, qs), search.Tree(d, xs), worst)
+        leaf = lambda n: np.repeat(np.arange(len(n)), n)
+        reachable = open_[leaf(qs[-1])][:, leaf(xs[-1])]
+        assert reachable[product >= worst[:, None]].all()
+        return 1 - reachable.mean(), pairs
+
+    x = np.floor(64 * clustered(np.random.default_rng(2), 40, 100, 16, 0.1))
+    share, pairs = looked(x, x[::20])
+    assert share > 0.9 and pairs > 100
+    given = np.floor(64 * np.array(pd.read_parquet("/root/testdata/sf0.01/embeddings.parquet").embedding.tolist(), float))
+    assert looked(given, given[::20])[1] > 10
 
 
 # --- 9: URL filter

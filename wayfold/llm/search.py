@@ -1,21 +1,26 @@
-"""Exact top-k inner products by a dual-tree search over a cover tree of queries and data.
+"""Exact top-k inner products by a dual-tree search over trees of queries and data.
 
 1. Vectors are rounded to integers.  Equal vectors form a class; a class keeps its k + 1 smallest ids (found with
    salted windows), as no later id can be in a result.
-2. The tree is grown in rounds, all nodes of a level at once: each node of more than BLOCK classes takes FANOUT
+2. Above blocks, the tree is grown in rounds, all nodes of a level at once: each node of more than BLOCK classes takes FANOUT
    pivots from a bounded sample of its own members (half of them farthest first, half by hash), and each member goes
-   to its nearest pivot.  Depth grows with the data; what ends is a block of at most BLOCK classes, which has a tree
-   of its own inside, down to leaves of LEAF.  Queries are those members of a block that are asked for.
-3. Each query group starts with the k-th best scores that its own block gives.
-4. Both trees are descended together, level by level, by joins from node pairs to child pairs.  A pair goes where the
-   bound, that is the product of the centres plus what both covering radii can add, is below the worst of the group's
-   k-th scores.
-5. Query groups are dealt to lanes of about LANE queries.  A block is sent to a lane once, if any group of the lane
-   needs it.  Tasks hold a lane's running results, take blocks by falling bound, and prune the leaves inside each
-   block against the k-th scores reached so far, then multiply matrices.
+   to its nearest pivot.  Depth grows with the data; what ends is a block of at most BLOCK classes.  Queries are those
+   members of a block that are asked for.
+3. Every block, and every group of queries, has a cover tree: the centres of a level are more than its radius apart
+   (separation), are centres of all finer levels too (nesting), and have every row within that radius of one of them
+   (covering).  Centres come farthest first, so one sequence gives all levels.  Rows are stored in the tree's order, a node is a
+   range of rows that begins with its centre, and a level is the sizes of its nodes.
+4. Each query group starts with the k-th best scores that its own block gives.
+5. Both trees are descended together, level by level: above blocks by joins from node pairs to child pairs, inside a
+   pair of group and block by arrays of node pairs.  A pair goes where the bound, that is the product of the
+   centres plus what both covering radii can add, is below the worst of the queries' k-th scores.
+6. Query groups are dealt to lanes of about LANE queries.  A block is sent to a lane once, if any group of the lane
+   needs it.  Tasks hold a lane's running results, take blocks by falling bound, descend the two cover trees with the
+   k-th scores reached so far, then multiply matrices of what is left.
 
 Nothing but counts reaches the driver, nothing is broadcast.  Where data has no structure nothing can be pruned and
-each query meets each row, the work that the exact answer needs; blocks are then sent once to each lane.
+each query meets each row, the work that the exact answer needs; blocks are then sent once to each lane, which is rows x
+queries / LANE.  A level of a cover tree that would need a centre for every SPARSE rows or fewer is not made.
 
 Defined cases: null ids, null vectors, and those with null or non-finite components take no part.  Shorter vectors
 have zeros in the components they lack.  Rows that repeat an id and vector count once; a query's results never
@@ -39,7 +44,11 @@ BLOCK = 4096
 FANOUT = 32
 #: Members of a node (on average) that its pivots are taken from.
 SAMPLE = 640
-LEAF = 128
+LEAF = 64
+#: Queries of a leaf of theirs.
+FEW = 4
+#: Radius of a level over that of the next finer one, and rows a centre that a level needs at least.
+RATIO, SPARSE = 1.2, 4
 GROUP = 512
 LANE = 1 << 15
 #: Members of a node that one task deals to their pivots.
@@ -103,19 +112,98 @@ def reach(x: np.ndarray) -> tuple[np.ndarray, float]:
     return centre, float(np.sqrt(((x - centre) ** 2).sum(1).max()))
 
 
-def leaves(x: np.ndarray) -> list[np.ndarray]:
-    """Rows of a block by leaf: its own tree, split by farthest pivots."""
-    found, open_ = [], [np.arange(len(x))]
-    while open_:
-        rows = open_.pop()
-        if len(rows) <= LEAF:
-            found.append(rows)
-            continue
-        some = x[rows[:: max(1, len(rows) // 256)]]
-        own = nearest(x[rows], some[farthest(some, 8)])
-        parts = [rows[own == c] for c in np.unique(own)]
-        open_ += parts if len(parts) > 1 else np.array_split(rows, 2)
-    return found
+def cover_tree(x: np.ndarray, leaf: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows of ``x`` in the order of a cover tree, and the sizes of the nodes of each level from the root on."""
+    leaf = LEAF if leaf is None else leaf
+    far = ((x - x[0]) ** 2).sum(1)
+    centres, near, radius = [0], np.zeros(len(x), int), float(np.sqrt(far.max()))
+    parents: list[np.ndarray] = []
+    largest = len(x)
+    while largest > leaf and radius > 1e-9:
+        radius /= RATIO
+        before, known, distance, owner = len(centres), list(centres), far.copy(), near.copy()
+        while distance.max() > radius * radius and len(known) * SPARSE <= len(x):
+            k = int(distance.argmax())
+            closer = ((x - x[k]) ** 2).sum(1)
+            owner[closer < distance] = len(known)
+            distance = np.minimum(distance, closer)
+            known.append(k)
+        if len(known) * SPARSE > len(x):
+            break
+        if len(known) > before:
+            # A centre hangs below the one of the level above that is nearest to it, an old one below itself.
+            parents.append(np.concatenate([np.arange(before), near[np.array(known[before:], int)]]))
+            centres, far, near = known, distance, owner
+            largest = np.bincount(near).max()
+    at_level, node = [near], near
+    for up in reversed(parents):
+        node = up[node]
+        at_level.append(node)
+    at_level.reverse()
+    is_centre = np.full(len(x), -1)
+    is_centre[centres] = np.arange(len(centres))
+    # At each level a node's own centre comes first.
+    keys = [np.where(child == parent, -1, child) for parent, child in zip(at_level[:-1], at_level[1:], strict=True)]
+    order = np.lexsort([(is_centre != near).astype(int), *reversed(keys), at_level[0]])
+    sizes = []
+    for level in at_level:
+        own = level[order]
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        sizes.append(np.diff(np.concatenate((starts, [len(x)]))).astype(np.int32))
+    return order, sizes
+
+
+class Tree:
+    """A cover tree over rows in its order: per level where nodes begin, their centres, covering radii and centres' lengths."""
+
+    def __init__(self, x: np.ndarray, sizes: list[np.ndarray]):
+        self.begin = [np.cumsum(n) - n for n in sizes]
+        self.centre = [x[b] for b in self.begin]
+        self.far = [np.sqrt(np.maximum.reduceat(((x - np.repeat(c, n, axis=0)) ** 2).sum(1), b)) for c, n, b in zip(self.centre, sizes, self.begin, strict=True)]
+        self.norm = [np.sqrt((c**2).sum(1)) for c in self.centre]
+        # Children of a node are the nodes of the next level from first to last.
+        self.first = [np.searchsorted(fine, coarse) for coarse, fine in zip(self.begin[:-1], self.begin[1:], strict=True)]
+
+    def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First child and number of children, on the next level or, below the last one, the nodes themselves."""
+        if level + 1 >= len(self.begin):
+            return nodes, np.ones(len(nodes), np.int64)
+        first = self.first[level]
+        return first[nodes], np.append(first, len(self.begin[level + 1]))[nodes + 1] - first[nodes]
+
+
+def node_pairs(queries: Tree, data: Tree, worst: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which (leaf of the queries, leaf of the data) may hold a score of at least ``worst`` (by query row), and how many node pairs were looked at."""
+    a = b = np.zeros(1, np.int64)
+    looked, depth = 0, max(len(queries.begin), len(data.begin))
+    for level in range(depth):
+        i, j = min(level, len(queries.begin) - 1), min(level, len(data.begin) - 1)
+        if level:
+            (fa, na), (fb, nb) = queries.children(level - 1, a), data.children(level - 1, b)
+            pair = np.repeat(np.arange(len(a)), na * nb)
+            nth = np.arange(len(pair)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
+            a, b = fa[pair] + nth // nb[pair], fb[pair] + nth % nb[pair]
+        looked += len(a)
+        floor = np.minimum.reduceat(worst, queries.begin[i])
+        q, d, qn, dn = queries.far[i][a], data.far[j][b], queries.norm[i][a], data.norm[j][b]
+        bound = (queries.centre[i] @ data.centre[j].T)[a, b] + q * dn + d * qn + q * d
+        keep = slack(bound, (q + qn) * (d + dn)) >= floor[a]
+        a, b = a[keep], b[keep]
+    open_ = np.zeros((len(queries.begin[-1]), len(data.begin[-1])), bool)
+    open_[a, b] = True
+    return open_, looked
+
+
+def levels_to_bytes(sizes: list[np.ndarray]) -> bytes:
+    return b"".join(np.concatenate(([len(n)], n)).astype(np.int32).tobytes() for n in sizes)
+
+
+def levels_from_bytes(data: bytes) -> list[np.ndarray]:
+    flat, at, out = np.frombuffer(data, np.int32), 0, []
+    while at < len(flat):
+        out.append(flat[at + 1 : at + 1 + flat[at]].astype(np.int64))
+        at += 1 + flat[at]
+    return out
 
 
 def scores(queries: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -209,7 +297,7 @@ def grown(known: DataFrame, dim: int, kind: str) -> DataFrame:
         placed = stored(both.mapInArrow(deal, "v binary, ids array<bigint>, asked boolean, path array<int>, to int").select("v", "ids", "asked", F.concat("path", F.array("to")).alias("path")))
 
 
-PACKED = "path array<int>, part int, is_block boolean, centre array<double>, far double, worst double, n int, x binary, counts binary, ids binary, leaf_rows binary, kth binary"
+PACKED = "path array<int>, part int, is_block boolean, centre array<double>, far double, worst double, n int, x binary, counts binary, ids binary, levels binary, kth binary"
 
 
 def packed(placed: DataFrame, dim: int, kind: str, k: int) -> DataFrame:
@@ -218,16 +306,17 @@ def packed(placed: DataFrame, dim: int, kind: str, k: int) -> DataFrame:
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("v").reset_index(drop=True)
         x = np.frombuffer(b"".join(frame.v), kind).reshape(-1, dim)
-        parts = leaves(x.astype(float))
-        order = np.concatenate(parts)
+        order, sizes = cover_tree(x.astype(float))
         x, frame = x[order], frame.iloc[order]
         counts, path = frame.ids.map(len).to_numpy(np.int32), frame.path.iloc[0]
-        rows = [(path, -1, True, *_reach(x), -np.inf, len(x), x.tobytes(), counts.tobytes(), np.concatenate(frame.ids.to_list()).astype(np.int64).tobytes(), np.array([len(p) for p in parts], np.int32).tobytes(), None)]
+        rows = [(path, -1, True, *_reach(x), -np.inf, len(x), x.tobytes(), counts.tobytes(), np.concatenate(frame.ids.to_list()).astype(np.int64).tobytes(), levels_to_bytes(sizes), None)]
         asked = x[frame.asked.to_numpy(bool)]
         for part, at in enumerate(range(0, len(asked), GROUP)):
             q = asked[at : at + GROUP]
+            order, sizes = cover_tree(q.astype(float), FEW)
+            q = q[order]
             kth = kth_scores(scores(q, x), counts, k)
-            rows.append((path, part, False, *_reach(q), float(kth.min()), len(q), q.tobytes(), None, None, None, kth.tobytes()))
+            rows.append((path, part, False, *_reach(q), float(kth.min()), len(q), q.tobytes(), None, None, levels_to_bytes(sizes), kth.tobytes()))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")])
 
     return placed.groupBy("path").applyInPandas(pack, PACKED)
@@ -272,14 +361,14 @@ def searched(made: DataFrame, pairs: DataFrame, dim: int, kind: str, k: int) ->
     groups, blocks = made.where("not is_block"), made.where("is_block")
     lanes = max(1, -(-groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // LANE))
     tasks = max(1, min(64, blocks.count() // 4))
-    groups = groups.select(F.col("path").alias("q_path"), F.col("part").alias("q_part"), "x", "kth", "centre", "far")
+    groups = groups.select(F.col("path").alias("q_path"), F.col("part").alias("q_part"), "x", "levels", "kth", "centre", "far")
     groups = stored(groups.repartitionByRange(lanes, "q_path", "q_part").withColumn("lane", F.spark_partition_id()))
     wanted = pairs.join(groups.select("lane", "q_path", "q_part"), ["q_path", "q_part"])
     wanted = wanted.groupBy("lane", "path").agg(F.max("bound").alias("bound"), F.collect_list(F.struct("q_path", "q_part")).alias("groups"))
-    sent = wanted.join(blocks.select("path", "x", "counts", "ids", "leaf_rows"), "path")
-    sent = sent.select("lane", F.pmod(F.xxhash64("path"), F.lit(tasks)).cast("int").alias("task"), "bound", "groups", "x", "counts", "ids", "leaf_rows", F.lit(None).cast("binary").alias("kth"))
-    none = [F.lit(None).cast("binary").alias(c) for c in ("counts", "ids", "leaf_rows")]
-    held = groups.select("lane", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), F.lit(float("inf")).alias("bound"), F.array(F.struct("q_path", "q_part")).alias("groups"), "x", *none, "kth")
+    sent = wanted.join(blocks.select("path", "x", "counts", "ids", "levels"), "path")
+    sent = sent.select("lane", F.pmod(F.xxhash64("path"), F.lit(tasks)).cast("int").alias("task"), "bound", "groups", "x", "counts", "ids", "levels", F.lit(None).cast("binary").alias("kth"))
+    none = [F.lit(None).cast("binary").alias(c) for c in ("counts", "ids")]
+    held = groups.select("lane", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), F.lit(float("inf")).alias("bound"), F.array(F.struct("q_path", "q_part")).alias("groups"), "x", *none, "levels", "kth")
     both = held.union(sent).repartition(min(20_000, lanes * tasks), "lane", "task").sortWithinPartitions("lane", "task", F.desc("bound"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +377,7 @@ def searched(made: DataFrame, pairs: DataFrame, dim: int, kind: str, k: int) ->
         place, own = None, {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for q, _, best in own.values():
+            for q, _, best, _ in own.values():
                 for at in range(0, len(best.row), 1 << 14):
                     part = slice(at, at + (1 << 14))
                     v = [q[r].tobytes() for r in best.row[part]]
@@ -296,24 +385,24 @@ def searched(made: DataFrame, pairs: DataFrame, dim: int, kind: str, k: int) ->
 
         for batch in batches:
             for r in range(batch.num_rows):
-                lane, task, _, groups, x, counts, ids, leaf_rows, kth = (c[r].as_py() for c in batch.columns)
+                lane, task, _, groups, x, counts, ids, levels, kth = (c[r].as_py() for c in batch.columns)
                 if place != (lane, task):
                     yield from out()
                     place, own = (lane, task), {}
                 if kth is not None:
                     q = matrix(x)
-                    own[name(groups[0])] = q, np.sqrt((q.astype(float) ** 2).sum(1)), Best(np.frombuffer(kth, float), k)
+                    own[name(groups[0])] = q, np.sqrt((q.astype(float) ** 2).sum(1)), Best(np.frombuffer(kth, float), k), Tree(q.astype(float), levels_from_bytes(levels))
                     continue
-                block, sizes = matrix(x), np.frombuffer(leaf_rows, np.int32)
+                block, sizes = matrix(x), levels_from_bytes(levels)
                 counts, ids = np.frombuffer(counts, np.int32), np.frombuffer(ids, np.int64)
-                first_id, leaf = np.cumsum(counts) - counts, np.repeat(np.arange(len(sizes)), sizes)
-                begin = np.cumsum(sizes) - sizes
-                balls = [reach(block[a : a + n].astype(float)) for a, n in zip(begin, sizes, strict=True)]
-                centres, far = np.array([c for c, _ in balls]), np.array([f for _, f in balls])
+                first_id, leaf, tree = np.cumsum(counts) - counts, np.repeat(np.arange(len(sizes[-1])), sizes[-1]), Tree(block.astype(float), sizes)
+                centres, far, length = tree.centre[-1], tree.far[-1], tree.norm[-1]
                 for g in groups:
-                    q, norms, best = own[name(g)]
-                    top = slack(q.astype(float) @ centres.T + norms[:, None] * far, norms[:, None] * (np.sqrt((centres**2).sum(1)) + far))
-                    open_ = top >= best.kth[:, None]
+                    q, norms, best, asked = own[name(g)]
+                    pairs, _ = node_pairs(asked, tree, best.kth)
+                    q_leaf = np.searchsorted(asked.begin[-1], np.arange(len(q)), "right") - 1
+                    top = slack(q.astype(float) @ centres.T + norms[:, None] * far, norms[:, None] * (length + far))
+                    open_ = pairs[q_leaf] & (top >= best.kth[:, None])
                     asking, rows = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0)[leaf])
                     if not len(asking):
                         continue
