@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold import lookup_queries, place_queries
+from wayfold import image_queries, lookup_queries, place_queries
 from wayfold.functions import clues, text
 from wayfold.operators import shapes
 from wayfold.operators.gram_index import build_index, names_similar
@@ -349,7 +349,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 }
 
 
-QUERIES |= place_queries.QUERIES | lookup_queries.QUERIES
+QUERIES |= place_queries.QUERIES | lookup_queries.QUERIES | image_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
