@@ -167,6 +167,54 @@ every AS (SELECT * FROM house UNION ALL SELECT * FROM crossed UNION ALL SELECT *
 SELECT id AS request_id, rank::BIGINT AS rank, stage::BIGINT AS stage, kind, name, city, round(lat, 6) AS lat, round(lon, 6) AS lon, round(score::DOUBLE, 4) AS score FROM every"""
 
 
+def _listed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Curated houses and crossings: streets that no extract has, a house and a crossing for each name of a part."""
+    names = stored(numbered(_t(spark, sf_dir, "part").select("p_name").distinct(), "n", "p_name"))
+    street = lambda c: F.concat(F.lit("ул. q"), c, F.lit(" north"))  # the letter: no name is a part of another one
+    city = _city(F.col("n") % 25)
+    houses = names.select(city.alias("city"), street(F.col("p_name")).alias("street"), F.col("n").cast("string").alias("house"), (F.col("n") / 4).alias("lat"), (F.col("n") / 8).alias("lon"))
+    after = names.select((F.col("n") - 1).alias("n"), F.col("p_name").alias("next"))
+    crossings = names.join(after, "n").select(city.alias("city"), street(F.col("p_name")).alias("street_a"), street(F.col("next")).alias("street_b"), (F.col("n") / 2).alias("lat"), (F.col("n") / 16).alias("lon"))
+    return houses, crossings
+
+
+def locate_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resolver on parts of street names with a house number, on listed houses and on listed crossings, by customers."""
+    known, g = _seeds(spark, sf_dir), _gazetteer(spark, sf_dir, crossings=False)
+    known.houses, known.intersections = _listed(spark, sf_dir)
+    names = stored(numbered(_t(spark, sf_dir, "part").select("p_name").distinct(), "n", "p_name"))
+    different, key = names.count(), F.col("c_custkey")
+    a, b = (names.select(F.col("n").alias(f"n_{s}"), F.col("p_name").alias(s)) for s in "ab")
+    supplier = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    c = _t(spark, sf_dir, "customer").withColumn("n_a", key % (different - 1) + 1).withColumn("n_b", F.col("n_a") + 1).join(a, "n_a").join(b, "n_b")
+    c = c.withColumn("s_suppkey", key % F.lit(supplier.count())).join(supplier, "s_suppkey")
+    number = F.concat((key % 9 + 1).cast("string"), F.lit("/"), (key % 50 + 1).cast("string"))
+    said = (
+        F.when(key % 3 == 0, F.concat(_city(F.col("s_nationkey")), F.lit(", ул. "), F.substring_index("a", " ", -1), F.lit(" д. "), number))
+        .when(key % 3 == 1, F.concat(F.lit("ул. q"), "a", F.lit(" north д. "), F.col("n_a").cast("string"))).otherwise(F.concat(F.lit("ул. q"), "a", F.lit(" north ул. q"), "b", F.lit(" north")))
+    )
+    asked = c.select(key.alias("request_id"), said.alias("manual_text"), F.lit("address").alias("mode"), F.lit(None).cast(seeds.FRAGMENTS).alias("fragments"))
+    found = plan.locate(asked, g, known)
+    return found.select("request_id", "rank", "stage", "kind", "name", "city", "detail", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("score", 4).alias("score"))
+
+
+LISTED_CITY = f"translate(substr(md5((n % 25)::VARCHAR), 1, 10), '0123456789abcdef', '{LETTERS}')"
+LISTED_SQL = f"""WITH {ADDRESSES}, m AS (SELECT p_name, row_number() OVER (ORDER BY p_name) AS n, count(*) OVER () AS every FROM (SELECT DISTINCT p_name FROM part)),
+q AS (SELECT c_custkey AS id, {CITY} AS city, n_nationkey::DOUBLE AS nlat, n_regionkey::DOUBLE AS nlon, c_custkey % 3 AS what, x.p_name AS a, y.p_name AS b, x.n AS n, split_part(x.p_name, ' ', -1) AS word, c_custkey % 9 + 1 AS number, (c_custkey % 9 + 1) || '/' || (c_custkey % 50 + 1) AS house
+    FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier) JOIN nation ON s_nationkey = n_nationkey JOIN m x ON x.n = c_custkey % (x.every - 1) + 1 JOIN m y ON y.n = x.n + 1),
+st AS (SELECT city, street, min((l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS first FROM a GROUP BY ALL),
+near AS (SELECT id, q.city, h.street, st.first, h.house, lat, lon, h.house = q.house OR h.number = q.number AS same, abs(h.number - q.number) AS d
+    FROM q JOIN h ON h.city = q.city AND contains(h.street, q.word) JOIN st ON st.city = h.city AND st.street = h.street WHERE what = 0
+    QUALIFY row_number() OVER (PARTITION BY id, h.street ORDER BY h.house <> q.house, abs(h.number - q.number), h.house) = 1),
+scored AS (SELECT *, 1.0 - CASE WHEN same THEN 0.0 WHEN d <= 2 THEN 0.15 WHEN d <= 10 THEN 0.25 ELSE 0.35 END AS score FROM near),
+part_house AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, first) = 1),
+every AS (SELECT id, 1 AS stage, 'house' AS kind, city || ', ул. ' || street || ', ' || house AS name, city, CASE WHEN same THEN 'house' ELSE 'house_approx' END AS detail, lat, lon, score FROM part_house
+    UNION ALL SELECT id, 7, 'city', city, city, NULL, nlat, nlon, 10.03 FROM q WHERE what = 0 AND id NOT IN (SELECT id FROM part_house)
+    UNION ALL SELECT id, 2, 'house', {LISTED_CITY} || ', ул. q' || a || ' north, ' || n, {LISTED_CITY}, 'listed', n / 4, n / 8, 1.0 FROM q WHERE what = 1
+    UNION ALL SELECT id, 4, 'intersection', {LISTED_CITY} || ': ул. q' || a || ' north ∩ ул. q' || b || ' north', {LISTED_CITY}, 'listed', n / 2, n / 16, {clues.SCORES["listed_intersection"]} FROM q WHERE what = 2)
+SELECT id AS request_id, 1::BIGINT AS rank, stage::BIGINT AS stage, kind, name, city, detail, round(lat, 6) AS lat, round(lon, 6) AS lon, round(score::DOUBLE, 4) AS score FROM every"""
+
+
 def city_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response documents of requests that name a city alone: script, tokens, the best answer."""
     asked = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.concat(F.lit(" "), _city(F.col("c_nationkey")), F.lit(" ")).alias("manual_text"), F.lit("geoguess").alias("mode"), F.lit(None).cast(seeds.FRAGMENTS).alias("fragments"))
@@ -513,7 +561,7 @@ TOTAL_SQL = "SELECT count(DISTINCT conv_id) AS requests, count(*) AS fragments,
 
 
 QUERIES = {
-    "gazetteer_crossings": (gazetteer_crossings, CROSSING_SQL), "import_summary": (import_summary, IMPORT_SQL), "table_health": (table_health, HEALTH_SQL), "locate_places": (locate_places, LOCATE_SQL),
+    "gazetteer_crossings": (gazetteer_crossings, CROSSING_SQL), "import_summary": (import_summary, IMPORT_SQL), "table_health": (table_health, HEALTH_SQL), "locate_places": (locate_places, LOCATE_SQL), "locate_listed": (locate_listed, LISTED_SQL),
     "city_answers": (city_answers, CITY_SQL), "address_forms": (address_forms, FORMS_SQL), "street_forms": (street_forms, STREETS_SQL), "text_clues": (text_clues, TEXT_CLUES_SQL),
     "plate_readings": (plate_readings, PLATES_SQL), "fragment_types": (fragment_types, TYPES_SQL), "fragment_clues": (fragment_clues, FRAGMENT_CLUES_SQL), "reading_lines": (reading_lines, LINES_SQL),
     "reading_confidence": (reading_confidence, CONFIDENCE_SQL), "best_readings": (best_readings, BEST_SQL), "cleaned_readings": (cleaned_readings, CLEANED_SQL), "text_bands": (text_bands, BANDS_SQL),
