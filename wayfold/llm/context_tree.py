@@ -12,10 +12,11 @@ shuffle.  Every context that occurs takes part in the mixture; none is dropped o
 1. A binary node's tree meets others only in its own contexts, and a context holds its longer contexts, so the
    byte strings that end in one context of CUT + 1 bytes make up subtrees that need nothing else.  Tasks climb them
    and send up the log weights and counts of their binary nodes, summed per context of CUT bytes.
-2. The driver mixes the contexts of at most CUT bytes, whose number does not grow with the corpus (65,793 contexts).
+2. The driver mixes the contexts of at most CUT bytes, whose number does not grow with the corpus: 65,793 contexts with
+   255 binary nodes each at most (16.8 million rows), of which those arrive that occur (44,060 rows at scale 0.1).
 3. Tasks go down the subtrees again and give each byte string of any row its log10 probability, a stored table.
 4. Texts meet that table: the strings that are frequent (at most HEAD_GRAMS, by a count threshold) in a broadcast
-   array, the others in a join, once per row and string.
+   array, the others in a join, once per row and string, as rows of four numbers; a row's own figures go once.
 
 The base score needs each token's training count.  Words of the head (at most HEAD, by a count threshold from a
 histogram) are looked up in a broadcast array; the other tokens join the word table in the same shuffle.
@@ -142,9 +143,10 @@ def string_logs(counts: DataFrame, depth: int) -> DataFrame:
     """(key, seen, log) of each byte string of stored corpus counts: its count in all rows and its log10 probability."""
     cut = max(0, min(CUT, depth - 1))
     n = F.sum(F.when(F.col("kind") == GRAM, F.col("n")).otherwise(0))
-    strings = counts.where(F.col("kind") != TERM).groupBy("key").agg(n.alias("n"), F.sum("n").alias("seen"))
     context = F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * (cut + 1)) - 1)
-    strings = strings.select(context.alias("ctx"), "key", "n", "seen").repartition("ctx").sortWithinPartitions("ctx")
+    # Counts are sums by kind and string already, so they are dealt by context at once: strings and contexts share one shuffle.
+    dealt = counts.where(F.col("kind") != TERM).select(context.alias("ctx"), "key", "kind", "n").repartition("ctx")
+    strings = dealt.groupBy("ctx", "key").agg(n.alias("n"), F.sum("n").alias("seen")).sortWithinPartitions("ctx")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         """ctx, key, n and seen in pieces that end where a context ends."""
@@ -219,6 +221,7 @@ def score_documents(docs: DataFrame, held_out: Column, id: str = "doc_id", text:
     below = float(np.log10(tokens + distinct + 1))
     model = spark.sparkContext.broadcast((frequent.column("key").to_numpy(), frequent.column("log").to_numpy(), head.column("key").to_numpy().view(np.uint64)[order], np.log10(head.column("n").to_numpy()[order] + 1.0)))
     end = float(np.log10(n_train + 1.0)) - below
+    own = pa.struct([("id", pa.int64()), ("out", pa.bool_()), *[(c, pa.int64()) for c in ("bytes", "tokens", "known")], ("base", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         string, string_log, known, known_log = model.value
@@ -251,20 +254,19 @@ def score_documents(docs: DataFrame, held_out: Column, id: str = "doc_id", text:
                 uid = batch.column(0).slice(at, n)
                 nulls = len(tail) + len(rare)
                 kinds = np.repeat([TERM, GRAM], [len(tail), len(rare)]).astype(np.int32)
+                parts = [batch.column(1).slice(at, n), batch.column(3).slice(at, n), *[pa.array(x.astype(np.int64)) for x in (np.diff(off), np.diff(first) + 1, n_known)], pa.array(base), pa.array(score)]
+                figures = pa.StructArray.from_arrays(parts, fields=list(own))
                 cols = [
                     pa.concat_arrays([uid, uid.take(pa.array(np.concatenate([row[tail], owner])))]),
                     pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(kinds)]),
                     pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.concatenate([h[tail].view(np.int64), rare]))]),
                     pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.concatenate([np.ones(len(tail), np.int64), times.astype(np.int64)]))]),
-                    pa.concat_arrays([batch.column(1).slice(at, n), pa.nulls(nulls, pa.int64())]),
-                    pa.concat_arrays([batch.column(3).slice(at, n), pa.nulls(nulls, pa.bool_())]),
-                    *[pa.concat_arrays([pa.array(x.astype(np.int64)), pa.nulls(nulls, pa.int64())]) for x in (np.diff(off), np.diff(first) + 1, n_known)],
-                    *[pa.concat_arrays([pa.array(x), pa.nulls(nulls, pa.float64())]) for x in (base, score)],
+                    pa.concat_arrays([figures, pa.nulls(nulls, own)]),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["uid", "kind", "key", "times", "id", "out", "bytes", "tokens", "known", "base", "score"])
+                yield pa.RecordBatch.from_arrays(cols, ["uid", "kind", "key", "times", "own"])
 
     made = src.select(F.monotonically_increasing_id().alias("uid"), "id", "text", "out").mapInArrow(
-        run, "uid bigint, kind int, key bigint, times bigint, id bigint, out boolean, bytes bigint, tokens bigint, known bigint, base double, score double"
+        run, "uid bigint, kind int, key bigint, times bigint, own struct<id: bigint, out: boolean, bytes: bigint, tokens: bigint, known: bigint, base: double, score: double>"
     )
     rare = terms.where(F.col("n") < least).select(F.lit(TERM).alias("of"), F.col("key").alias("k"), F.log10(F.col("n") + 1.0).alias("log"))
     rare = rare.union(strings.where(F.col("seen") < often).select(F.lit(GRAM).alias("of"), F.col("key").alias("k"), "log"))
@@ -273,10 +275,10 @@ def score_documents(docs: DataFrame, held_out: Column, id: str = "doc_id", text:
     is_term, is_gram = F.col("of") == TERM, F.col("of") == GRAM
     missing = F.assert_true(~is_gram | F.col("log").isNotNull(), "a byte string without probability").isNull()
     found = seen.where(missing).groupBy("uid").agg(
-        *[F.max(c).alias(c) for c in ("id", "out", "bytes", "tokens")],
-        F.sum(F.when(is_gram, F.col("log") * F.col("times")).otherwise(F.col("score"))).alias("score"),
-        (F.coalesce(F.sum("known"), F.lit(0)) + F.count_if(is_term & F.col("log").isNotNull())).alias("known"),
-        F.sum(F.when(is_term, F.coalesce("log", F.lit(0.0)) - below).otherwise(F.col("base"))).alias("base"),
+        *[F.max(f"own.{c}").alias(c) for c in ("id", "out", "bytes", "tokens")],
+        F.sum(F.when(is_gram, F.col("log") * F.col("times")).otherwise(F.col("own.score"))).alias("score"),
+        (F.coalesce(F.sum("own.known"), F.lit(0)) + F.count_if(is_term & F.col("log").isNotNull())).alias("known"),
+        F.sum(F.when(is_term, F.coalesce("log", F.lit(0.0)) - below).otherwise(F.col("own.base"))).alias("base"),
     )
     return found.select(
         F.col("id").alias(id), F.col("out").alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
