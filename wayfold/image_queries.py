@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.operators import images
+from wayfold.operators import geometry, images
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +87,74 @@ g AS (SELECT image_id, text, conf, {SCORE} AS score, stage, variant FROM a),
 e AS (SELECT * FROM f UNION ALL SELECT * FROM g WHERE score >= 40)
 SELECT image_id, text, conf, score FROM e QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, score DESC, stage, variant, text DESC) = 1"""
 
+def _long(c: str) -> Column:
+    return F.col(c).cast("long").alias(c)
+
+
+def image_skews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skew of the lighter pixels, and whether it is worth a turn (here: of vectors as images that are turned by id)."""
+    k = F.col("image_id") % 4
+    marked = _pixels(spark, sf_dir).where("v >= 128").select("image_id", (6 * F.col("x") + k * F.col("y")).alias("x"), (6 * F.col("y") - k * F.col("x")).alias("y"))
+    found = geometry.skews(marked)
+    return found.select("image_id", F.round("angle", 6).alias("angle"), F.round("area", 6).alias("area"), geometry.worth_turning(F.col("angle")).alias("turned"))
+
+
+SKEWS_SQL = f"""WITH {PIXELS}, m AS (SELECT DISTINCT image_id, 6 * x + (image_id % 4) * y AS x, 6 * y - (image_id % 4) * x AS y FROM px WHERE v >= 128),
+n AS (SELECT image_id FROM m GROUP BY image_id HAVING count(*) >= 20),
+r AS (SELECT image_id, y, min(x) AS a, max(x) AS b FROM m SEMI JOIN n USING (image_id) GROUP BY ALL), p AS (SELECT image_id, y, a AS x FROM r UNION SELECT image_id, y, b FROM r),
+d AS (SELECT DISTINCT p.image_id, q.x - p.x AS dx, q.y - p.y AS dy FROM p JOIN p AS q ON p.image_id = q.image_id AND (p.y, p.x) < (q.y, q.x)),
+f AS (SELECT DISTINCT image_id, CASE WHEN abs(dy) > abs(dx) THEN dy ELSE dx END AS dx, CASE WHEN abs(dy) > abs(dx) THEN -dx ELSE dy END AS dy FROM d),
+g AS (SELECT image_id, dx, dy, (max(x * dx + y * dy) - min(x * dx + y * dy))::DOUBLE * (max(y * dx - x * dy) - min(y * dx - x * dy))::DOUBLE / (dx * dx + dy * dy) AS area,
+    CASE WHEN dy = -dx THEN 1.0 ELSE dy::DOUBLE / dx END AS slope FROM f JOIN p USING (image_id) GROUP BY image_id, dx, dy),
+s AS (SELECT image_id, degrees(atan(slope)) AS angle, area FROM g QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area, abs(slope), slope) = 1)
+SELECT image_id, round(angle, 6) AS angle, round(area, 6) AS area, abs(angle) BETWEEN 0.15 AND 12 AS turned FROM s"""
+
+
+def turned_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels turned by an angle for each image (here: by id), cubic between pixels."""
+    sizes = _sizes(spark, sf_dir)
+    made = geometry.turned(_pixels(spark, sf_dir), sizes, sizes.select("image_id", (F.col("image_id") % 25 - 12).alias("angle")))
+    return made.select("image_id", _long("x"), _long("y"), F.round(F.col("v") + 1e-9, 4).alias("v"))
+
+
+_CUBIC = "CASE WHEN abs({0}) <= 1 THEN (1.25 * abs({0}) - 2.25) * {0} * {0} + 1 WHEN abs({0}) < 2 THEN ((-0.75 * abs({0}) + 3.75) * abs({0}) - 6) * abs({0}) + 3 ELSE 0.0 END"
+TURNED_SQL = f"""WITH {PIXELS}, a AS (SELECT image_id, x, y, v, height, radians(image_id % 25 - 12) AS r FROM px),
+s AS (SELECT *, cos(r) * (x - 4) - sin(r) * (y - height // 2) + 4 AS sx, sin(r) * (x - 4) + cos(r) * (y - height // 2) + height // 2 AS sy FROM a),
+t AS (SELECT *, floor(sx)::INT + i AS tx, floor(sy)::INT + j AS ty FROM s CROSS JOIN range(-1, 3) AS p(i) CROSS JOIN range(-1, 3) AS q(j)),
+w AS (SELECT *, ({_CUBIC.format('(sx - tx)')}) * ({_CUBIC.format('(sy - ty)')}) AS w FROM t),
+m AS (SELECT w.image_id, w.x, w.y, sum(w.w * px.v) AS v FROM w JOIN px ON px.image_id = w.image_id AND px.x = greatest(0, least(7, tx)) AND px.y = greatest(0, least(w.height - 1, ty)) GROUP BY ALL)
+SELECT image_id, x::BIGINT AS x, y::BIGINT AS y, round(greatest(0.0, least(255.0, v)) + 1e-9, 4) AS v FROM m"""
+
+
+def upright_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels turned by quarters, as a reader of orientations says (here: by id)."""
+    sizes = _sizes(spark, sf_dir)
+    made = geometry.quarter_turned(_pixels(spark, sf_dir), sizes, sizes.select("image_id", (F.col("image_id") % 4 * 90).alias("rotate")))
+    return made.select("image_id", _long("x"), _long("y"), _long("v"))
+
+
+UPRIGHT_SQL = f"""WITH {PIXELS} SELECT image_id, v::BIGINT AS v, (CASE image_id % 4 WHEN 0 THEN x WHEN 1 THEN height - 1 - y WHEN 2 THEN 7 - x ELSE y END)::BIGINT AS x,
+    (CASE image_id % 4 WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN height - 1 - y ELSE 7 - x END)::BIGINT AS y FROM px"""
+
+
+def enlarged_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of small images scaled up (here: to a longer side of 12)."""
+    made = geometry.enlarged(_pixels(spark, sf_dir), _sizes(spark, sf_dir), 12)
+    return made.select("image_id", _long("x"), _long("y"), F.round(F.col("v") + 1e-9, 4).alias("v"))
+
+
+_SINC = "CASE WHEN {0} = 0 THEN 1.0 WHEN abs({0}) < 3 THEN 3 * sin(pi() * {0}) * sin(pi() * {0} / 3) / (pi() * {0} * pi() * {0}) ELSE 0.0 END"
+ENLARGED_SQL = f"""WITH {PIXELS}, z AS (SELECT DISTINCT image_id, 8 AS width, height, 12.0::DOUBLE / greatest(8, height) AS scale FROM px),
+g AS (SELECT *, round_even(width * scale, 0)::INT AS nw, greatest(1, round_even(height * scale, 0)::INT) AS nh FROM z WHERE scale > 1),
+wx AS (SELECT image_id, tx, fx, {_SINC.format('((tx + 0.5)::DOUBLE * width / nw - 0.5 - fx)')} AS w FROM g CROSS JOIN range(0, 12) AS a(tx) CROSS JOIN range(0, 8) AS b(fx) WHERE tx < nw),
+wy AS (SELECT image_id, ty, fy, {_SINC.format('((ty + 0.5)::DOUBLE * height / nh - 0.5 - fy)')} AS w FROM g CROSS JOIN range(0, 12) AS a(ty) CROSS JOIN range(0, 12) AS b(fy) WHERE ty < nh AND fy < height),
+h AS (SELECT px.image_id, tx, px.y, sum(w * v) / sum(w) AS v FROM px JOIN wx ON px.image_id = wx.image_id AND px.x = fx GROUP BY ALL),
+k AS (SELECT h.image_id, tx AS x, ty AS y, sum(w * v) / sum(w) AS v FROM h JOIN wy ON h.image_id = wy.image_id AND h.y = fy GROUP BY ALL)
+SELECT image_id, x::BIGINT AS x, y::BIGINT AS y, round(greatest(0.0, least(255.0, v)) + 1e-9, 4) AS v FROM k
+UNION ALL SELECT image_id, x::BIGINT, y::BIGINT, round(v + 1e-9, 4) FROM px JOIN z USING (image_id) WHERE scale <= 1"""
+
 QUERIES = {
+    "image_skews": (image_skews, SKEWS_SQL), "turned_images": (turned_images, TURNED_SQL), "upright_images": (upright_images, UPRIGHT_SQL), "enlarged_images": (enlarged_images, ENLARGED_SQL),
     "second_readings": (second_readings, SECOND_SQL),
     "binarised_images": (binarised_images, BINARISED_SQL), "equalised_images": (equalised_images, EQUALISED_SQL), "image_outlines": (image_outlines, OUTLINES_SQL),
 }
