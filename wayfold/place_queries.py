@@ -229,6 +229,25 @@ CITY_SQL = f"""SELECT c_custkey AS request_id, 'wayfold.response.v1' AS schema,
 FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 
 
+def several_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked cities of requests that name two of them, a third by its alias, and a fourth without its last letter."""
+    nation = lambda k: (F.col("c_nationkey") + k) % 25
+    alias, cut = _city(F.concat(nation(2).cast("string"), F.lit("x"))), F.substring(_city(nation(3)), 1, 9)
+    asked = _t(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("request_id"), F.concat_ws(" ", _city(nation(1)), cut, alias, _city(nation(0))).alias("manual_text"), F.lit("geoguess").alias("mode"), F.lit(None).cast(seeds.FRAGMENTS).alias("fragments"),
+    )
+    empty = build_gazetteer(spark.createDataFrame([], "city string, street string, house string, lat double, lon double, seq long"))
+    return plan.locate(asked, empty, _seeds(spark, sf_dir)).select("request_id", "rank", "kind", "name", "lat", "lon", F.round("score", 4).alias("score"))
+
+
+# Points for a name in the text, its token, its similarity to the whole text and to a token, and for the city's own name.
+# Of ten letters nine stand in the text before a space: 2 * 9 of 20 agree with the whole, all of the token with the name.
+SEVERAL_SQL = f"""WITH asked AS (SELECT c_custkey AS id, (c_nationkey + k) % 25 AS n_nationkey, k FROM customer CROSS JOIN range(0, 4) AS r(k)),
+met AS (SELECT id, k, n_nationkey, {CITY} AS name, n_regionkey, CASE k WHEN 3 THEN 100.0 * 2 * 9 / 20 ELSE 100.0 END::DOUBLE AS whole, 100.0::DOUBLE AS token FROM asked JOIN nation USING (n_nationkey)),
+scored AS (SELECT *, CASE WHEN k < 3 THEN 5.0 + 1.5 ELSE 0.0 END + CASE WHEN k < 2 THEN 2.0 ELSE 0.0 END + CASE WHEN whole >= 90 THEN (whole - 89) * 0.08 WHEN whole >= 80 THEN (whole - 79) * 0.03 ELSE 0.0 END + (token - 87) * 0.05 AS score FROM met)
+SELECT id AS request_id, row_number() OVER (PARTITION BY id ORDER BY round(score, 6) DESC, name)::BIGINT AS rank, 'city' AS kind, name, n_nationkey::DOUBLE AS lat, n_regionkey::DOUBLE AS lon, round(score::DOUBLE, 4) AS score FROM scored"""
+
+
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses as people write them, in four forms."""
     n = F.col("p_size").cast("string")
@@ -562,7 +581,7 @@ TOTAL_SQL = "SELECT count(DISTINCT conv_id) AS requests, count(*) AS fragments,
 
 QUERIES = {
     "gazetteer_crossings": (gazetteer_crossings, CROSSING_SQL), "import_summary": (import_summary, IMPORT_SQL), "table_health": (table_health, HEALTH_SQL), "locate_places": (locate_places, LOCATE_SQL), "locate_listed": (locate_listed, LISTED_SQL),
-    "city_answers": (city_answers, CITY_SQL), "address_forms": (address_forms, FORMS_SQL), "street_forms": (street_forms, STREETS_SQL), "text_clues": (text_clues, TEXT_CLUES_SQL),
+    "city_answers": (city_answers, CITY_SQL), "several_cities": (several_cities, SEVERAL_SQL), "address_forms": (address_forms, FORMS_SQL), "street_forms": (street_forms, STREETS_SQL), "text_clues": (text_clues, TEXT_CLUES_SQL),
     "plate_readings": (plate_readings, PLATES_SQL), "fragment_types": (fragment_types, TYPES_SQL), "fragment_clues": (fragment_clues, FRAGMENT_CLUES_SQL), "reading_lines": (reading_lines, LINES_SQL),
     "reading_confidence": (reading_confidence, CONFIDENCE_SQL), "best_readings": (best_readings, BEST_SQL), "cleaned_readings": (cleaned_readings, CLEANED_SQL), "text_bands": (text_bands, BANDS_SQL),
     "merged_readings": (merged_readings, MERGED_SQL), "boxes": (boxes, BOXES_SQL), "reader_hits": (reader_hits, HITS_SQL), "shown_names": (shown_names, SHOWN_SQL), "emblem_answers": (emblem_answers, EMBLEM_SQL),
