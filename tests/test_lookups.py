@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from wayfold.operators import gazetteer
 from wayfold.operators.gazetteer import addresses, build_gazetteer, build_intersections
 from wayfold.operators.shapes import first_wins
 from wayfold.operators.spatial import nearest_places
@@ -143,6 +144,19 @@ def test_crossing_in_the_nearest_city(spark):
     assert places() == [("big", 50.1)] and places(nearest=True) == [("big", 10.1), ("small", 50.1)]
 
 
+def test_equal_spellings_are_normalised_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(house):
+        seen.add(1)
+        return house
+
+    monkeypatch.setattr(gazetteer, "normalize_house", F.udf(counted, "string").asNondeterministic())
+    rows = spark.range(1000).select(F.lit("Town").alias("city"), F.lit("a st").alias("street"), (F.col("id") % 5).cast("string").alias("house"), F.col("id").cast("double").alias("lat"), F.lit(0.0).alias("lon"), F.col("id").alias("seq"))
+    assert sorted((r.house, r.lat) for r in build_gazetteer(rows).houses.collect()) == [(str(k), float(k)) for k in range(5)]
+    assert seen.value <= 20
+
+
 # --- streams
 
 

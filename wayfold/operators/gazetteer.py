@@ -77,7 +77,9 @@ def addresses(nodes: DataFrame, ways: DataFrame, default_city: str = "", limit:
 
 def build_gazetteer(rows: DataFrame) -> Gazetteer:
     """Cities, streets and houses of address rows; ids follow first appearance."""
-    keyed = rows.withColumns({"city_norm": normalize_import(F.col("city")), "street_norm": normalize_street(F.col("street")), "house_norm": normalize_house(F.col("house"))})
+    # Normal forms are the costly part, so of equal spellings only the first row gets to them.
+    spelt = first_wins(rows, ["city", "street", "house"], "seq", ["lat", "lon"])
+    keyed = spelt.withColumns({"city_norm": normalize_import(F.col("city")), "street_norm": normalize_street(F.col("street")), "house_norm": normalize_house(F.col("house"))})
     keyed = keyed.where("city_norm <> '' and street_norm <> '' and house_norm <> ''")
     # The first row of a street is the first row of one of its houses, that of a city the first of one of its streets.
     first_houses = stored(first_wins(keyed, ["city_norm", "street_norm", "house_norm"], "seq", ["city", "street", "house", "lat", "lon"]))
@@ -149,4 +151,5 @@ def build_intersections(ways: DataFrame, nodes: DataFrame, gazetteer: Gazetteer,
 def import_counts(rows: DataFrame) -> DataFrame:
     """Distinct cities and streets, and house rows seen, of address rows."""
     city, street = normalize_import(F.col("city")), normalize_street(F.col("street"))
-    return rows.agg(F.count_distinct(city).alias("cities"), F.count_distinct(city, street).alias("streets"), F.count("*").alias("houses"))
+    spelt = rows.groupBy("city", "street").agg(F.count("*").alias("n"))
+    return spelt.agg(F.count_distinct(city).alias("cities"), F.count_distinct(city, street).alias("streets"), F.coalesce(F.sum("n"), F.lit(0)).alias("houses"))
