@@ -144,6 +144,14 @@ def test_crossing_in_the_nearest_city(spark):
     assert places() == [("big", 50.1)] and places(nearest=True) == [("big", 10.1), ("small", 50.1)]
 
 
+def test_a_vertex_is_one_row_with_its_names(spark):
+    """Names and positions that come twice do not multiply; pairs of a vertex are made where they are counted."""
+    nodes = spark.createDataFrame([(1, 2.0, 2.0), (1, 1.0, 3.0), (2, 0.0, 0.0)], "id long, lat double, lon double")
+    ways = spark.createDataFrame([(k, [1, 1, k + 2], {"highway": "residential", "name": n}) for k, n in enumerate(["b st", "a st", "c st", "a st"])], f"id long, refs array<long>, tags {TAGS}")
+    points = gazetteer.road_points(ways, nodes).collect()
+    assert [tuple(r) for r in points] == [(1, 1.0, 3.0, ["a st", "b st", "c st"])]
+
+
 def test_equal_spellings_are_normalised_once(spark, monkeypatch):
     seen = spark.sparkContext.accumulator(0)
 

@@ -103,13 +103,19 @@ def appended(old: DataFrame, new: DataFrame, key: list[str], id: str) -> DataFra
 
 
 def road_points(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, name_norm, lat, lon) of the vertices of named roads, each pair once."""
+    """(node, lat, lon, names) of the vertices of two named roads and more: a row a vertex, its names in order, each once."""
     name = trimmed(F.coalesce(F.col("tags")["name"], F.lit("")))
-    named = ways.where(F.col("tags")["highway"].isin(ROADS) & F.length(name).between(3, 120)).select(normalize_street(name).alias("name_norm"), F.explode(F.array_distinct("refs")).alias("node"))
-    named = named.where(F.length("name_norm") >= 2).distinct()
-    shared = named.groupBy("node").agg(F.count("*").alias("n")).where("n >= 2").select("node")
-    located = nodes.where(valid()).select(F.col("id").alias("node"), "lat", "lon")
-    return named.join(shared, "node", "left_semi").join(located, "node")
+    named = ways.where(F.col("tags")["highway"].isin(ROADS) & F.length(name).between(3, 120)).select(normalize_street(name).alias("name_norm"), "refs")
+    named = named.where(F.length("name_norm") >= 2).select("name_norm", F.explode("refs").alias("node"))
+    shared = named.groupBy("node").agg(F.sort_array(F.collect_set("name_norm")).alias("names")).where(F.size("names") >= 2)
+    located = nodes.where(valid()).select(F.col("id").alias("node"), "lat", "lon").join(shared, "node")
+    return located.groupBy("node").agg(F.min(F.struct("lat", "lon")).alias("at"), F.first("names").alias("names")).select("node", "at.*", "names")
+
+
+def _pairs_of(rows: DataFrame, names: str, *columns: str) -> DataFrame:
+    """A row (columns, a, b) for each two of a row's sorted names, in order."""
+    first = rows.select(*columns, names, F.posexplode(names).alias("k", "a"))
+    return first.select(*columns, "a", F.explode(F.slice(names, F.col("k") + 2, F.size(names))).alias("b"))
 
 
 def build_intersections(ways: DataFrame, nodes: DataFrame, gazetteer: Gazetteer, major: DataFrame, ordered_names_only: bool = False, most: int | None = None, nearest: bool = False) -> DataFrame:
@@ -119,30 +125,33 @@ def build_intersections(ways: DataFrame, nodes: DataFrame, gazetteer: Gazetteer,
     name has the smaller street id; ``most`` ends after that many crossings, in the order of their cities and streets.
     """
     points = stored(road_points(ways, nodes))
-    a, b = points.alias("a"), points.alias("b")
-    crossings = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.name_norm") < F.col("b.name_norm")))
-    crossings = crossings.select(F.col("a.node").alias("node"), F.col("a.name_norm").alias("a"), F.col("b.name_norm").alias("b"), F.col("a.lat").alias("lat"), F.col("a.lon").alias("lon"))
-    # A pair lies in one city, so its first vertex is enough; where the city depends on the vertex all are kept.
-    crossings = stored(crossings if nearest else first_wins(crossings, ["a", "b"], "node", ["lat", "lon"]))
+    own = lambda side: gazetteer.streets.select("city_id", F.col("name_norm").alias(side), F.col("street_id").alias(f"street_{side}_id"))
+    # A pair lies in one city, so its first vertex is enough; where the city depends on the vertex, its first one in each such city.
+    # All pairs of all vertices are many more than these: they go straight into an aggregate that holds a number a pair.
+    if nearest:
+        closest = nearest_places(points.select("node", "lat", "lon"), gazetteer.cities, "node", "city_id").drop("km")
+        known = points.select("node", F.explode("names").alias("a")).join(closest, "node").join(own("a"), ["city_id", "a"], "left")
+        known = known.groupBy("node", "city_id").agg(F.sort_array(F.collect_list(F.struct("a", F.col("street_a_id").isNotNull().alias("there")))).alias("known"))
+        pairs = _pairs_of(known, "known", "node", "city_id")
+        close_by = F.when(F.col("a.there") & F.col("b.there"), F.col("city_id"))
+        crossings = stored(pairs.groupBy(close_by.alias("city_id"), F.col("a.a").alias("a"), F.col("b.a").alias("b")).agg(F.min("node").alias("node")))
+    else:
+        crossings = stored(_pairs_of(points, "names", "node").groupBy("a", "b").agg(F.min("node").alias("node")))
     counts = gazetteer.houses.groupBy("city_id").agg(F.count("*").alias("n"))
     large = major.select("name_norm").distinct().withColumn("major", F.lit(True))
     cities = gazetteer.cities.select("city_id", "name_norm").join(large, "name_norm", "left").select("city_id", F.coalesce("major", F.lit(False)).alias("major"))
     weights = cities.join(counts, "city_id", "left").select("city_id", (F.coalesce("n", F.lit(0)) * 2 + F.col("major").cast("int")).alias("weight"))
-    own = lambda side: gazetteer.streets.select("city_id", F.col("name_norm").alias(side), F.col("street_id").alias(f"street_{side}_id"))
     # Only pairs that cross somewhere meet the street tables, not all pairs of a city's streets.
     both = crossings.select("a", "b").distinct().join(own("a"), "a").join(own("b"), ["city_id", "b"]).join(weights, "city_id")
     best = both.groupBy("a", "b").agg(F.max_by(F.struct("city_id", "street_a_id", "street_b_id"), F.struct("weight", -F.col("city_id"))).alias("best"))
-    columns = ["node", "lat", "lon", "city_id", "street_a_id", "street_b_id"]
+    columns = ["node", "city_id", "street_a_id", "street_b_id"]
+    rest = crossings.where("city_id is null").drop("city_id") if nearest else crossings
+    placed = rest.join(best, ["a", "b"]).select("node", "best.*")
     if nearest:
-        closest = nearest_places(crossings.select("node", "lat", "lon").distinct(), gazetteer.cities, "node", "city_id").drop("km")
-        close = stored(crossings.join(closest, "node").join(own("a"), ["city_id", "a"]).join(own("b"), ["city_id", "b"]))
-        rest = crossings.join(close.select("node", "a", "b"), ["node", "a", "b"], "left_anti")
-        placed = close.select(*columns).union(rest.join(best, ["a", "b"]).select("node", "lat", "lon", "best.*").select(*columns))
-    else:
-        placed = crossings.join(best, ["a", "b"]).select("node", "lat", "lon", "best.*")
+        placed = placed.select(*columns).union(crossings.join(own("a"), ["city_id", "a"]).join(own("b"), ["city_id", "b"]).select(*columns))
     if ordered_names_only:
         placed = placed.where("street_a_id < street_b_id")
-    first = first_wins(placed, ["city_id", "street_a_id", "street_b_id"], "node", ["lat", "lon"])
+    first = placed.groupBy("city_id", "street_a_id", "street_b_id").agg(F.min("node").alias("node")).join(points.drop("names"), "node")
     if most is not None:
         first = first.orderBy("city_id", "street_a_id", "street_b_id").limit(most)
     return numbered(first, "inter_id", "city_id", "street_a_id", "street_b_id").select("inter_id", "city_id", "street_a_id", "street_b_id", "lat", "lon")
