@@ -6,12 +6,13 @@ import contextlib
 import io
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wayfold import queries
 from wayfold.operators import shapes
-from wayfold.operators.vectors import top_similar
+from wayfold.operators.vectors import best_of, emblem_matches, top_similar
 from wayfold.tables import numbered
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +77,22 @@ def test_merges_keep_the_first_of_equals(spark):
     df = spark.createDataFrame(rows, "k long, v string, score double, priority int, seq long")
     assert [(r.v, r.seq) for r in shapes.merge_top(df, "k", ["v"], 2).orderBy("rank").collect()] == [("b", 1), ("a", 9)]
     assert [r.v for r in shapes.slice_then_merge(df, "k", ["v"], 3).orderBy("rank").collect()] == ["b", "a"]
+
+
+def test_equal_emblems_come_by_id(spark):
+    """Copies of a picture tie: numbers go by value, texts by their letters, and the k best are the first of them."""
+    rows = spark.range(40).select("id", F.concat(F.lit("e"), "id").alias("name"), F.lit("city").alias("kind"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    asked = rows.where("id = 7").select(F.col("id").alias("query_id"), "vector")
+    names = lambda emblems: [r.name for r in emblem_matches(asked, emblems, 3).orderBy("rank").collect()]
+    assert names(rows) == ["e0", "e1", "e2"]
+    assert names(rows.withColumn("id", F.col("id").cast("string"))) == ["e0", "e1", "e10"]
+
+
+def test_best_of_rows():
+    rng = np.random.default_rng(5)
+    s = np.round(rng.random((50, 30)), 1)
+    s[3, 4] = np.nan
+    row, column, value = best_of(s, 6)
+    order = np.lexsort((np.broadcast_to(np.arange(30), s.shape), -s), axis=1)[:, :6]
+    assert sorted(zip(row.tolist(), column.tolist())) == sorted((r, c) for r in range(50) for c in order[r].tolist())
+    assert (value == s[row, column]).all() and len(best_of(s[:, :4], 6)[0]) == 200

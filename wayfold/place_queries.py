@@ -521,7 +521,7 @@ def emblem_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emblems that look like a picture: the five best above the floor (here: every twentieth vector against all)."""
     rows = _t(spark, sf_dir, "embeddings")
     kind = F.when(F.col("label") % 2 == 0, "city").otherwise("region")
-    emblems = rows.select(F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("e"), "vec_id").alias("name"), kind.alias("kind"), F.col("label").cast("double").alias("lat"), F.lit(1.0).alias("lon"), F.col("embedding").alias("vector"))
+    emblems = rows.select(F.col("vec_id").alias("id"), F.concat(F.lit("e"), "vec_id").alias("name"), kind.alias("kind"), F.col("label").cast("double").alias("lat"), F.lit(1.0).alias("lon"), F.col("embedding").alias("vector"))
     found = emblem_matches(rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), emblems)
     return found.select("query_id", "name", "lat", "score", "kind")
 
