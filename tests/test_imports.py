@@ -43,3 +43,31 @@ def test_runs_go_on_after_failures(spark, tmp_path):
     # A part without its row in the table of finished imports does not count.
     imported(spark, base).houses.write.parquet(f"{base}/part=99/houses")
     assert imported(spark, base).houses.count() == 5 and imported(spark, base).houses.agg(F.count_distinct("house_id")).first()[0] == 5
+
+
+def test_errors_of_the_jvm_leave_a_file_out(spark, tmp_path, monkeypatch):
+    """On a cluster a failed job is not always turned into an error of PySpark."""
+    from py4j.protocol import Py4JJavaError
+
+    class Failed(Py4JJavaError):
+        def __init__(self):
+            Exception.__init__(self, "job failed")
+
+        def __str__(self):
+            return "job failed"
+
+    def fail(*_):
+        raise Failed
+
+    monkeypatch.setattr("wayfold.plans.imports.import_extract", fail)
+    write(spark, str(tmp_path / "x"), [("Town", "North st", "1", 1.0, 1.0)])
+    none = spark.createDataFrame([], "name_norm string")
+    rows = import_extracts(spark, [str(tmp_path / "x")], str(tmp_path / "g"), none).collect()
+    assert [(r.part, r.error) for r in rows] == [(None, "job failed")]
+
+
+def test_a_file_without_blobs_starts_no_job(spark, tmp_path, monkeypatch):
+    (tmp_path / "x.osm.pbf").write_bytes(b"junk" * 100)
+    monkeypatch.setattr("wayfold.plans.imports.import_extract", lambda *_: pytest.fail("was read"))
+    rows = import_extracts(spark, [str(tmp_path / "x.osm.pbf")], str(tmp_path / "g"), spark.createDataFrame([], "name_norm string")).collect()
+    assert [r.part for r in rows] == [None] and "no blob" in rows[0].error

@@ -12,12 +12,13 @@ from __future__ import annotations
 import logging
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.operators.gazetteer import Gazetteer, addresses, build_gazetteer, build_intersections
-from wayfold.sources.extracts import read_extracts, sizes
+from wayfold.sources.extracts import check_beginnings, read_extracts, sizes
 from wayfold.tables import numbered, stored
 
 log = logging.getLogger("wayfold")
@@ -102,8 +103,9 @@ def import_extracts(spark: SparkSession, files: list[str], path: str, major: Dat
             if (file, bytes_) in whole:
                 log.info("%s: imported before", file)
                 continue
+            check_beginnings([file])
             counts, error = import_extract(spark, file, path, part, major, default_city), None
-        except (PySparkException, OSError, ValueError) as e:
+        except (PySparkException, Py4JJavaError, OSError, ValueError) as e:  # a job that fails on a cluster may come as a plain error of the JVM
             if stop_on_error:
                 raise
             bytes_, counts, error = 0, {}, str(e)[:1000]

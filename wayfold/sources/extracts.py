@@ -60,6 +60,16 @@ def sizes(paths: list[str]) -> list[tuple[str, int]]:
     return sorted(found)
 
 
+def check_beginnings(paths: list[str]) -> None:
+    """An error for the first extract that does not begin with a blob; a few bytes of each are read, no task runs."""
+    for path, size in sizes(paths):
+        try:
+            if size:
+                Blobs(path, size, 0, size, True).header(0)
+        except (IndexError, KeyError) as e:
+            raise ValueError(f"{path} has no blob at 0") from e
+
+
 class Blobs:
     """The data blobs of one file that begin in [begin, end)."""
 
