@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wayfold import queries
 from wayfold.operators import shapes
 from wayfold.operators.vectors import best_of, emblem_matches, top_similar
-from wayfold.tables import numbered
+from wayfold.tables import numbered, spread
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -96,3 +96,9 @@ def test_best_of_rows():
     order = np.lexsort((np.broadcast_to(np.arange(30), s.shape), -s), axis=1)[:, :6]
     assert sorted(zip(row.tolist(), column.tolist())) == sorted((r, c) for r in range(50) for c in order[r].tolist())
     assert (value == s[row, column]).all() and len(best_of(s[:, :4], 6)[0]) == 200
+
+
+def test_rows_are_dealt_by_number(spark):
+    """Files and shuffled data of cheap rows are small, so their size would leave the work to one task."""
+    dealt = spread(spark.range(25_000).coalesce(1), rows=10_000)
+    assert dealt.rdd.getNumPartitions() == 3 and dealt.count() == 25_000 and spread(spark.range(0)).count() == 0

@@ -13,7 +13,7 @@ from wayfold.operators.vectors import emblem_matches
 from wayfold.plans import locate as plan
 from wayfold.plans.health import health
 from wayfold.sources import seeds
-from wayfold.tables import numbered, stored
+from wayfold.tables import numbered, spread, stored
 
 LETTERS = "абвгдежзиклмнопр"
 
@@ -257,7 +257,7 @@ def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("3-й "), "p_name", F.lit(" переулок\t"), n, F.lit("/7 5")))
         .otherwise(F.concat("p_name", F.lit("  площадь   ёёёлка")))
     )
-    return _t(spark, sf_dir, "part").select("p_partkey", forms.alias("t"))
+    return spread(_t(spark, sf_dir, "part")).select("p_partkey", forms.alias("t"))
 
 
 def address_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

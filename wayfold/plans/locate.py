@@ -20,7 +20,7 @@ from wayfold.operators.gazetteer import Gazetteer
 from wayfold.operators.gram_index import build_index, names_holding, names_similar
 from wayfold.operators.shapes import centroids, merge_top, running_flag, slice_then_merge
 from wayfold.operators.vectors import emblem_matches
-from wayfold.tables import stored
+from wayfold.tables import spread, stored
 
 CANDIDATE = "request_id long, kind string, name string, city string, lat double, lon double, score double, priority int, seq long, detail string, fragment_id string"
 STAGES = ["clues", "house", "listed_house", "intersection", "listed_intersection", "pair_centroid", "street_centroid", "city"]
@@ -327,6 +327,7 @@ def located(requests: DataFrame, gazetteer: Gazetteer, seeds: Seeds, vectors: Da
     Requests of mode ``address`` skip the clue stage.  Beside them the analysis of each fragment (request_id, id, its
     type, detected kind, label and score).
     """
+    requests = stored(spread(requests))  # all stages begin with them, and reading a text is costly
     q = queried(request_texts(requests), seeds, gazetteer)
     major, empty = seeds.major(), q.sparkSession.createDataFrame([], CANDIDATE)
     centres = stored(street_centres(gazetteer))

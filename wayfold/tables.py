@@ -28,6 +28,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str, rows: int = 10_000) -> DataFrame:
+    """``df`` (read twice: it should be a table, or little work) dealt to as many tasks as its number of rows wants, about ``rows`` each.
+
+    For what costs much a row: neither the size of files nor that of shuffled data says how much work they hold.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
+
+
 def numbered(df: DataFrame, name: str, *order: str, ready: bool = False) -> DataFrame:
     """``df`` with dense numbers from 1 in ``order``.
 
