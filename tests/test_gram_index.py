@@ -68,3 +68,12 @@ def test_lanes_equal_one_pair_at_a_time(monkeypatch):
     pairs = [(word(rng.randint(0, 14)), word(rng.randint(0, 40))) for _ in range(2000)] + [(word(rng.randint(60, 70)), word(rng.randint(50, 90))) for _ in range(20)]
     pairs += [("\U0001f600aé", "xx\U0001f600aéx"), ("", ""), ("", "a"), ("a" * 64, "a" * 300)]
     assert similarities(pairs).tolist() == [similarity(*p) for p in pairs] and not len(similarities([]))
+
+
+def test_patterns_are_dealt_by_number(spark, monkeypatch):
+    """How many tasks have the patterns makes no difference to what is found."""
+    names = spark.createDataFrame([(f"lower street {k}",) for k in range(40)] + [("aaaa aaaa",), ("upper",)], "name string")
+    found = lambda: sorted(map(tuple, gram_index.names_similar(names, "name", gram_index.build_index(names, "name"), 80).select("name", "text").collect()))
+    whole = found()
+    monkeypatch.setattr(gram_index, "PATTERNS", 5)
+    assert found() == whole and ("aaaa aaaa", "aaaa aaaa") in whole

@@ -26,6 +26,8 @@ from wayfold.tables import stored
 
 #: Names of a gram that stand under one key of a join, about.
 POSTING = 10_000
+#: Patterns of a task, where each is as many rows as it has grams, about.
+PATTERNS = 10_000
 #: The lowest similarity (per cent) that can be asked for.
 FLOOR = 70
 
@@ -73,9 +75,16 @@ def _sized(rows: DataFrame, c: str, share: float) -> DataFrame:
 
 
 def _signed(rows: DataFrame, c: str, grams: DataFrame, share: float) -> DataFrame:
-    """(c, gram, parts): the rarest grams of each distinct pattern, as many as make one of them sure.  Unknown grams are the rarest, and meet nothing."""
-    each = _sized(rows.select(c).where(F.length(c) > 0).distinct(), c, share).select(c, "lost", F.explode(runs(F.col(c), F.col("size"))).alias("gram"))
-    counted = each.groupBy(c, "gram").agg(F.count("*").alias("times"), F.first("lost").alias("lost")).join(grams, "gram", "left")
+    """(c, gram, parts): the rarest grams of each pattern (a stored table of distinct ones), as many as make one of them sure.  Unknown grams are the rarest, and meet nothing.
+
+    A pattern is many rows here, so both steps deal patterns to tasks by their number, not by the size of their short texts.
+    """
+    parts = max(1, -(-rows.count() // PATTERNS))
+    patterns = rows.select(c).where(F.length(c) > 0).repartition(parts, c)
+    each = _sized(patterns, c, share).withColumn("runs", runs(F.col(c), F.col("size")))
+    each = each.select(c, "lost", "runs", F.explode(F.array_distinct("runs")).alias("gram"))
+    counted = each.select(c, "lost", "gram", F.size(F.filter("runs", lambda g: g == F.col("gram"))).alias("times")).join(grams, "gram", "left")
+    counted = counted.repartition(parts, c)
     before = F.sum("times").over(Window.partitionBy(c).orderBy(F.coalesce("df", F.lit(0)), "gram").rowsBetween(Window.unboundedPreceding, -1))
     return counted.withColumn("before", F.coalesce(before, F.lit(0))).where("before <= lost and parts is not null").select(c, "gram", "parts")
 
@@ -110,7 +119,7 @@ def names_similar(queries: DataFrame, column: str, index: GramIndex, least: floa
     if least < FLOOR:
         raise ValueError(f"the index answers similarities from {FLOOR} on")
     share = least / 100
-    asked = queries.select(column).where(F.length(column) > 0).distinct()
+    asked = stored(queries.select(column).where(F.length(column) > 0).distinct())
     shorter = _parted(_signed(asked, column, index.grams, share)).join(index.postings, ["gram", "part"]).where(F.length(column) <= F.length("text"))
     every = asked.withColumn("gram", F.explode(F.concat(*(text.grams(F.col(column), k) for k in (1, 2)))))
     longer = _parted(every.join(index.grams, "gram").select(column, "gram", "parts")).join(index.signatures, ["gram", "part"]).where(F.length("text") < F.length(column))
