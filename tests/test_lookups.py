@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from wayfold import lookup_queries
 from wayfold.operators import gazetteer
 from wayfold.operators.gazetteer import addresses, build_gazetteer, build_intersections
 from wayfold.operators.shapes import first_wins
@@ -186,3 +187,16 @@ def test_addresses_of_an_extract_build_the_same(spark, written):
     path, _, _ = written
     rows = addresses(*extracts.read_extracts(spark, path))
     assert rows.count() == 0 and build_gazetteer(rows).houses.count() == 0
+
+
+def test_batches_of_a_stream_have_as_many_ranges_as_rows_want(spark, tmp_path, monkeypatch):
+    class NoStream:
+        def awaitTermination(self):
+            pass
+
+    monkeypatch.setattr(lookup_queries, "RANGE_ROWS", 500)
+    monkeypatch.setattr(lookup_queries, "append_first_arrivals", lambda *_: NoStream())
+    monkeypatch.setattr(lookup_queries, "_shared_folder", lambda _: str(tmp_path))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        lookup_queries.streamed_firsts(spark, "/root/testdata/sf0.001")
+    assert len(list(tmp_path.glob("in/part-*.parquet"))) == 12 and len(list(tmp_path.glob("arriving/day=*"))) == 4

@@ -17,6 +17,10 @@ from wayfold.streaming.ingest import append_first_arrivals
 from wayfold.tables import folder
 
 
+#: Batches of the stream, and rows of a range of it.
+BATCHES, RANGE_ROWS = 4, 1_000_000
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -122,11 +126,14 @@ def streamed_firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First rows by key of a stream in several batches, kept as state (here: order lines by supplier and quantity, in the order of orders)."""
     base, key, payload = _shared_folder(spark), ["l_suppkey", "l_quantity"], ["l_discount", "l_tax"]
     lines = _t(spark, sf_dir, "lineitem").withColumn("seq", F.col("l_orderkey") * 8 + F.col("l_linenumber")).select(*key, "seq", *payload)
-    lines.repartitionByRange(4, "seq").sortWithinPartitions("seq").write.parquet(f"{base}/in")
-    # The files' names have the order of their rows; each batch takes the next one.
+    # Four batches, each of as many ranges as hold about a million rows, so no task sorts more when there are more lines.
+    ranges = -(-lines.count() // (BATCHES * RANGE_ROWS)) or 1
+    lines.repartitionByRange(BATCHES * ranges, "seq").sortWithinPartitions("seq").write.parquet(f"{base}/in")
+    # The files' names have the order of their rows; each batch takes the next ones.
     files = sorted({f for f in spark.read.parquet(f"{base}/in").inputFiles()})
-    for k, file in enumerate(files):
-        spark.read.schema(lines.schema).parquet(file).write.mode("append").parquet(f"{base}/arriving/day={k}")
+    each = -(-len(files) // BATCHES)
+    for k in range(0, len(files), each):
+        spark.read.schema(lines.schema).parquet(*files[k : k + each]).write.mode("append").parquet(f"{base}/arriving/day={k}")
         source = spark.readStream.schema(lines.schema).option("basePath", f"{base}/arriving").parquet(f"{base}/arriving/day=*")
         append_first_arrivals(source, key, "seq", payload, f"{base}/table", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/table").select(*key, "seq", *payload)
