@@ -102,3 +102,8 @@ def test_rows_are_dealt_by_number(spark):
     """Files and shuffled data of cheap rows are small, so their size would leave the work to one task."""
     dealt = spread(spark.range(25_000).coalesce(1), rows=10_000)
     assert dealt.rdd.getNumPartitions() == 3 and dealt.count() == 25_000 and spread(spark.range(0)).count() == 0
+
+
+def test_a_mode_counts_rows_as_often_as_they_say(spark):
+    rows = spark.createDataFrame([("i", "a", 1, 1), ("i", "b", 2, 3), ("i", "a", 3, 1)], "k string, v string, seq int, times int")
+    assert [tuple(r) for r in shapes.mode_value(rows, "k", "v", ["seq"], "times").collect()] == [("i", "b", 3)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wayfold.functions.clues import plate_repairs, strict_plates
 from wayfold.functions.text import normalize, text_score
 from wayfold.operators.shapes import gap_groups, mode_value
+from wayfold.tables import stored
 
 WORDS = "image_id string, variant int, y double, x double, text string, conf double"
 
@@ -82,8 +83,10 @@ def merged_lines_in_order(lines: DataFrame) -> DataFrame:
 
 def best_plates(readings: DataFrame, regions: DataFrame) -> DataFrame:
     """The plate most readings (image_id, variant, text) of an image agree on, its code repaired by the region table."""
-    found = readings.select("image_id", "variant", F.posexplode(strict_plates(F.col("text"))).alias("pos", "p")).select("image_id", "variant", "pos", "p.*")
-    best = mode_value(found, "image_id", "plate", ["variant", "pos"])
+    # Plates are looked for once in each of an image's different texts.
+    read = readings.groupBy("image_id", "text").agg(F.min("variant").alias("variant"), F.count("*").alias("times"))
+    found = stored(read.select("image_id", "variant", "times", F.posexplode(strict_plates(F.col("text"))).alias("pos", "p")).select("image_id", "variant", "times", "pos", "p.*"))
+    best = mode_value(found, "image_id", "plate", ["variant", "pos"], "times")
     codes = found.select("image_id", "plate", "code").distinct()
     tried = best.join(codes, ["image_id", "plate"]).select("image_id", "plate", "code", F.posexplode(plate_repairs(F.col("code"))).alias("nth", "try"))
     known = tried.join(regions.select(F.col("code").alias("try")), "try").groupBy("image_id").agg(F.min_by("try", "nth").alias("region"))

@@ -138,9 +138,9 @@ def gap_groups(rows: DataFrame, key: list[str], order: list[str], gap: Column) -
     return marked.withColumn("line", total + 1).drop("__new", "previous")
 
 
-def mode_value(rows: DataFrame, key: str, value: str, seq: list[str]) -> DataFrame:
-    """The most frequent value of each key; ties to the longer one, then to the first seen."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"), F.min(F.struct(*seq)).alias("__first"))
+def mode_value(rows: DataFrame, key: str, value: str, seq: list[str], times: str | None = None) -> DataFrame:
+    """The most frequent value of each key (``times``: how often a row counts); ties to the longer one, then to the first seen."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg((F.sum(times) if times else F.count("*")).alias("n"), F.min(F.struct(*seq)).alias("__first"))
     order = F.struct((-F.col("n")).alias("a"), (-F.length(value)).alias("b"), F.col("__first"), F.col(value).alias("v"), F.col("n").alias("n"))
     return counts.groupBy(key).agg(F.min(order).alias("__b")).select(key, F.col("__b.v").alias(value), F.col("__b.n").alias("n"))
 
