@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,51 @@ def test_outlines_equal_flooding(spark):
     assert (best.x1, best.y1, best.x2, best.y2, best.area, best.score) == (20, 10, 70, 40, 1500, 1875.0)
 
 
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_outlines_of_many_images_share_batches(spark, batch):
+    rng = np.random.default_rng(3)
+    arrays = [rng.random((9, 8)) < p for p in (0.3, 0.5, 0.7) for _ in range(10)] + [rng.random((40, 60)) < 0.5]
+    rows = [(i * 2**40 - 2**44, x - 5, y - 5) for i, a in enumerate(arrays) for (y, x), v in np.ndenumerate(a) if v for _ in range(1 + (x + y) % 2)]
+    mask = spark.createDataFrame([*rows, (None, 1, 1), (1, None, 1), (1, 1, None)], "image_id long, x int, y int")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        made = images.outlines(mask)
+        assert "InPandas" not in made._jdf.queryExecution().toString()  # a call of Python for each image
+        found = made.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = sorted((i * 2**40 - 2**44, x1 - 5, y1 - 5, x2 - 5, y2 - 5, n) for i, a in enumerate(arrays) for x1, y1, x2, y2, n in areas(a))
+    assert sorted((r.image_id, r.x1, r.y1, r.x2, r.y2, r.area) for r in found) == want
+    assert len({(r.image_id, r.label) for r in found}) == len(found)
+
+
+def test_areas_end_before_all_runs_are_read():
+    runs = [(k // 50, k % 50 * 2, 3, 4) for k in range(5000)]
+    read, out, most = 0, 0, 0
+
+    def batches():
+        nonlocal read, most
+        for at in range(0, len(runs), 100):
+            most = max(most, read - out)
+            read += 100
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*runs[at : at + 100], strict=True)], ["image_id", "y", "a", "b"])
+
+    for made in images._areas(batches()):
+        out += made.num_rows
+    assert (out, most) == (5000, 1)
+
+
+def test_outlines_of_rows_wider_than_a_batch():
+    rng = np.random.default_rng(4)
+    mask = rng.random((6, 3000)) < 0.4
+    runs = [(0, y, int(a), int(b) - 1) for y, row in enumerate(mask) for a, b in np.flatnonzero(np.diff(np.r_[0, row.astype(int), 0])).reshape(-1, 2)]
+    for size in (1, 10, 300):
+        parts = (pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*runs[at : at + size], strict=True)], ["image_id", "y", "a", "b"]) for at in range(0, len(runs), size))
+        made = [r for batch in images._areas(parts) for r in batch.to_pylist()]
+        assert sorted((r["x1"], r["y1"], r["x2"], r["y2"], r["area"]) for r in made) == areas(mask)
+
+
 def test_stages_read_what_is_left(spark):
     asked = spark.range(6).withColumnRenamed("id", "image_id")
     seen = []

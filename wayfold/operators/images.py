@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,42 +70,80 @@ def equalised(pixels: DataFrame, images: DataFrame, tiles: int = 8, clip: float
     return met.groupBy("image_id", "x", "y").agg(F.sum(F.col("w") * F.col("to")).alias("v"))
 
 
+def _touching(image: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a run (from a to b) and one of the row above that it touches, corners too; runs come by image, y and a."""
+    row = np.cumsum(np.r_[False, (image[1:] != image[:-1]) | (y[1:] != y[:-1])])
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    follows = np.r_[False, (image[first[1:]] == image[first[:-1]]) & (y[first[1:]] == y[first[:-1]] + 1)]
+    below = np.flatnonzero(follows[row])
+    # Columns by their order, so that row and column fit one number.
+    span = 4 * len(y)
+    low, start, end, high = np.unique(np.concatenate([a - 1, a, b, b + 1]), return_inverse=True)[1].reshape(4, -1)
+    above = (row[below] - 1) * span
+    left, right = np.searchsorted(row * span + end, above + low[below]), np.searchsorted(row * span + start, above + high[below], "right")
+    times = right - left
+    return np.repeat(below, times), np.repeat(left - np.cumsum(times) + times, times) + np.arange(times.sum())
+
+
+def _united(one: np.ndarray, other: np.ndarray, size: int) -> np.ndarray:
+    """The smallest of ``size`` nodes that each is linked with, itself included."""
+    up = np.arange(size)
+    while True:
+        x, z = up[one], up[other]
+        apart = x != z
+        if not apart.any():
+            return up
+        one, other = one[apart], other[apart]
+        np.minimum.at(up, np.maximum(x, z)[apart], np.minimum(x, z)[apart])
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def _areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """OUTLINE of runs (image_id, y, a, b) that come by image, y and a, all images of a batch at once.
+
+    Beside a batch (or batches of as many runs as are held) only the last two rows before it are held, and the areas that these
+    belong to.
+    """
+    merge = (np.minimum, np.minimum, np.minimum, np.minimum, np.maximum, np.maximum, np.add)
+    names = [c.split()[0] for c in OUTLINE.split(", ")]
+    whole = lambda rows: pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names)
+    near, open_, last, seen, waiting = np.empty((5, 0), np.int64), np.empty((7, 0), np.int64), None, 0, []
+    for batch in chain(batches, [None]):
+        waiting += [] if batch is None else [batch]
+        size = sum(w.num_rows for w in waiting)
+        # Runs that are held are looked at again, so as many new ones should come with them.
+        if not size or (batch is not None and size < near.shape[1]):
+            continue
+        image, y, a, b = (c.to_numpy().astype(np.int64) for c in pa.Table.from_batches(waiting).columns)
+        waiting = []
+        first = np.flatnonzero(np.r_[True, image[1:] != image[:-1]])
+        label = np.arange(size) - np.repeat(first, np.diff(first, append=size))
+        label[image == last] += seen
+        last, seen = image[-1], label[-1] + 1
+        known = np.hstack([open_, [image, label, a, y, b + 1, y + 1, b - a + 1]])
+        runs = np.hstack([near, [image, y, a, b, open_.shape[1] + np.arange(size)]])
+        one, other = _touching(*runs[:4])
+        root, group = np.unique(_united(runs[4, one], runs[4, other], known.shape[1]), return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        found = np.stack([f.reduceat(c, np.searchsorted(group[order], np.arange(len(root)))) for f, c in zip(merge, known[:, order], strict=True)])
+        near = runs[:, (runs[0] == last) & (runs[1] >= y[-1] - 1)]
+        still, near[4] = np.unique(group[near[4]], return_inverse=True)
+        open_ = found[:, still]
+        yield whole(np.delete(found, still, axis=1))
+    yield whole(open_)
+
+
 def outlines(mask: DataFrame) -> DataFrame:
     """OUTLINE of each connected area of a mask's pixels (image_id, x, y), corners touching too; the label is its first run.
 
-    Pixels become runs of a row (windows); an image's runs, far fewer, are united where they touch a run of the row above.
+    Pixels become runs of a row (windows); runs, far fewer, are sorted by image and row and united where they touch a run of
+    the row above, many images or a part of one at once.  Pixels without an image or a place take no part.
     """
-    once = mask.select("image_id", "y", "x").distinct()
+    once = mask.select("image_id", "y", "x").dropna().distinct()
     lined = gap_groups(once, ["image_id", "y"], ["x"], F.col("x") - F.col("previous") > 1)
-    runs = lined.groupBy("image_id", "y", "line").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-
-    def unite(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["y", "a"])
-        y, a, b = (frame[c].to_numpy(np.int64) for c in ("y", "a", "b"))
-        up = list(range(len(y)))
-
-        def root(k: int) -> int:
-            while up[k] != k:
-                up[k] = k = up[up[k]]
-            return k
-
-        above, at = 0, 0
-        for k in range(len(y)):
-            while y[above] < y[k] - 1:
-                above += 1
-            at = max(above, at) if k and y[k] == y[k - 1] else above
-            while at < k and y[at] < y[k] and b[at] < a[k] - 1:
-                at += 1
-            other = at
-            while other < k and y[other] == y[k] - 1 and a[other] <= b[k] + 1:
-                x, z = root(other), root(k)
-                up[max(x, z)] = min(x, z)
-                other += 1
-        label = np.array([root(k) for k in range(len(y))], np.int64)
-        found = pd.DataFrame({"image_id": frame.image_id.iloc[0], "label": label, "x1": a, "y1": y, "x2": b + 1, "y2": y + 1, "area": b - a + 1})
-        return found.groupby(["image_id", "label"], as_index=False).agg({"x1": "min", "y1": "min", "x2": "max", "y2": "max", "area": "sum"})
-
-    return runs.groupBy("image_id").applyInPandas(unite, OUTLINE)
+    runs = lined.groupBy("image_id", "y", "line").agg(F.min("x").alias("a"), F.max("x").alias("b")).select("image_id", "y", "a", "b")
+    return runs.repartition("image_id").sortWithinPartitions("image_id", "y", "a").mapInArrow(_areas, OUTLINE)
 
 
 def best_panels(found: DataFrame, images: DataFrame) -> DataFrame:
