@@ -12,12 +12,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold import lookup_queries
+from wayfold.functions import text
 from wayfold.operators import gazetteer
 from wayfold.operators.gazetteer import addresses, build_gazetteer, build_intersections
 from wayfold.operators.shapes import first_wins
 from wayfold.operators.spatial import nearest_places
 from wayfold.sources import extracts, osm
 from wayfold.streaming.ingest import append_first_arrivals
+from wayfold.tables import stored
 
 TAGS = "map<string,string>"
 
@@ -200,3 +202,60 @@ def test_batches_of_a_stream_have_as_many_ranges_as_rows_want(spark, tmp_path, m
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         lookup_queries.streamed_firsts(spark, "/root/testdata/sf0.001")
     assert len(list(tmp_path.glob("in/part-*.parquet"))) == 12 and len(list(tmp_path.glob("arriving/day=*"))) == 4
+
+
+# --- what an import does for each row
+
+
+def test_blocks_hold_what_was_given():
+    """Null tags, values and lists, negative and large numbers, slices; the plain reader decodes the same."""
+    tags = pa.array([[("k", "é"), ("x", None)], None, [], [("k", "é"), ("y", "")], [("z", "1")]], pa.map_(pa.string(), pa.string()))
+    ids = pa.array([5, -7, 1 << 62, 0, 9])
+    nodes = pa.table({"id": ids, "lat": [1.0, -90.0, 0.5, 2.0, 3.0], "lon": [180.0, -180.0, 0.0, 1.0, 2.0], "tags": tags})
+    ways = pa.table({"id": ids, "refs": pa.array([[1, -5, 1 << 62], None, [], [7], [8, 7]]), "tags": tags})
+    said = [[(k, v or "") for k, v in t or []] for t in tags.to_pylist()]
+    for begin, n in ((0, 5), (1, 4), (2, 0)):
+        part = slice(begin, begin + n)
+        got = osm.block_rows(extracts.block_of(nodes.slice(begin, n)))[0]
+        assert [(i, round(la, 6), t) for i, la, _, t in got] == list(zip(ids.to_pylist()[part], nodes.column("lat").to_pylist()[part], said[part], strict=True))
+        block = extracts.block_of(ways.slice(begin, n))
+        refs = [r or [] for r in ways.column("refs").to_pylist()[part]]
+        assert osm.block_rows(block)[1] == [(i % (1 << 64), r, t) for i, r, t in zip(ids.to_pylist()[part], refs, said[part], strict=True)]
+        found = [g for g in extracts.block_batches(block, "way", ["id", "refs", "tags"], [])]
+        assert [r for g in found for r in g["refs"].to_pylist()] == refs and [i for g in found for i in g["id"].to_pylist()] == ids.to_pylist()[part]
+
+
+def test_blocks_without_a_wanted_key_are_not_decoded(monkeypatch):
+    rows = pa.table({"id": [1, 2], "refs": [[1, 2], [3]], "tags": pa.array([[("k", "v")]] * 2, pa.map_(pa.string(), pa.string()))})
+    block = extracts.block_of(rows)
+    assert sum(len(g["place"]) for g in extracts.block_batches(block, "way", ["id"], ["k", "none"])) == 2
+    monkeypatch.setattr(extracts, "packed", lambda *_: pytest.fail("was decoded"))
+    assert not list(extracts.block_batches(block, "way", ["id"], ["none"]))
+
+
+def test_normal_forms_wait_for_the_aggregate(spark, monkeypatch):
+    """No pattern is met by every row: neither for trimming nor for a condition that is pushed below an aggregate."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(gazetteer, "stored", kept)
+    nodes = spark.createDataFrame([(1, 1.0, 2.0, {"addr:city": " Town ", "addr:street": "North\u00a0", "addr:housenumber": str(k % 2)}, ("f", k)) for k in range(4)], extracts.NODES)
+    houses = build_gazetteer(addresses(nodes, spark.createDataFrame([], extracts.WAYS))).houses
+    assert houses.count() == 2 and len(read := [p for p in plans if "addr:housenumber" in p]) == 2  # ways with an address, spellings
+    assert not [p for p in read if "regexp" in p]
+
+
+def test_nodes_are_read_once_where_no_way_has_an_address(spark, monkeypatch):
+    monkeypatch.setattr(gazetteer, "way_centres", lambda *_: pytest.fail("vertices were looked up"))
+    nodes = spark.createDataFrame([(1, 1.0, 2.0, {"addr:city": "Town", "addr:street": "North", "addr:housenumber": "1"}, ("f", 0))], extracts.NODES)
+    ways = spark.createDataFrame([(1, [1], {"highway": "residential", "name": "North"}, ("f", 1))], extracts.WAYS)
+    assert [r.house for r in addresses(nodes, ways).collect()] == ["1"]
+
+
+def test_trimming_knows_all_white_space(spark):
+    every = spark.range(0x10000).where("id < 55296 or id >= 57344").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    told = every.select(F.explode(F.array("c", F.concat("c", F.lit(" x"), "c", F.lit("y\n"), "c"))).alias("s"))
+    assert told.where(text.trimmed(F.col("s")) != F.regexp_replace("s", r"(?U)^\s+|\s+$", "")).count() == 0

@@ -17,7 +17,7 @@ from wayfold.operators.gram_index import GramIndex, build_index
 from wayfold.operators.shapes import absent, first_wins
 from wayfold.operators.spatial import nearest_places
 from wayfold.sources.osm import valid
-from wayfold.tables import numbered, stored
+from wayfold.tables import numbered, spread, stored
 
 #: Road classes whose crossings count (fixed values).
 ROADS = ["motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "living_street", "road"]
@@ -64,22 +64,26 @@ def way_centres(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 def addresses(nodes: DataFrame, ways: DataFrame, default_city: str = "", limit: int | None = None) -> DataFrame:
     """city, street, house, lat, lon, seq of everything with an address; files by name, in a file nodes before ways.
 
-    Ways without an address are dropped before their vertices are looked up.
+    Ways with an address are stored before their vertices are looked up, so nodes are read again only where there is such a way,
+    and few ways go to all tasks.
     """
     named = _tag("addr:housenumber").isNotNull() & _tag("addr:street").isNotNull() & F.coalesce(_tag("addr:city"), _tag("addr:place"), F.nullif(F.lit(default_city), F.lit(""))).isNotNull()
     seq = lambda kind: F.struct(F.col("seq.path").alias("path"), F.lit(kind).alias("kind"), F.col("seq.at").alias("at")).alias("seq")
     points = nodes.where(named & valid()).select("tags", "lat", "lon", seq(0))
-    areas = way_centres(ways.where(named), nodes).select("tags", "lat", "lon", seq(1))
+    outlines = stored(ways.where(named))
+    if not outlines.isEmpty():
+        points = points.union(way_centres(outlines, nodes).select("tags", "lat", "lon", seq(1)))
     city = F.coalesce(_tag("addr:city"), _tag("addr:place"), F.lit(default_city))
-    found = points.union(areas).select(city.alias("city"), _tag("addr:street").alias("street"), _tag("addr:housenumber").alias("house"), "lat", "lon", "seq")
+    found = points.select(city.alias("city"), _tag("addr:street").alias("street"), _tag("addr:housenumber").alias("house"), "lat", "lon", "seq")
     return found if limit is None else found.orderBy("seq").limit(limit)
 
 
 def build_gazetteer(rows: DataFrame) -> Gazetteer:
     """Cities, streets and houses of address rows; ids follow first appearance."""
-    # Normal forms are the costly part, so of equal spellings only the first row gets to them.
-    spelt = first_wins(rows, ["city", "street", "house"], "seq", ["lat", "lon"])
-    keyed = spelt.withColumns({"city_norm": normalize_import(F.col("city")), "street_norm": normalize_street(F.col("street")), "house_norm": normalize_house(F.col("house"))})
+    # Normal forms are the costly part, so of equal spellings only the first row gets to them.  Stored, as the condition
+    # below would else be pushed through the aggregate and so take the normal forms of every row.
+    spelt = stored(first_wins(rows, ["city", "street", "house"], "seq", ["lat", "lon"]))
+    keyed = spread(spelt, "city", "street", "house", rows=50_000).withColumns({"city_norm": normalize_import(F.col("city")), "street_norm": normalize_street(F.col("street")), "house_norm": normalize_house(F.col("house"))})
     keyed = keyed.where("city_norm <> '' and street_norm <> '' and house_norm <> ''")
     # The first row of a street is the first row of one of its houses, that of a city the first of one of its streets.
     first_houses = stored(first_wins(keyed, ["city_norm", "street_norm", "house_norm"], "seq", ["city", "street", "house", "lat", "lon"]))
@@ -105,8 +109,9 @@ def appended(old: DataFrame, new: DataFrame, key: list[str], id: str) -> DataFra
 def road_points(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, lat, lon, names) of the vertices of two named roads and more: a row a vertex, its names in order, each once."""
     name = trimmed(F.coalesce(F.col("tags")["name"], F.lit("")))
-    named = ways.where(F.col("tags")["highway"].isin(ROADS) & F.length(name).between(3, 120)).select(normalize_street(name).alias("name_norm"), "refs")
-    named = named.where(F.length("name_norm") >= 2).select("name_norm", F.explode("refs").alias("node"))
+    roads = stored(ways.where(F.col("tags")["highway"].isin(ROADS) & F.length(name).between(3, 120)).select(name.alias("name"), "refs"))
+    names = stored(roads.select("name").distinct()).select("name", normalize_street(F.col("name")).alias("name_norm"))
+    named = roads.join(stored(names.where(F.length("name_norm") >= 2)), "name").select("name_norm", F.explode("refs").alias("node"))
     shared = named.groupBy("node").agg(F.sort_array(F.collect_set("name_norm")).alias("names")).where(F.size("names") >= 2)
     located = nodes.where(valid()).select(F.col("id").alias("node"), "lat", "lon").join(shared, "node")
     return located.groupBy("node").agg(F.min(F.struct("lat", "lon")).alias("at"), F.first("names").alias("names")).select("node", "at.*", "names")

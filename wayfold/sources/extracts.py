@@ -183,6 +183,8 @@ def block_batches(block: bytes, kind: str, columns: list[str], having: list[str]
             lon0 = v - (1 << 64) if v >> 63 else v
     known = {s: k for k, s in enumerate(strings.to_pylist())} if having else {}
     wanted = np.array([known[k] for k in having if k in known], np.int64)
+    if having and not len(wanted):
+        return  # no row of the block can bear one
     place = 0
     for group in groups:
         dense, plain, ways = [], [], []
@@ -191,8 +193,8 @@ def block_batches(block: bytes, kind: str, columns: list[str], having: list[str]
                 (plain, dense, ways)[n - 1].append(v)
         if kind == "way":
             own = [dict(fields(v)) for v in ways]
-            keys, values, refs = ([packed(o.get(n, b""), n == 8) for o in own] for n in (2, 3, 8))
-            yield from _group(kind, place, np.array([o[1] for o in own], np.int64), keys, values, columns, wanted if having else None, strings, refs=[np.cumsum(r) for r in refs])
+            (counts, keys), (_, values), refs = (_lists([o.get(n, b"") for o in own], n == 8) for n in (2, 3, 8))
+            yield from _group(kind, place, np.array([o[1] for o in own], np.uint64).astype(np.int64), keys, values, columns, wanted if having else None, strings, counts=counts, refs=refs)
         else:
             for v in dense:
                 own = dict(fields(v))
@@ -208,6 +210,19 @@ def block_batches(block: bytes, kind: str, columns: list[str], having: list[str]
         place += len(plain) + len(ways) if kind == "node" else len(ways)
 
 
+def _lists(parts: list[bytes], signed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Number of integers of each packed list, and those of all."""
+    data = b"".join(parts)
+    ends = np.concatenate(([0], np.cumsum(np.frombuffer(data, np.uint8) < 128)))
+    return np.diff(ends[np.cumsum([0, *(len(p) for p in parts)])]), packed(data, signed)
+
+
+def _sums(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Running sums inside each list."""
+    every = np.concatenate(([0], np.cumsum(values)))
+    return every[1:] - np.repeat(every[np.cumsum(counts) - counts], counts)
+
+
 def _group(kind, place, ids, keys, values, columns, wanted, strings, counts=None, refs=None, **more) -> Iterator[dict]:
     if not len(ids):
         return
@@ -219,8 +234,8 @@ def _group(kind, place, ids, keys, values, columns, wanted, strings, counts=None
         return
     out = {"place": place + np.flatnonzero(kept), "id": pa.array(ids[kept])} | {n: pa.array(v[kept]) for n, v in more.items()}
     if refs is not None:
-        refs = [r for r, k in zip(refs, kept, strict=True) if k]
-        out["refs"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in refs]))).astype(np.int32)), pa.array(np.concatenate([*refs, np.zeros(0, np.int64)])))
+        n, r = _some(kept, *refs)
+        out["refs"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(_sums(n, r)))
     if "tags" in columns:
         n, k, v = _some(kept, counts, keys, values)
         out["tags"] = _maps(n, k, v, strings)
@@ -255,46 +270,90 @@ class ExtractReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([group[c] for c in self.columns], self.columns)
 
 
-def varints(values: np.ndarray) -> bytes:
-    """Unsigned numbers as variable-length integers."""
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned numbers as variable-length integers: the bytes of all, and how many each has."""
     values = values.astype(np.uint64)
     if not len(values):
-        return b""
-    groups = values[:, None] >> (np.uint64(7) * np.arange(10, dtype=np.uint64))
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    width = max(1, -(-int(values.max()).bit_length() // 7))
+    groups = values[:, None] >> (np.uint64(7) * np.arange(width, dtype=np.uint64))
     used = np.maximum(1, (groups > 0).sum(axis=1))
-    inside = np.arange(10) < used[:, None]
-    more = np.arange(10) < used[:, None] - 1
-    return (((groups & np.uint64(127)).astype(np.uint8)) | (more.astype(np.uint8) << 7))[inside].tobytes()
+    inside = np.arange(width) < used[:, None]
+    more = np.arange(width) < used[:, None] - 1
+    return (((groups & np.uint64(127)).astype(np.uint8)) | (more.astype(np.uint8) << 7))[inside], used
+
+
+def varints(values: np.ndarray) -> bytes:
+    """Unsigned numbers as variable-length integers."""
+    return _coded(values)[0].tobytes()
+
+
+def _zigzag(d: np.ndarray) -> np.ndarray:
+    return ((d << 1) ^ (d >> 63)).view(np.uint64)
 
 
 def deltas(values: np.ndarray) -> bytes:
     """Signed numbers, each as the zigzag-coded difference from the one before."""
-    d = np.diff(values, prepend=0)
-    return varints(((d << 1) ^ (d >> 63)).view(np.uint64))
+    return varints(_zigzag(np.diff(values, prepend=0)))
+
+
+def _number(value: int) -> bytes:
+    value, out = value & ((1 << 64) - 1), bytearray()
+    while value > 127:
+        out.append(value & 127 | 128)
+        value >>= 7
+    out.append(value)
+    return bytes(out)
 
 
 def field(number: int, value: int | bytes) -> bytes:
     if isinstance(value, int):
-        return varints(np.array([number << 3])) + varints(np.array([value]))
-    return varints(np.array([number << 3 | 2, len(value)])) + value
+        return _number(number << 3) + _number(value)
+    return _number(number << 3 | 2) + _number(len(value)) + value
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Length of each list or map (0 if null), and what they hold: values, or keys and values."""
+    lists = lists.combine_chunks() if lists.num_chunks != 1 else lists.chunk(0)
+    offsets, there = lists.offsets.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
+    held = [lists.keys, lists.items] if pa.types.is_map(lists.type) else [lists.values]
+    held = [h.slice(offsets[0], offsets[-1] - offsets[0]) for h in held]
+    counts = np.diff(offsets)
+    if not there.all():
+        held = [h.filter(pa.array(np.repeat(there, counts))) for h in held]
+    return np.where(there, counts, 0).astype(np.int64), held
+
+
+def _sliced(counts: np.ndarray, values: np.ndarray) -> Iterator[bytes]:
+    """Each list's numbers as variable-length integers."""
+    data, used = _coded(values)
+    ends = np.concatenate(([0], np.cumsum(used)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+    data = data.tobytes()
+    return (data[a:b] for a, b in zip(ends, ends[1:], strict=False))
 
 
 def block_of(rows: pa.Table) -> bytes:
     """A primitive block of nodes (id, lat, lon, tags) or ways (id, refs, tags)."""
-    tags = [list(t or ()) for t in rows.column("tags").to_pylist()]
-    strings: dict[str | None, int] = {None: 0}  # 0 stands for no string
-    coded = [[(strings.setdefault(k, len(strings)), strings.setdefault(v or "", len(strings))) for k, v in t] for t in tags]
+    counts, (keys, values) = _flat(rows.column("tags"))
+    coded = pa.chunked_array([keys.cast(pa.string()), values.cast(pa.string()).fill_null("")]).combine_chunks().dictionary_encode()
+    numbers = coded.indices.to_numpy().astype(np.int64) + 1  # 0 stands for no string
+    keys, values = np.split(numbers, 2)
     ids = rows.column("id").to_numpy()
     if "lat" in rows.column_names:
         lat, lon = (np.rint(rows.column(c).to_numpy() * 1e7).astype(np.int64) for c in ("lat", "lon"))
-        listed = np.array([x for t in coded for pair in (*t, (0,)) for x in pair], np.int64)
+        # The pairs of each node stand before a 0, so a pair has as many zeros before it as nodes.
+        at, listed = 2 * np.arange(len(keys)) + np.repeat(np.arange(len(counts)), counts), np.zeros(2 * len(keys) + len(counts), np.int64)
+        listed[at], listed[at + 1] = keys, values
         group = field(2, field(1, deltas(ids)) + field(8, deltas(lat)) + field(9, deltas(lon)) + field(10, varints(listed)))
     else:
-        group = b""
-        for i, pairs, refs in zip(ids.tolist(), coded, rows.column("refs").to_pylist(), strict=True):
-            own = np.array(pairs, np.int64).reshape(-1, 2)
-            group += field(3, field(1, i) + field(2, varints(own[:, 0])) + field(3, varints(own[:, 1])) + field(8, deltas(np.array(refs or [], np.int64))))
-    return field(1, b"".join(field(1, (s or "").encode()) for s in strings)) + field(2, group)
+        n, (refs,) = _flat(rows.column("refs"))
+        refs = refs.to_numpy(zero_copy_only=False).astype(np.int64)
+        steps = np.diff(refs, prepend=0)
+        begins = (np.cumsum(n) - n)[n > 0]
+        steps[begins] = refs[begins]
+        every = zip(ids.tolist(), _sliced(counts, keys), _sliced(counts, values), _sliced(n, _zigzag(steps)), strict=True)
+        group = b"".join(field(3, field(1, i) + field(2, k) + field(3, v) + field(8, r)) for i, k, v, r in every)
+    return field(1, b"".join(field(1, s.encode()) for s in ["", *coded.dictionary.to_pylist()])) + field(2, group)
 
 
 def blob_of(kind: bytes, block: bytes) -> bytes:
