@@ -259,3 +259,18 @@ def test_trimming_knows_all_white_space(spark):
     every = spark.range(0x10000).where("id < 55296 or id >= 57344").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
     told = every.select(F.explode(F.array("c", F.concat("c", F.lit(" x"), "c", F.lit("y\n"), "c"))).alias("s"))
     assert told.where(text.trimmed(F.col("s")) != F.regexp_replace("s", r"(?U)^\s+|\s+$", "")).count() == 0
+
+
+def test_equal_names_of_roads_are_normalised_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(name):
+        seen.add(1)
+        return name
+
+    monkeypatch.setattr(gazetteer, "normalize_street", F.udf(counted, "string").asNondeterministic())
+    road = F.create_map(F.lit("highway"), F.lit("residential"), F.lit("name"), F.concat((F.col("id") % 3).cast("string"), F.lit(" st")))
+    ways = spark.range(900).select("id", F.array(F.col("id") % 7).alias("refs"), road.alias("tags"))
+    nodes = spark.range(7).select("id", F.col("id").cast("double").alias("lat"), F.lit(0.0).alias("lon"))
+    assert {(r.node, tuple(r.names)) for r in gazetteer.road_points(ways, nodes).collect()} == {(k, ("0 st", "1 st", "2 st")) for k in range(7)}
+    assert 3 <= seen.value <= 12
