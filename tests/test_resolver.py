@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import random
+import re
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from wayfold.operators.gazetteer import addresses, appended, build_gazetteer, build_intersections
+from wayfold.plans import locate as plan
 from wayfold.plans import regression
 from wayfold.plans.health import health
-from wayfold.plans.locate import Seeds, city_scores, locate, located, queried, request_texts, responses, street_matches, with_analysis
+from wayfold.plans.locate import Seeds, city_scores, locate, located, numbered_houses, queried, request_texts, responses, street_matches, with_analysis
 from wayfold.sources import osm, seeds
 
 ROWS = [  # city, street, house, lat, lon
@@ -264,3 +267,37 @@ def test_models_and_payloads(spark):
     row = dry_run(asked).first()
     assert (row.requests, row.fragments, row.images, row.ocr_chars) == (2, 4, 4, 5)
     assert spark.range(1).select(needs_retry(F.lit("ГЕ")).alias("x")).first().x
+
+
+def test_houses_by_number_equal_brute_force(spark):
+    """The exact key first, then the nearest number: ties by key, then id; each street and number is looked up once."""
+    rng = random.Random(3)
+    houses = [(k, 1 + s % 2, s, h, h, float(k), 0.0) for k, (s, h) in enumerate((rng.randrange(4), rng.choice(["", "x"]) + str(rng.randrange(40)) + rng.choice(["", "/2", "а", "к2"])) for _ in range(150))]
+    asked = sorted({(1 + s % 2, s, n) for s in range(5) for n in ("1", "7/2", "9к2", "20а", "39", "400")})
+    table = spark.createDataFrame(houses, "house_id long, city_id long, street_id long, house string, house_norm string, lat double, lon double")
+    got = {(r.street_id, r.number): (r.house, r.lat, r.distance) for r in numbered_houses(spark.createDataFrame(asked, "city_id long, street_id long, number string"), table).collect()}
+    digits = lambda h: int(re.search(r"\d+", h).group())
+    want = {}
+    for _, street, number in asked:
+        own = [(h, k) for k, _, s, h, *_ in houses if s == street]
+        keys = list(dict.fromkeys([number, re.sub(r"^(\d+)/(\d+)", r"\1к\2", number), re.sub(r"^(\d+)к(\d+)", r"\1/\2", number)]))
+        exact = [(keys.index(h), k, h) for h, k in own if h in keys]
+        if exact:
+            _, k, h = min(exact)
+            want[street, number] = (h, float(k), 0)
+        elif own:
+            d, h, k = min((abs(digits(h) - digits(number)), h, k) for h, k in own)
+            want[street, number] = (h, float(k), d)
+    assert got == want and len({d for _, _, d in want.values()}) > 3
+
+
+def test_requests_of_equal_texts_are_resolved_once(spark, known, gazetteer, monkeypatch):
+    seen = []
+    monkeypatch.setattr(plan, "queried", lambda texts, *a: (seen.append(texts.count()), queried(texts, *a))[1])
+    said = ["Москва", "мск", "Москва"] * 5
+    rows = locate(ask(spark, *said), gazetteer, known).collect()
+    assert seen == [2]
+    by = {}
+    for r in rows:
+        by.setdefault(r.request_id, []).append((r.rank, r.stage, r.kind, r.name, r.score))
+    assert len(by) == 15 and len({tuple(sorted(v)) for v in by.values()}) == 2

@@ -93,36 +93,65 @@ def queried(texts: DataFrame, seeds: Seeds, gazetteer: Gazetteer) -> DataFrame:
     return stored(q.withColumn("pairing", chosen).withColumn("pairs", text.pairs(F.col("pairing"))))
 
 
+def _in_hinted_city(asked: DataFrame, streets: DataFrame, name: str) -> DataFrame:
+    """``asked`` with the streets (city_id) of equal ``name``: those of the city that a text hints at, else of all."""
+    hinted = asked.where("hint_id is not null").withColumn("city_id", F.col("hint_id")).join(streets, [name, "city_id"])
+    return hinted.unionByName(asked.where("hint_id is null").join(streets, name))
+
+
 def street_matches(q: DataFrame, gazetteer: Gazetteer) -> DataFrame:
     """request_id, pos, query, street_id, city_id, name, similarity: exact names, else names that hold the query's beginning
-    anywhere (by the stored index of names); then kind of street, word overlap and similarity (72 at least) are held against the query."""
-    asked = q.select("request_id", "hint_id", "norm", F.posexplode(F.slice("streets", 1, 8)).alias("pos", "query")).where(F.length("query") >= 2)
-    fits = F.col("hint_id").isNull() | (F.col("hint_id") == F.col("city_id"))
-    streets = gazetteer.streets.select("street_id", "city_id", "name", "name_norm")
-    exact = asked.join(streets, F.col("query") == F.col("name_norm")).where(fits)
-    left = asked.join(exact.select("request_id", "pos"), ["request_id", "pos"], "left_anti")
-    left = stored(left.withColumn("start", F.substring("query", 1, 16)))
-    held = names_holding(left, "start", gazetteer.name_index()).withColumnRenamed("text", "name_norm")
-    part = left.join(held, "start").join(streets, "name_norm").where(fits).drop("start")
-    found = exact.withColumn("similarity", F.lit(100.0)).unionByName(part.withColumn("similarity", F.when(F.contains("name_norm", F.col("query")), 100.0).otherwise(partial_ratio("query", "name_norm"))))
-    kind, own = text.street_kind(F.col("norm")), text.street_kind(F.col("name"))
+    anywhere (by the stored index of names); then kind of street, word overlap and similarity (72 at least) are held against the query.
+
+    Each query and name are compared once, whatever the number of requests and cities.
+    """
+    asked = stored(q.select("request_id", "hint_id", text.street_kind(F.col("norm")).alias("kind"), F.posexplode(F.slice("streets", 1, 8)).alias("pos", "query")).where(F.length("query") >= 2))
+    streets = gazetteer.streets.select("street_id", "city_id", "name", "name_norm", text.street_kind(F.col("name")).alias("own"))
+    exact = _in_hinted_city(asked.withColumn("name_norm", F.col("query")), streets, "name_norm")
+    left = stored(asked.join(exact.select("request_id", "pos"), ["request_id", "pos"], "left_anti"))
+    queries = left.select("query").distinct().withColumn("start", F.substring("query", 1, 16))
+    held = stored(queries.join(names_holding(queries, "start", gazetteer.name_index()).withColumnRenamed("text", "name_norm"), "start").drop("start"))
+    part = held.withColumn("similarity", F.when(F.contains("name_norm", F.col("query")), 100.0).otherwise(partial_ratio("query", "name_norm")))
     long = lambda c: F.filter(F.split(c, " "), lambda t: F.length(t) >= 3)
     overlap = (F.size(long("query")) < 2) | (F.size(F.array_intersect(long("query"), long("name_norm"))) >= 2)
-    return found.where((kind.isNull() | own.isNull() | (kind == own)) & overlap & (F.col("similarity") >= 72)).drop("norm", "hint_id")
+    part = stored(part.where(overlap & (F.col("similarity") >= 72)))
+    met = _in_hinted_city(left.join(part, "query"), streets, "name_norm")
+    found = exact.withColumn("similarity", F.lit(100.0)).where(overlap).unionByName(met)
+    return found.where(F.col("kind").isNull() | F.col("own").isNull() | (F.col("kind") == F.col("own"))).drop("kind", "own", "hint_id")
+
+
+def numbered_houses(asked: DataFrame, houses: DataFrame) -> DataFrame:
+    """The house of each (city_id, street_id, number) of a table of distinct ones: the one with the number, else the nearest number of the street.
+
+    Nearest numbers are found among a street's sorted numbers, one house a number, so neither repeated nor distant ones multiply.
+    """
+    key, by = ["city_id", "street_id"], ["city_id", "street_id", "number"]
+    houses = houses.select(*key, "house", "house_norm", "lat", "lon", "house_id")
+    keys = asked.select(*by, F.posexplode(text.house_keys(F.col("number"))).alias("nth", "house_norm"))
+    exact = keys.join(houses, [*key, "house_norm"]).groupBy(*by).agg(F.min_by(F.struct("house", "lat", "lon", F.lit(0).cast("long").alias("distance")), F.struct("nth", "house_id")).alias("h"))
+    left = asked.join(exact.select(*by), by, "left_anti").withColumn("wanted", text.house_number_int(F.col("number"))).where("wanted is not null")
+    left = stored(left)
+    known = houses.join(left.select(*key).distinct(), key, "left_semi").withColumn("at", text.house_number_int(F.col("house_norm"))).where("at is not null")
+    known = known.groupBy(*key, "at").agg(F.min(F.struct("house_norm", "house_id", "house", "lat", "lon")).alias("first")).withColumn("first", F.struct("at", "first.*"))
+    both = known.unionByName(left.select(*key, F.col("wanted").alias("at")).distinct().withColumn("first", F.lit(None).cast(known.schema["first"].dataType)))
+    near = lambda order: F.last("first", ignorenulls=True).over(Window.partitionBy(*key).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    sides = both.select(*key, F.col("at").alias("wanted"), F.col("first").isNull().alias("asked"), F.array(near(F.asc("at")), near(F.desc("at"))).alias("sides")).where("asked").drop("asked")
+    far = lambda h: F.abs(h["at"] - F.col("wanted"))
+    ranked = F.transform(F.filter("sides", lambda h: h.isNotNull()), lambda h: F.struct(far(h).alias("distance"), h["house_norm"].alias("house_norm"), h["house_id"].alias("house_id"), h["house"].alias("house"), h["lat"].alias("lat"), h["lon"].alias("lon")))
+    nearest = sides.select(*key, "wanted", F.array_min(ranked).alias("h")).where("h is not null")
+    nearest = left.join(nearest, [*key, "wanted"]).select(*by, F.struct("h.house", "h.lat", "h.lon", "h.distance").alias("h"))
+    return exact.union(nearest).select(*by, "h.*")
 
 
 def house_stage(q: DataFrame, gazetteer: Gazetteer, matches: DataFrame) -> DataFrame:
-    """The house with the number, else the nearest number of the street; the best one over the request's streets."""
+    """The house with the number, else the nearest number of the street; the best one over the request's streets.
+
+    Requests that ask for the same number of the same street share its answer.
+    """
     asked = matches.join(q.where("number is not null and markers < 2").select("request_id", "number"), "request_id")
-    houses = gazetteer.houses.select("city_id", "street_id", "house", "house_norm", "lat", "lon", "house_id")
-    keys = asked.select("*", F.posexplode(text.house_keys(F.col("number"))).alias("nth", "house_norm"))
-    exact = keys.join(houses, ["city_id", "street_id", "house_norm"]).withColumn("distance", F.lit(0).cast("long"))
-    by = ["request_id", "pos", "street_id"]
-    exact = exact.groupBy(*by).agg(F.min_by(F.struct("city_id", "name", "similarity", "house", "lat", "lon", "distance"), F.struct("nth", "house_id")).alias("h"))
-    left = asked.join(exact.select(*by), by, "left_anti").withColumn("wanted", text.house_number_int(F.col("number")))
-    near = left.join(houses, ["city_id", "street_id"]).withColumn("distance", F.abs(F.col("wanted") - text.house_number_int(F.col("house_norm")))).where("distance is not null")
-    near = near.groupBy(*by).agg(F.min_by(F.struct("city_id", "name", "similarity", "house", "lat", "lon", "distance"), F.struct("distance", "house_norm", "house_id")).alias("h"))
-    found = exact.union(near).select(*by, "h.*").withColumn("score", house_score(F.col("similarity"), F.when(F.col("distance") == 0, 0).otherwise(F.col("distance"))))
+    by = ["city_id", "street_id", "number"]
+    found = asked.join(stored(numbered_houses(stored(asked.select(*by).distinct()), gazetteer.houses)), by)
+    found = found.select("request_id", "pos", "street_id", "city_id", "name", "similarity", "house", "lat", "lon", "distance").withColumn("score", house_score(F.col("similarity"), F.col("distance")))
     best = found.groupBy("request_id").agg(F.max_by(F.struct(*[c for c in found.columns if c != "request_id"]), F.struct("score", -F.col("pos"), -F.col("street_id"))).alias("b")).select("request_id", "b.*")
     named = best.join(gazetteer.cities.select("city_id", F.col("name").alias("city")), "city_id")
     detail = F.when(F.col("distance") == 0, "house").otherwise("house_approx")
@@ -177,8 +206,9 @@ def listed_intersection_stage(q: DataFrame, seeds: Seeds) -> DataFrame:
     rows = seeds.intersections.select("city", F.col("street_a").alias("name_a"), F.col("street_b").alias("name_b"), "lat", "lon", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     known = rows.select(F.col("a").alias("street")).union(rows.select("b")).where("street <> ''").distinct()
     asked = q.select("request_id", F.posexplode(F.slice("pairing", 1, 8)).alias("pos", "query"))
-    met = asked.join(names_similar(asked, "query", build_index(known, "street"), 75).withColumnRenamed("text", "street"), "query")
-    best = met.groupBy("request_id", "pos").agg(F.max("similarity").alias("similarity"), F.min_by("street", F.struct(-F.col("similarity"), F.col("street"))).alias("street"))
+    # The most similar name is the query's own, whoever asks.
+    met = names_similar(asked, "query", build_index(known, "street"), 75).withColumnRenamed("text", "street")
+    best = asked.join(stored(met.groupBy("query").agg(F.max("similarity").alias("similarity"), F.min_by("street", F.struct(-F.col("similarity"), F.col("street"))).alias("street"))), "query")
     once = best.groupBy("request_id", "street").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "pos")).alias("at"))
     two = once.withColumn("n", _ordered(once, F.col("at"))).where("n <= 2").groupBy("request_id").agg(F.min("street").alias("a"), F.max("street").alias("b")).where("a < b")
     found = two.join(rows, ["a", "b"])
@@ -328,7 +358,11 @@ def located(requests: DataFrame, gazetteer: Gazetteer, seeds: Seeds, vectors: Da
     type, detected kind, label and score).
     """
     requests = stored(spread(requests))  # all stages begin with them, and reading a text is costly
-    q = queried(request_texts(requests), seeds, gazetteer)
+    # All stages but that of clues go by the text alone, so of requests with the same text one stands for all.
+    texts = stored(request_texts(requests))
+    asked = stored(texts.groupBy("text").agg(F.min("request_id").alias("request_id"), F.min("mode").alias("mode")))
+    same = stored(texts.join(asked.select("text", F.col("request_id").alias("first_id")), "text").select("request_id", "first_id").distinct())
+    q = queried(spread(asked.select("request_id", "mode", "text")), seeds, gazetteer)
     major, empty = seeds.major(), q.sparkSession.createDataFrame([], CANDIDATE)
     centres = stored(street_centres(gazetteer))
     of_clues, analysis = clue_stage(requests.where(F.coalesce("mode", F.lit("geoguess")) != "address"), seeds, vectors)
@@ -343,11 +377,14 @@ def located(requests: DataFrame, gazetteer: Gazetteer, seeds: Seeds, vectors: Da
         lambda q: street_stage(q, gazetteer, major, centres),
         lambda q: city_stage(q, seeds),
     ]
-    answered, open_ = [], q
+    answered, open_ = [], same
     for n, stage in enumerate(stages):
         # A stage sees the requests that no stage before has answered.
-        answered.append(stored(empty.unionByName(stage(open_)).withColumn("stage", F.lit(n).cast("long"))))
-        open_ = q.join(reduce(DataFrame.union, [a.select("request_id") for a in answered]).distinct(), "request_id", "left_anti")
+        found = stage(q.join(open_.select(F.col("first_id").alias("request_id")).distinct(), "request_id", "left_semi"))
+        if n:
+            found = found.withColumnRenamed("request_id", "first_id").join(open_, "first_id").drop("first_id")
+        answered.append(stored(empty.unionByName(found).withColumn("stage", F.lit(n).cast("long"))))
+        open_ = stored(same.join(reduce(DataFrame.union, [a.select("request_id") for a in answered]).distinct(), "request_id", "left_anti"))
     chosen = reduce(DataFrame.union, answered)
     # Clues rank by score; the stages of the gazetteer come in their own order already.
     ranked = merge_top(chosen.withColumn("order", F.when(F.col("stage") == 0, F.col("score")).otherwise(-F.col("seq"))).withColumn("points", F.col("score")).withColumn("score", F.col("order")).drop("order"), "request_id", ["kind", "name"]).withColumn("score", F.col("points")).drop("points")
