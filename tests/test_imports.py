@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from wayfold.operators.gazetteer import road_points
 from wayfold.plans.imports import import_extracts, import_totals, imported
 from wayfold.sources.extracts import write_extract
 
@@ -71,3 +72,16 @@ def test_a_file_without_blobs_starts_no_job(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("wayfold.plans.imports.import_extract", lambda *_: pytest.fail("was read"))
     rows = import_extracts(spark, [str(tmp_path / "x.osm.pbf")], str(tmp_path / "g"), spark.createDataFrame([], "name_norm string")).collect()
     assert [r.part for r in rows] == [None] and "no blob" in rows[0].error
+
+
+def test_nodes_are_not_read_for_crossings_where_no_roads_meet(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(k):
+        seen.add(1)
+        return float(k % 90)
+
+    nodes = spark.range(50_000).select("id", F.udf(counted, "double").asNondeterministic()("id").alias("lat"), F.lit(0.0).alias("lon"))
+    roads = lambda n: spark.createDataFrame([(k, [k % n], {"highway": "residential", "name": f"{k} st"}) for k in range(6)], f"id long, refs array<long>, tags {TAGS}")
+    assert road_points(roads(6), nodes).collect() == [] and seen.value == 0
+    assert sorted((r.node, r.lat, r.names) for r in road_points(roads(3), nodes).collect()) == [(k, float(k), [f"{k} st", f"{k + 3} st"]) for k in range(3)]

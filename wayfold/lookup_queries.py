@@ -151,7 +151,7 @@ def imported_houses(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, file in enumerate(files):
         own = rows.where(F.col("seq.l_orderkey") % 3 == k).repartitionByRange("seq").sortWithinPartitions("seq")
         write_extract(own.select((F.col("seq.l_orderkey") * 8 + F.col("seq.l_linenumber")).alias("id"), "lat", "lon", tags.alias("tags")), file)
-    rows.limit(9).select("city").coalesce(1).write.text(f"{base}/broken")
+    _t(spark, sf_dir, "supplier").limit(9).select("s_name").coalesce(1).write.text(f"{base}/broken")
     none = spark.createDataFrame([], "name_norm string")
     for _ in range(2):
         import_extracts(spark, [files[0], f"{base}/broken", *files[1:]], f"{base}/gazetteer", none)

@@ -112,7 +112,8 @@ def road_points(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     roads = stored(ways.where(F.col("tags")["highway"].isin(ROADS) & F.length(name).between(3, 120)).select(name.alias("name"), "refs"))
     names = stored(roads.select("name").distinct()).select("name", normalize_street(F.col("name")).alias("name_norm"))
     named = roads.join(stored(names.where(F.length("name_norm") >= 2)), "name").select("name_norm", F.explode("refs").alias("node"))
-    shared = named.groupBy("node").agg(F.sort_array(F.collect_set("name_norm")).alias("names")).where(F.size("names") >= 2)
+    # Stored, so that few or no such vertices are sent to the nodes, which need not be shuffled then.
+    shared = stored(named.groupBy("node").agg(F.sort_array(F.collect_set("name_norm")).alias("names")).where(F.size("names") >= 2))
     located = nodes.where(valid()).select(F.col("id").alias("node"), "lat", "lon").join(shared, "node")
     return located.groupBy("node").agg(F.min(F.struct("lat", "lon")).alias("at"), F.first("names").alias("names")).select("node", "at.*", "names")
 
